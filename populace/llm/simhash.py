@@ -23,10 +23,11 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, save
+from .buckets import linked
+from .common import discard, save
 
 
 def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
@@ -75,34 +76,11 @@ def variant_keys(fp: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def _near(a, b, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-
-
 def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
-    """(fp, root) for the fingerprints that have a link; ``fps``: distinct (fp)."""
-    w = Window.partitionBy("k").orderBy("fp")
-    index = fps.select("fp", F.explode(variant_keys(F.col("fp"), distance)).alias("k"))
-    index = index.select("k", "fp", F.lag("fp").over(w).alias("prev"), F.lead("fp").over(w).alias("next"), F.first("fp").over(w).alias("head"))
-    index = save(index.where("prev is not null or next is not null").drop("next"), "simhash-index")
-    tried = index.select("fp", F.explode(F.array("prev", "head")).alias("b")).where("fp <> b").where(_near("fp", "b", distance))
-    edges = save(tried.select(F.col("fp").alias("a"), "b").distinct(), "simhash-edges")
-    first = components(edges)
-    held = index.select("k", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("c"))
-    held = save(held, "simhash-held")
-    sizes = held.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"))
-    mixed = held.join(sizes.where("m > 1").select("k", "main"), "k")
-    # of two components in a key, one isn't the key's largest
-    a = mixed.where("c <> main").select("k", F.col("fp").alias("fa"), F.col("c").alias("a"))
-    b = mixed.select(F.col("k").alias("kb"), F.col("fp").alias("fb"), F.col("c").alias("b"))
-    across = a.join(b, (F.col("k") == F.col("kb")) & (F.col("a") != F.col("b")) & _near("fa", "fb", distance)).select("a", "b")
-    across = save(across.distinct(), "simhash-across")
-    second = components(across)
-    out = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
-    lone = second.join(first, second["node"] == first["node"], "left_anti").select("node", "root")
-    out = save(out.union(lone).select(F.col("node").alias("fp"), "root"), "simhash-roots")
-    discard(index, edges, held, across, first, second)
-    return out
+    """(node, root) for the fingerprints that have a link; ``fps``: distinct (fp)."""
+    index = fps.select(F.explode(variant_keys(F.col("fp"), distance)).alias("k"), F.col("fp").alias("id"))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    return linked(index, lambda pairs: pairs.where(near("a", "b")), near, "simhash")
 
 
 def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +88,7 @@ def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_
     each = save(fingerprints(docs, width, id_col, text), "simhash")
     reps = save(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-reps")
     roots = fingerprint_components(reps.select("fp"), distance)
-    named = save(reps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    named = save(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
     discard(reps, roots)
