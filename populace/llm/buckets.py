@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from .common import components, discard, save
 
 
-def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None, name: str = "bucket") -> DataFrame:
+def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str | Column, str | Column], Column] | None = None, name: str = "bucket") -> DataFrame:
     """Components of all verified links between ids that share a key.
 
     index: (k, id) without repeats. verify: candidate pairs (a, b) -> the pairs
     that are links. near: the same test as a column of two ids, where the ids
     carry what it needs; it then stands in the join condition.
 
-    In each key, every id is tried against the one before it and the key's first.
-    Those links are contracted to components. Only keys that still hold several
-    components are joined with themselves, and only between ids of different
-    components, so a large group that is linked by now makes no pairs; a pair
-    that is left out joins two ids of one component.
+    In each key, every id is tried against the three before it and the key's
+    first, which are all pairs of a key of up to five ids. Those links are
+    contracted to components. Only larger keys that still hold several components
+    are joined with themselves, and only between ids of different components, so
+    a large group that is linked by now makes no pairs; a pair that is left out
+    joins two ids of one component.
     """
     w = Window.partitionBy("k").orderBy("id")
-    rows = index.select("k", "id", F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"), F.first("id").over(w).alias("head"))
-    rows = save(rows.where("prev is not null or next is not null").drop("next"), f"{name}-index")
-    tried = rows.select(F.col("id").alias("a"), F.explode(F.array("prev", "head")).alias("b")).where("a <> b")
-    tried = tried.where(near("a", "b")).distinct() if near else verify(save(tried.distinct(), f"{name}-pairs"))
+    rows = index.select("k", "id", F.array(*(F.lag("id", n).over(w) for n in (1, 2, 3)), F.first("id").over(w)).alias("met"), (F.count("*").over(Window.partitionBy("k")) > 5).alias("large"))
+    rows = rows.where(F.get("met", 0).isNotNull() | F.col("large"))
+    if near:
+        held_met = F.filter("met", lambda x: near("id", x) & (x != F.col("id")))
+    else:
+        held_met = F.array_distinct(F.filter("met", lambda x: x != F.col("id")))
+    rows = save(rows.select("k", "id", held_met.alias("met"), "large").where("large or size(met) > 0"), f"{name}-index")
+    tried = rows.select(F.col("id").alias("a"), F.explode("met").alias("b")).distinct()
+    if not near:
+        tried = verify(save(tried, f"{name}-pairs"))
     first = components(tried)
-    held = rows.select("k", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("c"))
+    held = rows.where("large").select("k", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("c"))
     held = save(held, f"{name}-held")
     sizes = held.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"))
     mixed = held.join(sizes.where("m > 1").select("k", "main"), "k")

@@ -79,7 +79,8 @@ def variant_keys(fp: Column, distance: int) -> Column:
 def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
     """(node, root) for the fingerprints that have a link; ``fps``: distinct (fp)."""
     index = fps.select(F.explode(variant_keys(F.col("fp"), distance)).alias("k"), F.col("fp").alias("id"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    as_column = lambda x: F.col(x) if isinstance(x, str) else x
+    near = lambda a, b: F.bit_count(as_column(a).bitwiseXOR(as_column(b))) <= distance
     return linked(index, lambda pairs: pairs.where(near("a", "b")), near, "simhash")
 
 
