@@ -64,11 +64,14 @@ def host_verdicts(metrics: DataFrame, host: str = "source", host_limit: float =
     """
     by = metrics.groupBy(F.col(host).alias("_host")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("base_failed").cast("int")).cast("double").alias("failed"))
     by = by.withColumn("p", F.col("failed") / F.col("n"))
-    tot = by.agg((F.sum("failed") / F.sum("n")).alias("m"), F.sum("n").alias("tn"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("p") * F.col("p")).alias("npp"))
-    v = F.col("npp") / F.col("tn") - F.col("m") * F.col("m") - F.col("m") * (1 - F.col("m")) * F.col("k") / F.col("tn")
-    tot = tot.select("m", F.when(v > 0, F.greatest(F.lit(PRIOR_MIN), F.least(F.lit(PRIOR_MAX), F.col("m") * (1 - F.col("m")) / v - 1))).otherwise(F.lit(PRIOR_MAX)).alias("s"))
-    by = by.join(F.broadcast(tot))  # one row
-    rate = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
+    m, total, k, npp = by.agg(F.sum("failed") / F.sum("n"), F.sum("n"), F.count("*"), F.sum(F.col("n") * F.col("p") * F.col("p"))).first()
+    if not k:
+        m = s = 0.0
+    else:
+        v = npp / total - m * m - m * (1 - m) * k / total
+        s = max(PRIOR_MIN, min(PRIOR_MAX, m * (1 - m) / v - 1)) if v > 0 else PRIOR_MAX
+    m, s = F.lit(m), F.lit(s)
+    rate = (F.col("failed") + m * s) / (F.col("n") + s)
     return by.select("_host", "n", "failed", rate.alias("host_rate"), (rate >= host_limit).alias("host_rejected"))
 
 
