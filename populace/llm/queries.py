@@ -9,7 +9,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, packing, quality, repair, simhash, toxicity
+from . import bpe, html_text, packing, quality, repair, simhash, substring, suffix, toxicity, vectors
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
+def op4_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024), capacity=1024)
 
 
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
 
@@ -38,6 +46,10 @@ def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
