@@ -35,19 +35,17 @@ BLOCK_TOKENS = 1 << 20
 def _choose(rank: np.ndarray, none: int) -> np.ndarray:
     """Places of non-overlapping pairs, better ranks first. rank[i] is for (i, i+1)."""
     picked = []
-    rank = rank.copy()
-    for _ in range(3):
-        left = np.empty_like(rank)
-        left[0], left[1:] = none, rank[:-1]
-        right = np.empty_like(rank)
-        right[-1], right[:-1] = none, rank[1:]
-        at = np.flatnonzero((rank < left) & (rank <= right) & (rank < none))
+    wide = np.full(rank.size + 2, none, rank.dtype)
+    wide[1:-1] = rank
+    for _ in range(2):
+        left, mid, right = wide[:-2], wide[1:-1], wide[2:]
+        at = np.flatnonzero((mid < left) & (mid <= right))
         if not at.size:
             break
         picked.append(at)
-        rank[at] = none
-        rank[np.maximum(at - 1, 0)] = none
-        rank[np.minimum(at + 1, rank.size - 1)] = none
+        wide[at] = none
+        wide[at + 1] = none
+        wide[at + 2] = none
     return np.sort(np.concatenate(picked)) if picked else np.empty(0, np.int64)
 
 
@@ -58,32 +56,40 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
     ones and replaces them, the more frequent first where two overlap. Returns
     symbols, ends of the symbols, rules (n, 2).
     """
+    if per_round >= 1 << 15:
+        raise ValueError("per_round must be under 32768")
     seq, last, rules, nxt = ids.astype(np.uint32), ends.copy(), [], vocab
+    bits = 16 if vocab + rounds * per_round <= 65535 else 32
+    kind, spread = (np.uint32, np.uint32(0x9E3779B1)) if bits == 16 else (np.uint64, np.uint64(0x9E3779B97F4A7C15))
+    shift, never, none = kind(bits), kind(-1 % (1 << 2 * bits)), np.int16(per_round)
+    down = kind(2 * bits - 18)
     for _ in range(rounds):
         if seq.size < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        key[last[:-1]] = np.uint64(2**64 - 1)
+        key = (seq[:-1].astype(kind) << shift) | seq[1:].astype(kind)
+        key[last[:-1]] = never
         ordered = np.sort(key)
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        start = np.concatenate([[0], edge])
-        count = np.diff(np.concatenate([start, [ordered.size]]))
-        value = ordered[start]
-        ok = (count >= min_count) & (value != np.uint64(2**64 - 1))
-        value, count = value[ok], count[ok]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(start, ordered.size))
+        frequent = np.flatnonzero(count >= min_count)
+        value, count = ordered[start[frequent]], count[frequent]
+        value, count = value[value != never], count[value != never]
         if not value.size:
             break
-        top = np.lexsort((value, -count))[:per_round]
-        ranked = value[top]
-        by_key = np.argsort(ranked)
-        keys = ranked[by_key]
-        place = np.minimum(np.searchsorted(keys, key), keys.size - 1)
-        rank = np.where(keys[place] == key, by_key[place], ranked.size).astype(np.int32)
-        at = _choose(rank, ranked.size)
-        used, as_new = np.unique(rank[at], return_inverse=True)
-        pairs = ranked[used]
-        rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], 1))
-        seq[at] = nxt + as_new
+        keys = value[np.lexsort((value, -count))[:per_round]]
+        # a hashed table of ranks; of pairs that meet in a slot the most frequent one stays
+        slot = (keys * spread) >> down
+        table = np.full(1 << 18, none)
+        table[slot[::-1]] = np.arange(keys.size - 1, -1, -1, dtype=np.int16)
+        rank = table[(key * spread) >> down]
+        rank[np.append(keys, never)[rank.clip(max=keys.size)] != key] = none
+        at = _choose(rank, none)
+        used = np.flatnonzero(np.bincount(rank[at], minlength=keys.size))
+        pairs = keys[used]
+        rules.append(np.stack([(pairs >> shift).astype(np.uint32), (pairs & kind((1 << bits) - 1)).astype(np.uint32)], 1))
+        as_new = np.zeros(keys.size, np.uint32)
+        as_new[used] = nxt + np.arange(used.size, dtype=np.uint32)
+        seq[at] = as_new[rank[at]]
         last[at] = last[at + 1]
         keep = np.ones(seq.size, bool)
         keep[at + 1] = False
