@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens in each generation of a worker's cache, and their largest size in characters.
-CACHE, CACHED_CHARS = 150_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], width: int = 8) -> list[int]:
@@ -59,26 +59,30 @@ def merge(piece: bytes, ranks: dict[bytes, int], width: int = 8) -> list[int]:
         j = after[i]
         k = after[i] = after[j]
         rank_at[j] = -1
-        changed = []
         if k < n:
             before[k] = i
-            changed.append((i, piece[i : after[k]]))
+            r = get(piece[i : after[k]], -1)
+            rank_at[i] = r
+            if r >= 0:
+                if b := buckets.get(r):
+                    heappush(b, i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> width] = low.get(r >> width, 0) | 1 << (r & mask)
+                    top |= 1 << (r >> width)
         else:
             rank_at[i] = -1
-        if (h := before[i]) >= 0:
-            changed.append((h, piece[h:k]))
-        for at, pair in changed:
-            r = get(pair)
-            if r is None:
-                rank_at[at] = -1
-                continue
-            rank_at[at] = r
-            if b := buckets.get(r):
-                heappush(b, at)
-            else:
-                buckets[r] = [at]
-                low[r >> width] = low.get(r >> width, 0) | 1 << (r & mask)
-                top |= 1 << (r >> width)
+        h = before[i]
+        if h >= 0:
+            r = get(piece[h:k], -1)
+            rank_at[h] = r
+            if r >= 0:
+                if b := buckets.get(r):
+                    heappush(b, h)
+                else:
+                    buckets[r] = [h]
+                    low[r >> width] = low.get(r >> width, 0) | 1 << (r & mask)
+                    top |= 1 << (r >> width)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])

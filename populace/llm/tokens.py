@@ -72,7 +72,7 @@ class PieceEncoder:
                     letters = p if p.isascii() and p[0] not in " \n" else p.encode().decode("latin-1").translate(self.letters)
                     known[p] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
             out = b"".join([known[p] for p in parts])
-            if len(known) > self.limit:
+            if len(known) > 2 * self.limit:
                 known.clear()
             return out
 
