@@ -10,49 +10,44 @@ from pyspark.sql import functions as F
 from .common import components, discard, save
 
 
-def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str | Column, str | Column], Column] | None = None, name: str = "bucket") -> DataFrame:
-    """Components of all verified links between ids that share a key.
+def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None, lags: int = 3, name: str = "bucket") -> DataFrame:
+    """Components of all verified links between ids that share a key: (node, root).
 
-    index: (k, id) without repeats. verify: candidate pairs (a, b) -> the pairs
-    that are links. near: the same test as a column of two ids, where the ids
-    carry what it needs; it then stands in the join condition.
+    index: (k, id, x) without repeats. near: a test of two ids' x that a link
+    passes, evaluated in window and join. verify: candidate pairs (a, b) -> the
+    pairs that are links; without it near alone makes a link.
 
-    In each key, every id is tried against the three before it and the key's
-    first, which are all pairs of a key of up to five ids. Those links are
+    In each key, every id is tried against the ``lags`` before it and the key's
+    first, which are all pairs of a key of up to lags + 2 ids. Those links are
     contracted to components. Only larger keys that still hold several components
     are joined with themselves, and only between ids of different components, so
     a large group that is linked by now makes no pairs; a pair that is left out
     joins two ids of one component.
     """
-    w = Window.partitionBy("k").orderBy("id")
-    rows = index.select("k", "id", F.array(*(F.lag("id", n).over(w) for n in (1, 2, 3)), F.first("id").over(w)).alias("met"), (F.count("*").over(Window.partitionBy("k")) > 5).alias("large"))
+    near = near or (lambda x, y: F.lit(True))
+    check = (lambda pairs: verify(save(pairs, f"{name}-pairs"))) if verify else (lambda pairs: pairs)
+    w = Window.partitionBy("k").orderBy("x", "id")
+    each = F.struct("id", "x")
+    rows = index.select("k", "id", "x", F.array(*(F.lag(each, n).over(w) for n in range(1, lags + 1)), F.first(each).over(w)).alias("met"), (F.count("*").over(Window.partitionBy("k")) > lags + 2).alias("large"))
     rows = rows.where(F.get("met", 0).isNotNull() | F.col("large"))
-    if near:
-        held_met = F.filter("met", lambda x: near("id", x) & (x != F.col("id")))
-    else:
-        held_met = F.array_distinct(F.filter("met", lambda x: x != F.col("id")))
-    rows = save(rows.select("k", "id", held_met.alias("met"), "large").where("large or size(met) > 0"), f"{name}-index")
-    tried = rows.select(F.col("id").alias("a"), F.explode("met").alias("b")).distinct()
-    if not near:
-        tried = verify(save(tried, f"{name}-pairs"))
+    met = F.array_distinct(F.transform(F.filter("met", lambda m: (m["id"] != F.col("id")) & near(m["x"], F.col("x"))), lambda m: m["id"]))
+    rows = save(rows.select("k", "id", "x", met.alias("met"), "large").where("large or size(met) > 0"), f"{name}-index")
+    tried = check(rows.select(F.explode("met").alias("o"), "id").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
     first = components(tried)
-    held = rows.where("large").select("k", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("c"))
+    held = rows.where("large").select("k", "id", "x").join(first.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "x", F.coalesce("root", "id").alias("c"))
     held = save(held, f"{name}-held")
     sizes = held.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"))
     mixed = held.join(sizes.where("m > 1").select("k", "main"), "k")
     # of two components in a key, one isn't the key's largest
-    x = mixed.where("c <> main").select("k", F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = mixed.select(F.col("k").alias("kb"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    test = (F.col("k") == F.col("kb")) & (F.col("ca") != F.col("cb"))
-    across = x.join(y, test & near("a", "b") if near else test)
-    if near:
-        across = across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    p = mixed.where("c <> main").select("k", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("x").alias("xa"))
+    q = mixed.select(F.col("k").alias("kb"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("x").alias("xb"))
+    across = p.join(q, (F.col("k") == F.col("kb")) & (F.col("ca") != F.col("cb")) & near(F.col("xa"), F.col("xb")))
+    if verify:
+        links = check(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = links.join(first.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("root").alias("cb")), "b", "left")
+        across = links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     else:
-        pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = verify(save(pairs, f"{name}-pairs"))
-        root = first.select("node", "root")
-        links = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        across = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        across = across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     across = save(across.distinct(), f"{name}-across")
     second = components(across)
     out = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))

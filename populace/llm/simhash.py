@@ -30,6 +30,12 @@ from .buckets import linked
 from .common import discard, save
 
 
+#: For near-copies by similarity: 4 segments hold every pair of up to 7 differing
+#: bits and most pairs beyond; candidates of up to 14 bits are verified, which
+#: 98 of 100 pairs of Jaccard similarity 0.8 or more lie within.
+INDEX_BITS, CANDIDATE_BITS = 7, 14
+
+
 def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     """Unsigned 64-bit majority over the hashes of all shingles of ``width`` words."""
     from xxhash import xxh64_intdigest
@@ -79,9 +85,7 @@ def variant_keys(fp: Column, distance: int) -> Column:
 def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
     """(node, root) for the fingerprints that have a link; ``fps``: distinct (fp)."""
     index = fps.select(F.explode(variant_keys(F.col("fp"), distance)).alias("k"), F.col("fp").alias("id"))
-    as_column = lambda x: F.col(x) if isinstance(x, str) else x
-    near = lambda a, b: F.bit_count(as_column(a).bitwiseXOR(as_column(b))) <= distance
-    return linked(index, lambda pairs: pairs.where(near("a", "b")), near, "simhash")
+    return linked(index.select("k", "id", F.col("id").alias("x")), None, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, name="simhash")
 
 
 def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,3 +98,26 @@ def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_
     by_fp = named.join(least, "root").select("fp", "component_id")
     discard(reps, roots)
     return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id: documents linked where the exact Jaccard similarity of
+    their ``width``-word shingles reaches ``similarity``, among fingerprint candidates.
+
+    Texts are compared once each. The index finds all pairs that differ in up to
+    INDEX_BITS bits, and of those up to CANDIDATE_BITS the ones that share a key.
+    Wordless texts are copies only of equal texts.
+    """
+    from .substring import verified_pairs
+
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
+    texts = each.groupBy("uid").agg(F.min("doc_id").alias("low"))
+    distinct = each.join(texts, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "text")
+    fps = save(fingerprints(distinct, width, "uid", "text").distinct(), "near-fps")
+    index = fps.where("fp <> 0").select(F.explode(variant_keys(F.col("fp"), INDEX_BITS)).alias("k"), F.col("doc_id").alias("id"), F.col("fp").alias("x"))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= CANDIDATE_BITS
+    roots = linked(index, verified_pairs(distinct.select(F.col("uid").alias("id"), F.col("text").alias("words")), similarity), near, 8, "near")
+    named = save(texts.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", F.coalesce("root", "uid").alias("root")), "near-named")
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    discard(fps, roots)
+    return each.select("doc_id", "uid").join(named.join(least, "root").select("uid", "component_id"), "uid").select("doc_id", "component_id")

@@ -20,7 +20,7 @@ An empty table gives an empty result; extra columns are kept by ``cut_documents`
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,23 +155,33 @@ def paragraph_roots(texts: DataFrame) -> DataFrame:
             ids = np.repeat(b.column(0).to_numpy(), BANDS)
             yield _batch([np.concatenate(keys) if keys else [], ids], schema)
 
+    keyed = texts.select("pid", "words").mapInArrow(index, "k long, id long")
+    return linked(keyed.select("k", "id", F.col("id").alias("x")), verified_pairs(texts.select(F.col("pid").alias("id"), "words")), name="paragraph")
+
+
+def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable[[DataFrame], DataFrame]:
+    """Keeps pairs (a, b) whose exact Jaccard similarity over shingles reaches
+    ``similarity``. texts: (id, words), of which only those in a pair are moved on."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = []
+            for p, q in zip(x.column(2), x.column(3)):
+                s, t = (shingles(word_hashes(w.as_py() or "")) for w in (p, q))
+                both = np.intersect1d(s, t, assume_unique=True).size
+                ok.append(both >= similarity * (s.size + t.size - both))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs whose exact Jaccard similarity reaches SIMILARITY."""
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-            for x in batches:
-                ok = []
-                for p, q in zip(x.column(2), x.column(3)):
-                    s, t = shingles(word_hashes(p.as_py())), shingles(word_hashes(q.as_py()))
-                    both = np.intersect1d(s, t, assume_unique=True).size
-                    ok.append(both >= SIMILARITY * (s.size + t.size - both))
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
-
-        both = pairs.join(texts.select(F.col("pid").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("pid").alias("b"), F.col("words").alias("wb")), "b")
-        return save(both.select("a", "b", "wa", "wb").mapInArrow(score, "a long, b long"), "paragraph-links")
-
-    return linked(texts.select("pid", "words").mapInArrow(index, "k long, id long").distinct(), verify, name="paragraph")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        held = save(texts.join(wanted, "id", "left_semi"), "verify-texts")
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        out = save(both.select("a", "b", "wa", "wb").mapInArrow(score, "a long, b long"), "verify-links")
+        discard(held)
+        return out
+
+    return verify
 
 
 def repeated_paragraphs(units: DataFrame) -> DataFrame:
