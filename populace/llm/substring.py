@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,7 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + g.size]
         g ^= g >> np.uint64(29)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    return g ^ (g >> np.uint64(32))
+    return g * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -77,21 +77,37 @@ def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(x[: x.size - (w - have)], x[w - have :]) if w > have else x
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the winnowed seeds of a text."""
+def seeds(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first word) of the winnowed seeds of several texts at once.
+
+    h: the word hashes of all texts; sizes: the words of each. Windows that reach
+    into the next text may add seeds; each text's own windows all have theirs."""
+    ends = np.cumsum(sizes)
     g = gram_hashes(h, SEED_WORDS)
-    if not g.size:
-        return g, np.empty(0, np.int64)
-    if g.size <= WINDOW:
-        at = np.flatnonzero(g == g.min())
-        return g[at], at
-    low = _sliding(g, WINDOW, np.minimum)
-    pad = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(pad, WINDOW, np.maximum) == g)
-    return g[at], at
+    owner = np.repeat(np.arange(sizes.size), sizes)[: g.size]
+    at = np.arange(g.size) - (ends - sizes)[owner]
+    whole = at + SEED_WORDS <= sizes[owner]
+    g[~whole] = 2**64 - 1
+    if g.size > WINDOW:
+        low = _sliding(g, WINDOW, np.minimum)
+        pad = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
+        whole &= _sliding(pad, WINDOW, np.maximum) == g
+    k = np.flatnonzero(whole)
+    return g[k], owner[k], at[k]
+
 
+def in_chunks(texts: list[str], words: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, words of each) for runs of texts."""
+    at, held, n = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(word_hashes(t))
+        n += held[-1].size
+        if n >= words or k == len(texts) - 1:
+            yield at, np.concatenate(held), np.array([x.size for x in held], np.int64)
+            at, held, n = k + 1, [], 0
 
-_PERM = np.random.default_rng(7).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+_PERM = np.random.default_rng(7).integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -99,16 +115,22 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(h, min(SHINGLE, h.size)))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """One key for each band, from the minima of multiply-shift permutations."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, s.size, 4096):
-        x = (s[at : at + 4096, None] ^ _PERM[1]) * _PERM[0]
-        low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=0))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in low.reshape(BANDS, ROWS).T:
-        key = (key ^ r) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
+def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys from the minima of permuted shingle hashes.
+
+    h: the word hashes of texts of SHINGLE words or more each; sizes: the words of each."""
+    g = gram_hashes(h, SHINGLE)
+    ends = np.cumsum(sizes)
+    inside = np.ones(g.size, bool)
+    for j in range(1, SHINGLE):  # shingles that reach into the next text
+        inside[ends[:-1] - j] = False
+    x = (g[inside] >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], sizes.size, axis=0)
+    for k in range(BANDS * ROWS):
+        low = np.minimum.reduceat(x * _PERM[0, k] + _PERM[1, k], starts)
+        col = (key[:, k // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15)
+        key[:, k // ROWS] = col ^ (col >> np.uint64(32))
     return key.view(np.int64)
 
 
@@ -116,10 +138,6 @@ def _batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def with_uid(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.withColumn("_uid", F.xxhash64(F.col(id_col).cast("long"), F.col(text)))
-
-
 def paragraphs(units: DataFrame) -> DataFrame:
     """(uid, doc_id, line, pid, keys, shingles) of each paragraph; units: (uid, doc_id, text)."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("pid", pa.int64()), ("words", pa.string())])
@@ -146,17 +164,19 @@ def paragraphs(units: DataFrame) -> DataFrame:
 
 
 def paragraph_roots(texts: DataFrame) -> DataFrame:
-    """(node, root) over the pids of near-equal paragraphs; texts: distinct (pid, words)."""
+    """(node, root) over the pids of near-equal paragraphs; texts: distinct (pid, words, n)."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("k", pa.int64()), ("id", pa.int64())])
+        schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("x", pa.int64())])
         for b in batches:
-            keys = [band_keys(shingles(word_hashes(w.as_py()))) for w in b.column(1)]
-            ids = np.repeat(b.column(0).to_numpy(), BANDS)
-            yield _batch([np.concatenate(keys) if keys else [], ids], schema)
+            ids, rank = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for at, h, sizes in in_chunks(b.column(1).to_pylist()):
+                s = slice(at, at + sizes.size)
+                yield _batch([band_keys(h, sizes).ravel(), np.repeat(ids[s], BANDS), np.repeat(rank[s], BANDS)], schema)
 
-    keyed = texts.select("pid", "words").mapInArrow(index, "k long, id long")
-    return linked(keyed.select("k", "id", F.col("id").alias("x")), verified_pairs(texts.select(F.col("pid").alias("id"), "words")), name="paragraph")
+    # frequent paragraphs come first in a key: edited ones resemble them most
+    keyed = texts.select("pid", "words", (-F.col("n")).alias("x")).mapInArrow(index, "k long, id long, x long")
+    return linked(keyed, verified_pairs(texts.select(F.col("pid").alias("id"), "words")), name="paragraph")
 
 
 def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable[[DataFrame], DataFrame]:
@@ -165,10 +185,13 @@ def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from functools import lru_cache
+
+        kept = lru_cache(256)(lambda words: shingles(word_hashes(words)))
         for x in batches:
             ok = []
             for p, q in zip(x.column(2), x.column(3)):
-                s, t = (shingles(word_hashes(w.as_py() or "")) for w in (p, q))
+                s, t = kept(p.as_py() or ""), kept(q.as_py() or "")
                 both = np.intersect1d(s, t, assume_unique=True).size
                 ok.append(both >= similarity * (s.size + t.size - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
@@ -187,9 +210,9 @@ def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable
 def repeated_paragraphs(units: DataFrame) -> DataFrame:
     """(uid, line) of the paragraphs that go."""
     every = save(paragraphs(units), "paragraphs")
-    texts = save(every.groupBy("pid").agg(F.min("words").alias("words")), "paragraph-texts")
+    texts = save(every.groupBy("pid").agg(F.min("words").alias("words"), F.count("*").alias("n")), "paragraph-texts")
     roots = paragraph_roots(texts)
-    at = every.select("uid", "doc_id", "line", "pid").distinct()
+    at = every.select("uid", "doc_id", "line", "pid")
     at = at.join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("uid", "doc_id", "line", F.coalesce("root", "pid").alias("root"))
     firsts = at.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     out = save(at.join(firsts, "root").where("uid <> first.uid or line <> first.line").select("uid", "line"), "paragraph-removals")
@@ -203,18 +226,12 @@ def repeated_passages(units: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, uid, doc, at, none = [], [], [], [], []
-            for u, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s, k = seeds(word_hashes(t.as_py() or ""))
-                g.append(s)
-                at.append(k)
-                uid.append(np.full(k.size, u, np.int64))
-                doc.append(np.full(k.size, d or 0, np.int64))
-                none.append(np.full(k.size, d is None))
-            if g:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(uid)), pa.array(np.concatenate(doc), mask=np.concatenate(none)), pa.array(np.concatenate(at).astype(np.int32))], schema=seed_schema)
-
-    found = save(units.mapInArrow(find, "seed long, uid long, doc_id long, at int").distinct(), "seeds")
+            uid, doc = b.column(0).to_numpy(), b.column(1)
+            for first, h, sizes in in_chunks([t or "" for t in b.column(2).to_pylist()]):
+                g, owner, at = seeds(h, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
+
+    found = save(units.mapInArrow(find, "seed long, uid long, doc_id long, at int"), "seeds")
     firsts = found.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
     met = save(found.join(firsts.select("seed", "f"), "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")), "seeds-met")
     by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first")).alias("met"))
@@ -236,7 +253,7 @@ def repeated_passages(units: DataFrame) -> DataFrame:
                     s = slice(k, k + part.size)
                     yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), m.field("at")[s], m.field("is_first")[s], words], schema=view_schema)
 
-    seen = units.select("uid", "text").dropDuplicates(["uid"]).join(by_doc, "uid").select("uid", "text", "met")
+    seen = units.select("uid", "text").join(by_doc, "uid").select("uid", "text", "met")
     seen = save(seen.mapInArrow(views, "seed long, uid long, at int, is_first boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,52 +274,53 @@ def repeated_passages(units: DataFrame) -> DataFrame:
     return out
 
 
-def char_spans(text: str, lines: list[int], ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal character spans that go: whole lines, and word ranges."""
-    spans = []
-    if lines:
-        start, wanted = 0, set(lines)
-        for k, line in enumerate(text.split("\n")):
-            if k in wanted:
-                spans.append((start, min(start + len(line) + 1, len(text))))
-            start += len(line) + 1
-    if ranges:
-        at = [m.span() for m in WORD.finditer(text)]
-        spans += [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in ranges if a < len(at)]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+def line_spans(text: str, lines: list[int]) -> list[tuple[int, int]]:
+    """Character spans of whole lines with their line ends."""
+    spans, start, wanted = [], 0, set(lines)
+    for k, line in enumerate(text.split("\n")):
+        if k in wanted:
+            spans.append((start, min(start + len(line) + 1, len(text))))
+        start += len(line) + 1
+    return spans
+
 
+def word_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character spans of word ranges."""
+    at = [m.span() for m in WORD.finditer(text)]
+    return [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in ranges if a < len(at)]
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_uid, lines, ranges) of the documents that lose something."""
-    units = with_uid(docs, id_col, text).select(F.col("_uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines, ranges = repeated_paragraphs(units), repeated_passages(units)
-    both = lines.select("uid", "line", F.lit(None).cast("int").alias("w0"), F.lit(None).cast("int").alias("w1")).union(ranges.select("uid", F.lit(None).cast("int"), "w0", "w1"))
-    return both.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_lines"), F.collect_set(F.when(F.col("w0").isNotNull(), F.struct("w0", "w1"))).alias("_ranges"))
+
+def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the spans, the characters that went, and the maximal runs of them."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(b, runs[-1][1])
+        else:
+            runs.append((a, b))
+    edges = [0, *(e for r in runs for e in r), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` cut, and n_removed (characters) and n_spans added."""
-
-    @F.pandas_udf("text string, n_removed long, n_spans long")
-    def cut(t, lines, ranges):
-        import pandas as pd
-
-        out = []
-        for x, k, r in zip(t, lines, ranges):
-            if x is None or k is None:
-                out.append((x, 0, 0))
-                continue
-            spans = char_spans(x, list(k), [(s["w0"], s["w1"]) for s in r])
-            edges = [0, *(e for s in spans for e in s), len(x)]
-            out.append(("".join(x[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in spans), len(spans)))
-        return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
-
-    d = with_uid(docs, id_col, text).join(removals(docs, id_col, text), "_uid", "left")
-    d = d.withColumn("_cut", cut(F.col(text), "_lines", "_ranges"))
-    return d.select(*[F.col("_cut.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.n_spans").alias("n_spans"))
+    """``docs`` with ``text`` cut, and n_removed (characters) and n_spans added.
+
+    Paragraphs go first; passages are then sought in what is left."""
+
+    def cutter(spans_of):
+        @F.pandas_udf("text string, n_removed long, n_spans long")
+        def cut(texts: pd.Series, goes: pd.Series) -> pd.DataFrame:
+            out = [(t, 0, 0) if t is None or g is None else without(t, spans_of(t, g)) for t, g in zip(texts, goes)]
+            return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
+
+        return cut
+
+    named = docs.withColumn("_uid", F.xxhash64(F.col(id_col).cast("long"), F.col(text)))
+    units = named.select(F.col("_uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lines = repeated_paragraphs(units).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_goes"))
+    by_line = named.join(lines, "_uid", "left").withColumn("_cut", cutter(line_spans)(F.col(text), "_goes"))
+    left = save(by_line.select(*(c for c in docs.columns if c != text), "_uid", F.col("_cut.text").alias("_text"), F.col("_cut.n_removed").alias("_n"), F.col("_cut.n_spans").alias("_s")), "paragraphs-cut")
+    ranges = repeated_passages(left.select(F.col("_uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col("_text").alias("text")))
+    ranges = ranges.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("w0", "w1")).alias("_goes"))
+    by_word = left.join(ranges, "_uid", "left").withColumn("_cut", cutter(lambda t, g: word_spans(t, [(r["w0"], r["w1"]) for r in g]))(F.col("_text"), "_goes"))
+    return by_word.select(*(F.col("_cut.text").alias(c) if c == text else F.col(c) for c in docs.columns), (F.col("_n") + F.col("_cut.n_removed")).alias("n_removed"), (F.col("_s") + F.col("_cut.n_spans")).alias("n_spans"))
