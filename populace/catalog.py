@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import base
-from .queries import predicates as _predicates  # noqa: F401
-from .queries import transforms as _transforms  # noqa: F401
+from .queries import base, gates, predicates, scoring, transforms
+
+MODULES = (predicates, transforms, gates, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
