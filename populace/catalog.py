@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import base, gates, predicates, scoring, transforms
+from .queries import analysis, base, gates, predicates, scoring, texts, transforms
 
-MODULES = (predicates, transforms, gates, scoring)
+MODULES = (predicates, transforms, gates, scoring, analysis, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
