@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +97,11 @@ def pack(parts: DataFrame, capacity: int = 1024, max_docs: int | None = None, ma
     parts = save(parts, "pieces")
     shards = max(1, round(parts.count() / shard_pieces))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        where, offset = best_fit(pdf["length"].to_numpy(), capacity, max_docs, max_attention, **how)
-        return pdf.drop(columns="shard").assign(sequence_id=where + (int(key[0]) << 32), offset=offset)
+    def run(shard: pa.Table) -> pa.Table:
+        number = shard.column("shard")[0].as_py()
+        t = shard.drop_columns("shard").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        where, offset = best_fit(t.column("length").to_numpy(), capacity, max_docs, max_attention, **how)
+        return t.append_column("sequence_id", pa.array(where + (number << 32))).append_column("offset", pa.array(offset))
 
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(run, PIECES + ", sequence_id long, offset long")

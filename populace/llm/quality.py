@@ -56,7 +56,7 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(metrics: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """One row for each host: n, failed, shrunk rate, host_rejected.
+    """One row for each host: _host, n, failed, host_rate (shrunk), host_rejected.
 
     Method of moments over hosts, each weighted by its documents: mean m, and
     variance v beyond that of binomial draws; weight s = m(1-m)/v - 1, held
@@ -75,13 +75,25 @@ def host_verdicts(metrics: DataFrame, host: str = "source", host_limit: float =
     return by.select("_host", "n", "failed", rate.alias("host_rate"), (rate >= host_limit).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """``keep`` columns, the metrics, host_rate and ``kept``."""
-    cols = list(dict.fromkeys([*keep, host]))
-    m = save(base_metrics(docs.select(*dict.fromkeys([*cols, text])), text).select(*cols, *METRICS, "base_failed"), "quality")
-    v = host_verdicts(m, host, host_limit)
-    out = m.join(v.select("_host", "host_rate", "host_rejected"), F.col(host).eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).select(*keep, *METRICS, "base_failed", "host_rate", "kept")
+def judged(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """_doc (a struct of the ``keep`` columns, all by default), the metrics, host_rate and kept."""
+    held = F.struct(*(F.col(c) for c in (keep or docs.columns)))
+    m = docs.select(held.alias("_doc"), F.col(host).alias("_of"), F.col(text).alias("_t"))
+    m = save(base_metrics(m, "_t").select("_doc", "_of", *METRICS, "base_failed"), "quality")
+    v = host_verdicts(m, "_of", host_limit).select("_host", "host_rate", "host_rejected")
+    out = m.join(v, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).select("_doc", *METRICS, "base_failed", "host_rate", "kept")
+
+
+def judge(docs: DataFrame, keep: list[str], **how) -> DataFrame:
+    """``keep`` columns (those not named as a result), the metrics, host_rate and kept."""
+    results = [*METRICS, "base_failed", "host_rate", "kept"]
+    return judged(docs, keep=keep, **how).select(*(F.col("_doc")[c].alias(c) for c in keep if c not in results), *results)
+
+
+def passing(docs: DataFrame, **how) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    return judged(docs, **how).where("kept").select("_doc.*")
 
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -14,7 +14,7 @@ up to 32 words either way; equal runs of ``min_span`` words or more go.
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat both
 doc_id and text are one document. Order is by doc_id, then a hash of the text.
-An empty table gives an empty result; extra columns are kept by ``cut_documents``.
+An empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -302,25 +302,30 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
 
-def cut_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` cut, and n_removed (characters) and n_spans added.
+def _cutter(spans_of: Callable[[str, object], list[tuple[int, int]]]):
+    @F.pandas_udf("text string, n_removed long, n_spans long")
+    def cut(texts: pd.Series, goes: pd.Series) -> pd.DataFrame:
+        out = [(t, 0, 0) if t is None or g is None else without(t, spans_of(t, g)) for t, g in zip(texts, goes)]
+        return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
+
+    return cut
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc (a struct of the other columns), text (what is left), n_removed (characters), n_spans.
 
     Paragraphs go first; passages are then sought in what is left."""
+    key = F.col(id_col).cast("long")
+    named = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c != text)).alias("doc"), key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(key, F.col(text)).alias("uid"))
+    lines = repeated_paragraphs(named.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set("line").alias("goes"))
+    by_line = named.join(lines, "uid", "left").withColumn("cut", _cutter(line_spans)("text", "goes"))
+    left = save(by_line.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0")), "paragraphs-cut")
+    ranges = repeated_passages(left.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
+    by_word = left.join(ranges, "uid", "left").withColumn("cut", _cutter(lambda t, g: word_spans(t, [(r["w0"], r["w1"]) for r in g]))("text", "goes"))
+    return by_word.select("doc", "cut.text", (F.col("n0") + F.col("cut.n_removed")).alias("n_removed"), (F.col("s0") + F.col("cut.n_spans")).alias("n_spans"))
+
 
-    def cutter(spans_of):
-        @F.pandas_udf("text string, n_removed long, n_spans long")
-        def cut(texts: pd.Series, goes: pd.Series) -> pd.DataFrame:
-            out = [(t, 0, 0) if t is None or g is None else without(t, spans_of(t, g)) for t, g in zip(texts, goes)]
-            return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
-
-        return cut
-
-    named = docs.withColumn("_uid", F.xxhash64(F.col(id_col).cast("long"), F.col(text)))
-    units = named.select(F.col("_uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = repeated_paragraphs(units).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_goes"))
-    by_line = named.join(lines, "_uid", "left").withColumn("_cut", cutter(line_spans)(F.col(text), "_goes"))
-    left = save(by_line.select(*(c for c in docs.columns if c != text), "_uid", F.col("_cut.text").alias("_text"), F.col("_cut.n_removed").alias("_n"), F.col("_cut.n_spans").alias("_s")), "paragraphs-cut")
-    ranges = repeated_passages(left.select(F.col("_uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col("_text").alias("text")))
-    ranges = ranges.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("w0", "w1")).alias("_goes"))
-    by_word = left.join(ranges, "_uid", "left").withColumn("_cut", cutter(lambda t, g: word_spans(t, [(r["w0"], r["w1"]) for r in g]))(F.col("_text"), "_goes"))
-    return by_word.select(*(F.col("_cut.text").alias(c) if c == text else F.col(c) for c in docs.columns), (F.col("_n") + F.col("_cut.n_removed")).alias("n_removed"), (F.col("_s") + F.col("_cut.n_spans")).alias("n_spans"))
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` cut, and n_removed and n_spans (in place of columns of those names)."""
+    own = [c for c in docs.columns if c not in ("n_removed", "n_spans")]
+    return cut(docs, id_col, text).select(*(F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in own), "n_removed", "n_spans")

@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,15 +266,15 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
     total = kept.where(F.col("m") <= hot).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
 
-    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        uid, at = pdf["uid"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
-        c, w = shard_repeats(list(pdf["bytes"]), np.stack([doc, uid, at], 1), pdf["windows"].to_numpy(np.int64), length)
+    def sort_shard(shard: pa.Table) -> pa.Table:
+        doc = shard.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+        uid, at = shard.column("uid").to_numpy(), shard.column("at").to_numpy().astype(np.int64)
+        c, w = shard_repeats(shard.column("bytes").to_pylist(), np.stack([doc, uid, at], 1), shard.column("windows").to_numpy().astype(np.int64), length)
         u, a, z = _ranges(uid[c], at[c] + w, length)
-        return pd.DataFrame({"uid": u, "b0": a, "b1": z})
+        return pa.table({"uid": u, "b0": a, "b1": z})
 
     dealt = kept.where(F.col("m") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sorted_out = dealt.groupBy("shard").applyInPandas(sort_shard, "uid long, b0 long, b1 long")
+    sorted_out = dealt.groupBy("shard").applyInArrow(sort_shard, "uid long, b0 long, b1 long")
     single = kept.where(F.col("m") > hot).select("anchor", "doc_id", "uid", "at", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("w"))
     window = F.substring("bytes", F.col("w") + 1, F.lit(length))
     single = single.select(F.xxhash64(window).alias("h1"), F.xxhash64(window, F.lit(1)).alias("h2"), "doc_id", "uid", (F.col("at") + F.col("w")).cast("long").alias("b0"))
