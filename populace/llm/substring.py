@@ -1,16 +1,17 @@
-"""Substring dedup: near-copies of paragraphs, and repeated passages inside them.
+"""Substring dedup: repeated passages, then near-copies of paragraphs.
 
-Paragraphs (lines of ``min_paragraph`` words or more) get MinHash signatures over
-5-word shingles. With 12 bands of 4 rows, a pair of Jaccard similarity 0.8 shares
-a band with probability 0.998. Colliding paragraphs are verified by their exact
-Jaccard similarity and linked into components; the first occurrence of each
-component stays, the others go.
+Passages. 8-word seeds are chosen by winnowing (of any 24 neighbouring seeds the
+one with the least hash), so every two equal runs of 31 words share a seed. Each
+seed's later occurrences are compared word by word with its first one, up to 24
+words either way; equal runs of ``MIN_SPAN`` words or more go. No pairs of a
+group are made, however many texts share a passage. A later copy of a whole text
+of that size goes whole, and so does a paragraph that loses 0.8 of its words.
 
-A passage set into different paragraphs leaves those paragraphs unlike. So
-8-word seeds are also chosen by winnowing (of any 24 neighbouring seeds the one
-with the least hash), which makes every two equal runs of 31 words share a seed.
-Each seed's later occurrences are compared word by word with its first one,
-up to 32 words either way; equal runs of ``min_span`` words or more go.
+Paragraphs (lines of ``MIN_PARAGRAPH`` words or more) of what is left get MinHash
+signatures over 5-word shingles. With 12 bands of 4 rows, a pair of Jaccard
+similarity 0.8 shares a band with probability 0.998. Colliding paragraphs are
+verified by their exact Jaccard similarity and linked into components; the first
+occurrence of each component stays, the others go.
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat both
 doc_id and text are one document. Order is by doc_id, then a hash of the text.
@@ -27,13 +28,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .buckets import linked
 from .common import discard, save
 
 BANDS, ROWS, SHINGLE = 12, 4, 5
-SEED_WORDS, WINDOW, CONTEXT = 8, 24, 32
+SEED_WORDS, WINDOW, CONTEXT = 8, 24, 24
 MIN_PARAGRAPH, MIN_SPAN, SIMILARITY = 20, 31, 0.8
+CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -43,7 +46,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, 42)
         return h
@@ -220,8 +223,11 @@ def repeated_paragraphs(units: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_passages(units: DataFrame) -> DataFrame:
-    """(uid, w0, w1): word ranges that repeat an earlier passage."""
+def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
+    """(uid, w0, w1): word ranges that repeat an earlier passage of another text or place.
+
+    units: (uid, doc_id, text), where equal texts have equal uids; lows: the first
+    doc_id of each uid, (uid, low)."""
     seed_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +238,10 @@ def repeated_passages(units: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
 
     found = save(units.mapInArrow(find, "seed long, uid long, doc_id long, at int"), "seeds")
-    firsts = found.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    met = save(found.join(firsts.select("seed", "f"), "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")), "seeds-met")
-    by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first")).alias("met"))
+    place = F.struct("uid", "at")
+    firsts = found.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q")
+    met = found.join(firsts.select("seed", "f"), "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")).distinct()
+    by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first")).alias("met")).join(lows, "uid")
     view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("words", pa.binary())])
     wide = SEED_WORDS + 2 * CONTEXT
 
@@ -253,7 +260,7 @@ def repeated_passages(units: DataFrame) -> DataFrame:
                     s = slice(k, k + part.size)
                     yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), m.field("at")[s], m.field("is_first")[s], words], schema=view_schema)
 
-    seen = units.select("uid", "text").join(by_doc, "uid").select("uid", "text", "met")
+    seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "text", "met")
     seen = save(seen.mapInArrow(views, "seed long, uid long, at int, is_first boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +277,7 @@ def repeated_passages(units: DataFrame) -> DataFrame:
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
     later = seen.where("not is_first").select("seed", "uid", "at", "words")
     out = save(later.join(first, "seed").select("uid", "at", "words", "first_words").mapInArrow(compare, "uid long, w0 int, w1 int"), "passage-removals")
-    discard(found, met, seen)
+    discard(found, seen)
     return out
 
 
@@ -284,10 +291,23 @@ def line_spans(text: str, lines: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
-def word_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Character spans of word ranges."""
+def word_spans(text: str, ranges: list[tuple[int, int]], share: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Character spans of word ranges, and of lines that lose ``share`` of their words to them."""
     at = [m.span() for m in WORD.finditer(text)]
-    return [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in ranges if a < len(at)]
+    ranges = [(a, min(b, len(at))) for a, b in ranges if a < len(at)]
+    gone = np.zeros(len(at) + 1, np.int64)
+    for a, b in ranges:
+        gone[a] += 1
+        gone[b] -= 1
+    lost = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) > 0)])
+    starts = np.array([a for a, _ in at])
+    spans, start = [(at[a][0], at[b - 1][1]) for a, b in ranges], 0
+    for line in text.split("\n"):
+        a, b = np.searchsorted(starts, [start, start + len(line)])
+        if b - a >= MIN_PARAGRAPH and lost[b] - lost[a] >= share * (b - a):
+            spans.append((start, min(start + len(line) + 1, len(text))))
+        start += len(line) + 1
+    return spans
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -302,27 +322,38 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
 
-def _cutter(spans_of: Callable[[str, object], list[tuple[int, int]]]):
-    @F.pandas_udf("text string, n_removed long, n_spans long")
-    def cut(texts: pd.Series, goes: pd.Series) -> pd.DataFrame:
-        out = [(t, 0, 0) if t is None or g is None else without(t, spans_of(t, g)) for t, g in zip(texts, goes)]
-        return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
+@F.pandas_udf(CUT)
+def _cut_passages(texts: pd.Series, ranges: pd.Series, copies: pd.Series) -> pd.DataFrame:
+    out = []
+    for t, g, is_copy in zip(texts, ranges, copies):
+        if t and is_copy and len(t.encode().split()) >= MIN_SPAN:
+            out.append(("", len(t), 1))
+        elif t and not is_copy and g is not None:
+            out.append(without(t, word_spans(t, [(r["w0"], r["w1"]) for r in g])))
+        else:
+            out.append((t, 0, 0))
+    return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
 
-    return cut
 
+@F.pandas_udf(CUT)
+def _cut_paragraphs(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
+    out = [(t, 0, 0) if t is None or g is None else without(t, line_spans(t, g)) for t, g in zip(texts, lines)]
+    return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc (a struct of the other columns), text (what is left), n_removed (characters), n_spans.
 
-    Paragraphs go first; passages are then sought in what is left."""
+def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc (a struct of the other columns), text (what is left), n_removed (characters), n_spans."""
     key = F.col(id_col).cast("long")
-    named = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c != text)).alias("doc"), key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(key, F.col(text)).alias("uid"))
-    lines = repeated_paragraphs(named.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set("line").alias("goes"))
-    by_line = named.join(lines, "uid", "left").withColumn("cut", _cutter(line_spans)("text", "goes"))
-    left = save(by_line.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0")), "paragraphs-cut")
-    ranges = repeated_passages(left.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
-    by_word = left.join(ranges, "uid", "left").withColumn("cut", _cutter(lambda t, g: word_spans(t, [(r["w0"], r["w1"]) for r in g]))("text", "goes"))
-    return by_word.select("doc", "cut.text", (F.col("n0") + F.col("cut.n_removed")).alias("n_removed"), (F.col("s0") + F.col("cut.n_spans")).alias("n_spans"))
+    others = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c != text))
+    named = docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("uid"))
+    lows = save(named.groupBy("uid").agg(F.min(F.struct("doc_id")).alias("low")).select("uid", F.col("low.doc_id").alias("low")), "lows")
+    ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
+    known = named.join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))
+    left = known.select("doc", "doc_id", F.xxhash64("doc_id", "uid").alias("uid"), F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
+    left = save(left, "passages-cut")
+    lines = repeated_paragraphs(left.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set("line").alias("goes"))
+    by_line = left.join(lines, "uid", "left").withColumn("cut", _cut_paragraphs("text", "goes"))
+    return by_line.select("doc", "cut.text", (F.col("n0") + F.col("cut.n_removed")).alias("n_removed"), (F.col("s0") + F.col("cut.n_spans")).alias("n_spans"))
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
