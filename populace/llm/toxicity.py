@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 ORDERS = (4, 5, 6)
 BITS = 20
 #: Labelled rows of each class that the model is fitted on at most.
@@ -114,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
 def scorer(spark, model: Model):
     """A column function: score (0 to 1) of a text column."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast((model.bias, np.flatnonzero(model.weights).astype(np.int32), model.weights[model.weights != 0], model.weights.size))
 
     @F.pandas_udf("double")
