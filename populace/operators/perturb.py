@@ -1,9 +1,9 @@
 """Perturbations: seeded deletion, ratio down-sampling, channel shift and scale.
 
 Seeded choices order rows by md5 of ``seed:key`` and cut the order at an exact
-count, so they are the same on every cluster and in any engine with md5. The
-order of a category is found by a window over that category only; a fraction of
-a hot category therefore sorts that category. Ratio counts are one aggregate.
+count, so they are the same on every cluster and in any engine with md5. The cut
+is found from counts by hash prefix (65,536 a category at most): only the rows of
+the prefix that holds the cut are ranked, and no other row is moved.
 """
 
 from __future__ import annotations
@@ -24,6 +24,27 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def split_by_rank(df: DataFrame, category: Column, key: str, seed: int, ranks: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(rows up to, rows beyond) the given rank of their category in seeded order; rows
+    of other categories are in neither."""
+    row = F.struct(*(quoted(c) for c in df.columns)).alias("row")
+    d = df.select(row, category.alias("cat"), F.col(key).alias("key"), seeded_order(F.col(key), seed).alias("order"))
+    d = d.where(F.col("cat").isin(*ranks)).withColumn("prefix", F.substring("order", 1, 4))
+    found: dict[str, tuple[str, int]] = {}
+    seen = dict.fromkeys(ranks, 0)
+    for r in sorted(d.groupBy("cat", "prefix").count().collect()):
+        if r["cat"] not in found and seen[r["cat"]] + r["count"] > ranks[r["cat"]]:
+            found[r["cat"]] = r["prefix"], ranks[r["cat"]] - seen[r["cat"]]
+        seen[r["cat"]] += r["count"]
+    found |= {c: ("g", 0) for c in ranks if c not in found}  # beyond all hexadecimal prefixes
+    at, left = (F.element_at(F.create_map(*(F.lit(x) for c, v in found.items() for x in (c, v[i]))), F.col("cat")) for i in (0, 1))
+    w = Window.partitionBy("cat").orderBy("order", "key")
+    edge = d.where(F.col("prefix") == at).withColumn("rank", F.row_number().over(w))
+    low = d.where(F.col("prefix") < at).select("row.*").union(edge.where(F.col("rank") <= left).select("row.*"))
+    high = d.where(F.col("prefix") > at).select("row.*").union(edge.where(F.col("rank") > left).select("row.*"))
+    return low, high
+
+
 class Perturbation:
     """A table-to-table transform with a description; usable with DataFrame.transform."""
 
@@ -63,9 +84,8 @@ class Deplete(Perturbation):
         drop = round(n * self.fraction)
         if not drop:
             return df
-        order = Window.orderBy(seeded_order(F.col(self.key), self.seed), self.key)
-        gone = df.where(hit).select(self.key, F.row_number().over(order).alias("_rank")).where(F.col("_rank") <= drop).select(self.key)
-        return df.join(gone, self.key, "left_anti")
+        _, kept = split_by_rank(df.where(hit), F.lit("hit"), self.key, self.seed, {"hit": drop})
+        return df.where(~hit).union(kept)
 
     def parts(self) -> list[str]:
         out = ["deplete", self.column, *self.values]
@@ -96,10 +116,8 @@ class RatioShift(Perturbation):
         keep = {k: round(scale * w) for k, w in self.ratios.items() if round(scale * w) < counts.get(k, 0)}
         if not keep:
             return df
-        limit = F.element_at(F.create_map(*(F.lit(x) for kv in keep.items() for x in kv)), c)
-        order = Window.partitionBy(c).orderBy(seeded_order(F.col(self.key), self.seed), self.key)
-        gone = df.where(c.isin(*keep)).select(self.key, limit.alias("_limit"), F.row_number().over(order).alias("_rank")).where("_rank > _limit").select(self.key)
-        return df.join(gone, self.key, "left_anti")
+        kept, _ = split_by_rank(df, c, self.key, self.seed, keep)
+        return df.where(~F.coalesce(c.isin(*keep), F.lit(False))).union(kept)
 
     def parts(self) -> list[str]:
         return ["ratio_shift", self.column, *(f"{k}{v}" for k, v in self.ratios.items())] + [f"seed{self.seed}"] * (self.seed != 42)

@@ -232,3 +232,18 @@ def test_retries(spark):
 
     r = call(spark.createDataFrame([("k", "p")], "key string, prompt string"), fails, 2, 0.0).first()
     assert (r["answer"], r["attempts"], r["status"]) == (None, 2, "failed: OSError")
+
+
+def test_hull_of_batches_is_the_hull(spark):
+    p = np.random.default_rng(2).normal(size=(500, 2))
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in p] + [("b", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 1.0, 0.0)], "g string, x double, y double").repartition(5)
+    got = {r["g"]: np.array([(q["x"], q["y"]) for q in r["points"]]) for r in H.hull_points(df, ["g"], "x", "y").collect()}
+    assert math.isclose(H.area(H.hull(got["a"])), H.area(H.hull(p))) and len(got["b"]) >= 2 and len(got["c"]) == 1
+
+
+@pytest.mark.parametrize("rank", [0, 1, 17, 50, 60])
+def test_ranked_split_is_exact(spark, rank):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "row_id long, c string")
+    low, high = T.split_by_rank(df, F.col("c"), "row_id", 5, {"a": rank})
+    order = [r[0] for r in df.where("c = 'a'").orderBy(T.seeded_order(F.col("row_id"), 5)).collect()]
+    assert {r[0] for r in low.collect()} == set(order[:rank]) and {r[0] for r in high.collect()} == set(order[rank:])
