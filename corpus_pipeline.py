@@ -39,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, packed into sequences."""
-    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024), capacity=1024)
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, cache=60_000), capacity=1024)
 
 
 STAGES = [
