@@ -27,7 +27,7 @@ from .common import bounded_batches
 ORDERS = (4, 5, 6)
 BITS = 20
 #: Labelled rows of each class that the model is fitted on at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 
 
 def features(text: str | None, orders=ORDERS, bits: int = BITS) -> np.ndarray:
@@ -62,7 +62,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int = 5, rounds: int = 300, l2: float = 1e-3, keep: int = 30_000, bits: int = BITS) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int = 5, rounds: int = 300, l2: float = 1e-3, keep: int = 20_000, bits: int = BITS) -> Model:
     """Deterministic full-batch fit. prior: share of label 1 among all labelled rows."""
     size = 1 << bits
     if not len(texts) or labels.min() == labels.max():
