@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 10
         enc = encoder(vocab_path, "byte", cache)
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype("<u4")
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 for k, (s, n) in enumerate(cut(ids.size, capacity)):
                     for col, v in zip(out, (doc_id, k, s, n, zlib.crc32(ids[s : s + n]))):
                         col.append(v)

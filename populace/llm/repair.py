@@ -143,16 +143,16 @@ class Block:
         self.lengths = np.concatenate([np.ones(self.vocab, np.int64), take("<u4", r).astype(np.int64)])
         self.symbols = take("<u4" if wide else "<u2", s).astype(np.int64)
         self._starts = None
-        pool, place = [np.arange(self.vocab, dtype=np.uint32)], [np.arange(self.vocab, dtype=np.int64)]
-        known: list[np.ndarray] = []
-        full = self.vocab
-        where = np.empty(r, np.int64)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            x = np.concatenate([known[v - self.vocab] if v >= self.vocab else np.array([v], np.uint32) for v in (a, b)])
-            known.append(x)
-            where[i], full = full, full + x.size
-        self.pool = np.concatenate(pool + known)
-        self.where = np.concatenate(place + [where])
+        self.pool, self.where = np.arange(self.vocab, dtype=np.uint32), np.arange(self.vocab, dtype=np.int64)
+        done, newest = 0, self.rules.max(axis=1, initial=0).astype(np.int64)
+        while done < r:  # rules whose parts are known: a round's at once
+            later = np.flatnonzero(newest[done:] >= self.vocab + done)
+            upto = done + int(later[0]) if later.size else r
+            ids = self.expand(self.rules[done:upto].ravel().astype(np.int64))
+            n = self.lengths[self.vocab + done : self.vocab + upto]
+            self.where = np.concatenate([self.where, self.pool.size + np.cumsum(n) - n])
+            self.pool = np.concatenate([self.pool, ids])
+            done = upto
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
@@ -200,8 +200,8 @@ def write_blocks(docs: DataFrame, vocab_path: str, end_id: int = 1, block_tokens
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "block", "part_start", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.encode(t.as_py()), np.uint32(end_id))
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(end_id))
                 names.append(doc_id)
                 held.append(ids)
                 size += ids.size

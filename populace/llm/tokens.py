@@ -56,60 +56,59 @@ class PieceEncoder:
         self.parts: dict[str, bytes] = {}
         self.model, self.letters, self.find = self.t.model, byte_letters(), PRE_TOKENS[mode].findall
 
-    def _direct(self, piece: str) -> bytes | None:
-        """ids of a piece whose pre-tokens the pattern gives; None for any other piece."""
-        if self.mode == "word":
-            piece = piece.lower()
-        parts = self.find(piece)
-        if "".join(parts) != piece:
-            return None
-        known = self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    letters = p if p.isascii() and p[0] not in " \n" else p.encode().decode("latin-1").translate(self.letters)
-                    known[p] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
-            out = b"".join([known[p] for p in parts])
-            if len(known) > 2 * self.limit:
-                known.clear()
-            return out
-
     def _fill(self, pieces: set) -> None:
-        new, old, slow = self.new, self.old, []
+        """Remember the ids of pieces that aren't known yet."""
+        new, old, known, slow = self.new, self.old, self.parts, []
+        word, find, tokenize, letters = self.mode == "word", self.find, self.model.tokenize, self.letters
         for p in pieces:
-            ids = old.get(p)
-            if ids is None:
-                ids = self._direct(p.decode() if self.mode == "word" else p)
-            if ids is None:
-                slow.append(p)
-            else:
+            if (ids := old.get(p)) is not None:
                 new[p] = ids
+                continue
+            text = p.decode().lower() if word else p
+            parts = find(text)
+            if "".join(parts) != text:  # its pre-tokens aren't known
+                slow.append(p)
+                continue
+            ids = []
+            for q in parts:
+                if (i := known.get(q)) is None:
+                    shown = q if q.isascii() and q[0] not in " \n" else q.encode().decode("latin-1").translate(letters)
+                    known[q] = i = array("I", [x.id for x in tokenize(shown)]).tobytes()
+                ids.append(i)
+            new[p] = b"".join(ids)
+        if len(known) > 2 * self.limit:
+            known.clear()
         if slow:
-            texts = [p.decode() for p in slow] if self.mode == "word" else slow
+            texts = [p.decode() for p in slow] if word else slow
             for p, e in zip(slow, self.t.encode_batch_fast(texts, add_special_tokens=False)):
-                new[p] = np.array(e.ids, np.uint32).tobytes()
+                new[p] = array("I", e.ids).tobytes()
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """uint32 ids; a null text is empty."""
-        if not text:
-            return np.empty(0, np.uint32)
+    def _pieces(self, text: str) -> list | None:
         if self.mode == "word":
-            pieces = text.encode().split()
-        elif "  " in text or text[0] == " ":
-            return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *map(" ".__add__, rest)]
-        try:
-            ids = b"".join(map(self.new.__getitem__, pieces))
-        except KeyError:
-            self._fill(set(pieces).difference(self.new))
-            ids = b"".join(map(self.new.__getitem__, pieces))
+            return text.encode().split()
+        if "  " in text or text[0] == " ":
+            return None
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """uint32 ids of each text; a null text is empty."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), 100):
+            cut = [self._pieces(t) if t else [] for t in texts[at : at + 100]]
+            self._fill(set().union(*(c for c in cut if c)).difference(self.new))
+            get = self.new.__getitem__
+            for t, c in zip(texts[at : at + 100], cut):
+                if c is None:
+                    out.append(np.array(self.t.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32))
+                else:
+                    out.append(np.frombuffer(b"".join(map(get, c)), np.uint32))
             if len(self.new) > self.limit:
                 self.old, self.new = self.new, {}
-        return np.frombuffer(ids, np.uint32)
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
 
 
 _made: dict = {}
