@@ -25,10 +25,13 @@ def first_candidate(rows: DataFrame, group: Sequence[str], priority: str, valid:
 
 
 def round_robin(rows: DataFrame, order: Sequence[str], shards: int) -> DataFrame:
-    """Shard = place in the order modulo shards. The place is a global one: partition
-    sizes are counted first and added to the places inside range partitions."""
+    """Shard = place in the order modulo shards. The place is a global one: rows are
+    written in range partitions, whose sizes are added to the places inside them."""
+    from ..plans.flagship import cut_lineage
+
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written once: a second sampling of the ranges could cut them elsewhere
+    ranged = cut_lineage(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a partition
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
