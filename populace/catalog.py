@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import analysis, base, gates, predicates, scoring, texts, transforms
+from .queries import analysis, base, gates, predicates, rendering, scoring, texts, transforms
 
-MODULES = (predicates, transforms, gates, scoring, analysis, texts)
+MODULES = (predicates, transforms, gates, scoring, analysis, texts, rendering)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
