@@ -13,11 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to Python, where the session leaves Spark's default.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of 1000 at most, as texts can be long; a session
-    that sets its own number keeps it."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Texts can be long: a batch for Python holds BATCH_BYTES at most."""
+    if spark.conf.get(_BYTES).rstrip("bB") == str(64 << 20):
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -158,7 +158,7 @@ def paragraphs(units: DataFrame) -> DataFrame:
                         h = xxh64_intdigest(joined, 42)
                         for c, v in zip(cols, (uid, doc_id, k, h - (h >> 63 << 64), joined.decode())):
                             c.append(v)
-                if len(cols[0]) > 20_000:
+                if len(cols[0]) > 5_000:
                     yield _batch(cols, schema)
                     cols = [[] for _ in schema]
             yield _batch(cols, schema)
@@ -190,7 +190,7 @@ def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from functools import lru_cache
 
-        kept = lru_cache(256)(lambda words: shingles(word_hashes(words)))
+        kept = lru_cache(64)(lambda words: shingles(word_hashes(words)))
         for x in batches:
             ok = []
             for p, q in zip(x.column(2), x.column(3)):
