@@ -63,16 +63,20 @@ def _shape(df: DataFrame) -> tuple:
     return tuple(r)
 
 
+#: Edges from which a hot node would make one task long.
+SPLIT_EDGES = 2_000_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable: ``edges(a long, b long)`` -> ``(node, root)``.
 
     Alternating large-star and small-star steps. The minimum of a node's
     neighbours is a map-side combined aggregate, so a hub costs one partial row
-    for each task; it is joined back on the node, which adaptive execution
-    splits where a hub is hot. Every round is written to the shared folder.
+    for each task. It is joined back on the node; from SPLIT_EDGES edges on it is
+    written first, so that the join reads two plain shuffles, of which adaptive
+    execution splits a hot node. Every round is written to the shared folder.
     Nodes without an edge are absent from the result.
     """
-    spark = edges.sparkSession
     cur = save(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -83,20 +87,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        hold = (lambda df: save(df, "cc-low")) if before[0] >= SPLIT_EDGES else (lambda df: df)
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = hold(low)
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = save(large.distinct(), "cc")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        lower = hold(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
-            large.join(low, "a")
+            large.join(lower, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
             .distinct()
         )
         nxt = save(small, "cc")
-        discard(cur, large)
+        discard(cur, large, low, lower)
         cur, after = nxt, _shape(nxt)
         if after == before:
             break

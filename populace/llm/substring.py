@@ -238,9 +238,12 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
 
     found = save(units.mapInArrow(find, "seed long, uid long, doc_id long, at int"), "seeds")
-    place = F.struct("uid", "at")
-    firsts = found.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q")
-    met = found.join(firsts.select("seed", "f"), "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")).distinct()
+    spot = F.xxhash64("uid", "at")
+    # written, so that the joins read two plain shuffles and a hot seed can be split
+    twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
+    again = save(found.join(twice, "seed"), "seeds-again")
+    firsts = save(again.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f")), "seeds-first")
+    met = again.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")).distinct()
     by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first")).alias("met")).join(lows, "uid")
     view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("words", pa.binary())])
     wide = SEED_WORDS + 2 * CONTEXT
@@ -277,7 +280,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
     later = seen.where("not is_first").select("seed", "uid", "at", "words")
     out = save(later.join(first, "seed").select("uid", "at", "words", "first_words").mapInArrow(compare, "uid long, w0 int, w1 int"), "passage-removals")
-    discard(found, seen)
+    discard(found, twice, again, firsts, seen)
     return out
 
 

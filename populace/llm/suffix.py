@@ -260,7 +260,7 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
     firsts = save(contexts.groupBy("anchor", "ctx").agg(F.min(place).alias("f"), F.count("*").alias("n")), "contexts-first")
     whole = contexts.join(firsts.where("n > 1").select("ctx", F.col("anchor").alias("fa"), "f"), "ctx").where(F.col("anchor") == F.col("fa")).where((F.col("uid") != F.col("f.uid")) | (F.col("at") != F.col("f.at")))
     whole = whole.select("uid", F.col("at").cast("long").alias("b0"), (F.col("at").cast("long") + F.col("windows") + (length - 1)).alias("b1"))
-    mixed = firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    mixed = save(firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchors-mixed")
     kept = firsts.join(mixed, "anchor").select("anchor", "ctx", "m", "f.doc_id", "f.uid", "f.at")
     kept = save(kept.join(contexts.select("ctx", "uid", "at", "windows", "bytes"), ["ctx", "uid", "at"]).dropDuplicates(["anchor", "uid", "at"]), "contexts-kept")
     total = kept.where(F.col("m") <= hot).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
@@ -281,7 +281,7 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
     low = single.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid", "b0")).alias("f"), F.count("*").alias("n")).where("n > 1")
     by_hash = single.join(low, ["h1", "h2"]).where("uid <> f.uid or b0 <> f.b0").select("uid", "b0", (F.col("b0") + length).alias("b1"))
     out = save(whole.union(sorted_out).union(by_hash), "repeats")
-    discard(contexts, firsts, kept)
+    discard(contexts, firsts, mixed, kept)
     return out
 
 
