@@ -169,26 +169,25 @@ def joint_valleys(spark, sf):
 
 @query("D7")
 def clouds(spark, sf):
-    import numpy as np
-
     def rows(c):
-        s = np.log1p(c)
-        cuts = np.quantile(s[c > 0], np.arange(1, 9) / 9) if (c > 0).any() else np.zeros(8)
-        lev = np.where(c > 0, 1 + (s[..., None] > cuts).sum(-1), 0)
-        return [tuple(d.values()) for d in D.level_clouds(lev, c)]
+        return [(i, m.xb, m.yb, m.birth, m.death or 1, m.birth - (m.death or 1) + 1, m.alone) for i, m in enumerate(D.level_clouds(c))]
 
-    return D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "level int, cloud int, n long, event string, parts int", rows)
+    return D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "cloud int, xb int, yb int, birth int, death int, persistence int, alone long", rows)
 
 
 @query("D8")
 def watershed_stats(spark, sf):
+    """Statistics of the rows of each cloud's basin: bins are labelled, rows join them."""
+
     def rows(c):
-        lab = D.watershed(c, D.joint_peaks(c))
-        return [(int(i), int(j), int(lab[i, j])) for i, j in zip(*lab.nonzero())]
+        basin = D.watershed(c, [(m.xb, m.yb) for m in D.level_clouds(c)])
+        return [(int(i), int(j), int(basin[i, j])) for i, j in zip(*(c > 0).nonzero())]
 
-    bins = _bins(spark, sf)
-    labelled = D.on_bins(bins, ["event_type"], 48, 24, "xb int, yb int, basin int", rows)
-    return bins.join(labelled, ["event_type", "xb", "yb"]).groupBy("event_type", "basin").agg(F.sum("n").alias("n"), F.min("xb").alias("x0"), F.max("xb").alias("x1"), F.min("yb").alias("y0"), F.max("yb").alias("y1"))
+    e = ev(spark, sf)
+    labelled = D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "xb int, yb int, basin int", rows)
+    boxes = e.groupBy("event_type").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    placed = e.join(boxes, "event_type").withColumns({"xb": bin_of(F.col("x"), F.col("a"), F.col("b"), 48), "yb": bin_of(F.col("y"), F.col("c"), F.col("d"), 24)})
+    return D.basin_stats(placed.join(labelled, ["event_type", "xb", "yb"]), ["event_type", "basin"], "x", "y")
 
 
 def _labelled(spark, sf):

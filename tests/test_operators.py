@@ -161,7 +161,7 @@ def test_peaks_and_basins():
     peaks = D.joint_peaks(c)
     assert [(p[0], p[1]) for p in peaks[:2]] == [(6, 6), (21, 22)]
     lab = D.watershed(c, peaks)
-    assert lab[6, 6] == 1 and lab[21, 22] == 2 and (lab[c == 0] == 0).all()
+    assert lab[6, 6] == 1 and lab[21, 22] == 2 and set(np.unique(lab)) == set(range(1, len(peaks) + 1))
     assert len(D.spanning_valleys(c, peaks)) == len(peaks) - 1
 
 
@@ -247,3 +247,17 @@ def test_ranked_split_is_exact(spark, rank):
     low, high = T.split_by_rank(df, F.col("c"), "row_id", 5, {"a": rank})
     order = [r[0] for r in df.where("c = 'a'").orderBy(T.seeded_order(F.col("row_id"), 5)).collect()]
     assert {r[0] for r in low.collect()} == set(order[:rank]) and {r[0] for r in high.collect()} == set(order[rank:])
+
+
+def test_clouds_are_born_merge_and_end():
+    c = np.zeros((30, 20))
+    c[3:8, 3:8] = 20
+    c[5, 5] = 60
+    c[18:23, 10:15] = 15
+    c[20, 12] = 50
+    c[28, 18] = 3
+    found = D.level_clouds(c)
+    assert [(m.xb, m.yb) for m in found] == [(5, 5), (20, 12)] and all(m.birth == 9 for m in found)
+    basin = D.watershed(c, [(m.xb, m.yb) for m in found])
+    assert (basin[3:8, 3:8] == 1).all() and (basin[18:23, 10:15] == 2).all() and (basin > 0).all()
+    assert D.level_clouds(np.zeros((4, 4))) == [] and (D.watershed(c, []) == 0).all()
