@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Pre-tokens in each generation of a worker's cache, and their largest size in characters.
 CACHE, CACHED_CHARS = 400_000, 48
@@ -150,4 +150,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(tidy(run), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +26,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give free memory of a Python worker back: workers outlive their tasks, and the
+    next stage shares the executor with them."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run, after=lambda: None):
+    """``run`` (batches -> batches), trimming when a partition is done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            after()
+            trim()
+
+    return tidied
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, save
-from .tokens import CACHE, encoder
+from .common import bounded_batches, save, tidy
+from .tokens import PieceEncoder, encoder
 
 SHARD_PIECES = 16384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,11 +36,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
-    """Rows of PIECES. cache: words that a worker remembers the ids of."""
+def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text", cache: int | None = None) -> DataFrame:
+    """Rows of PIECES. cache: words whose ids a task remembers; by default a worker
+    remembers CACHE words from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab_path, "byte", cache)
+        enc = PieceEncoder(vocab_path, "byte", cache) if cache else encoder(vocab_path, "byte")
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: float, weights=(1.0, 0.02, 0.02), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

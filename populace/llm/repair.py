@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import save, tidy
 from .tokens import encoder
 
 MAGIC = b"RPG1"
@@ -211,7 +211,7 @@ def write_blocks(docs: DataFrame, vocab_path: str, end_id: int = 1, block_tokens
             yield flush()
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return save(dealt.mapInArrow(run, BLOCKS), "grammar")
+    return save(dealt.mapInArrow(tidy(run), BLOCKS), "grammar")
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
@@ -232,4 +232,4 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(bounds[:-1] + start, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import linked
-from .common import discard, save
+from .common import discard, save, tidy
 
 
 #: For near-copies by similarity: 4 segments hold every pair of up to 7 differing
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text:
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:

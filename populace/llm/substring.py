@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import linked
-from .common import discard, save
+from .common import discard, save, tidy
 
 BANDS, ROWS, SHINGLE = 12, 4, 5
 SEED_WORDS, WINDOW, CONTEXT = 8, 24, 24
@@ -55,6 +55,10 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode().lower().split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -163,7 +167,7 @@ def paragraphs(units: DataFrame) -> DataFrame:
                     cols = [[] for _ in schema]
             yield _batch(cols, schema)
 
-    return units.mapInArrow(run, "uid long, doc_id long, line int, pid long, words string")
+    return units.mapInArrow(tidy(run, forget), "uid long, doc_id long, line int, pid long, words string")
 
 
 def paragraph_roots(texts: DataFrame) -> DataFrame:
@@ -178,7 +182,7 @@ def paragraph_roots(texts: DataFrame) -> DataFrame:
                 yield _batch([band_keys(h, sizes).ravel(), np.repeat(ids[s], BANDS), np.repeat(rank[s], BANDS)], schema)
 
     # frequent paragraphs come first in a key: edited ones resemble them most
-    keyed = texts.select("pid", "words", (-F.col("n")).alias("x")).mapInArrow(index, "k long, id long, x long")
+    keyed = texts.select("pid", "words", (-F.col("n")).alias("x")).mapInArrow(tidy(index, forget), "k long, id long, x long")
     return linked(keyed, verified_pairs(texts.select(F.col("pid").alias("id"), "words")), name="paragraph")
 
 
@@ -203,7 +207,7 @@ def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         held = save(texts.join(wanted, "id", "left_semi"), "verify-texts")
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        out = save(both.select("a", "b", "wa", "wb").mapInArrow(score, "a long, b long"), "verify-links")
+        out = save(both.select("a", "b", "wa", "wb").mapInArrow(tidy(score, forget), "a long, b long"), "verify-links")
         discard(held)
         return out
 
@@ -237,7 +241,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                 g, owner, at = seeds(h, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
 
-    found = save(units.mapInArrow(find, "seed long, uid long, doc_id long, at int"), "seeds")
+    found = save(units.mapInArrow(tidy(find, forget), "seed long, uid long, doc_id long, at int"), "seeds")
     spot = F.xxhash64("uid", "at")
     # written, so that the joins read two plain shuffles and a hot seed can be split
     twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
@@ -264,7 +268,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), m.field("at")[s], m.field("is_first")[s], words], schema=view_schema)
 
     seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "text", "met")
-    seen = save(seen.mapInArrow(views, "seed long, uid long, at int, is_first boolean, words binary"), "seeds-seen")
+    seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, at int, is_first boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("uid", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32())])
@@ -279,7 +283,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
 
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
     later = seen.where("not is_first").select("seed", "uid", "at", "words")
-    out = save(later.join(first, "seed").select("uid", "at", "words", "first_words").mapInArrow(compare, "uid long, w0 int, w1 int"), "passage-removals")
+    out = save(later.join(first, "seed").select("uid", "at", "words", "first_words").mapInArrow(tidy(compare, forget), "uid long, w0 int, w1 int"), "passage-removals")
     discard(found, twice, again, firsts, seen)
     return out
 

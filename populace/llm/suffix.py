@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, save, tidy
 
 GRAM = 32
 SHARD_BYTES = 3 << 20
@@ -213,7 +213,7 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
                 n = [f[1].size for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[1] for f in found]).view(np.int64)), pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n)), pa.array(np.concatenate([f[3] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[4] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[2] - f[3] for f in found]).astype(np.int32))], ["anchor", "uid", "at", "windows", "lead"])
 
-    found = save(units.select("uid", "text").mapInArrow(find, "anchor long, uid long, at int, windows int, lead int"), "anchors")
+    found = save(units.select("uid", "text").mapInArrow(tidy(find), "anchor long, uid long, at int, windows int, lead int"), "anchors")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose anchor the row before or after has too. A partition's first and
@@ -239,7 +239,7 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
             yield held
 
     ranged = found.repartitionByRange(n_parts, "anchor", "uid").sortWithinPartitions("anchor", "uid")
-    shared = save(ranged.mapInArrow(met, found.schema), "anchors-met")
+    shared = save(ranged.mapInArrow(tidy(met), found.schema), "anchors-met")
     by_unit = shared.groupBy("uid").agg(F.collect_list(F.struct("anchor", "at", "windows", "lead")).alias("met"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
                     key = [int.from_bytes(hashlib.blake2b(c, digest_size=8, salt=int(a).to_bytes(8, "little", signed=True), person=int(z).to_bytes(4, "little")).digest(), "little", signed=True) for c, a, z in zip(ctx, m.field("anchor")[part].to_pylist(), m.field("lead")[part].to_pylist())]
                     yield pa.RecordBatch.from_arrays([m.field("anchor")[part], pa.array(key, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(np.full(n, u, np.int64)), m.field("at")[part], m.field("windows")[part], pa.array(ctx, pa.binary())], ["anchor", "ctx", "doc_id", "uid", "at", "windows", "bytes"])
 
-    contexts = save(units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(cut, "anchor long, ctx long, doc_id long, uid long, at int, windows int, bytes binary"), "contexts")
+    contexts = save(units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(tidy(cut), "anchor long, ctx long, doc_id long, uid long, at int, windows int, bytes binary"), "contexts")
     discard(found, shared)
     place = F.struct("doc_id", "uid", "at")
     firsts = save(contexts.groupBy("anchor", "ctx").agg(F.min(place).alias("f"), F.count("*").alias("n")), "contexts-first")
@@ -323,4 +323,4 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str
 
     ranked = named.join(folded.select("uid", "low"), "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
     out = ranked.join(spans, "uid", "left").select("doc_id", "text", "first", "spans")
-    return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return out.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)

@@ -114,9 +114,9 @@ class PieceEncoder:
 _made: dict = {}
 
 
-def encoder(path: str, mode: str, cache: int = CACHE) -> PieceEncoder:
-    """One encoder for each worker process, file and cache size."""
-    key = path, mode, cache
+def encoder(path: str, mode: str) -> PieceEncoder:
+    """One encoder for each worker process and file."""
+    key = path, mode
     if key not in _made:
-        _made[key] = PieceEncoder(path, mode, cache)
+        _made[key] = PieceEncoder(path, mode)
     return _made[key]

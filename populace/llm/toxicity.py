@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trim
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -125,8 +125,11 @@ def scorer(spark, model: Model):
         weights = np.zeros(size, np.float32)
         weights[at] = w
         m = Model(bias, weights)
-        for texts in batches:
-            yield texts.map(m.score, na_action=None).astype("float64")
+        try:
+            for texts in batches:
+                yield texts.map(m.score, na_action=None).astype("float64")
+        finally:
+            trim()
 
     return lambda column: score(column)
 

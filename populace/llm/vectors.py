@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, save
+from .common import components, discard, save, tidy
 
 PIVOTS_MAX, PREFIX, SHARED, BLOCK = 1024, 8, 2, 2000
 
@@ -109,7 +109,7 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
                 near = nearest_pivots(x, held.value, prefix).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(near)), pa.array([r.tobytes() for r in x], pa.binary())], ["cid", "n", "near", "x"])
 
-    described = save(reps.select("cid", "v", "n").mapInArrow(describe, "cid long, n long, near array<int>, x binary"), "vectors-described")
+    described = save(reps.select("cid", "v", "n").mapInArrow(tidy(describe), "cid long, n long, near array<int>, x binary"), "vectors-described")
     lists = described.select("cid", "n", "near", "x", F.explode("near").alias("pivot"))
     # a row for each pivot, so PIVOTS_MAX at most
     sizes = {r["pivot"]: r["count"] for r in described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}
