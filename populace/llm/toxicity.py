@@ -14,6 +14,7 @@ Repeated rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ ORDERS = (4, 5, 6)
 BITS = 20
 #: Labelled rows of each class that the model is fitted on at most.
 PER_CLASS = 2000
+#: Characters of the sample's texts together.
+MAX_CHARS = 40_000_000
 
 
 def features(text: str | None, orders=ORDERS, bits: int = BITS) -> np.ndarray:
@@ -62,7 +65,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int = 5, rounds: int = 300, l2: float = 1e-3, keep: int = 20_000, bits: int = BITS) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int = 5, rounds: int = 300, l2: float = 1e-3, keep: int = 20_000, least: float = 12.0, bits: int = BITS) -> Model:
     """Deterministic full-batch fit. prior: share of label 1 among all labelled rows."""
     size = 1 << bits
     if not len(texts) or labels.min() == labels.max():
@@ -75,9 +78,13 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int
     neg, pos = counts
     n1, n0 = y.sum(), (1 - y).sum()
     ratio = np.log((pos + 1) / (n1 + 2)) - np.log((neg + 1) / (n0 + 2))
-    # features of too few texts say nothing; of the rest the ones with most evidence stay
-    evidence = np.abs(ratio) * np.sqrt(pos + neg)
-    evidence[pos + neg < min_docs] = 0
+    # likelihood-ratio statistic of each feature against the label's share; features of
+    # too few texts or without enough evidence would only fit noise
+    n = pos + neg
+    share = n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * (np.where(pos > 0, pos * np.log(pos / (n * share)), 0) + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0))
+    evidence[(n < min_docs) | (evidence < least)] = 0
     chosen = np.argsort(-evidence, kind="stable")[:keep]
     chosen = chosen[evidence[chosen] > 0]
     place = np.full(size, -1)
@@ -102,14 +109,24 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int
     return Model(b, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Fit on at most 2 * per_class labelled rows; the label's share is of all of them."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on whole texts of at most 2 * per_class labelled rows, max_chars in all; the
+    label's share is of all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y")).where("_id is not null")
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     order = F.xxhash64("_id"), F.col("_id")
     sample = known.where("_y = 1").orderBy(*order).limit(per_class).union(known.where("_y = 0").orderBy(*order).limit(per_class))
     # the sample's size is bounded by a parameter, so it can be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
+    sized = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max(F.length("_t")).alias("n")).collect()
+    left, chosen = max_chars, []
+    for r in sorted(sized, key=lambda r: zlib.crc32(str(r["_id"]).encode())):
+        left -= r["n"] or 0
+        if left < 0 and chosen:
+            break
+        chosen.append((r["_id"], r["_y"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, sample.schema)
+    rows = texts.join(F.broadcast(wanted), "_id").dropDuplicates(["_id"]).collect()
     rows.sort(key=lambda r: r["_id"])
     return fit([r["_t"] for r in rows], np.array([r["_y"] for r in rows], np.int64), float(np.clip(ones / n, 1e-6, 1 - 1e-6)) if n else 0.0)
 
