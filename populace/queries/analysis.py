@@ -27,13 +27,13 @@ def representatives(spark, sf):
 
 
 @query("W2 W3", """WITH p AS (SELECT user_id % 13 AS g, avg(x) AS x, avg(y) AS y FROM ev GROUP BY 1), b AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p)
-SELECT g, row_number() OVER (ORDER BY round((x - a) / (b - a) - (y - c) / (d - c), 9), round((x - a) / (b - a), 9), round(-(y - c) / (d - c), 9)) - 1 AS slot FROM p, b""")
+SELECT g, row_number() OVER (ORDER BY round((x - a) / (b - a) - (y - c) / (d - c), 9), round((x - a) / (b - a), 9), round(-(y - c) / (d - c), 9))::INT - 1 AS slot FROM p, b""")
 def slot_order(spark, sf):
     p = ev(spark, sf).groupBy((F.col("user_id") % 13).alias("g")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return W.slot_order(p, "x", "y").select("g", "slot")
 
 
-@query("W3", "SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS id, n FROM (SELECT event_type, count(*) AS n FROM ev GROUP BY 1)")
+@query("W3", "SELECT event_type, dense_rank() OVER (ORDER BY event_type)::INT - 1 AS id, n FROM (SELECT event_type, count(*) AS n FROM ev GROUP BY 1)")
 def dense_ids(spark, sf):
     return W.dense_ids(ev(spark, sf).select("event_type"), "event_type").groupBy("event_type", "id").agg(F.count("*").alias("n"))
 
@@ -45,7 +45,7 @@ def cell_sentence(spark, sf):
     return m.select("event_type", W.sentence([(c, F.col(c)) for c in ("x", "y", "value")]).alias("sentence"))
 
 
-@query("A19", "SELECT marker, round(v, 4) AS variance, row_number() OVER (ORDER BY v DESC, marker) AS rank FROM (SELECT 'l_discount' AS marker, var_pop(l_discount) AS v FROM cells UNION ALL SELECT 'l_tax', var_pop(l_tax) FROM cells UNION ALL SELECT 'y', var_pop(y) FROM cells)")
+@query("A19", "SELECT marker, round(v, 4) AS variance, row_number() OVER (ORDER BY v DESC, marker)::INT AS rank FROM (SELECT 'l_discount' AS marker, var_pop(l_discount) AS v FROM cells UNION ALL SELECT 'l_tax', var_pop(l_tax) FROM cells UNION ALL SELECT 'y', var_pop(y) FROM cells)")
 def hvp_rank(spark, sf):
     return W.variance_rank(cells(spark, sf), ["x", "y", "l_discount", "l_tax"], skip=["x"]).withColumn("variance", F.round("variance", 4))
 

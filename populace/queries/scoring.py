@@ -263,7 +263,7 @@ def shard_summary(spark, sf):
     return ev(spark, sf).groupBy((F.col("user_id") % 5).alias("shard")).agg(F.count("*").alias("n_groups"), F.sum(F.length("event_type")).alias("n_chars"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("categories"))
 
 
-@query("A28", "SELECT event_type AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS ord FROM ev GROUP BY 1")
+@query("A28", "SELECT event_type AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type)::INT AS ord FROM ev GROUP BY 1")
 def frequent_labels(spark, sf):
     from pyspark.sql import Window
 

@@ -123,7 +123,7 @@ def csv_round_trip(spark, sf):
     return S.csv_round_trip(n)
 
 
-@query("K3 K8 K9 S16", "SELECT user_id % 5 AS slot, count(*) AS n FROM ev GROUP BY 1")
+@query("K3 K8 K9 S16", "SELECT (user_id % 5)::INT AS slot, count(*) AS n FROM ev GROUP BY 1")
 def cluster_map_round_trip(spark, sf):
     m = ev(spark, sf).select("event_id", (F.col("user_id") % 5).alias("slot"))
     return S.round_trip(m, ["slot"]).groupBy("slot").agg(F.count("*").alias("n"))

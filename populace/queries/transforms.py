@@ -66,7 +66,7 @@ TASKS = [
 
 
 @query("T8 T9 T10 S9", """SELECT * FROM (VALUES
-  ('d1', 1.0, 'd1', 'deplete-event_type-click'), ('d1', 0.5, 'd1_frac50', 'deplete-event_type-click-frac50'),
+  ('d1', 1.0::DOUBLE, 'd1', 'deplete-event_type-click'), ('d1', 0.5, 'd1_frac50', 'deplete-event_type-click-frac50'),
   ('s1', 0.5, 's1_scale50', 'channel_scale-xx1.3-yx0.9'), ('s2', 1.0, 's2', 'channel_scale-p1x2-p2x2')) AS t(hard_id, magnitude, name, slug)""")
 def hard_tasks(spark, sf):
     reg = T.registry(TASKS, ("rare", "drift"))
