@@ -35,10 +35,11 @@ def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = N
     tried = check(rows.select(F.explode("met").alias("o"), "id").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
     first = components(tried)
     held = rows.where("large").select("k", "id", "x").join(first.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "x", F.coalesce("root", "id").alias("c"))
-    held = save(held, f"{name}-held")
-    sizes = held.groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"))
-    sizes = save(sizes.where("m > 1").select("k", "main"), f"{name}-mixed")
-    mixed = held.join(sizes, "k")
+    # one exchange by key serves both windows
+    by_key, by_part = Window.partitionBy("k"), Window.partitionBy("k", "c")
+    held = held.repartition("k").withColumn("n", F.count("*").over(by_part))
+    held = held.select("k", "id", "x", "c", F.max_by("c", F.struct("n", "c")).over(by_key).alias("main"), F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"))
+    mixed = save(held.where("lo <> hi").drop("lo", "hi"), f"{name}-mixed")
     # of two components in a key, one isn't the key's largest
     p = mixed.where("c <> main").select("k", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("x").alias("xa"))
     q = mixed.select(F.col("k").alias("kb"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("x").alias("xb"))
@@ -54,5 +55,5 @@ def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = N
     out = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
     lone = second.join(first.select("node"), "node", "left_anti").select("node", "root")
     out = save(out.union(lone), f"{name}-roots")
-    discard(rows, held, sizes, across, first, second)
+    discard(rows, mixed, across, first, second)
     return out

@@ -55,15 +55,16 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > h.size, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
+    """The other columns of ``docs`` (longs), and fp: the fingerprint's bits as a signed long."""
+    keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(len(keep))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp, pa.int64())], [*keep, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(*keep, text).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*keep, "fp"]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -90,7 +91,7 @@ def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
 
 def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for every document."""
-    each = save(fingerprints(docs, width, id_col, text), "simhash")
+    each = save(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), width), "simhash")
     reps = save(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-reps")
     roots = fingerprint_components(reps.select("fp"), distance)
     named = save(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
@@ -110,14 +111,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     """
     from .substring import verified_pairs
 
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
-    texts = each.groupBy("uid").agg(F.min("doc_id").alias("low"))
-    distinct = each.join(texts, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "text")
-    fps = save(fingerprints(distinct, width, "uid", "text").distinct(), "near-fps")
-    index = fps.where("fp <> 0").select(F.explode(variant_keys(F.col("fp"), INDEX_BITS)).alias("k"), F.col("doc_id").alias("id"), F.col("fp").alias("x"))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
+    each = save(fingerprints(whole, width), "near-fps")
+    texts = save(each.groupBy("uid", "fp").agg(F.min("doc_id").alias("low")), "near-texts")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """The texts of some uids, each from its first document: the one place where texts move."""
+        first = wanted.join(texts.select(F.col("uid").alias("id"), "low"), "id")
+        found = whole.join(first, F.col("uid") == F.col("id")).where(F.col("doc_id").eqNullSafe(F.col("low")))
+        return found.select("id", F.col("text").alias("words"))
+
+    index = texts.where("fp <> 0").select(F.explode(variant_keys(F.col("fp"), INDEX_BITS)).alias("k"), F.col("uid").alias("id"), F.col("fp").alias("x"))
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= CANDIDATE_BITS
-    roots = linked(index, verified_pairs(distinct.select(F.col("uid").alias("id"), F.col("text").alias("words")), similarity), near, 8, "near")
+    roots = linked(index, verified_pairs(fetch, similarity), near, 8, "near")
     named = save(texts.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", F.coalesce("root", "uid").alias("root")), "near-named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    discard(fps, roots)
+    discard(texts, roots)
     return each.select("doc_id", "uid").join(named.join(least, "root").select("uid", "component_id"), "uid").select("doc_id", "component_id")

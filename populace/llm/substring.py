@@ -183,12 +183,13 @@ def paragraph_roots(texts: DataFrame) -> DataFrame:
 
     # frequent paragraphs come first in a key: edited ones resemble them most
     keyed = texts.select("pid", "words", (-F.col("n")).alias("x")).mapInArrow(tidy(index, forget), "k long, id long, x long")
-    return linked(keyed, verified_pairs(texts.select(F.col("pid").alias("id"), "words")), name="paragraph")
+    named = texts.select(F.col("pid").alias("id"), "words")
+    return linked(keyed, verified_pairs(lambda wanted: named.join(wanted, "id", "left_semi")), name="paragraph")
 
 
-def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable[[DataFrame], DataFrame]:
+def verified_pairs(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> Callable[[DataFrame], DataFrame]:
     """Keeps pairs (a, b) whose exact Jaccard similarity over shingles reaches
-    ``similarity``. texts: (id, words), of which only those in a pair are moved on."""
+    ``similarity``. fetch: the (id, words) of wanted ids, so only texts of a pair move."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def verified_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> Callable
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = save(texts.join(wanted, "id", "left_semi"), "verify-texts")
+        held = save(fetch(wanted), "verify-texts")
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
         out = save(both.select("a", "b", "wa", "wb").mapInArrow(tidy(score, forget), "a long, b long"), "verify-links")
         discard(held)
