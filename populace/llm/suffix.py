@@ -288,12 +288,11 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
 def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", keep_bytes: bool = False, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; the bytes kept too if asked for."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-    folded = base.groupBy("sha").agg(F.min(F.struct("doc_id")).alias("low"))
+    named = base.withColumn("uid", F.xxhash64("text"))
     # the first of equal texts stands for all
-    folded = save(folded.select(F.xxhash64("sha").alias("uid"), "low.doc_id").withColumnRenamed("doc_id", "low"), "texts")
-    named = base.withColumn("uid", F.xxhash64("sha"))
-    firsts = named.join(folded.select("uid", "low"), "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
+    folded = named.groupBy("uid").agg(F.min(F.struct("doc_id")).alias("low"))
+    folded = save(folded.select("uid", "low.doc_id").withColumnRenamed("doc_id", "low"), "texts")
+    firsts = named.join(folded, "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
     found = repeats(firsts.select("uid", "doc_id", "text"), length, **how)
     spans = save(found.groupBy("uid").agg(F.collect_list(F.struct("b0", "b1")).alias("spans")), "repeat-spans")
 
@@ -321,6 +320,6 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)][: 5 + keep_bytes], names[: 5 + keep_bytes])
 
-    ranked = named.join(folded.select("uid", "low"), "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
+    ranked = named.join(folded, "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
     out = ranked.join(spans, "uid", "left").select("doc_id", "text", "first", "spans")
     return out.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
