@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed value: the label of rows without one
 UNASSIGNED = "Unassigned"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import UNASSIGNED
 
+# fixed value: the label of a missing prediction
 NOISE = "__noise__"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import UNASSIGNED
 
+# fixed value: the leaf of rows that reach none
 DISCARD = "Discard"
 
 

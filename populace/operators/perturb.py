@@ -218,6 +218,7 @@ def parse_specs(specs: Sequence[str], name: str | None = None, **how) -> tuple[s
     return name or p.slug, p
 
 
+# fixed value: the registry name that stands for every protein marker
 ALL_PROTEINS = "__all_protein_markers__"
 
 
