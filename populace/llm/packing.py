@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(tidy(run), PIECES)
+    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(tidy(run) if cache else run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: float, weights=(1.0, 0.02, 0.02), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
