@@ -1,7 +1,11 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by its ``prefix`` nearest pivots, nearest first. Pivots
-are vectors of a bounded sample (all vectors are indexed). A vector enters the
+are vectors of a bounded sample (all vectors are indexed), each less than APART
+alike to those before it: a dense group holds few pivots, which all its members
+have in common, and the other pivots of their prefixes tell them apart as little as
+the links need. Where few vectors are that far apart, few pivots are left, lists
+grow, and at ``prefix`` pivots or fewer all pairs are compared. A vector enters the
 inverted list of each pivot of its prefix; in a list, pairs that share at least
 ``shared`` pivots are candidates, and a candidate is a link if its cosine in
 double precision reaches ``limit``. A pair is counted only in the list of its
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, save, tidy
 
 PIVOTS_MAX, PREFIX, SHARED, BLOCK = 1024, 8, 2, 2000
+#: Cosine that two pivots stay under, and vectors drawn for each pivot wanted.
+APART, DRAWN = 0.5, 4
 
 
 def pivot_count(n: int) -> int:
@@ -43,6 +49,17 @@ def unit(rows: list, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def apart(x: np.ndarray, most: int) -> np.ndarray:
+    """The first rows of x that are less than APART alike to each one taken before."""
+    kept = np.empty((most, x.shape[1]))
+    n = 0
+    for r in x:
+        if n < most and not (kept[:n] @ r >= APART).any():
+            kept[n] = r
+            n += 1
+    return kept[:n]
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first."""
     near = -(x @ pivots.T)
@@ -51,15 +68,19 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
 
-def match(pivot: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, pivots: int, limit: float, shared: int, same: bool) -> np.ndarray:
+def match(pivot: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, limit: float, shared: int, same: bool) -> np.ndarray:
     """Links between the rows of x and y that this pivot's list is to count."""
+    used = np.intersect1d(px, py)
+    lower = int(np.searchsorted(used, pivot))
+
     def sets(p):
-        m = np.zeros((len(p), pivots), np.float32)
-        np.put_along_axis(m, p, 1, 1)
-        return m
+        m = np.zeros((len(p), used.size + 1), np.float32)
+        at = np.searchsorted(used, p)
+        np.put_along_axis(m, np.where(np.append(used, -1)[at] == p, at, used.size), 1, 1)
+        return m[:, :-1]
 
     a, b = sets(px), sets(py)
-    cand = (a @ b.T >= shared) & (a[:, :pivot] @ b[:, :pivot].T == 0)
+    cand = (a @ b.T >= shared) & (a[:, :lower] @ b[:, :lower].T == 0)
     if same:
         cand &= np.tri(len(x), k=-1, dtype=bool)
     at = np.flatnonzero(cand.any(axis=1))
@@ -99,8 +120,10 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
     reps = v.where("good").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     reps = save(reps.select(F.xxhash64("v").alias("cid"), "v", "low", "n"), "vectors")
     total = reps.count()
-    pivots = unit([r["v"] for r in reps.orderBy(F.xxhash64("cid"), "cid").limit(pivot_count(total)).collect()], dim)
+    drawn = reps.orderBy(F.xxhash64("cid"), "cid").limit(DRAWN * pivot_count(total)).select("v").collect()
+    pivots = apart(unit([r["v"] for r in drawn], dim), pivot_count(total))
     held, p = spark.sparkContext.broadcast(pivots), len(pivots)
+    shared = min(shared, p)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +148,7 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
         near = np.stack(pdf["near"].to_numpy())
         ids, n, own = pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
         s, t = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        links = match(pivot, x[s], near[s], x[t], near[t], p, limit, shared, i == j)
+        links = match(pivot, x[s], near[s], x[t], near[t], limit, shared, i == j)
         count = np.zeros(len(pdf), np.int64)
         np.add.at(count, s, links @ n[t])
         np.add.at(count, t, n[s] @ links)

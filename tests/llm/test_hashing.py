@@ -170,6 +170,26 @@ def test_op4_recall_on_the_given_vectors(spark, sf):
     assert true > 300 and got.agg(F.sum("n_links")).first()[0] >= 0.9 * true
 
 
+@pytest.mark.parametrize("spread", [0.2, 0.3, 0.36])
+def test_op4_recall_with_a_dense_group(spark, spread):
+    """A third of all vectors in one group of unequal near copies."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    x = np.concatenate([rng.normal(size=(4000, 64)), centre + spread * rng.normal(size=(2000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.link(df).toPandas().set_index("vec_id")["n_links"].sort_index()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    assert true.sum() > 5000 and got.sum() >= 0.9 * true.sum() and (got.to_numpy() <= true).all()
+
+
+def test_op4_all_in_one_group(spark):
+    x = np.random.default_rng(5).normal(size=16) + 0.1 * np.random.default_rng(6).normal(size=(200, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = vectors.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] == (u @ u.T >= 0.9).sum() - 200
+
+
 def test_op4_empty(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
