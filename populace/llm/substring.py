@@ -141,6 +141,17 @@ def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_bands(texts: list[str | None]) -> pa.Array:
+    """The band keys of each text, none for one of fewer than SHINGLE words."""
+    keys, ok = [np.empty(0, np.int64)], [np.zeros(1, bool)]
+    for _, h, sizes in in_chunks([t or "" for t in texts]):
+        ok.append(sizes >= SHINGLE)
+        if ok[-1].any():
+            keys.append(band_keys(h[np.repeat(ok[-1], sizes)], sizes[ok[-1]]).ravel())
+    ends = np.cumsum(np.concatenate(ok) * BANDS).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+
+
 def _batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

@@ -129,6 +129,23 @@ def test_near_copies_by_similarity(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(3))
 
 
+def test_near_copies_finds_all_pairs_at_the_limit(spark):
+    """Against all pairs: of texts at 0.8 to 0.9, next to none is missed."""
+    rng = random.Random(12)
+    rows, alike = [(-1, None), (-2, "two words"), (-3, "Two  words")], set()
+    for k in range(400):
+        base = [f"b{k}x{rng.randrange(10**6)}" for _ in range(rng.choice((80, 200, 500)))]
+        copy = edited(base, rng, round(len(base) * rng.uniform(0.01, 0.025))).split()
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        if len(s & t) >= 0.8 * len(s | t):
+            alike.add(k)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    linked = {k for k in range(400) if got[2 * k + 1] == 2 * k}
+    assert len(alike) > 150 and linked <= alike and len(linked) >= 0.99 * len(alike)
+    assert got[-1] == -1 and got[-2] == -3
+
+
 def brute_vectors(rows):
     ids = [i for i, _ in rows]
     ok = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
