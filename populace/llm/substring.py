@@ -3,9 +3,12 @@
 Passages. 8-word seeds are chosen by winnowing (of any 24 neighbouring seeds the
 one with the least hash), so every two equal runs of 31 words share a seed. Each
 seed's later occurrences are compared word by word with its first one, up to 24
-words either way; equal runs of ``MIN_SPAN`` words or more go. No pairs of a
-group are made, however many texts share a passage. A later copy of a whole text
-of that size goes whole, and so does a paragraph that loses 0.8 of its words.
+words either way; equal runs of ``MIN_SPAN`` words or more go. Where a seed occurs
+more than twice, later occurrences can repeat each other and not the first one: the
+31-word windows around them that the first one lacks are grouped by a 64-bit hash,
+and all but the earliest of a group go. No pairs of a group are made, however many
+texts share a passage. A later copy of a whole text of that size goes whole, and so
+does a paragraph that loses 0.8 of its words.
 
 Paragraphs (lines of ``MIN_PARAGRAPH`` words or more) of what is left get MinHash
 signatures over 5-word shingles. With 12 bands of 4 rows, a pair of Jaccard
@@ -239,6 +242,22 @@ def repeated_paragraphs(units: DataFrame) -> DataFrame:
     return out
 
 
+def other_windows(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of the windows of MIN_SPAN words around the seeds of views
+    that reach beyond the equal words, ``left`` before and ``right`` after the seed."""
+    g = np.zeros((len(words), words.shape[1] - MIN_SPAN + 1), np.uint64)
+    for j in range(MIN_SPAN):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + words[:, j : j + g.shape[1]]
+        g ^= g >> np.uint64(29)
+    col = np.arange(g.shape[1])
+    inside = np.cumsum(np.pad(words == 0, ((0, 0), (1, 0))), axis=1)
+    new = inside[:, MIN_SPAN:] == inside[:, : g.shape[1]]  # no word beyond the text's ends
+    new &= (CONTEXT - col > left[:, None]) | (col + MIN_SPAN - CONTEXT - SEED_WORDS > right[:, None])
+    new &= (col <= CONTEXT) & (col + MIN_SPAN >= CONTEXT + SEED_WORDS)
+    row, col = np.nonzero(new)
+    return row, col, (g[row, col] * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     """(uid, w0, w1): word ranges that repeat an earlier passage of another text or place.
 
@@ -258,15 +277,15 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     # written, so that the joins read two plain shuffles and a hot seed can be split
     twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
     again = save(found.join(twice, "seed"), "seeds-again")
-    firsts = save(again.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f")), "seeds-first")
-    met = again.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first")).distinct()
-    by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first")).alias("met")).join(lows, "uid")
-    view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("words", pa.binary())])
+    firsts = save(again.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")), "seeds-first")
+    met = again.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first"), (F.col("n") > 2).alias("many")).distinct()
+    by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first", "many")).alias("met")).join(lows, "uid")
+    view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("many", pa.bool_()), ("words", pa.binary())])
     wide = SEED_WORDS + 2 * CONTEXT
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for u, t, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for u, d, t, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
                 m = m.values
                 at = m.field("at").to_numpy()
                 # a word's 32-bit hash; 0 is beyond the text's ends, which equals nothing
@@ -277,26 +296,39 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                     rows = h[part[:, None] + np.arange(wide)]
                     words = pa.Array.from_buffers(pa.binary(wide * 4), part.size, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
                     s = slice(k, k + part.size)
-                    yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), m.field("at")[s], m.field("is_first")[s], words], schema=view_schema)
+                    yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), pa.repeat(d, part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], words], schema=view_schema)
 
-    seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "text", "met")
-    seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, at int, is_first boolean, words binary"), "seeds-seen")
+    seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
+    seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("window", pa.int64())])
         for b in batches:
-            a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (2, 3))
+            a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (4, 5))
             same = (a == f) & (a != 0)
             left = np.cumprod(same[:, CONTEXT - 1 :: -1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, CONTEXT + SEED_WORDS :], axis=1).sum(axis=1)
             ok = same[:, CONTEXT : CONTEXT + SEED_WORDS].all(axis=1) & (left + right + SEED_WORDS >= MIN_SPAN)
-            at = b.column(1).to_numpy()
-            yield _batch([b.column(0).to_numpy()[ok], (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32)], schema)
+            uid, doc, at = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+            n = int(ok.sum())
+            yield _batch([uid[ok], pa.nulls(n, pa.int64()), (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), pa.nulls(n, pa.int64())], schema)
+            many = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+            for k in range(0, many.size, 2_000):
+                row, col, window = other_windows(a[r := many[k : k + 2_000]], left[r], right[r])
+                w0 = (at[r[row]] + col - CONTEXT).astype(np.int32)
+                yield _batch([uid[r[row]], doc.take(pa.array(r[row])), w0, w0 + np.int32(MIN_SPAN), window], schema)
 
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
-    later = seen.where("not is_first").select("seed", "uid", "at", "words")
-    out = save(later.join(first, "seed").select("uid", "at", "words", "first_words").mapInArrow(tidy(compare, forget), "uid long, w0 int, w1 int"), "passage-removals")
+    later = seen.where("not is_first").select("seed", "uid", "doc_id", "at", "many", "words")
+    pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words")
+    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, window long"), "passages-met")
     discard(found, twice, again, firsts, seen)
+    windows = met.where("window is not null")
+    place = F.struct("doc_id", "uid", "w0")
+    common = save(windows.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
+    repeats = windows.join(common, "window").where("uid <> fu or w0 <> fw").select("uid", "w0", "w1")
+    out = save(met.where("window is null").select("uid", "w0", "w1").union(repeats), "passage-removals")
+    discard(met, common)
     return out
 
 

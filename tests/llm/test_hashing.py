@@ -245,6 +245,25 @@ def test_op9_cuts_copies_and_passages(spark):
     assert got[1]["uid"] == 1
 
 
+def test_op9_passage_in_several_versions(spark):
+    """Later documents repeat each other where the first one has another version, or a phrase of it."""
+    rng = random.Random(21)
+    rows, around = [], {}
+    for k in range(60):
+        passage = words(rng, rng.randrange(52, 61))
+        changed = list(passage)
+        changed[len(passage) // 2] = "changed"
+        phrase = passage[20 : 20 + rng.randrange(8, 30)]
+        for j, part in enumerate([changed, phrase, passage, passage, passage]):
+            head, tail = words(rng, 40), words(rng, 40)
+            rows.append((10 * k + j, " ".join([*head, *part, *tail])))
+            around[10 * k + j] = head + tail
+    got = {r["doc_id"]: r["text"] or "" for r in substring.cut_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    text = dict(rows)
+    assert all(got[i] == text[i] for i in text if i % 10 < 2)
+    assert not [i for i in text if i % 10 > 2 and got[i].split() != around[i]]
+
+
 def test_op9_leaves_no_repeat_of_fifty_words(spark, sf):
     out = sorted((r["doc_id"], r["text"]) for r in queries.op9_paragraph_minhash(spark, sf).collect())
     seen = {}
