@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,4 +135,11 @@ def flowsom(rows: DataFrame, columns: Sequence[str], key: str, k: int, side: int
     x = fit_sample(rows, columns, key, limit, seed)
     w = som(x, side, rounds, seed=seed)
     groups = agglomerate(w, k)
-    return rows.withColumn("slot", nearest([F.col(c) for c in columns], [(int(g), tuple(map(float, v))) for g, v in zip(groups, w)]))
+
+    @F.pandas_udf("int")
+    def slot(points: pd.Series) -> pd.Series:
+        # node by node, the same order of sums and the first of equal ones as in nearest()
+        p = np.array([np.asarray(v, float) for v in points]).reshape(-1, w.shape[1])
+        return pd.Series(groups[np.argmin(np.stack([((p - v) ** 2).sum(1) for v in w], 1), axis=1)].astype("int32"))
+
+    return rows.withColumn("slot", slot(F.array(*(F.col(c) for c in columns))))

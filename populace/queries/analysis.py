@@ -249,15 +249,17 @@ def plane_kmeans(spark, sf):
 
 @query("D14")
 def plane_ward(spark, sf):
-    return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "ward", 6, 2000))
+    return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "ward", 6))
 
 
 @query("D14")
 def plane_gmm(spark, sf):
-    return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "gmm", 4, 4000))
+    return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "gmm", 4))
 
 
 @query("D15 J4")
 def flowsom(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", *(F.get("embedding", i).cast("double").alias(f"c{i}") for i in range(8)))
-    return _sizes(C.flowsom(e, [f"c{i}" for i in range(8)], "vec_id", 10, 6, 2000))
+    e = table(spark, sf, "embeddings")
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = e.select("vec_id", *(F.get("embedding", i).cast("double").alias(f"c{i}") for i in range(dim)))
+    return _sizes(C.flowsom(e, e.columns[1:], "vec_id", 10))

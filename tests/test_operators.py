@@ -261,3 +261,18 @@ def test_clouds_are_born_merge_and_end():
     basin = D.watershed(c, [(m.xb, m.yb) for m in found])
     assert (basin[3:8, 3:8] == 1).all() and (basin[18:23, 10:15] == 2).all() and (basin > 0).all()
     assert D.level_clouds(np.zeros((4, 4))) == [] and (D.watershed(c, []) == 0).all()
+
+
+def test_clusters_are_fitted_in_full(spark, sf, monkeypatch):
+    """All components, and the operators' own map, rounds and limit."""
+    from populace.operators import cluster as C
+    from populace.queries import analysis
+
+    met = []
+    for name in ("flowsom", "cluster_plane"):
+        real = getattr(C, name)
+        monkeypatch.setattr(C, name, lambda rows, columns, key, *a, _f=real, **b: met.append((len(columns), len(a), b)) or _f(rows, columns, key, *a, **b))
+    slots = analysis.flowsom(spark, sf).collect()
+    analysis.plane_ward(spark, sf), analysis.plane_gmm(spark, sf)
+    assert met == [(64, 1, {}), (2, 2, {}), (2, 2, {})]
+    assert sum(r["n"] for r in slots) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
