@@ -1,7 +1,8 @@
 """Clusterings fitted on a bounded seeded sample and applied to every row.
 
 Fitting takes at most ``limit`` rows (seeded, exact); the model is a codebook of a
-few rows that becomes one column expression, so assignment is a projection.
+few rows that becomes one column expression (for flowsom a pandas function), so
+assignment is a projection.
 """
 
 from __future__ import annotations

@@ -133,7 +133,7 @@ def cluster_map_round_trip(spark, sf):
 def remote_calls(spark, sf):
     from ..operators.remote import call
 
-    e = ev(spark, sf).where("event_id < 40").select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("prompt"))
+    e = ev(spark, sf).select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("prompt"))
     out = call(e, lambda p: p.upper(), attempts=3)
     return out.select("key", "answer", "attempts", "status")
 

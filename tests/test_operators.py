@@ -276,3 +276,9 @@ def test_clusters_are_fitted_in_full(spark, sf, monkeypatch):
     analysis.plane_ward(spark, sf), analysis.plane_gmm(spark, sf)
     assert met == [(64, 1, {}), (2, 2, {}), (2, 2, {})]
     assert sum(r["n"] for r in slots) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_remote_calls_take_every_event(spark, sf):
+    from populace.queries import texts
+
+    assert texts.remote_calls(spark, sf).where("status = 'ok'").count() == spark.read.parquet(f"{sf}/events.parquet").count() > 40
