@@ -22,10 +22,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-copy component stays."""
-    firsts = simhash.near_copies(docs, similarity=0.8, width=5).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.select(*docs.columns)
+    """The first text of each near-copy component stays, under its smallest doc_id."""
+    return simhash.without_near_copies(docs, similarity=0.8, width=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

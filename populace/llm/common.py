@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,16 +57,32 @@ def tidy(run, after=lambda: None):
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session that names none (tests, one machine) gets a local folder.
+    Only a session on one machine that names none (tests) gets a local folder.
     """
     bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="populace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_saved: list[list] = []
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list]:
+    """The tables that :func:`save` makes inside, so that the caller can discard them."""
+    _saved.append([])
+    try:
+        yield _saved[-1]
+    finally:
+        _saved.pop()
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a
     lost executor costs only the tasks it ran."""
@@ -73,6 +91,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._populace_path = path
+    if _saved:
+        _saved[-1].append(out)
     return out
 
 
@@ -86,6 +106,39 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Texts that share a 64-bit hash with another one: a handful at any size (about n^2 / 2^65).
+COLLIDED_MAX = 100_000
+
+
+def named_texts(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """Gives equal texts one long ``uid`` and different texts different ones.
+
+    docs: (doc_id, text, ...). Returns docs with uid, and a saved table (uid, low, n): the
+    smallest doc_id and the rows of each text. A uid is a text's 64-bit hash; texts are told
+    apart by their MD5 (128 bits), and the few whose hash another text has are renamed.
+    A null text is an empty one.
+    """
+    words = F.coalesce(F.col("text"), F.lit(""))
+    key = F.unhex(F.md5(words))
+    named = docs.withColumn("uid", hash_of(words))
+    texts = save(named.groupBy("uid", key.alias("key")).agg(F.min(F.struct("doc_id")).alias("low"), F.count("*").alias("n")).select("uid", "key", "low.doc_id", "n").withColumnRenamed("doc_id", "low"), "texts")
+    twice = texts.groupBy("uid").agg(F.count("*").alias("m"), F.min("key").alias("keeps")).where("m > 1")
+    if not twice.isEmpty():
+        other = F.xxhash64("key", "uid")
+        other = save(texts.join(twice, "uid").where("key <> keeps").select("uid", "key", other.alias("other")), "texts-renamed")
+        many = other.count()
+        again = texts.select("uid").union(other.select("other")).groupBy("uid").count().where("count > 1")
+        if many > COLLIDED_MAX or again.join(other, again["uid"] == other["other"], "left_semi").count():
+            raise RuntimeError("two texts can't be told apart")
+        named = named.join(F.broadcast(other), (named["uid"] == other["uid"]) & (key == other["key"]), "left").select(*(named[c] for c in docs.columns), F.coalesce("other", named["uid"]).alias("uid"))
+        texts = texts.join(F.broadcast(other), ["uid", "key"], "left").select(F.coalesce("other", "uid").alias("uid"), "low", "n")
+    path = texts if hasattr(texts, "_populace_path") else None
+    out = texts.select("uid", "low", "n")
+    if path is not None:
+        out._populace_path = path._populace_path
+    return named, out
+
+
 def _shape(df: DataFrame) -> tuple:
     r = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(r)
@@ -95,9 +148,34 @@ def _shape(df: DataFrame) -> tuple:
 SPLIT_EDGES = 2_000_000
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task joins by itself (a few MB).
+FEW_EDGES = 200_000
+
+
+def _union(batches):
+    """(node, root) of all edges of a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    cols = [[c.to_numpy() for c in b.columns] for b in batches]
+    a, b = (np.concatenate([np.empty(0, np.int64), *(c[i] for c in cols)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(nodes.size))
+    for x, y in zip(at[: a.size].tolist(), at[a.size :].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        up[max(x, y)] = min(x, y)
+    for i in range(nodes.size):  # parents come before their children
+        up[i] = up[up[i]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[up], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Smallest node reachable: ``edges(a long, b long)`` -> ``(node, root)``.
 
+    Up to ``few`` edges are joined in one task, which bounds its memory; beyond it:
     Alternating large-star and small-star steps. The minimum of a node's
     neighbours is a map-side combined aggregate, so a hub costs one partial row
     for each task. It is joined back on the node; from SPLIT_EDGES edges on it is
@@ -112,6 +190,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "cc",
     )
     before = _shape(cur)
+    if 0 < before[0] <= few:
+        out = save(cur.coalesce(1).mapInArrow(tidy(_union), "node long, root long"), "cc-few")
+        discard(cur)
+        return out
     for _ in range(max_rounds):
         if not before[0]:
             break

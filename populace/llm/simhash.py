@@ -6,14 +6,16 @@ in which they differ in at most one. Every fingerprint is indexed under each of
 its segments with one bit masked (64 keys), so such pairs share a key; pairs with
 a common key are verified on all 64 bits.
 
-Copies are folded into one fingerprint first. Inside a key no pairs are made of
-fingerprints that are linked already: each is first tried against its neighbour
-in order and the key's first one, those links are contracted to components, and
-only keys that still hold several components are joined, between components and
-with the distance in the join condition. The components are those of all links.
+Copies are folded into one fingerprint first. A key of over ``buckets.REFINE``
+fingerprints is refined: the bits outside its segment are cut into three parts, of
+which one differs by at most one bit again, so two fingerprints of a key meet in a
+key of some 14 bits more; large tables make few pairs that aren't links. No pairs are
+made of fingerprints that are linked already (see buckets). The components are those
+of all links.
 
 Nulls: a null or wordless text has fingerprint zero. Repeated rows link at
-distance 0; an empty table gives an empty result; extra columns are ignored.
+distance 0; an empty table gives an empty result; extra columns are ignored. Long
+texts are hashed whole; a batch holds texts up to a bound of bytes.
 """
 
 from __future__ import annotations
@@ -26,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import linked
-from .common import discard, save, tidy
+from .buckets import Source, linked
+from .common import discard, named_texts, save, tidy
 
-
-#: For near-copies by similarity: 4 segments hold every pair of up to 7 differing
-#: bits, and pairs that share a segment key are verified up to 14 bits. That alone
-#: misses a quarter of the pairs at Jaccard similarity 0.8, so MinHash bands are a
-#: second source, without a limit of bits.
-INDEX_BITS, CANDIDATE_BITS = 7, 14
+#: Near-copies by similarity: fingerprints up to so many bits apart are candidates. Two
+#: texts at Jaccard similarity 0.8 are some 10 bits apart, and keys that hold all pairs up
+#: to 14 bits would be too short for large tables, so MinHash bands are a second source.
+CANDIDATE_BITS = 4
 
 
 def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
@@ -80,19 +80,49 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def masked(value: Column, bits: int) -> list[Column]:
+    """The value without each of its bits."""
+    return [value.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << j))) for j in range(bits)]
+
+
 def variant_keys(fp: Column, distance: int) -> Column:
     """An array of one key for each bit: the segment without that bit, and the bit's number."""
     keys = []
     for low, bits in segments(distance):
         seg = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
-        keys += [seg.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << j))) * 64 + (low + j) for j in range(bits)]
+        keys += [v * 64 + (low + j) for j, v in enumerate(masked(seg, bits))]
     return F.array(*keys)
 
 
-def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
+def finer_keys(distance: int):
+    """Further keys of a row (k, fp): the parts of the bits outside k's segment, one bit
+    masked. As many parts as ``distance`` bits need for one that differs by at most one."""
+
+    def keys(k: Column, fp: Column) -> Column:
+        bit, out = F.pmod(k, F.lit(64)), F.array().cast("array<long>")
+        for low, bits in segments(distance):
+            rest = fp.bitwiseAND(F.lit(((1 << low) - 1))).bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low + bits), low)) if low + bits < 64 else fp.bitwiseAND(F.lit((1 << low) - 1))
+            size, n = 64 - bits, distance // 2 + 1
+            edges = [round(size * i / n) for i in range(n + 1)]
+            parts = []
+            for a, b in zip(edges, edges[1:]):
+                part = F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+                parts += [F.xxhash64(k, F.lit(a + j), v) for j, v in enumerate(masked(part, b - a))]
+            out = F.when((bit >= low) & (bit < low + bits), F.array(*parts)).otherwise(out)
+        return out
+
+    return keys
+
+
+def fingerprint_source(fps: DataFrame, distance: int, id_col: str = "fp") -> Source:
+    """fps: distinct (id_col, fp)."""
+    index = fps.select(F.explode(variant_keys(F.col("fp"), distance)).alias("k"), F.col(id_col).alias("id"), F.col("fp").alias("x"), F.lit(0).cast("long").alias("w"))
+    return Source(index, distance, finer_keys(distance))
+
+
+def fingerprint_components(fps: DataFrame, distance: int, **how) -> DataFrame:
     """(node, root) for the fingerprints that have a link; ``fps``: distinct (fp)."""
-    index = fps.select(F.explode(variant_keys(F.col("fp"), distance)).alias("k"), F.col("fp").alias("id"))
-    return linked(index.select("k", "id", F.col("id").alias("x")), None, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, name="simhash")
+    return linked([fingerprint_source(fps, distance)], name="simhash", **how)
 
 
 def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,33 +137,49 @@ def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_
     return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id: documents linked where the exact Jaccard similarity of
-    their ``width``-word shingles reaches ``similarity``, among fingerprint candidates.
+def near_components(named: DataFrame, lows: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(uid, component_id, leads) of every text. named, lows: as of ``named_texts``.
 
-    Texts are compared once each. Candidates are all pairs that differ in up to
-    INDEX_BITS bits, of those up to CANDIDATE_BITS the ones that share a segment key,
-    and all pairs that share a MinHash band (0.998 of the pairs at similarity 0.8).
-    Wordless texts are copies only of equal texts.
+    Texts are linked where the exact Jaccard similarity of their ``width``-word shingles
+    reaches ``similarity``; each text is compared once, whatever its copies. Candidates
+    are fingerprints up to CANDIDATE_BITS apart, from the deletion-variant index, and
+    texts that share a MinHash band (0.998 of the pairs at similarity 0.8). component_id
+    is the smallest doc_id of the component, leads marks its first text. Texts of under
+    ``width`` words are copies only of equal words; empty and null texts are one text.
     """
-    from .substring import verified_pairs
+    from .substring import banded, jaccard
 
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
-    each = save(fingerprints(whole, width, bands=True), "near-fps")
-    texts = save(each.groupBy("uid", "fp").agg(F.min("doc_id").alias("low")), "near-texts")
+    every = save(fingerprints(named.select("uid", "text"), width, bands=True), "near-fps")
+    each = save(every.groupBy(F.col("uid").alias("id")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")), "near-texts")
+    discard(every)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """The texts of some uids, each from its first document: the one place where texts move."""
-        first = wanted.join(texts.select(F.col("uid").alias("id"), "low"), "id")
-        found = whole.join(first, F.col("uid") == F.col("id")).where(F.col("doc_id").eqNullSafe(F.col("low")))
-        return found.select("id", F.col("text").alias("words"))
-
-    index = texts.where("fp <> 0").select(F.explode(variant_keys(F.col("fp"), INDEX_BITS)).alias("k"), F.col("uid").alias("id"), F.col("fp").alias("x"))
-    # x is null in a band, whose pairs have no limit of bits
-    index = index.union(each.select(F.explode("bands").alias("k"), F.col("uid").alias("id"), F.lit(None).cast("long").alias("x")).distinct())
-    near = lambda a, b: F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(0)) <= CANDIDATE_BITS
-    roots = linked(index, verified_pairs(fetch, similarity), near, 8, "near")
-    named = save(texts.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", F.coalesce("root", "uid").alias("root")), "near-named")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    discard(texts, roots)
-    return each.select("doc_id", "uid").join(named.join(least, "root").select("uid", "component_id"), "uid").select("doc_id", "component_id")
+        first = wanted.join(lows.select(F.col("uid").alias("id"), "low"), "id")
+        found = named.join(first, (F.col("uid") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("low")))
+        return found.select("id", F.col("text").alias("words")).dropDuplicates(["id"])
+
+    sources = [fingerprint_source(each.where("fp <> 0").select("id", "fp"), CANDIDATE_BITS, "id"), Source(banded(each))]
+    roots = linked(sources, jaccard(fetch, similarity), name="near")
+    by_uid = save(lows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", F.coalesce("root", "uid").alias("root")), "near-named")
+    least = save(by_uid.groupBy("root").agg(F.min(F.struct("low", "uid")).alias("first")), "near-first")
+    discard(each, roots)
+    return by_uid.join(least, "root").select("uid", F.col("first.low").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("leads"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
+    """doc_id, component_id for every row."""
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named, lows = named_texts(whole, hash_of)
+    return named.select("doc_id", "uid").join(near_components(named, lows, similarity, width), "uid").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold the first text of their component
+    under its smallest doc_id (a null one is the smallest). Rows that repeat doc_id and
+    text are one document and stay together; an empty table stays empty."""
+    whole = docs.select(F.struct(F.lit(0).alias("_"), *docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named, lows = named_texts(whole, hash_of)
+    first = near_components(named.select("doc_id", "text", "uid"), lows, similarity, width).where("leads").select(F.col("uid").alias("of"), "component_id")
+    kept = named.select("doc", "doc_id", "uid").join(first, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))

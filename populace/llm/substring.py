@@ -5,8 +5,8 @@ one with the least hash), so every two equal runs of 31 words share a seed. Each
 seed's later occurrences are compared word by word with its first one, up to 24
 words either way; equal runs of ``MIN_SPAN`` words or more go. Where a seed occurs
 more than twice, later occurrences can repeat each other and not the first one: the
-31-word windows around them that the first one lacks are grouped by a 64-bit hash,
-and all but the earliest of a group go. No pairs of a group are made, however many
+31-word windows around them that the first one lacks are grouped by the seed and a
+64-bit hash, and all but the earliest of a group go. No pairs of a group are made, however many
 texts share a passage. A later copy of a whole text of that size goes whole, and so
 does a paragraph that loses 0.8 of its words.
 
@@ -23,6 +23,7 @@ An empty table gives an empty result; extra columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import linked
-from .common import discard, save, tidy
+from .buckets import Source, Verify, linked
+from .common import discard, named_texts, save, tidy
 
 BANDS, ROWS, SHINGLE = 12, 4, 5
 SEED_WORDS, WINDOW, CONTEXT = 8, 24, 24
@@ -160,12 +161,12 @@ def _batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def paragraphs(units: DataFrame) -> DataFrame:
-    """(uid, doc_id, line, pid, keys, shingles) of each paragraph; units: (uid, doc_id, text)."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("pid", pa.int64()), ("words", pa.string())])
+    """(uid, doc_id, line, key, words) of each paragraph; key: the MD5 of its words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    units: (uid, doc_id, text)."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.binary()), ("words", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in schema]
             for uid, doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -173,72 +174,106 @@ def paragraphs(units: DataFrame) -> DataFrame:
                     words = line.encode().lower().split()
                     if len(words) >= MIN_PARAGRAPH:
                         joined = b" ".join(words)
-                        h = xxh64_intdigest(joined, 42)
-                        for c, v in zip(cols, (uid, doc_id, k, h - (h >> 63 << 64), joined.decode())):
+                        for c, v in zip(cols, (uid, doc_id, k, hashlib.md5(joined).digest(), joined.decode())):
                             c.append(v)
                 if len(cols[0]) > 5_000:
                     yield _batch(cols, schema)
                     cols = [[] for _ in schema]
             yield _batch(cols, schema)
 
-    return units.mapInArrow(tidy(run, forget), "uid long, doc_id long, line int, pid long, words string")
+    return units.mapInArrow(tidy(run, forget), "uid long, doc_id long, line int, key binary, words string")
 
 
-def paragraph_roots(texts: DataFrame) -> DataFrame:
-    """(node, root) over the pids of near-equal paragraphs; texts: distinct (pid, words, n)."""
+def banded(texts: DataFrame) -> DataFrame:
+    """An index of texts (id, bands, n): a row for each band, ordered inside a key by the
+    next band, so that neighbours share two bands where any do; weighted by n."""
+    at = texts.select("id", "n", "bands", F.posexplode("bands").alias("i", "k"))
+    return at.select("k", "id", F.element_at("bands", ((F.col("i") + 1) % BANDS + 1).cast("int")).alias("x"), F.col("n").cast("long").alias("w"))
+
+
+def with_bands(texts: DataFrame) -> DataFrame:
+    """(id, n, bands) of texts (id, words, n)."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("x", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rank = b.column(0).to_numpy(), b.column(2).to_numpy()
-            for at, h, sizes in in_chunks(b.column(1).to_pylist()):
-                s = slice(at, at + sizes.size)
-                yield _batch([band_keys(h, sizes).ravel(), np.repeat(ids[s], BANDS), np.repeat(rank[s], BANDS)], schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), text_bands(b.column(1).to_pylist())], ["id", "n", "bands"])
+
+    return texts.select("id", "words", "n").mapInArrow(tidy(run, forget), "id long, n long, bands array<long>")
 
-    # frequent paragraphs come first in a key: edited ones resemble them most
-    keyed = texts.select("pid", "words", (-F.col("n")).alias("x")).mapInArrow(tidy(index, forget), "k long, id long, x long")
-    named = texts.select(F.col("pid").alias("id"), "words")
-    return linked(keyed, verified_pairs(lambda wanted: named.join(wanted, "id", "left_semi")), name="paragraph")
 
+def paragraph_roots(texts: DataFrame) -> DataFrame:
+    """(node, root) over the pids of near-equal paragraphs; texts: distinct (pid, words, n)."""
+    named = texts.select(F.col("pid").alias("id"), "words", F.col("n").cast("long").alias("n"))
+    index = banded(with_bands(named))
+    return linked([Source(index)], jaccard(lambda wanted: named.join(wanted, "id", "left_semi").select("id", "words")), name="paragraph")
+
+
+def similar_block(left: list[np.ndarray], right: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the Jaccard similarity of two sets reaches ``similarity``, all of left against
+    all of right. Only numbers that two of the sets hold count; they are counted by products
+    of 0/1 matrices, so many columns at a time as hold a few MB."""
+    sizes = np.array([v.size for v in [*left, *right]])
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    _, at, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    col = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    owner, at = owner[keep], col[at[keep]]
+    width = max(1, (2 << 20) // max(1, sizes.size))
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for c in range(0, int(at[-1]) + 1 if at.size else 0, width):
+        s = slice(*np.searchsorted(at, [c, c + width]))
+        m = np.zeros((sizes.size, width), np.float32)
+        m[owner[s], at[s] - c] = 1
+        both += m[: len(left)] @ m[len(left) :].T
+    a, b = sizes[: len(left), None], sizes[None, len(left) :]
+    return both >= similarity * (a + b - both)
+
+
+def jaccard(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> Verify:
+    """Verifies candidates by the exact Jaccard similarity of their shingles.
+    fetch: the (id, words) of wanted ids, so only texts of a candidate move."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            loads = [shingles(word_hashes(t.as_py() or "")).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(loads, pa.binary())], ["id", "load"])
 
-def verified_pairs(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> Callable[[DataFrame], DataFrame]:
-    """Keeps pairs (a, b) whose exact Jaccard similarity over shingles reaches
-    ``similarity``. fetch: the (id, words) of wanted ids, so only texts of a pair move."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def loaded(wanted: DataFrame) -> DataFrame:
+        return save(fetch(wanted).select("id", "words").mapInArrow(tidy(hashed, forget), "id long, load binary"), "shingles")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from functools import lru_cache
-
-        kept = lru_cache(64)(lambda words: shingles(word_hashes(words)))
         for x in batches:
             ok = []
             for p, q in zip(x.column(2), x.column(3)):
-                s, t = kept(p.as_py() or ""), kept(q.as_py() or "")
-                both = np.intersect1d(s, t, assume_unique=True).size
+                s, t = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                few, many = sorted((s.size, t.size))
+                both = np.intersect1d(s, t, assume_unique=True).size if few >= similarity * many else 0
                 ok.append(both >= similarity * (s.size + t.size - both))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = save(fetch(wanted), "verify-texts")
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        out = save(both.select("a", "b", "wa", "wb").mapInArrow(tidy(score, forget), "a long, b long"), "verify-links")
+    def pairs(found: DataFrame) -> DataFrame:
+        held = loaded(found.select(F.col("a").alias("id")).union(found.select("b")).distinct())
+        both = found.join(held.select(F.col("id").alias("a"), F.col("load").alias("la")), "a").join(held.select(F.col("id").alias("b"), F.col("load").alias("lb")), "b")
+        out = save(both.select("a", "b", "la", "lb").mapInArrow(tidy(score), "a long, b long"), "links")
         discard(held)
         return out
 
-    return verify
+    return Verify(pairs, loaded, lambda left, right: similar_block(left, right, similarity))
 
 
 def repeated_paragraphs(units: DataFrame) -> DataFrame:
-    """(uid, line) of the paragraphs that go."""
+    """(uid, doc_id, line) of the paragraphs that go."""
     every = save(paragraphs(units), "paragraphs")
-    texts = save(every.groupBy("pid").agg(F.min("words").alias("words"), F.count("*").alias("n")), "paragraph-texts")
+    texts = save(every.groupBy("key").agg(F.min("words").alias("words"), F.count("*").alias("n")).select("key", F.monotonically_increasing_id().alias("pid"), "words", "n"), "paragraph-texts")
     roots = paragraph_roots(texts)
-    at = every.select("uid", "doc_id", "line", "pid")
-    at = at.join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("uid", "doc_id", "line", F.coalesce("root", "pid").alias("root"))
-    firsts = at.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = save(at.join(firsts, "root").where("uid <> first.uid or line <> first.line").select("uid", "line"), "paragraph-removals")
-    discard(every, texts, roots)
+    named = texts.join(roots.withColumnRenamed("node", "pid"), "pid", "left").where("n > 1 or root is not null").select("key", F.coalesce("root", "pid").alias("root"))
+    at = every.select("uid", "doc_id", "line", "key").join(named, "key").select("uid", "doc_id", "line", "root")
+    # written, so that the next join reads two plain shuffles and a hot root can be split
+    firsts = save(at.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1"), "paragraph-firsts")
+    out = save(at.join(firsts, "root").where(~F.struct("doc_id", "uid", "line").eqNullSafe(F.col("first"))).select("uid", "doc_id", "line"), "paragraph-removals")
+    discard(every, texts, roots, firsts)
     return out
 
 
@@ -277,8 +312,9 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     # written, so that the joins read two plain shuffles and a hot seed can be split
     twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
     again = save(found.join(twice, "seed"), "seeds-again")
-    firsts = save(again.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")), "seeds-first")
-    met = again.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first"), (F.col("n") > 2).alias("many")).distinct()
+    spots = save(again.groupBy("seed", "uid", "at").agg(F.min("doc_id").alias("doc_id")), "seeds-spots")
+    firsts = save(spots.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")), "seeds-first")
+    met = spots.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first"), (F.col("n") > 2).alias("many"))
     by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first", "many")).alias("met")).join(lows, "uid")
     view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("many", pa.bool_()), ("words", pa.binary())])
     wide = SEED_WORDS + 2 * CONTEXT
@@ -302,31 +338,31 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("window", pa.int64())])
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("seed", pa.int64()), ("window", pa.int64())])
         for b in batches:
             a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (4, 5))
             same = (a == f) & (a != 0)
             left = np.cumprod(same[:, CONTEXT - 1 :: -1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, CONTEXT + SEED_WORDS :], axis=1).sum(axis=1)
             ok = same[:, CONTEXT : CONTEXT + SEED_WORDS].all(axis=1) & (left + right + SEED_WORDS >= MIN_SPAN)
-            uid, doc, at = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+            uid, doc, at, seed = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(), b.column(6)
             n = int(ok.sum())
-            yield _batch([uid[ok], pa.nulls(n, pa.int64()), (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), pa.nulls(n, pa.int64())], schema)
+            yield _batch([uid[ok], pa.nulls(n, pa.int64()), (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema)
             many = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
             for k in range(0, many.size, 2_000):
                 row, col, window = other_windows(a[r := many[k : k + 2_000]], left[r], right[r])
                 w0 = (at[r[row]] + col - CONTEXT).astype(np.int32)
-                yield _batch([uid[r[row]], doc.take(pa.array(r[row])), w0, w0 + np.int32(MIN_SPAN), window], schema)
+                yield _batch([uid[r[row]], doc.take(pa.array(r[row])), w0, w0 + np.int32(MIN_SPAN), seed.take(pa.array(r[row])), window], schema)
 
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
     later = seen.where("not is_first").select("seed", "uid", "doc_id", "at", "many", "words")
-    pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words")
-    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, window long"), "passages-met")
-    discard(found, twice, again, firsts, seen)
+    pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words", "seed")
+    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, seed long, window long"), "passages-met")
+    discard(found, twice, again, spots, firsts, seen)
     windows = met.where("window is not null")
     place = F.struct("doc_id", "uid", "w0")
-    common = save(windows.groupBy("window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
-    repeats = windows.join(common, "window").where("uid <> fu or w0 <> fw").select("uid", "w0", "w1")
+    common = save(windows.groupBy("seed", "window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("seed", "window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
+    repeats = windows.join(common, ["seed", "window"]).where("uid <> fu or w0 <> fw").select("uid", "w0", "w1")
     out = save(met.where("window is null").select("uid", "w0", "w1").union(repeats), "passage-removals")
     discard(met, common)
     return out
@@ -392,18 +428,17 @@ def _cut_paragraphs(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """doc (a struct of the other columns), text (what is left), n_removed (characters), n_spans."""
     key = F.col(id_col).cast("long")
     others = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c != text))
-    named = docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("uid"))
-    lows = save(named.groupBy("uid").agg(F.min(F.struct("doc_id")).alias("low")).select("uid", F.col("low.doc_id").alias("low")), "lows")
+    named, lows = named_texts(docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text")), hash_of)
     ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
     known = named.join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))
-    left = known.select("doc", "doc_id", F.xxhash64("doc_id", "uid").alias("uid"), F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
+    left = known.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
     left = save(left, "passages-cut")
-    lines = repeated_paragraphs(left.select("uid", "doc_id", "text")).groupBy("uid").agg(F.collect_set("line").alias("goes"))
-    by_line = left.join(lines, "uid", "left").withColumn("cut", _cut_paragraphs("text", "goes"))
+    lines = repeated_paragraphs(left.select("uid", "doc_id", "text")).groupBy(F.col("uid").alias("of"), F.col("doc_id").alias("at")).agg(F.collect_set("line").alias("goes"))
+    by_line = left.join(lines, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")), "left").withColumn("cut", _cut_paragraphs("text", "goes"))
     return by_line.select("doc", "cut.text", (F.col("n0") + F.col("cut.n_removed")).alias("n_removed"), (F.col("s0") + F.col("cut.n_spans")).alias("n_spans"))
 
 

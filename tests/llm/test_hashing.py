@@ -38,9 +38,10 @@ def test_components_match_union_find(spark, n, m, seed):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
     touched = {v for a, b in edges if a != b for v in (a, b)}
-    assert got == {v: find(v) for v in touched}
+    for few in (0, common.FEW_EDGES):
+        got = dict(common.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect())
+        assert got == {v: find(v) for v in touched}
 
 
 @settings(max_examples=200, deadline=None)
@@ -104,6 +105,76 @@ def test_op2_large_key_groups(spark):
     assert {f: got.get(f, f) for f in fps} == dict(zip(fps, want))
 
 
+@pytest.mark.parametrize("refine,block,chunk", [(512, 256, 500_000), (40, 16, 90), (10**9, 7, 1000)])
+def test_op2_hot_keys_in_blocks_and_refined(spark, refine, block, chunk):
+    """Keys with hundreds of fingerprints that aren't all linked, over small chunks and blocks."""
+    rng = random.Random(8)
+    base = rng.getrandbits(63)
+    fps = {base}
+    for _ in range(700):  # one segment in common: the other bits at random, or few of them
+        v = (base & (1 << 21) - 1) | rng.getrandbits(42) << 21 if rng.random() < 0.5 else base
+        for b in rng.sample(range(63), rng.randrange(9)):
+            v ^= 1 << b
+        fps.add(v)
+    fps = sorted(fps)
+    got = dict(simhash.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, refine=refine, block=block, chunk=chunk).collect())
+    u = np.array(fps, np.uint64)
+    adj = np.bitwise_count(u[:, None] ^ u[None, :]) <= 4
+    assert {f: got.get(f, f) for f in fps} == dict(zip(fps, least_labels(adj, fps)))
+
+
+def test_finer_keys_hold_every_pair(spark):
+    """Of two fingerprints of a key, the finer keys share one again."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        v = rng.getrandbits(63)
+        other = v
+        for b in rng.sample(range(63), rng.randrange(5)):
+            other ^= 1 << b
+        rows += [(i, 0, v), (i, 1, other)]
+    k = spark.createDataFrame(rows, "i long, side int, fp long").select("i", "side", "fp", F.explode(simhash.variant_keys(F.col("fp"), 4)).alias("k"))
+    k = k.select("i", "side", F.explode(simhash.finer_keys(4)(F.col("k"), F.col("fp"))).alias("k")).distinct()
+    assert k.groupBy("i", "k").count().where("count > 1").select("i").distinct().count() == 300
+
+
+def test_similar_block_is_exact():
+    rng = random.Random(2)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 80))], np.uint64)) for _ in range(60)]
+    want = [[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets[25:]] for a in sets[:25]]
+    assert substring.similar_block(sets[:25], sets[25:]).tolist() == want
+
+
+def test_unlike_group_makes_no_pairs(spark):
+    """A large group under the limit: each text is compared with all, and none is linked."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, edited(base, rng, 5)) for i in range(400)] + [(1000, " ".join(base[:99]))] + [(2000 + i, edited(base[:99], rng, 1)) for i in range(60)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    adj = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = dict(zip([i for i, _ in rows], least_labels(adj, [i for i, _ in rows])))
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got) and all(got[i] >= want[i] for i in got)
+
+
+def test_equal_hashes_keep_both_texts(spark):
+    """Texts whose 64-bit hashes are all equal stay apart."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(words(rng, 60))) for i in range(6)] + [(10, None), (11, "")]
+    rows += [(20, rows[0][1])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    same = lambda c: F.lit(5).cast("long")
+    near = dict(simhash.near_copies(df, hash_of=same).collect())
+    assert near == {**{i: i for i in range(6)}, 10: 10, 11: 10, 20: 0}
+    left = {r["doc_id"]: r["text"] for r in substring.cut(df, hash_of=same).select("doc.doc_id", "text").collect()}
+    assert left == {**dict(rows), 20: ""}
+    kept = simhash.without_near_copies(df.withColumn("uid", F.lit("u")), hash_of=same)
+    assert kept.columns == ["doc_id", "text", "uid"] and sorted(r["doc_id"] for r in kept.collect()) == [*range(6), 10]
+    odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (1, "c")], SCHEMA)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.without_near_copies(odd).collect()) == [("1", "c"), ("None", "a b")]
+    assert simhash.without_near_copies(odd.limit(0)).count() == 0
+
+
 def test_op2_nulls_copies_and_empties(spark):
     rows = [(5, None), (3, ""), (9, " \n"), (1, "one two three four five"), (7, "ONE two three four five"), (8, "z")]
     check_links(rows, simhash.link(spark.createDataFrame(rows, SCHEMA), 4, 4).collect())
