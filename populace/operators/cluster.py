@@ -56,27 +56,31 @@ def som(x: np.ndarray, side: int = 10, rounds: int = 10_000, sigma: float = 1.0,
     return w
 
 
-def agglomerate(points: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
+def agglomerate(points: np.ndarray, k: int, linkage: str = "average", sizes: np.ndarray | None = None) -> np.ndarray:
     """Labels 0..k-1 (by first member) of bottom-up clusters; identity where k reaches the
-    number of points. linkage: average, or ward."""
+    number of points. linkage: average, or ward. sizes: the rows that each point stands for."""
     n = len(points)
     if k >= n:
         return np.arange(n)
     groups = {i: [i] for i in range(n)}
+    size = np.ones(n) if sizes is None else np.asarray(sizes, float).copy()
     d = ((points[:, None] - points) ** 2).sum(2)
-    d = d if linkage == "ward" else np.sqrt(d)
+    if linkage == "ward":  # the rise of the sum of squares, twice
+        d = 2 * d * size[:, None] * size / (size[:, None] + size)
+    else:
+        d = np.sqrt(d)
     np.fill_diagonal(d, np.inf)
     while len(groups) > k:
         i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        a, b = len(groups[i]), len(groups[j])
+        a, b = size[i], size[j]
         if linkage == "ward":
-            sizes = np.array([len(groups.get(m, [0])) for m in range(n)])
-            new = ((a + sizes) * d[i] + (b + sizes) * d[j] - sizes * d[i, j]) / (a + b + sizes)
+            new = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)
         else:
             new = (a * d[i] + b * d[j]) / (a + b)
         new[[i, j]] = np.inf
         new[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
         groups[i] += groups.pop(j)
+        size[i] = a + b
         d[i], d[:, i] = new, new
         d[j], d[:, j] = np.inf, np.inf
     out = np.empty(n, int)
@@ -122,7 +126,9 @@ def cluster_plane(rows: DataFrame, columns: Sequence[str], key: str, method: str
         return rows.withColumn("slot", assign_mixture(columns, *gaussian_mixture(x, k)))
     if method == "ward":
         fine = kmeans(x, min(len(x), 8 * k))  # a bounded number of points for the quadratic step
-        groups = agglomerate(fine, k, "ward")
+        held = np.bincount(np.argmin(((x[:, None] - fine) ** 2).sum(2), 1), minlength=len(fine))
+        fine = fine[held > 0]
+        groups = agglomerate(fine, k, "ward", held[held > 0])
     else:
         fine = kmeans(x, k) if method == "kmeans" else som(x, max(2, round(k**0.5)))
         groups = np.arange(len(fine))

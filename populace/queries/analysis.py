@@ -91,10 +91,10 @@ def kde_grid(spark, sf):
 def kde_peaks(spark, sf):
     e = ev(spark, sf)
     n = e.count()
-    return D.peaks_and_valleys(D.kde(e, "x", 256, 0.5), n)
+    return D.peaks_and_valleys(D.kde(e, "x", 256, 0.5), n).select("kind", "i", F.round("height", 4).alias("height"))
 
 
-@query("D6", f"WITH {_H2}, q AS (SELECT quantile_cont(ln(1 + n), [0.2, 0.4, 0.6, 0.8]) AS q FROM h2) SELECT xb, yb, n, 1 + len(list_filter(q, lambda c: ln(1 + n) > c))::INT AS level FROM h2, q")
+@query("D6", f"WITH {_H2}, q AS (SELECT quantile_cont(ln(1 + n), [0.2, 0.4, 0.6, 0.8]) AS q FROM h2) SELECT xb, yb, n, 1 + len(list_filter(q, lambda c: c <= ln(1 + n)))::INT AS level FROM h2, q")
 def levels(spark, sf):
     h = D.histogram_2d(ev(spark, sf).withColumn("g", F.lit(1)), ["g"], "x", "y", 8, 6)
     return D.density_levels(h, ["g"], 5).drop("g")
@@ -113,11 +113,41 @@ def otsu_two_cuts(spark, sf):
     return D.otsu(D.histogram(ev(spark, sf).withColumn("g", F.lit(1)), ["g"], "x", 48), 2)
 
 
-@query("W8", """WITH v AS (SELECT event_id % 12 AS i, round(avg(value), 4) AS depth, round(max(value), 4) AS "left", round(max(value) - avg(x), 4) AS "right" FROM ev GROUP BY 1)
-SELECT i, round(least("left", "right") - depth, 4) AS prominence, 'selected' AS status FROM v ORDER BY least("left", "right") - depth DESC, i LIMIT 3""")
+_VALLEYS = """v AS (SELECT user_id % 4 AS g, event_id % (1 + user_id % 4) AS i, round(avg(x), 4) AS x, round(avg(value), 4) AS depth, round(max(value), 4) AS "left", round(max(value) - avg(x), 4) AS "right" FROM ev GROUP BY ALL)"""
+
+
+def _valleys(spark, sf):
+    e = ev(spark, sf).withColumn("g", F.col("user_id") % 4).withColumn("i", F.col("event_id") % (1 + F.col("g")))
+    return e.groupBy("g", "i").agg(F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("value"), 4).alias("depth"), F.round(F.max("value"), 4).alias("left"), F.round(F.max("value") - F.avg("x"), 4).alias("right"))
+
+
+@query("W8", f"""WITH {_VALLEYS}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY least("left", "right") - depth DESC, i) AS place FROM v)
+SELECT g, k AS needed, coalesce(array_to_string(list(printf('%.4f', x) ORDER BY x) FILTER (place <= k), ' '), '') AS cuts,
+       CASE WHEN k = 0 THEN 'none' WHEN count(*) > k THEN 'selected' WHEN count(*) = k THEN 'all' WHEN k = 2 AND count(*) = 1 THEN 'middle_dropped' ELSE 'insufficient' END AS status
+FROM r, (VALUES (0), (1), (2), (3)) AS t(k) GROUP BY g, k""")
 def topk_prominence(spark, sf):
-    v = ev(spark, sf).groupBy((F.col("event_id") % 12).alias("i")).agg(F.round(F.avg("value"), 4).alias("depth"), F.round(F.max("value"), 4).alias("left"), F.round(F.max("value") - F.avg("x"), 4).alias("right"))
-    return D.prominent_valleys(v, 3).withColumn("prominence", F.round("prominence", 4))
+    v, out = _valleys(spark, sf), None
+    for k in range(4):
+        one = D.chosen_valleys(v, ["g"], k).select("g", F.lit(k).alias("needed"), F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), " ").alias("cuts"), "status")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("W8 D12", f"""WITH {_VALLEYS}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY least("left", "right") - depth DESC, i) AS place, count(*) OVER (PARTITION BY g) AS m FROM v),
+h AS (SELECT user_id % 4 AS g, least(floor(y / 10), 9)::INT AS bin, count(*) AS n FROM ev GROUP BY ALL),
+pre AS (SELECT g, b::INT AS b, coalesce((SELECT sum(n) FROM h WHERE h.g = t.g AND bin < b), 0) AS c, coalesce((SELECT sum(n * (bin * 10.0 + 5)) FROM h WHERE h.g = t.g AND bin < b), 0) AS m FROM (SELECT DISTINCT g FROM h) t, range(1, 10) r(b)),
+tot AS (SELECT g, sum(n) AS tc, sum(n * (bin * 10.0 + 5)) AS tm FROM h GROUP BY g),
+o AS (SELECT g, p.b AS b1, q.b AS b2 FROM pre p JOIN pre q USING (g) JOIN tot USING (g) WHERE p.b < q.b AND p.c > 0 AND q.c > p.c AND tc > q.c
+      QUALIFY row_number() OVER (PARTITION BY g ORDER BY p.m * p.m / p.c + (q.m - p.m) * (q.m - p.m) / (q.c - p.c) + (tm - q.m) * (tm - q.m) / (tc - q.c) DESC, p.b, q.b) = 1)
+SELECT g, CASE WHEN any_value(m) >= 2 THEN array_to_string(list(printf('%.4f', x) ORDER BY x) FILTER (place <= 2), ' ') ELSE printf('%.4f %.4f', any_value(b1) * 10.0, any_value(b2) * 10.0) END AS cuts,
+       CASE WHEN any_value(m) > 2 THEN 'selected' WHEN any_value(m) = 2 THEN 'all' ELSE 'otsu' END AS status
+FROM r JOIN o USING (g) GROUP BY g""")
+def valleys_or_otsu(spark, sf):
+    h = ev(spark, sf).groupBy((F.col("user_id") % 4).alias("g"), F.least(F.floor(F.col("y") / 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = h.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
+    hist = every.join(h, ["g", "bin"], "left").select("g", "bin", (F.col("bin") * 10.0 + 5).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))
+    out = D.valleys_or_otsu(_valleys(spark, sf), hist, ["g"], 2)
+    return out.select("g", F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), " ").alias("cuts"), "status")
 
 
 @query("W10 G2", "SELECT g, CASE g WHEN 0 THEN 12.0 WHEN 1 THEN 6.0 END::DOUBLE AS area FROM (VALUES (0), (1)) AS t(g)")

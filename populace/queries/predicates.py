@@ -76,9 +76,10 @@ def polygon_predicate(spark, sf):
     return e.where(triangle.contains(F.col("x"), F.col("y"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("P9", "SELECT * FROM (VALUES (1, 'l_discount'), (2, 'l_quantity'), (3, 'l_tax'), (4, 'l_extendedprice')) AS t(ord, channel)")
+@query("P9", "SELECT * FROM (VALUES (1, 'l_discount'), (2, 'l_quantity'), (3, 'l_tax'), (4, 'l_extendedprice'), (5, 'l_linenumber'), (6, 'l_suppkey'), (7, 'l_partkey')) AS t(ord, channel)")
 def channels_by_kind(spark, sf):
-    names = P.channels_by_kind(CHANNELS)
+    more = [("l_partkey", "", "gaussian"), ("l_suppkey", "", "bead"), ("l_linenumber", "", "dna"), ("l_orderkey", "", "tech"), ("l_comment", "", "background")]
+    names = P.channels_by_kind(CHANNELS + more)
     return spark.createDataFrame(list(enumerate(names, 1)), "ord int, channel string")
 
 

@@ -282,3 +282,56 @@ def test_remote_calls_take_every_event(spark, sf):
     from populace.queries import texts
 
     assert texts.remote_calls(spark, sf).where("status = 'ok'").count() == spark.read.parquet(f"{sf}/events.parquet").count() > 40
+
+
+def walked_clouds(counts, levels=9, share=0.005, least=50):
+    """Masks level by level, and every tenant of every set looked at anew."""
+    s, g = D.gaussian(np.log1p(counts), 1.5), D.log_levels(counts, levels)
+    need, modes = max(int(share * counts.sum()), least), []
+    for k in range(levels, 0, -1):
+        lab, n = D.connected(g >= k)
+        for c in range(1, n + 1):
+            rows = int(counts[lab == c].sum())
+            inside = sorted((m for m in modes if m["alive"] and lab[m["at"]] == c), key=lambda m: -m["height"])
+            if not inside:
+                p = np.argwhere(lab == c)
+                at = tuple(int(v) for v in p[np.argmax(s[lab == c])])
+                modes.append({"at": at, "height": float(s[at]), "birth": k, "alone": rows, "death": None, "alive": True})
+            elif len(inside) == 1:
+                inside[0]["alone"] = max(inside[0]["alone"], rows)
+            for m in inside[1:]:
+                m["alive"] = m["alone"] >= need
+                for e in [m] + [inside[0]] * m["alive"]:
+                    e["death"] = e["death"] or k + 1
+    left = sorted((m for m in modes if m["alive"] and m["alone"] >= need), key=lambda m: -m["height"])
+    return [(*m["at"], m["height"], m["birth"], m["alone"], m["death"]) for m in left]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_clouds_match_a_level_by_level_walk(seed):
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.normal(rng.uniform(0, 40, 2), rng.uniform(1, 4), (rng.integers(100, 900), 2)) for _ in range(rng.integers(1, 6))])
+    counts, *_ = np.histogram2d(*points.T, bins=(48, 24), range=((0, 40), (0, 40)))
+    least = int(rng.integers(1, 80))
+    assert [(m.xb, m.yb, m.height, m.birth, m.alone, m.death) for m in D.level_clouds(counts, least=least)] == walked_clouds(counts, least=least)
+
+
+def test_levels_count_cuts_at_or_below():
+    c = np.array([[0, 1, 1, 1], [1, 2, 2, 8]], float)
+    s = np.log1p(c)
+    cuts = np.quantile(s[c > 0], [0.25, 0.5, 0.75])
+    assert D.log_levels(c, 4).tolist() == [[0 if not n else 1 + sum(q <= v for q in cuts) for n, v in zip(a, b)] for a, b in zip(c, s)]
+    assert D.log_levels(c, 4)[1, 3] == 4 and D.log_levels(c, 4)[0, 1] == 3
+
+
+def test_ward_weighs_points_by_their_rows():
+    x = np.array([[0.0], [1.0], [2.2]])
+    assert C.agglomerate(x, 2, "ward").tolist() == [0, 0, 1]
+    assert C.agglomerate(x, 2, "ward", np.array([100, 100, 1])).tolist() == [0, 1, 1]
+
+
+def test_an_edge_maximum_keeps_real_peaks(spark):
+    heights = [5.0, 4.0, 0.1, 1.0, 0.1, 0.9, 0.1]
+    grid = spark.createDataFrame([(i, float(np.expm1(h))) for i, h in enumerate(heights)], "i int, density double")
+    got = sorted(tuple(r[:2]) for r in D.peaks_and_valleys(grid, 1).collect())
+    assert got == [("peak", 3), ("peak", 5), ("valley", 4)]
