@@ -1,12 +1,12 @@
 """Encoding whole texts with the tokenizers library, one call for each distinct word.
 
-Both vocabularies cut a text into pre-tokens before merging. A text is first cut
-at places where a pre-token always ends, each distinct piece is encoded once by
-the library, and the ids are joined. Pieces of plain Latin letters, digits and
-ASCII symbols, whose pre-tokens are known, go to the library's merge model
-directly; all other pieces pass through its whole chain. Pieces are kept in a
-two-generation cache of bounded size. Results equal those of encoding the text in
-one call.
+Both vocabularies cut a text into pre-tokens before merging. A batch of texts is
+first cut at places where a pre-token always ends; equal pieces of the batch are
+numbered by Arrow, each distinct piece is looked up once, and the texts' ids are
+gathered by number. Pieces of plain Latin letters, digits and ASCII symbols, whose
+pre-tokens are known, go to the library's merge model directly; all other pieces
+pass through its whole chain. Pieces are kept in a two-generation cache of bounded
+size. Results equal those of encoding the text in one call.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -56,55 +58,75 @@ class PieceEncoder:
         self.parts: dict[str, bytes] = {}
         self.model, self.letters, self.find = self.t.model, byte_letters(), PRE_TOKENS[mode].findall
 
-    def _fill(self, pieces: set) -> None:
-        """Remember the ids of pieces that aren't known yet."""
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, remembered."""
         new, old, known, slow = self.new, self.old, self.parts, []
         word, find, tokenize, letters = self.mode == "word", self.find, self.model.tokenize, self.letters
-        for p in pieces:
-            if (ids := old.get(p)) is not None:
-                new[p] = ids
+        out = list(map(new.get, pieces))
+        for n, ids in enumerate(out):
+            if ids is not None:
                 continue
-            text = p.decode().lower() if word else p
-            parts = find(text)
-            if "".join(parts) != text:  # its pre-tokens aren't known
-                slow.append(p)
-                continue
-            ids = []
-            for q in parts:
-                if (i := known.get(q)) is None:
-                    shown = q if q.isascii() and q[0] not in " \n" else q.encode().decode("latin-1").translate(letters)
-                    known[q] = i = array("I", [x.id for x in tokenize(shown)]).tobytes()
-                ids.append(i)
-            new[p] = b"".join(ids)
+            p = pieces[n]
+            if (ids := old.get(p)) is None:
+                text = p.lower() if word else p
+                parts = (text,) if text.isascii() and text[not word :].isalpha() else find(text)
+                if len(parts) != 1 and "".join(parts) != text or len(parts) == 1 and parts[0] != text:
+                    slow.append(n)  # its pre-tokens aren't known
+                    continue
+                ids = b""
+                for q in parts:
+                    if (i := known.get(q)) is None:
+                        shown = q if q.isascii() and q[0] not in " \n" else q.encode().decode("latin-1").translate(letters)
+                        known[q] = i = array("I", [x.id for x in tokenize(shown)]).tobytes()
+                    ids += i
+            new[p] = out[n] = ids
         if len(known) > 2 * self.limit:
             known.clear()
         if slow:
-            texts = [p.decode() for p in slow] if word else slow
-            for p, e in zip(slow, self.t.encode_batch_fast(texts, add_special_tokens=False)):
-                new[p] = array("I", e.ids).tobytes()
-
-    def _pieces(self, text: str) -> list | None:
-        if self.mode == "word":
-            return text.encode().split()
-        if "  " in text or text[0] == " ":
-            return None
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+            for n, e in zip(slow, self.t.encode_batch_fast([pieces[n] for n in slow], add_special_tokens=False)):
+                new[pieces[n]] = out[n] = array("I", e.ids).tobytes()
+        if len(new) > self.limit:
+            self.old, self.new = new, {}
+        return out
 
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_many(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text; a null text is empty."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 100):
-            cut = [self._pieces(t) if t else [] for t in texts[at : at + 100]]
-            self._fill(set().union(*(c for c in cut if c)).difference(self.new))
-            get = self.new.__getitem__
-            for t, c in zip(texts[at : at + 100], cut):
-                if c is None:
-                    out.append(np.array(self.t.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32))
-                else:
-                    out.append(np.frombuffer(b"".join(map(get, c)), np.uint32))
-            if len(self.new) > self.limit:
-                self.old, self.new = self.new, {}
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(col):
+            return []
+        col, whole = pc.fill_null(col, ""), np.empty(0, np.int64)
+        if self.mode == "word":
+            cut = pc.ascii_split_whitespace(col)
+        else:
+            odd = pc.or_(pc.match_substring(col, "  "), pc.starts_with(col, " "))
+            whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            cut = pc.split_pattern(pc.if_else(odd, "", col), " ")
+        ends = cut.offsets.to_numpy()
+        named = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        code, ends = named.indices.to_numpy().astype(np.int64), ends - ends[0]
+        words = named.dictionary.to_pylist()
+        if self.mode == "byte":  # all but a text's first piece follow a space
+            firsts = ends[:-1][ends[1:] > ends[:-1]]
+            spaced = np.ones(code.size, bool)
+            spaced[firsts] = False
+            used = np.flatnonzero(np.bincount(code[spaced], minlength=len(words)))
+            bare, at = np.unique(code[firsts], return_inverse=True)
+            place = np.zeros(len(words), np.int64)
+            place[used] = np.arange(used.size)
+            code = place[code]
+            code[firsts] = used.size + at
+            words = [" " + words[i] for i in used.tolist()] + [words[i] for i in bare.tolist()]
+        held = self._ids(words)
+        size = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        pool, begin = np.frombuffer(b"".join(held), np.uint32), np.cumsum(size) - size
+        n = size[code]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(begin[code] - stop[:-1], n) + np.arange(stop[-1])]
+        edge = stop[ends]
+        out = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        if whole.size:
+            for i, e in zip(whole.tolist(), self.t.encode_batch_fast([col[i].as_py() for i in whole.tolist()], add_special_tokens=False)):
+                out[i] = np.array(e.ids, np.uint32)
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
