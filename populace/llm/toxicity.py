@@ -9,7 +9,10 @@ scored whole: weights of its distinct features are summed.
 
 Nulls: a null text is empty and gets the model's score without features. Without
 labels of both kinds the score is the share of label 1 (0 where there is none).
-Repeated rows score alike; an empty table gives an empty result.
+Repeated rows score alike; an empty table gives an empty result; extra columns are
+ignored. A long text is scored whole, and may exceed the sample's bound of characters:
+it is then no part of the sample. A doc_id that labels repeat counts once, as toxic if
+any of its rows says so.
 """
 
 from __future__ import annotations
@@ -110,8 +113,8 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, min_docs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on whole texts of at most 2 * per_class labelled rows, max_chars in all; the
-    label's share is of all labelled rows."""
+    """Fit on whole texts of at most 2 * per_class labelled rows, max_chars in all (a text that
+    would exceed them is left out); the label's share is of all labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y")).where("_id is not null")
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     order = F.xxhash64("_id"), F.col("_id")
@@ -121,10 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     sized = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.max(F.length("_t")).alias("n")).collect()
     left, chosen = max_chars, []
     for r in sorted(sized, key=lambda r: zlib.crc32(str(r["_id"]).encode())):
-        left -= r["n"] or 0
-        if left < 0 and chosen:
-            break
-        chosen.append((r["_id"], r["_y"]))
+        if (r["n"] or 0) <= left:  # a text that doesn't fit is left out, not those after it
+            left -= r["n"] or 0
+            chosen.append((r["_id"], r["_y"]))
     wanted = docs.sparkSession.createDataFrame(chosen, sample.schema)
     rows = texts.join(F.broadcast(wanted), "_id").dropDuplicates(["_id"]).collect()
     rows.sort(key=lambda r: r["_id"])
