@@ -1,21 +1,30 @@
 """Main text of HTML pages from parser events and text-to-tag ratios.
 
 The standard library's parser streams events. Text between block boundaries is a
-line; a line carries its characters and the number of tags seen in it. The ratio
-of both is smoothed over the page's lines by a Gaussian, and a threshold found by
-two-means clustering of the smoothed log ratios parts dense from sparse lines.
-Lines belong to regions (the innermost sectioning element); the regions that hold
-the dense lines are content, and their lines are kept whole, short ones too.
-Elements whose tag, role, class or id names boilerplate never give lines.
-
-Nulls: a null page is empty; a page without content has an empty text. Markup
-that never ends, stray end tags and unclosed elements are handled as the parser
-reports them.
+line; a line carries its characters, those inside links, and the number of tags seen
+since the line before. The ratio of characters to tags is smoothed over the page's
+lines by a Gaussian, and a threshold found by two-means clustering of the smoothed
+log ratios parts dense from sparse lines.
+
+Dense lines select the content: from the page downwards, the element that holds next
+to all dense characters of the element around it is entered, unless a heading would be
+left outside; an article is entered whole. Inside what is selected, lines are kept, short
+ones too, but for sparse lines that are mostly links (menus). Elements that HTML itself
+names as navigation, footers, asides, forms and the like give no lines. Elements whose
+class, id or role names adverts, notices, comments and the like give none either; a name
+other than one of comments isn't believed of an element that holds an article.
+
+Nulls: a null page is empty; a page without content has an empty text. Markup that never
+ends, stray end tags, unclosed elements and unknown declarations are handled as a
+browser's parser would skip them. Repeated rows are extracted each; an empty table gives an
+empty result; extra columns are ignored; a long page takes time in proportion to its
+length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,83 +39,142 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-REGIONS = frozenset("article body div main section td".split())
+#: Elements that content can be confined to.
+CONTAINERS = frozenset("article body div main section table td".split())
 SKIPPED = frozenset("head script style noscript template iframe svg math object canvas video audio select option button textarea label input nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id or role that name boilerplate.
+#: Words of a class, id or role that name boilerplate; those of TALK name readers' comments.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist contentinfo"
-    " cookie cookies consent copyright disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar"
-    " navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related replies"
-    " respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs contentinfo cookie cookies consent copyright"
+    " disclaimer footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices"
+    " notification overlay pager pagination popup promo promoted recommended related share sharing sidebar signup skip social"
+    " sponsor sponsored subscribe subscription toolbar widget".split()
 )
-SPLIT = re.compile(r"[^a-z]+")
+TALK = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words beside which those say what the element is not, or which part of the content it is.
+NOT = frozenset("has is no not with without hide show".split())
+PART = frozenset("article body content entry main page post story".split())
+SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
+#: Share of the dense characters around it that an element holds to be entered, and share
+#: of a line's characters in links that makes it a menu's.
+ENTER, LINKED = 0.9, 0.5
+
+
+def named(attrs: list[tuple[str, str | None]]) -> str:
+    """What an element's names say: "talk", "aside" or nothing."""
+    found = ""
+    for key, value in attrs:
+        if key not in ("class", "id", "role") or not value:
+            continue
+        for token in value.lower().split():
+            words = set(SPLIT.split(token))
+            if words & NOT:
+                continue
+            if words & TALK:
+                return "talk"
+            if words & NAMES and not words & PART:
+                found = "aside"
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags in it, region)."""
+    """Collects lines: (text, tags, characters in links, container, whether a heading, name)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
-        #: open elements: name, whether it hides its content, region number, whether inside an article
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
-        self.regions = 0
+        self.tags = self.linked = self.link = 0
+        #: of each container: the one around it, its tag; of each name: whether talk, whether it holds an article
+        self.around, self.kind = [0], [""]
+        self.names: list[list[bool]] = []
+        #: open elements: tag, whether it hides its content, container, whether in an article, name
+        self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, -1)]
+        self.count: Counter[str] = Counter()
+
+    # a page is fed whole, so what hasn't ended by its end never does: it reaches to the end
+
+    def parse_starttag(self, i):
+        return self._to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._to_end(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=True):
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._to_end(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        try:
+            return self._to_end(super().parse_html_declaration(i))
+        except AssertionError:  # a marked section of unknown kind
+            return self._to_end(self.parse_bogus_comment(i))
+
+    def _to_end(self, k):
+        return len(self.rawdata) if k < 0 else k
 
     def flush(self):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.open[-1][2]))
+                tag, _, container, _, name = self.open[-1]
+                heading = any(t in HEADINGS for t, *_ in self.open[-3:])
+                self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), container, heading, name))
+                self.tags = 0
             self.parts = []
-        self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
-        _, hidden, region, article = self.open[-1]
-        if tag in BLOCKS:
-            if not hidden:
-                self.flush()
-        elif not hidden:
+        _, hidden, container, article, name = self.open[-1]
+        if tag in BLOCKS and not hidden:
+            self.flush()
+        if not hidden:
             self.tags += 1
             if tag == "br":
                 self.parts.append(" ")
         if tag in VOID:
             return
         if not hidden:
-            hidden = tag in SKIPPED or tag == "header" and not article
-            for name, value in attrs:
-                if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
-                    hidden = hidden or not NAMES.isdisjoint(SPLIT.split(value.lower()))
-                elif name == "class" and value and tag == "article":
-                    hidden = hidden or not {"comment", "comments", "related", "promo", "ad", "ads"}.isdisjoint(SPLIT.split(value.lower()))
-                elif name == "hidden" or name == "aria-hidden" and value == "true":
-                    hidden = True
-        if tag in REGIONS:
-            self.regions += 1
-            region = self.regions
-            if article and tag in ("div", "section", "td"):
-                region = self.open[-1][2]  # parts of an article stay with it
-        self.open.append((tag, hidden, region, article or tag in ("article", "main")))
+            hidden = tag in SKIPPED or tag == "header" and not article or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            says = "" if tag in ("html", "body", "main") else named(attrs)
+            if says and name < 0:
+                self.names.append([says == "talk", False])
+                name = len(self.names) - 1
+            if tag in ("article", "main") and name >= 0 and not says:
+                self.names[name][1] = True
+        if tag in CONTAINERS:
+            self.around.append(container)
+            self.kind.append(tag)
+            container = len(self.around) - 1
+        if tag == "a" and not hidden:
+            self.link += 1
+        self.open.append((tag, hidden, container, article or tag in ("article", "main"), name))
+        self.count[tag] += 1
 
     def handle_endtag(self, tag):
         hidden = self.open[-1][1]
+        if not hidden:
+            self.tags += 1
+        if not self.count[tag]:
+            if tag == "p" and not hidden:
+                self.flush()
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 if tag in BLOCKS and not hidden:
                     self.flush()
+                for t, shut, *_ in self.open[k:]:
+                    self.count[t] -= 1
+                    if t == "a" and not shut and self.link:
+                        self.link -= 1
                 del self.open[k:]
                 break
             if self.open[k][0] in BLOCKS and tag not in BLOCKS:
                 return  # an inline end tag doesn't close blocks
-        else:
-            if tag == "p" and not hidden:
-                self.flush()
-        if tag not in BLOCKS and not hidden:
-            self.tags += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -116,6 +184,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.open[-1][1]:
             self.parts.append(data)
+            if self.link:
+                self.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -140,26 +210,48 @@ def threshold(x: np.ndarray) -> float:
     return (a + b) / 2
 
 
-def extract(html: str | None, sigma: float = 1.0) -> str:
-    """The page's content blocks in page order, joined by two newlines."""
+def selected(lines: list[tuple], around: list[int], kind: list[str], dense: np.ndarray) -> int:
+    """The container that holds the content: entered from the page on as long as one inner
+    element has ENTER of the dense characters and no heading is left outside."""
+    n = len(around)
+    weight, titles, inner = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
+    for (text, _, _, c, heading, _), d in zip(lines, dense):
+        weight[c] += len(text) * bool(d)
+        titles[c] += heading
+    for c in range(n - 1, 0, -1):  # inner ones have larger numbers
+        weight[around[c]] += weight[c]
+        titles[around[c]] += titles[c]
+        inner[around[c]].append(c)
+    at = 0
+    while kind[at] != "article" and inner[at]:
+        best = max(inner[at], key=lambda c: (weight[c], -c))
+        if weight[best] < ENTER * weight[at] or titles[best] < titles[at] and kind[best] not in ("body", "article", "main"):
+            break
+        at = best
+    return at
+
+
+def extract(html: str | None, sigma: float = 1.0, ratios: bool = True) -> str:
+    """The page's content blocks in page order, joined by two newlines. Without ``ratios``
+    every line counts as dense."""
     if not html:
         return ""
     p = Lines()
     p.feed(html)
     p.close()
     p.flush()
-    if not p.lines:
+    believed = [talk or not holds for talk, holds in p.names]
+    lines = [line for line in p.lines if line[5] < 0 or not believed[line[5]]]
+    if not lines:
         return ""
-    ratio = np.log1p([len(t) / (1 + n) for t, n, _ in p.lines])
-    dense = smooth(ratio, sigma)
-    cut = threshold(dense)
-    region = np.array([r for *_, r in p.lines])
-    weight = np.array([len(t) for t, *_ in p.lines], float)
-    names, at = np.unique(region, return_inverse=True)
-    held = np.bincount(at, weight * (dense >= cut), names.size)
-    # a region is content if it has a fair part of what the densest one holds
-    content = held >= 0.3 * held.max()
-    return "\n\n".join(t for (t, *_), k in zip(p.lines, content[at]) if k)
+    dense = np.ones(len(lines), bool)
+    if ratios:
+        level = smooth(np.log1p([len(line[0]) / line[1] for line in lines]), sigma)
+        dense = level >= threshold(level)
+    chosen, inside = selected(lines, p.around, p.kind, dense), [True] * len(p.around)
+    for c in range(len(p.around)):
+        inside[c] = c == chosen or c > chosen and inside[p.around[c]] and p.around[c] != c
+    return "\n\n".join(text for (text, _, linked, c, heading, _), d in zip(lines, dense) if inside[c] and (d or heading or linked < LINKED * len(text)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
