@@ -4,11 +4,13 @@ A document fails the base rules when it has under 50 words, or when more than
 half of its words lie in 3-word windows that the text holds twice or more.
 Failures are then counted by host; the failure rate of a host is shrunk towards
 a beta prior fitted to all hosts by the method of moments; a host whose shrunk
-rate reaches ``host_limit`` loses its other documents too.
+rate reaches ``host_limit`` (of which more documents are expected to fail than to
+pass) loses its other documents too. A host of few documents is judged by the prior,
+so one bad page doesn't condemn it.
 
-Nulls: a null text has no words (it fails); null hosts form one host. Repeated
-rows are judged one by one; an empty table gives an empty result. Extra columns
-are ignored.
+Nulls: a null text has no words (it fails); null hosts form one host; a null id is an id
+as any other. Repeated rows are judged one by one; an empty table gives an empty result.
+Extra columns are ignored. A long text is judged whole, in the memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import save
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-HOST_LIMIT = 0.9
+#: Shrunk failure rate from which a host is rejected.
+HOST_LIMIT = 0.5
 #: The prior's weight in documents: bounds for the moment estimate.
 PRIOR_MIN, PRIOR_MAX = 2.0, 1000.0
 
@@ -28,15 +31,14 @@ PRIOR_MIN, PRIOR_MAX = 2.0, 1000.0
 def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Grams are compared by 64-bit hash with their place in the text; two unequal
-    windows of one text meet with a chance of about n^2 / 2^65.
+    A text's windows are sorted as strings; equal neighbours are repeats.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_w", F.array_remove(F.split(t, SPACE), ""))
     d = d.withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn(
         "_g",
-        F.when(F.size("_w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))),
+        F.when(F.size("_w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))),
     )
     same = lambda k, x: F.coalesce(F.get("_g", k)["h"] == x["h"], F.lit(False))
     d = d.withColumn("_h", F.sort_array(F.transform(F.filter("_g", lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"])))
