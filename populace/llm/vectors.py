@@ -1,24 +1,29 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by its ``prefix`` nearest pivots, nearest first. Pivots
-are vectors of a bounded sample (all vectors are indexed), each less than APART
-alike to those before it: a dense group holds few pivots, which all its members
-have in common, and the other pivots of their prefixes tell them apart as little as
-the links need. Where few vectors are that far apart, few pivots are left, lists
-grow, and at ``prefix`` pivots or fewer all pairs are compared. A vector enters the
-inverted list of each pivot of its prefix; in a list, pairs that share at least
-``shared`` pivots are candidates, and a candidate is a link if its cosine in
-double precision reaches ``limit``. A pair is counted only in the list of its
-lowest shared pivot.
-
-Equal vectors are folded into one first, with their number. Lists longer than
-``block`` are cut into blocks and each pair of blocks is one group, so no task
-holds a whole hot list. A group returns link counts and a spanning set of links
-for each vector, never its pairs.
-
+are vectors of a sample (all vectors are indexed), each less than APART alike to those
+before it: a dense group holds few pivots, which all its members have in common, and
+the other pivots of their prefixes tell them apart as little as the links need. Where
+few vectors are that far apart, few pivots are left, lists grow, and at ``prefix``
+pivots or fewer all pairs are compared. A vector enters the inverted list of each pivot
+of its prefix; in a list, pairs that share at least ``shared`` pivots are candidates,
+and a candidate is a link if its cosine in double precision reaches ``limit``. A pair
+is counted only in the list of its lowest shared pivot.
+
+Pivots grow as twice the root of the distinct vectors, within PIVOT_BYTES, which bounds
+the broadcast. A list is cut into blocks of ``block`` rows and each pair of blocks is one
+group, so no task holds a whole list. A list of over SPLIT blocks is dealt by its rows' other
+pivots instead (candidates share a second pivot): lists of two pivots hold some 14 rows
+whatever the number of vectors, while single ones grow as its root; long ones, of dense
+groups, are cut into blocks again. So a vector is copied SPLIT times a list at most, but for
+dense groups. A group returns link counts and a spanning set of links for each vector,
+never its pairs.
+
+Equal vectors are folded into one first, with their number; they are told apart by 128 bits.
 Vectors that are null, zero, of another length than most, or that hold null or
-non-finite components link with nothing. A null id sorts first. Repeated ids are
-separate vectors whose counts are given for each row.
+non-finite components link with nothing. A null id is the smallest. Repeated ids are
+separate vectors whose counts are given for each row. Pivots equally near are ordered by
+number. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import spanning
 from .common import components, discard, save, tidy
 
-PIVOTS_MAX, PREFIX, SHARED, BLOCK = 1024, 8, 2, 2000
-#: Cosine that two pivots stay under, and vectors drawn for each pivot wanted.
-APART, DRAWN = 0.5, 4
+PREFIX, SHARED, BLOCK, SPLIT = 8, 2, 2000, 7
+#: Cosine that two pivots stay under, vectors drawn for each pivot wanted, and bytes of all pivots.
+APART, DRAWN, PIVOT_BYTES = 0.5, 4, 64 << 20
 
 
-def pivot_count(n: int) -> int:
-    """Pivots for n distinct vectors: 2 sqrt(n), 16 to PIVOTS_MAX."""
-    return max(16, min(PIVOTS_MAX, round(2 * math.sqrt(n))))
+def pivot_count(n: int, dim: int) -> int:
+    """Pivots for n distinct vectors: 2 sqrt(n), 16 at least, PIVOT_BYTES in all."""
+    return max(16, min(PIVOT_BYTES // (8 * max(dim, 1)), round(2 * math.sqrt(n))))
 
 
 def unit(rows: list, dim: int) -> np.ndarray:
@@ -62,14 +68,17 @@ def apart(x: np.ndarray, most: int) -> np.ndarray:
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first."""
-    near = -(x @ pivots.T)
-    k = min(prefix, pivots.shape[0])
-    top = np.argpartition(near, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    k, step, out = min(prefix, len(pivots)), max(1, (32 << 20) // (8 * len(pivots))), []
+    for at in range(0, len(x), step):
+        near = -(x[at : at + step] @ pivots.T)
+        top = np.sort(np.argpartition(near, k - 1, axis=1)[:, :k], axis=1)
+        out.append(np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
 
 
-def match(pivot: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, limit: float, shared: int, same: bool) -> np.ndarray:
-    """Links between the rows of x and y that this pivot's list is to count."""
+def match(pivot: int, second: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, limit: float, shared: int, same: bool) -> np.ndarray:
+    """Links between the rows of x and y that this list is to count: the list of the pair's
+    lowest shared pivot or, with ``second`` >= 0, of its two lowest."""
     used = np.intersect1d(px, py)
     lower = int(np.searchsorted(used, pivot))
 
@@ -81,6 +90,9 @@ def match(pivot: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarr
 
     a, b = sets(px), sets(py)
     cand = (a @ b.T >= shared) & (a[:, :lower] @ b[:, :lower].T == 0)
+    if second >= 0:
+        upto = int(np.searchsorted(used, second))
+        cand &= a[:, :upto] @ b[:, :upto].T == 1
     if same:
         cand &= np.tri(len(x), k=-1, dtype=bool)
     at = np.flatnonzero(cand.any(axis=1))
@@ -90,25 +102,7 @@ def match(pivot: int, x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarr
     return out
 
 
-def spanning(links: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id reachable) by the links of a block pair; unlinked ids are left out."""
-    lx, ly = ids_x.copy(), ids_y.copy()
-    i, j = np.nonzero(links)
-    while i.size:
-        low = np.minimum(lx[i], ly[j])
-        nx, ny = lx.copy(), ly.copy()
-        np.minimum.at(nx, i, low)
-        np.minimum.at(ny, j, low)
-        if ids_x is ids_y:
-            nx = ny = np.minimum(nx, ny)
-        if (nx == lx).all() and (ny == ly).all():
-            break
-        lx, ly = nx, ny
-    a, r = np.concatenate([ids_x, ids_y]), np.concatenate([lx, ly])
-    return a[a != r], r[a != r]
-
-
-def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector: str = "embedding", prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -117,11 +111,14 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce((F.size("v") == dim) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("good", good)
-    reps = v.where("good").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    reps = save(reps.select(F.xxhash64("v").alias("cid"), "v", "low", "n"), "vectors")
+    h1, h2 = F.xxhash64("v"), F.xxhash64(F.lit(1), "v")
+    reps = v.where("good").groupBy("v").agg(F.min(F.struct("vec_id")).alias("low"), F.count("*").alias("n"))
+    reps = save(reps.select(F.monotonically_increasing_id().alias("cid"), h1.alias("h1"), h2.alias("h2"), "v", F.col("low.vec_id").alias("low"), "n"), "vectors")
     total = reps.count()
-    drawn = reps.orderBy(F.xxhash64("cid"), "cid").limit(DRAWN * pivot_count(total)).select("v").collect()
-    pivots = apart(unit([r["v"] for r in drawn], dim), pivot_count(total))
+    wanted = pivot_count(total, dim)
+    drawn = reps.orderBy("h1", "h2").limit(DRAWN * wanted).select("v").toArrow().column("v").combine_chunks()
+    flat = drawn.flatten().to_numpy().reshape(-1, max(dim, 1))
+    pivots = apart(flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True)), wanted)
     held, p = spark.sparkContext.broadcast(pivots), len(pivots)
     shared = min(shared, p)
 
@@ -133,41 +130,43 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(near)), pa.array([r.tobytes() for r in x], pa.binary())], ["cid", "n", "near", "x"])
 
     described = save(reps.select("cid", "v", "n").mapInArrow(tidy(describe), "cid long, n long, near array<int>, x binary"), "vectors-described")
-    lists = described.select("cid", "n", "near", "x", F.explode("near").alias("pivot"))
-    # a row for each pivot, so PIVOTS_MAX at most
-    sizes = {r["pivot"]: r["count"] for r in described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}
-    cuts = [max(1, math.ceil(sizes.get(k, 0) / block)) for k in range(p)]
-    n_cuts = F.get(F.array(*(F.lit(c) for c in cuts)) if cuts else F.array(F.lit(1)), F.col("pivot"))
-    lists = lists.withColumn("cuts", n_cuts).withColumn("own", F.pmod(F.xxhash64("cid", "pivot"), F.col("cuts")).cast("int"))
-    dealt = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "near", "x")
+    lists = described.select("*", F.explode("near").alias("pivot"))
+    sizes = save(lists.groupBy("pivot").agg(F.count("*").alias("rows")), "lists")
+    lists = lists.join(sizes, "pivot")
+    long_list = (F.col("rows") > split * block) & F.lit(shared >= 2)
+    short = lists.where(~long_list).withColumn("second", F.lit(-1))
+    dealt = short
+    if not sizes.where(long_list).isEmpty():
+        pairs = lists.where(long_list).drop("rows").withColumn("second", F.explode(F.filter("near", lambda q: q > F.col("pivot"))))
+        by_two = save(pairs.groupBy("pivot", "second").agg(F.count("*").alias("rows")), "lists-of-two")
+        dealt = short.unionByName(pairs.join(by_two.where("rows > 1"), ["pivot", "second"]))
+    dealt = dealt.withColumn("cuts", F.ceil(F.col("rows") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid", "pivot"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.select("pivot", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "near", "x")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, i, j = (int(k) for k in key)
+        pivot, second, i, j = (int(k) for k in key)
         x = np.frombuffer(b"".join(pdf["x"]), np.float64).reshape(len(pdf), dim)
         near = np.stack(pdf["near"].to_numpy())
         ids, n, own = pdf["cid"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
         s, t = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        links = match(pivot, x[s], near[s], x[t], near[t], limit, shared, i == j)
+        links = match(pivot, second, x[s], near[s], x[t], near[t], limit, shared, i == j)
         count = np.zeros(len(pdf), np.int64)
         np.add.at(count, s, links @ n[t])
         np.add.at(count, t, n[s] @ links)
-        if i == j:
-            ids_s = ids[s]
-            a, r = spanning(links, ids_s, ids_s)
-        else:
-            a, r = spanning(links, ids[s], ids[t])
+        a, r = spanning(links, ids[s], ids[t])
         lit = count > 0
         return pd.DataFrame({"cid": np.concatenate([ids[lit], a]), "n_links": np.concatenate([count[lit], np.zeros(a.size, np.int64)]), "root": np.concatenate([ids[lit], r])})
 
-    found = save(dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "cid long, n_links long, root long"), "vectors-links")
+    found = save(dealt.groupBy("pivot", "second", "i", "j").applyInPandas(compare, "cid long, n_links long, root long"), "vectors-links")
     counts = found.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).where("a <> b"))
     named = reps.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    named = save(named.select("cid", "low", "n", F.coalesce("n_links", F.lit(0)).alias("m"), F.coalesce("root", "cid").alias("root")), "vectors-named")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_cid = named.join(least, "root").select("cid", (F.col("n") - 1 + F.col("m")).alias("n_links"), "component_id")
-    keyed = v.withColumn("cid", F.when(F.col("good"), F.xxhash64("v"))).select("vec_id", "cid")
-    discard(described, found, roots)
-    out = keyed.join(by_cid, "cid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = save(named.select("cid", "h1", "h2", "low", "n", F.coalesce("n_links", F.lit(0)).alias("m"), F.coalesce("root", "cid").alias("root")), "vectors-named")
+    least = named.groupBy("root").agg(F.min(F.struct("low")).alias("least"))
+    by_cid = named.join(least, "root").select("h1", "h2", (F.col("n") - 1 + F.col("m")).alias("n_links"), F.col("least.low").alias("component_id"), F.lit(True).alias("met"))
+    keyed = v.select("vec_id", F.when(F.col("good"), h1).alias("h1"), F.when(F.col("good"), h2).alias("h2"))
+    discard(described, found, roots, sizes)
+    out = keyed.join(by_cid, ["h1", "h2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
