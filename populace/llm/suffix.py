@@ -3,8 +3,8 @@
 A ``length``-byte string (window) that also starts earlier, in a smaller doc_id
 or before it in the same document, is a repeat; every byte of a repeat goes.
 
-1. Whole copies of a text are folded; a later copy of ``length`` bytes or more
-   goes whole.
+1. Whole copies of a text (told apart by 128 bits) are folded; a later copy of
+   ``length`` bytes or more goes whole.
 2. Every window has an anchor: the leftmost 32-byte gram of least hash in it.
    Equal windows have equal anchors at equal places, so a window whose anchor
    occurs once is no repeat. This drops no repeat.
@@ -21,7 +21,8 @@ or before it in the same document, is a repeat; every byte of a repeat goes.
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat doc_id
 and text are one document; among equal doc_ids a hash of the text orders.
-An empty table gives an empty result; extra columns are ignored.
+An empty table gives an empty result; extra columns are ignored. A long text is cut
+into contexts like any other, so no shard holds more of it than its repeats' surroundings.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save, tidy
+from .common import discard, named_texts, save, tidy
 
 GRAM = 32
 SHARD_BYTES = 3 << 20
@@ -285,14 +286,12 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
     return out
 
 
-def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", keep_bytes: bool = False, **how) -> DataFrame:
+def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", keep_bytes: bool = False, hash_of=F.xxhash64, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; the bytes kept too if asked for."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    named = base.withColumn("uid", F.xxhash64("text"))
     # the first of equal texts stands for all
-    folded = named.groupBy("uid").agg(F.min(F.struct("doc_id")).alias("low"))
-    folded = save(folded.select("uid", "low.doc_id").withColumnRenamed("doc_id", "low"), "texts")
-    firsts = named.join(folded, "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
+    named, lows = named_texts(base, hash_of)
+    firsts = named.join(lows, "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
     found = repeats(firsts.select("uid", "doc_id", "text"), length, **how)
     spans = save(found.groupBy("uid").agg(F.collect_list(F.struct("b0", "b1")).alias("spans")), "repeat-spans")
 
@@ -320,6 +319,6 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)][: 5 + keep_bytes], names[: 5 + keep_bytes])
 
-    ranked = named.join(folded, "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
+    ranked = named.join(lows, "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
     out = ranked.join(spans, "uid", "left").select("doc_id", "text", "first", "spans")
     return out.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
