@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ class Verify:
     pairs: Callable[[DataFrame], DataFrame]
     fetch: Callable[[DataFrame], DataFrame]
     block: Callable[[list, list], np.ndarray]
+    #: saved tables of loads, discarded when the links are found
+    kept: list[DataFrame] = field(default_factory=list)
 
 
 def spanning(links: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +202,7 @@ def linked(sources: list[Source], verify: Verify | None = None, lags: int = LAGS
         if not mixed.isEmpty():
             across.append(_across(mixed, s.distance, verify, block))
     if not across:
-        discard(*trash, links)
+        discard(*trash, links, *(verify.kept if verify else []))
         return first
     both = across[0]
     for e in across[1:]:
@@ -210,5 +212,5 @@ def linked(sources: list[Source], verify: Verify | None = None, lags: int = LAGS
     out = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
     lone = second.join(first.select("node"), "node", "left_anti").select("node", "root")
     out = save(out.union(lone), f"{name}-roots")
-    discard(*trash, links, both, first, second)
+    discard(*trash, links, both, first, second, *(verify.kept if verify else []))
     return out

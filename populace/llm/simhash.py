@@ -155,9 +155,11 @@ def near_components(named: DataFrame, lows: DataFrame, similarity: float = 0.8,
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """The texts of some uids, each from its first document: the one place where texts move."""
-        first = wanted.join(lows.select(F.col("uid").alias("id"), "low"), "id")
-        found = named.join(first, (F.col("uid") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("low")))
-        return found.select("id", F.col("text").alias("words")).dropDuplicates(["id"])
+        # joined on plain columns, by which repeated rows then lie together
+        at = lambda c: F.coalesce(c, F.lit(-(2**63)))
+        first = wanted.join(lows.select(F.col("uid").alias("id"), at("low").alias("at")), "id")
+        found = named.select("uid", at("doc_id").alias("place"), "text").join(first, (F.col("uid") == F.col("id")) & (F.col("place") == F.col("at")))
+        return found.select("id", "at", F.col("text").alias("words")).dropDuplicates(["id", "at"])
 
     sources = [fingerprint_source(each.where("fp <> 0").select("id", "fp"), CANDIDATE_BITS, "id"), Source(banded(each))]
     roots = linked(sources, jaccard(fetch, similarity), name="near")

@@ -240,8 +240,18 @@ def jaccard(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR
             loads = [shingles(word_hashes(t.as_py() or "")).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(loads, pa.binary())], ["id", "load"])
 
+    kept: list[DataFrame] = []
+
     def loaded(wanted: DataFrame) -> DataFrame:
-        return save(fetch(wanted).select("id", "words").mapInArrow(tidy(hashed, forget), "id long, load binary"), "shingles")
+        """The loads of some ids; those that were fetched before aren't fetched again."""
+        for held in kept:
+            wanted = wanted.join(held.select("id"), "id", "left_anti")
+        if not kept or not wanted.isEmpty():
+            kept.append(save(fetch(wanted).select("id", "words").mapInArrow(tidy(hashed, forget), "id long, load binary"), "shingles"))
+        out = kept[0]
+        for more in kept[1:]:
+            out = out.union(more)
+        return out
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -256,11 +266,9 @@ def jaccard(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR
     def pairs(found: DataFrame) -> DataFrame:
         held = loaded(found.select(F.col("a").alias("id")).union(found.select("b")).distinct())
         both = found.join(held.select(F.col("id").alias("a"), F.col("load").alias("la")), "a").join(held.select(F.col("id").alias("b"), F.col("load").alias("lb")), "b")
-        out = save(both.select("a", "b", "la", "lb").mapInArrow(tidy(score), "a long, b long"), "links")
-        discard(held)
-        return out
+        return save(both.select("a", "b", "la", "lb").mapInArrow(tidy(score), "a long, b long"), "links")
 
-    return Verify(pairs, loaded, lambda left, right: similar_block(left, right, similarity))
+    return Verify(pairs, loaded, lambda left, right: similar_block(left, right, similarity), kept)
 
 
 def repeated_paragraphs(units: DataFrame) -> DataFrame:
@@ -312,7 +320,9 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     # written, so that the joins read two plain shuffles and a hot seed can be split
     twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
     again = save(found.join(twice, "seed"), "seeds-again")
+    discard(found, twice)
     spots = save(again.groupBy("seed", "uid", "at").agg(F.min("doc_id").alias("doc_id")), "seeds-spots")
+    discard(again)
     firsts = save(spots.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")), "seeds-first")
     met = spots.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first"), (F.col("n") > 2).alias("many"))
     by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first", "many")).alias("met")).join(lows, "uid")
@@ -358,7 +368,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     later = seen.where("not is_first").select("seed", "uid", "doc_id", "at", "many", "words")
     pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words", "seed")
     met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, seed long, window long"), "passages-met")
-    discard(found, twice, again, spots, firsts, seen)
+    discard(spots, firsts, seen)
     windows = met.where("window is not null")
     place = F.struct("doc_id", "uid", "w0")
     common = save(windows.groupBy("seed", "window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("seed", "window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
