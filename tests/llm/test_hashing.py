@@ -278,6 +278,23 @@ def test_op4_all_in_one_group(spark):
     assert got.agg(F.sum("n_links")).first()[0] == (u @ u.T >= 0.9).sum() - 200
 
 
+def test_op4_lists_of_two_pivots(spark):
+    """Lists beyond SPLIT blocks are dealt by pairs of pivots: the same links, each counted once."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(500, 24)), rng.normal(size=24) + 0.25 * rng.normal(size=(250, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain, dealt = (vectors.link(df, **how).toPandas().sort_values("vec_id") for how in ({}, {"block": 10, "split": 1}))
+    assert plain["n_links"].sum() > 2000
+    for c in ("n_links", "component_id", "kept"):
+        assert (plain[c].to_numpy() == dealt[c].to_numpy()).all()
+
+
+def test_op4_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 1.0, 2.0])]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("1", 2, "None", False), ("1", 2, "None", False), ("5", 0, "5", True), ("6", 0, "6", True), ("None", 2, "None", True)]
+
+
 def test_op4_empty(spark):
     assert vectors.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

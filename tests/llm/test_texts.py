@@ -102,6 +102,29 @@ def test_op1_small_blocks_nulls_and_order(spark):
     assert [r[1] for r in out] == [2, 4, 6]
 
 
+def test_grammar_goes_to_its_end():
+    """No rule that pays is left: what is frequent still overlaps itself or a better pair."""
+    rng = np.random.default_rng(1)
+    phrases = [rng.integers(0, 500, rng.integers(3, 30)).astype(np.uint32) for _ in range(60)]
+    rows = [np.concatenate([phrases[i] for i in rng.integers(0, 60, 12)]) for _ in range(400)]
+    ids, ends = np.concatenate(rows), np.zeros(sum(r.size for r in rows), bool)
+    ends[np.cumsum([r.size for r in rows]) - 1] = True
+    seq, last, rules = repair.compress(ids, ends, 500)
+    again = repair.compress(seq, last, 500 + len(rules))[2]
+    assert len(again) == 0 and len(np.unique(rules, axis=0)) == len(rules) and seq.size < 0.3 * ids.size
+    assert seq.size < repair.compress(ids, ends, 500, rounds=2)[0].size
+
+
+def test_op1_finds_documents_by_id(spark, docs):
+    rows = [*docs[:60], (None, "a null id"), (10**6, "word " * 3000)]
+    blocks = repair.write_blocks(spark.createDataFrame(rows, SCHEMA), vocabulary("word_bpe_49k.json"), block_tokens=4000)
+    ref, asked = whole("word_bpe_49k.json"), [docs[3][0], docs[41][0], 10**6, -5]
+    got = {r["doc_id"]: r["ids"] for r in repair.find_documents(blocks, asked).collect()}
+    assert got == {d: [*ref(t), 1] for d, t in rows if d in asked}
+    found = blocks.where((F.col("first_id") <= docs[3][0]) & (F.col("last_id") >= docs[3][0]))
+    assert found.count() == 1 < blocks.count()
+
+
 def check_packing(rows, got, capacity=1024):
     ref = whole("byte_bpe_50k.json")
     by_doc, by_seq = {}, {}
@@ -154,6 +177,35 @@ def test_vector_constraints_hold(lengths, rule, docs, attention):
         assert sorted(off[seq == s]) == sorted(np.cumsum(own[np.argsort(off[seq == s])]) - own[np.argsort(off[seq == s])])
 
 
+def test_op5_constraints_bind():
+    """Short and nearly full pieces: the query's capacities of documents and tiles are met, at few sequences more."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.integers(1, 20, 3000), rng.integers(900, 1024, 300), rng.integers(1, 1025, 1000)])
+    limit = (1024 / packing.TILE) ** 2 + packing.SPARE_TILES
+    seq, _ = packing.best_fit(x, 1024, packing.MAX_DOCS, limit, tile=packing.TILE)
+    tiles = np.bincount(seq, np.ceil(x / packing.TILE) ** 2)
+    assert np.bincount(seq).max() == packing.MAX_DOCS and tiles.max() == limit and np.bincount(seq, x).max() <= 1024
+    free, _ = packing.best_fit(x, 1024, 1024, 1024.0**2)
+    assert np.bincount(free).max() > packing.MAX_DOCS and free.max() <= seq.max()
+
+
+def test_op5_constraints_cost_few_sequences(spark):
+    """On the given documents: hardly more sequences than by tokens alone."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    x = np.array([r["length"] for r in packing.pieces(d, vocabulary("byte_bpe_50k.json")).select("length").collect()])
+    limit = (1024 / packing.TILE) ** 2 + packing.SPARE_TILES
+    seq, _ = packing.best_fit(x, 1024, packing.MAX_DOCS, limit, tile=packing.TILE)
+    free, _ = packing.best_fit(x, 1024, 1024, 1024.0**2)
+    assert seq.max() <= 1.002 * free.max()
+
+
+def test_op5_repeated_texts(spark):
+    rows = [(i % 3, "same words here") for i in range(50)] + [(None, "same words here")]
+    parts = packing.pieces(spark.createDataFrame(rows, SCHEMA).withColumn("length", F.lit("x")), vocabulary("byte_bpe_50k.json"))
+    got = packing.pack(parts).collect()
+    assert len(got) == 51 and max(sum(r["sequence_id"] == s for r in got) for s in {r["sequence_id"] for r in got}) == packing.MAX_DOCS
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdehlost 'éß日\n1"), max_size=80))
 def test_bpe_equals_the_library(text):
@@ -283,6 +335,18 @@ def test_op8_without_labels_and_texts(spark):
     assert toxicity.score_documents(d.limit(0), one).count() == 0
 
 
+def test_op8_a_long_text_costs_the_others_nothing(spark, monkeypatch):
+    """A labelled text beyond the sample's characters is left out alone, wherever it stands in order."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("fine", "good", "calm", "words")) if i % 2 else rng.choice(("vile", "awful", "nasty", "words")) for _ in range(30))) for i in range(120)]
+    lab = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows] + [(1000 + i, 1) for i in range(40)], "doc_id long, toxic int")
+    long_rows = [(1000 + i, "long text " * 3000) for i in range(40)]
+    df = spark.createDataFrame(rows + long_rows + rows[:2], SCHEMA)
+    m = toxicity.train(df, lab, max_chars=25_000)
+    assert (m.weights != 0).any() and all((m.score(t) >= 0.5) == (i % 2 == 0) for i, t in rows)
+    assert toxicity.train(df, lab, max_chars=0).weights.any() == False  # noqa: E712
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=1>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <main><article><h1>Head &amp; line</h1><p>First  para <b>bold</b>,<br>more.<p>Second &lt;para&gt; with enough words to be dense.
@@ -312,6 +376,71 @@ def test_op10_on_the_given_pages(spark, sf):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+def bare_page(rng):
+    """A page without article or main, or any telling name, and its text."""
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    menu = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{say(rng.randrange(1, 4))}</a></li>" for i in range(n)) + "</ul>"
+    title, parts = say(6), [say(rng.randrange(15, 60)) for _ in range(rng.randrange(3, 8))] + [say(3)]
+    rng.shuffle(parts)
+    body = f"<h2>{title}</h2>" + "".join(f"<p>{t[:20]}<i>{t[20:]}</i></p>" for t in parts)
+    if rng.random() < 0.5:
+        body += f"<div>{menu(6)}</div>"
+    low = "".join(f"<div><a href=#>{say(2)}</a> <b>{say(1)}</b></div>" for _ in range(8))
+    return f"<html><body><div id=top>{menu(9)}</div><div class='c1'><div>{body}</div></div><div>{low}</div><div class=foot>{menu(4)}<span>{say(2)}</span></div></body></html>", "\n\n".join([title, *(t for t in parts)])
+
+
+def test_op10_ratios_find_content_without_names():
+    rng = random.Random(0)
+    pages = [bare_page(rng) for _ in range(60)]
+    right = lambda **how: sum(html_text.extract(h, **how) == t for h, t in pages)
+    assert right() >= 57 and right(ratios=False) <= 6
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>a</p><![foo[ x ]]><p>b</p>", "a\n\nb"),
+    ('<div class="content has-sidebar"><article><p>in it</p></article></div>', "in it"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>text</p></article>', "Title\n\ntext"),
+    ('<div class="ad-layout"><article><p>in it</p></article></div>', "in it"),
+    ('<main><p>in it</p><div class="post-comments"><article><p>A reader.</p></article></div></main>', "in it"),
+    ("<div><h1>T</h1><div><p>body text of some length</p><p>more of it</p></div></div>", "T\n\nbody text of some length\n\nmore of it"),
+    ("<p>x<!-- never ends <p>y", "x"),
+    ("<nav>a</nav><aside>b</aside><form>c</form>", ""),
+])
+def test_op10_markup_of_many_kinds(page, text):
+    assert html_text.extract(page) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<!", "<![", "[", "]]>", "<p", "<div>", "</div>", "</p>", "<b class='", "'", "&", "&#x;", "<!--", "-->", "<?", "<script>", "</script>", "text", " ", "\x00", "<article>", "é"]), max_size=40))
+def test_op10_never_fails(parts):
+    assert isinstance(html_text.extract("".join(parts)), str)
+
+
+def test_op10_long_pages_repeats_and_empty_table(spark):
+    import time
+
+    began = time.process_time()
+    for part in ("<", "<p ", "<a href='", "<!--", "<![x", "</x ", "&"):
+        html_text.extract(part * 50_000)
+    html_text.extract("<div>" * 30_000 + "</b>" * 30_000)
+    assert time.process_time() - began < 20
+    page = "<article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "u", page), (1, "u", page), (2, "v", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("x"))
+    got = html_text.extract_pages(df).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, *[len("\n\n".join(f"paragraph {i} of a long page" for i in range(20_000)))] * 2]
+    assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_op3_repeated_rows_nulls_and_long_texts(spark):
+    rows = [(1, "h", "a b c d"), (1, "h", "a b c d"), (None, None, "x " * 60), (2, "h", " ".join(f"w{i}" for i in range(20_000))), (3, "h", " ".join(f"w{i % 10_000}" for i in range(20_001)))]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"), ["doc_id"]).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 5 and by[1]["n_words"] == 4 and by[None]["n_repeat_words"] == 60
+    assert (by[2]["n_words"], by[2]["n_repeat_words"], by[3]["n_repeat_words"]) == (20_000, 0, 20_001)
+    assert not by[2]["base_failed"] and by[3]["base_failed"]
+
+
 def test_pipeline_against_single_stages(spark, sf, docs):
     """Each stage against a plain version of its rule on its own input."""
     import corpus_pipeline as C
