@@ -34,22 +34,26 @@ MAGIC = b"RPG1"
 BLOCK_TOKENS = 1 << 20
 
 
-def _choose(rank: np.ndarray, none: int) -> np.ndarray:
-    """Places of non-overlapping pairs, better ranks first. rank[i] is for (i, i+1)."""
-    place = np.flatnonzero(rank < none)
-    rank, picked = rank[place], []
+def _choose(place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places of pairs (i, i + 1) in order, with their ranks, those that don't overlap, better
+    ranks first; in no order."""
+    at, won_rank = [], []
     while place.size:
         # of neighbouring places the better one is taken, the left one of equals
         beside = place[1:] == place[:-1] + 1
-        wins_left = np.concatenate([[True], ~beside | (rank[1:] < rank[:-1])])
-        wins_right = np.concatenate([~beside | (rank[:-1] <= rank[1:]), [True]])
-        won = wins_left & wins_right
-        picked.append(place[won])
+        left = beside & (rank[1:] < rank[:-1])
+        won = np.ones(place.size, bool)
+        won[:-1] &= ~left
+        won[1:] &= ~(beside & ~left)
+        at.append(place[won])
+        won_rank.append(rank[won])
         gone = won.copy()
         gone[1:] |= won[:-1] & beside
         gone[:-1] |= won[1:] & beside
         place, rank = place[~gone], rank[~gone]
-    return np.sort(np.concatenate(picked)) if picked else np.empty(0, np.int64)
+    if not at:
+        return np.empty(0, np.int64), np.empty(0, np.int16)
+    return np.concatenate(at), np.concatenate(won_rank)
 
 
 #: Bytes of a rule with its expansion length.
@@ -100,9 +104,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int | None =
         table = np.full(1 << 18, none)
         table[slot[::-1]] = np.arange(keys.size - 1, -1, -1, dtype=np.int16)
         rank = table[slots]
-        rank[np.append(keys, never)[rank.clip(max=keys.size)] != key] = none
-        at = _choose(rank, none)
-        met = np.bincount(rank[at], minlength=keys.size)
+        place = np.flatnonzero(rank < none)
+        rank = rank[place]
+        same = keys[rank] == key[place]
+        at, rank = _choose(place[same], rank[same])
+        met = np.bincount(rank, minlength=keys.size)
         used = np.flatnonzero(met >= min_count)
         unseen = table[slot] != np.arange(keys.size)
         split = lambda v: np.stack([(v >> shift).astype(np.uint32), (v & kind((1 << bits) - 1)).astype(np.uint32)], 1)
@@ -112,11 +118,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int | None =
             if not len(left):
                 break
             continue
-        at = at[met[rank[at]] >= min_count]
+        pays = met[rank] >= min_count
+        at, rank = at[pays], rank[pays]
+        order = np.argsort(at)
+        at, rank = at[order], rank[order]
         rules.append(split(keys[used]))
         as_new = np.zeros(keys.size, np.uint32)
         as_new[used] = nxt + np.arange(used.size, dtype=np.uint32)
-        seq[at] = as_new[rank[at]]
+        seq[at] = as_new[rank]
         last[at] = last[at + 1]
         keep = np.ones(seq.size, bool)
         keep[at + 1] = False

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces held in each generation of a worker's cache.
-CACHE = 400_000
+CACHE = 700_000
 
 # Latin letters below U+0250, which no normal form changes and which lower-case one by one
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
@@ -69,10 +69,15 @@ class PieceEncoder:
             p = pieces[n]
             if (ids := old.get(p)) is None:
                 text = p.lower() if word else p
-                parts = (text,) if text.isascii() and text[not word :].isalpha() else find(text)
-                if len(parts) != 1 and "".join(parts) != text or len(parts) == 1 and parts[0] != text:
-                    slow.append(n)  # its pre-tokens aren't known
-                    continue
+                body = text[1:] if text[:1] == " " else text
+                # plain letters are one pre-token; U+00AA, U+00B5 and U+00BA are letters that normal forms change
+                if body.isalpha() and (body.isascii() or max(body) < "\u0250" and "\xaa" not in body and "\xb5" not in body and "\xba" not in body):
+                    parts = (text,)
+                else:
+                    parts = find(text)
+                    if "".join(parts) != text:
+                        slow.append(n)  # its pre-tokens aren't known
+                        continue
                 ids = b""
                 for q in parts:
                     if (i := known.get(q)) is None:
