@@ -117,5 +117,15 @@ def with_unassigned(categories: Column) -> Column:
     return F.array_union(categories, F.array(F.lit(UNASSIGNED)))
 
 
-def modality(cofactor: Column, limit: float = 100.0) -> Column:
+def modality(cofactor: Column, limit: float = 100.0, cohort: Column | None = None, cytof: Sequence[str] = ()) -> Column:
+    """flow or cytof: by the list of cytof cohorts where one is given, else by the cofactor."""
+    if cohort is not None and cytof:
+        return F.when(cohort.isin(*cytof), "cytof").otherwise("flow")
     return F.when(cofactor >= limit, "flow").otherwise("cytof")
+
+
+def gate_column(columns: Sequence[str], leaf: str, hint: str | None = None) -> str | None:
+    """The gate column of a leaf: named so, or ending in ``__`` and the leaf's name. Of several
+    the one that holds ``hint``, else the first."""
+    found = [c for c in columns if c == leaf or c.endswith(f"__{leaf}")]
+    return next((c for c in found if len(found) > 1 and hint and hint in c), found[0] if found else None)

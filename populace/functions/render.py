@@ -26,6 +26,20 @@ def density_bar(counts: Column, marks: str = MARKS) -> Column:
     return F.array_join(F.transform(counts, lambda n: F.substring(F.lit(marks), level(n) + 1, F.lit(1))), "")
 
 
+#: The marks of a block bar, from low to full.
+BLOCKS = "▁▂▃▄▅▆▇█"
+
+
+def block_bar(counts: Column, scale: str = "linear") -> Column:
+    """A block for each bin, by its share of the fullest one, rounded to even; ``log`` compares
+    logarithms of the counts. An empty bin is blank, and a bar without rows all low."""
+    size = (lambda n: F.log1p(F.greatest(n, F.lit(0)))) if scale == "log" else (lambda n: F.greatest(n, F.lit(0)).cast("double"))
+    top = F.array_max(F.transform(counts, size))
+    level = lambda n: F.bround(size(n) / top * (len(BLOCKS) - 1), 0).cast("int")
+    mark = lambda n: F.when(top <= 0, BLOCKS[0]).when(n <= 0, " ").otherwise(F.substring(F.lit(BLOCKS), level(n) + 1, F.lit(1)))
+    return F.array_join(F.transform(counts, mark), "")
+
+
 def axis_line(name: Column, n: Column, low: Column, high: Column, quartiles: Sequence[Column]) -> Column:
     return F.format_string("%s: n=%d, %.2f to %.2f, quartiles %.2f / %.2f / %.2f", name, n, low, high, *quartiles)
 

@@ -154,3 +154,12 @@ def flatten(docs: DataFrame, group: Sequence[str], doc: str) -> DataFrame:
 def prompt_cells(text: Column) -> Column:
     """Cell numbers of a prompt's ``## cell_N`` headers."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^## cell_(\d+)"), F.lit(1)), lambda v: v.cast("int"))
+
+
+def propagation(parsed: DataFrame, group: Sequence[str]) -> DataFrame:
+    """What a group's parsed gates (group, category, kind) come to: categories in all, with
+    a gate, declared absent and lost, single gates, and the categories that have one."""
+    drawn = F.col("kind").isin("rect", "polygon")
+    of = lambda c: F.countDistinct(F.when(c, F.col("category")))
+    by = parsed.groupBy(*group).agg(F.countDistinct("category").alias("n_total"), of(drawn).alias("n_valid"), of(F.col("kind") == "absent").alias("n_absent"), of(F.col("kind") == "missing").alias("n_lost"), F.count_if(drawn).alias("n_gates"), F.sort_array(F.collect_set(F.when(drawn, F.col("category")))).alias("categories"))
+    return by.select(*group, "n_total", "n_valid", "n_absent", "n_lost", "n_gates", "categories")

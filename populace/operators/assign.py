@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import UNASSIGNED
@@ -76,20 +76,45 @@ def largest_region(rows: DataFrame, region: str, label: str, categories: Sequenc
 
 
 def knn_vote(grid: DataFrame, points: DataFrame, k: int, radius: float) -> DataFrame:
-    """Distance-weighted vote of the k nearest labelled points for each grid point.
-
-    grid: (gid, x, y); points: (pid, x, y, label). Both sides are keyed by square
-    cells of ``radius``, so only points of the 9 cells around a grid point are met;
-    grid points with fewer than k points within ``radius`` get no label."""
-    from pyspark.sql import Window
-
+    """Distance-weighted vote of the k nearest labelled points (all, if there are fewer) for
+    each grid point; nearest first, then by pid.
+
+    grid: (gid, x, y), a bounded raster; points: (pid, x, y, label). Both sides are keyed by
+    square cells of ``radius``, so only points of the 9 cells around a grid point are met; grid
+    points with fewer than k points within the radius are met again with one twice as wide,
+    until all have theirs. A grid point's points are ranked in 64 parts by hash before the
+    best of each part are, so no task holds all points of a crowded cell."""
+    from ..plans.flagship import cut_lineage
+
+    total = points.count()
+    k, left, found, span = min(k, total), grid, None, None
+    if not k:
+        return grid.select("gid", F.lit(None).cast("string").alias("label")).limit(0)
+    while True:
+        near = cut_lineage(_nearest_within(left, points, k, radius))
+        full = near.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") == k).select("gid")
+        found = near.join(full, "gid", "left_semi") if found is None else found.union(near.join(full, "gid", "left_semi"))
+        left = cut_lineage(left.join(full, "gid", "left_anti"))
+        if left.isEmpty():
+            break
+        if span is None:
+            box = points.select("x", "y").union(grid.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+            span = 2 * (box[0] + box[1]) + radius
+        radius = min(2 * radius, span)
+    votes = found.groupBy("gid", "label").agg(F.sum(1 / F.greatest("d", F.lit(1e-12))).alias("v"))
+    return votes.groupBy("gid").agg(F.min_by("label", F.struct(-F.col("v"), F.col("label"))).alias("label"))
+
+
+def _nearest_within(grid: DataFrame, points: DataFrame, k: int, radius: float) -> DataFrame:
+    """(gid, pid, label, d) of the k nearest points within ``radius`` of each grid point."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     g = grid.select("gid", F.col("x").alias("gx"), F.col("y").alias("gy"), around.alias("c")).select("gid", "gx", "gy", "c.cx", "c.cy")
     p = points.select("pid", "x", "y", "label", cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt((F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy")))
     met = g.join(p, ["cx", "cy"]).select("gid", "pid", "label", d.alias("d")).where(F.col("d") <= radius)
-    w = Window.partitionBy("gid").orderBy("d", "pid")
-    near = met.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    votes = near.groupBy("gid", "label").agg(F.sum(1 / F.greatest("d", F.lit(1e-12))).alias("v"), F.count("*").alias("n"))
-    return votes.groupBy("gid").agg(F.min_by("label", F.struct(-F.col("v"), F.col("label"))).alias("label"), F.sum("n").alias("n")).where(F.col("n") == k).select("gid", "label")
+    # the best k of each part first: what is then ranked for a grid point is at most 64 k
+    cells = met.withColumn("_c", F.pmod(F.xxhash64("pid"), F.lit(64)))
+    first = Window.partitionBy("gid", "_c").orderBy("d", "pid")
+    few = cells.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r", "_c")
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy("gid").orderBy("d", "pid"))).where(F.col("_r") <= k).drop("_r")

@@ -84,17 +84,36 @@ def grid_cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+#: Gates, counted once for each grid cell that they cover, that are sent to every task at most.
+SENT_MAX = 200_000
+
+
 def assign_by_table(points: DataFrame, gates: DataFrame, key: str, size_x: float, size_y: float) -> DataFrame:
     """``points`` (key, x, y) with ``label`` from rectangle rows (category, ord, x_min,
-    x_max, y_min, y_max). Both sides are keyed by grid cell; the smallest area wins,
-    the larger ord of equal ones."""
+    x_max, y_min, y_max); the smallest area wins, the larger ord of equal ones.
+
+    A grid cell's gates are one array, so a point meets its cell's gates in its own row and is
+    never moved, while the cells are few enough to be sent; beyond SENT_MAX both are shuffled."""
     cells = gates.select("*", F.explode(grid_cells(F.col("x_min"), F.col("x_max"), size_x)).alias("_gx"))
     cells = cells.select("*", F.explode(grid_cells(F.col("y_min"), F.col("y_max"), size_y)).alias("_gy"))
-    keyed = points.select(key, "x", "y", F.floor(F.col("x") / size_x).alias("_gx"), F.floor(F.col("y") / size_y).alias("_gy"))
-    met = keyed.join(cells, ["_gx", "_gy"]).where("x between x_min and x_max and y between y_min and y_max")
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
-    best = met.groupBy(key).agg(F.min_by("category", F.struct(area.alias("a"), (-F.col("ord")).alias("o"))).alias("label"))
-    return points.join(best, key, "left").withColumn("label", F.coalesce("label", F.lit(UNASSIGNED)))
+    gate = F.struct(area.alias("a"), (-F.col("ord")).alias("o"), "category", "x_min", "x_max", "y_min", "y_max")
+    by_cell = cells.groupBy("_gx", "_gy").agg(F.collect_list(gate).alias("_g"))
+    if cells.count() <= SENT_MAX:
+        by_cell = F.broadcast(by_cell)
+    keyed = points.withColumns({"_gx": F.floor(F.col("x") / size_x), "_gy": F.floor(F.col("y") / size_y)})
+    hit = F.filter("_g", lambda g: F.col("x").between(g["x_min"], g["x_max"]) & F.col("y").between(g["y_min"], g["y_max"]))
+    out = keyed.join(by_cell, ["_gx", "_gy"], "left").withColumn("label", F.coalesce(F.array_min(hit)["category"], F.lit(UNASSIGNED)))
+    return out.drop("_gx", "_gy", "_g")
+
+
+def range_warnings(gates: DataFrame, extent: tuple[float, float, float, float]) -> DataFrame:
+    """(category, axis, low, high) of the rectangles that reach beyond the data on an axis.
+    extent: x_min, x_max, y_min, y_max of the data."""
+    a, b, c, d = extent
+    one = lambda axis, lo, hi, low, high: F.when((F.col(lo) < low - 1e-9) | (F.col(hi) > high + 1e-9), F.struct(F.lit(axis).alias("axis"), F.col(lo).alias("low"), F.col(hi).alias("high")))
+    found = F.filter(F.array(one("x", "x_min", "x_max", a, b), one("y", "y_min", "y_max", c, d)), lambda w: w.isNotNull())
+    return gates.select("category", F.explode(found).alias("w")).select("category", "w.*")
 
 
 def overlaps(gates: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -58,6 +58,26 @@ def task_metrics(counts: DataFrame, categories: DataFrame, task: Sequence[str])
     return out.select(*task, "n_cells", r4(F.col("n_right") / F.col("n_cells")).alias("accuracy"), r4("balanced_accuracy").alias("balanced_accuracy"), r4("f1_macro").alias("f1_macro"), r4("f1_weighted").alias("f1_weighted"), r4("proportion_error").alias("proportion_error"))
 
 
+def observed_metrics(counts: DataFrame, task: Sequence[str]) -> DataFrame:
+    """Task metrics over the labels that occur on either side."""
+    seen = class_metrics(counts, task).select(*task, "label")
+    return task_metrics(counts, seen, task).drop("proportion_error")
+
+
+def depleted_split(per: DataFrame, task: Sequence[str], depleted: DataFrame) -> DataFrame:
+    """Mean recall and hull overlap of a task's depleted categories and of their siblings.
+
+    per: (task, label, recall, n_gt, iou), depleted: (task key..., label), joined on the columns
+    that both have. Unassigned is neither; a category without reference rows has no recall,
+    one without a hull no overlap. A task without a depleted category is left out."""
+    key = [c for c in depleted.columns if c in task]
+    marked = per.where(F.col("label") != UNASSIGNED).join(depleted.select(*key).distinct(), key, "left_semi")
+    marked = marked.join(depleted.select(*key, "label", F.lit(True).alias("_d")), [*key, "label"], "left").withColumn("_d", F.coalesce("_d", F.lit(False)))
+    recall = F.when(F.col("n_gt") > 0, F.col("recall"))
+    means = [F.avg(F.when(F.col("_d") == side, v)).alias(f"{name}_{what}") for what, side in (("depleted", True), ("siblings", False)) for name, v in (("recall", recall), ("iou", F.col("iou")))]
+    return marked.groupBy(*task).agg(F.count_if("_d").alias("n_depleted"), F.count_if(~F.col("_d")).alias("n_siblings"), *means)
+
+
 METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "proportion_error")
 
 

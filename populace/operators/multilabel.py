@@ -58,12 +58,53 @@ def metrics(rows: DataFrame, group: Sequence[str], gt: str, pred: str, leaves: S
     return by.select(*group, "n", *(F.round(v, 4).alias(c) for c, v in out.items()))
 
 
-def rater_agreement(rows: DataFrame, raters: Sequence[str], step: Sequence[str], labels: Sequence[str], ordered: bool) -> DataFrame:
+def report(rows: DataFrame, group: Sequence[str], gt: str, pred: str, leaves: Sequence[str]) -> DataFrame:
+    """(group, leaf, precision, recall, f1, gt_support, pred_support): a row a leaf, 0 where
+    a ratio is undefined."""
+    one = lambda leaf: F.struct(F.lit(leaf).alias("leaf"), F.array_contains(gt, leaf).alias("g"), F.array_contains(pred, leaf).alias("p"))
+    long = rows.select(*group, F.explode(F.array(*(one(x) for x in leaves))).alias("r")).select(*group, "r.*")
+    by = long.groupBy(*group, "leaf").agg(F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if("g").alias("gt_support"), F.count_if("p").alias("pred_support"))
+    safe = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    tp, g, p = F.col("tp"), F.col("gt_support"), F.col("pred_support")
+    return by.select(*group, "leaf", safe(tp, p).alias("precision"), safe(tp, g).alias("recall"), safe(2 * tp, g + p).alias("f1"), "gt_support", "pred_support")
+
+
+def set_sizes(rows: DataFrame, group: Sequence[str], gt: str, pred: str) -> DataFrame:
+    """Rows of a group whose set is Discard alone, and of more than one leaf, on either side."""
+    aggs = []
+    for name, c in (("gt", gt), ("pred", pred)):
+        aggs += [F.count_if(F.array_contains(c, DISCARD) & (F.size(c) == 1)).alias(f"n_{name}_discard"), F.count_if(F.size(c) > 1).alias(f"n_{name}_multi")]
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), *aggs)
+
+
+def cluster_problems(clusters: DataFrame, expected: DataFrame, leaves: Sequence[str], step_of: Mapping[str, str]) -> DataFrame:
+    """(cluster, why, collides) of each predicted or expected cluster.
+
+    clusters: (cluster, leaves array); expected: (cluster). why: not expected, no prediction,
+    empty, unknown leaf, Discard mixed with leaves, or nothing. collides: two leaves of one
+    step, which is counted and not an error. step_of: leaf -> its step's column."""
+    known = F.array(*(F.lit(v) for v in [*leaves, DISCARD]))
+    got = clusters.select("cluster", "leaves", F.lit(True).alias("_p"))
+    both = got.join(expected.select("cluster", F.lit(True).alias("_e")), "cluster", "full")
+    why = F.when(F.col("_e").isNull(), "not expected").when(F.col("_p").isNull(), "no prediction")
+    why = why.when(F.coalesce(F.size("leaves"), F.lit(0)) <= 0, "empty").when(F.size(F.array_except("leaves", known)) > 0, "unknown leaf")
+    why = why.when(F.array_contains("leaves", DISCARD) & (F.size("leaves") > 1), "Discard mixed with leaves").otherwise("")
+    steps = F.create_map(*(F.lit(x) for kv in step_of.items() for x in kv)) if step_of else F.create_map().cast("map<string,string>")
+    named = F.transform(F.filter("leaves", lambda v: v != DISCARD), lambda v: F.try_element_at(steps, v))
+    collides = F.coalesce(F.size(named) > F.size(F.array_distinct(named)), F.lit(False))
+    return both.select("cluster", why.alias("why"), collides.alias("collides"))
+
+
+def rater_agreement(rows: DataFrame, raters: Sequence[str], step: Sequence[str], labels: Sequence[str], ordered: bool, inside: Mapping[str, str] | None = None) -> DataFrame:
     """Pooled and macro F1 of each pair of raters over events, from one pass over the
-    wide table: raters are columns. Macro leaves out (step, label) that never occur."""
+    wide table: raters are columns. Macro leaves out (step, label) that never occur.
+
+    inside: each rater's column that says whether the event is in the step's parent by their
+    own labels; a pair is compared where both say so."""
     pairs = (permutations if ordered else combinations)(raters, 2)
-    rows_of = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(c).alias("label"), (F.col(a) == c).alias("g"), (F.col(b) == c).alias("p")) for a, b in pairs for c in labels]
-    long = rows.select(*step, F.explode(F.array(*rows_of)).alias("r")).select(*step, "r.*")
+    both = lambda a, b: F.col(inside[a]) & F.col(inside[b]) if inside else F.lit(True)
+    rows_of = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(c).alias("label"), (F.col(a) == c).alias("g"), (F.col(b) == c).alias("p"), both(a, b).alias("in")) for a, b in pairs for c in labels]
+    long = rows.select(*step, F.explode(F.array(*rows_of)).alias("r")).select(*step, "r.*").where("in")
     k = long.groupBy("first", "second", *step, "label").agg(F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if(~F.col("g") & F.col("p")).alias("fp"), F.count_if(F.col("g") & ~F.col("p")).alias("fn"))
     f1 = lambda a, b, c: F.try_divide(2 * a, 2 * a + b + c)
     pooled = f1(F.sum("tp"), F.sum("fp"), F.sum("fn"))

@@ -290,12 +290,36 @@ def standardize(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> Dat
 
 def clip_scale(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, top: float = 10.0) -> DataFrame:
     """Clip to exact quantiles and scale to 0..top."""
-    a, b = df.select(F.percentile(quoted(column).cast("double"), F.array(F.lit(low), F.lit(high)))).first()[0] or (0.0, 0.0)
+    from .windows import quantiles
+
+    row = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], column, (low, high)).first()
+    a, b = row["q"] if row else (0.0, 0.0)
     span = (b - a) or 1.0
     c = F.greatest(F.lit(a), F.least(F.lit(b), quoted(column).cast("double")))
     return df.withColumn(column, (c - a) / span * top)
 
 
+#: Fixed value: the kinds of channels that are clipped and scaled; the others are transformed.
+SCALED_KINDS = ("scatter", "tech")
+
+
+def ingest(df: DataFrame, kinds: Mapping[str, str], cofactor: float, low: float = 0.01, high: float = 0.99, top: float = 10.0) -> DataFrame:
+    """``df`` with its channels as they are stored: scatter and tech channels clipped to
+    their 1st and 99th percentiles and scaled to 0..top (0 where those are equal), all others
+    asinh(x / cofactor). kinds: channel -> kind."""
+    from .windows import quantiles
+
+    new = {}
+    for c, kind in kinds.items():
+        if kind in SCALED_KINDS:
+            row = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], c, (low, high)).first()
+            a, b = row["q"] if row else (0.0, 0.0)
+            new[c] = (F.least(F.greatest(quoted(c), F.lit(a)), F.lit(b)) - a) / (b - a) * top if b > a else F.when(quoted(c).isNotNull(), 0.0)
+        else:
+            new[c] = F.asinh(quoted(c) / cofactor)
+    return df.withColumns(new)
+
+
 def replace_names(text: Column, names: Mapping[str, str], protected: Sequence[str] = ()) -> Column:
     """Replace names by stand-ins, longest first; protected names stay as they are."""
     held = [(p, f"\x00{i}\x00") for i, p in enumerate(sorted(protected, key=len, reverse=True))]

@@ -6,11 +6,13 @@ remote service sets the pace. Resume by anti-joining the work list with the sink
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def call(rows: DataFrame, fn: Callable[[str], str], attempts: int = 3, wait: float = 1.0) -> DataFrame:
@@ -35,6 +37,55 @@ def call(rows: DataFrame, fn: Callable[[str], str], attempts: int = 3, wait: flo
     return rows.select("key", "prompt").mapInPandas(run, "key string, answer string, attempts int, seconds double, status string")
 
 
+def _gone(spark, path: str, delete: bool = False) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(p, True)
+    return not fs.exists(p)
+
+
+def call_in_batches(rows: DataFrame, fn: Callable[[str], str], folder: str, config: Mapping, batches: int = 4, **how) -> DataFrame:
+    """The answers (key, answer, attempts, seconds, status) to rows (key, prompt), by batches
+    that are checkpointed in ``folder``, a shared one.
+
+    A folder of another configuration, or with answers to keys that aren't asked for, is an
+    error, and so are repeated keys. Only keys without an answer are asked. A batch is committed
+    whole; where calls of it failed, the answers it got stay and the run ends with an error, to
+    be resumed. When every key has its answer the checkpoint is replaced by the result.
+    """
+    spark, want = rows.sparkSession, json.dumps(dict(config), sort_keys=True)
+    meta, done, result = f"{folder}/meta", f"{folder}/records", f"{folder}/result"
+    schema = "key string, answer string, attempts int, seconds double, status string"
+    if rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a key is asked for twice")
+    if _gone(spark, meta):
+        spark.createDataFrame([(want,)], "value string").coalesce(1).write.text(meta)
+        spark.createDataFrame([], schema).write.parquet(done)
+    elif spark.read.text(meta).first()[0] != want:
+        raise ValueError(f"the checkpoint in {folder} is of another configuration")
+    if not _gone(spark, result):
+        return spark.read.schema(schema).parquet(result)
+    records = lambda: spark.read.schema(schema).parquet(done)
+    if records().join(rows, "key", "left_anti").limit(1).count():
+        raise ValueError(f"the checkpoint in {folder} has keys that aren't asked for")
+    for b in range(batches):
+        todo = rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b).join(records().select("key"), "key", "left_anti")
+        trial = f"{folder}/batch"
+        call(todo, fn, **how).write.mode("overwrite").parquet(trial)
+        got = spark.read.schema(schema).parquet(trial)
+        got.where("status = 'ok'").write.mode("append").parquet(done)
+        failed = got.where("status <> 'ok'")
+        if n := failed.count():
+            raise RuntimeError(f"{n} calls failed; first: {failed.orderBy('key').first()}")
+    if rows.join(records(), "key", "left_anti").limit(1).count():
+        raise RuntimeError(f"the checkpoint in {folder} lacks answers")
+    records().write.parquet(result)
+    for path in (done, f"{folder}/batch"):
+        _gone(spark, path, delete=True)
+    return spark.read.schema(schema).parquet(result)
+
+
 def dialogue(prompt: str, ask: Callable[[list, bool], dict], tools: dict[str, Callable[[dict], str]], turns: int = 4) -> dict:
     """A bounded agent loop: the first turn must call a tool, the last one must answer."""
     history: list = [{"role": "user", "text": prompt}]

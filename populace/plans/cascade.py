@@ -60,6 +60,27 @@ def labels_from_booleans(df: DataFrame, steps: Sequence[tuple[str, str, Mapping[
     return df
 
 
+def labels_by_lookup(df: DataFrame, steps: Sequence[tuple[str, str, Sequence[str]]], gates: Sequence[str], aliases: Mapping[str, str] | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
+    """As labels_from_booleans, from (column, parent, categories): a category's gate column is
+    found among ``gates`` by its own name or path suffix, else by the name that ``aliases`` gives
+    it, of which ``hints`` (category prefix -> part of the parent's path) picks among several.
+    A category without a gate column labels nothing."""
+    from ..functions.predicates import gate_column
+
+    aliases, hints = aliases or {}, hints or {}
+    named = []
+    for column, parent, categories in steps:
+        found = {}
+        for c in categories:
+            at = gate_column(gates, c)
+            if at is None and c in aliases:
+                at = gate_column(gates, aliases[c], next((h for p, h in hints.items() if c.startswith(p)), None))
+            if at is not None:
+                found[c] = at
+        named.append((column, parent, found))
+    return labels_from_booleans(df, named)
+
+
 def leaf_categories(steps: Sequence[tuple[str, Sequence[str]]]) -> list[str]:
     """Categories that no step's parent names, in plan order. steps: (parent, categories)."""
     used = {v for parent, _ in steps for c in parse(parent) for v in c.values}

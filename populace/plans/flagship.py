@@ -14,8 +14,12 @@ from ..operators.gates import assign
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="populace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

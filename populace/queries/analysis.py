@@ -87,7 +87,11 @@ def kde_grid(spark, sf):
     return D.kde(ev(spark, sf), "x", 128).select("i", F.round("density", 5).alias("density"))
 
 
-@query("D3 W7")
+@query("D3 W7", """WITH s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * power(3 * count(*) / 4, -0.2) * 0.5 AS h FROM ev), k AS (SELECT round(x, 6) AS v, count(*) AS k FROM ev GROUP BY 1),
+g AS (SELECT i::INT AS i, ln(1 + any_value(n) * sum(k * exp(-0.5 * power((lo + i * ((hi - lo) / 255) - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))) AS s FROM range(256) r(i), k, s GROUP BY i),
+t AS (SELECT i, s, coalesce(s > lag(s) OVER w AND s > lead(s) OVER w, false) AS top FROM g WINDOW w AS (ORDER BY i)),
+p AS (SELECT i, s, top AND s >= 0.5 * (SELECT max(s) FROM t WHERE top) AS pk FROM t), q AS (SELECT *, sum(pk::INT) OVER (ORDER BY i) AS gap FROM p)
+SELECT 'peak' AS kind, i, round(s, 4) AS height FROM q WHERE pk UNION ALL SELECT 'valley', arg_min(i, s), round(min(s), 4) FROM q WHERE gap > 0 AND gap < (SELECT max(gap) FROM q) AND NOT pk GROUP BY gap""")
 def kde_peaks(spark, sf):
     e = ev(spark, sf)
     n = e.count()
@@ -205,9 +209,8 @@ def clouds(spark, sf):
     return D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "cloud int, xb int, yb int, birth int, death int, persistence int, alone long", rows)
 
 
-@query("D8")
-def watershed_stats(spark, sf):
-    """Statistics of the rows of each cloud's basin: bins are labelled, rows join them."""
+def _basins(spark, sf):
+    """Rows with the basin of their bin: bins are labelled, rows join them."""
 
     def rows(c):
         basin = D.watershed(c, [(m.xb, m.yb) for m in D.level_clouds(c)])
@@ -217,7 +220,18 @@ def watershed_stats(spark, sf):
     labelled = D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "xb int, yb int, basin int", rows)
     boxes = e.groupBy("event_type").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     placed = e.join(boxes, "event_type").withColumns({"xb": bin_of(F.col("x"), F.col("a"), F.col("b"), 48), "yb": bin_of(F.col("y"), F.col("c"), F.col("d"), 24)})
-    return D.basin_stats(placed.join(labelled, ["event_type", "xb", "yb"]), ["event_type", "basin"], "x", "y")
+    return placed.join(labelled, ["event_type", "xb", "yb"])
+
+
+@query("D8")
+def watershed_stats(spark, sf):
+    return D.basin_stats(_basins(spark, sf), ["event_type", "basin"], "x", "y")
+
+
+@query("D8 D1")
+def basin_bars(spark, sf):
+    b = _basins(spark, sf)
+    return D.basin_histograms(b, ["event_type"], ["event_type", "basin"], ["x", "y"])
 
 
 def _labelled(spark, sf):
@@ -231,41 +245,42 @@ def hull_iou(spark, sf):
     return out.groupBy("event_type").agg(F.round(F.avg("iou"), 4).alias("iou_macro"), F.count("*").alias("n"))
 
 
-def _class_grids(pdf, n=24):
+def _class_grids(pdf, n=48):
     import numpy as np
 
     labels = sorted(pdf["label"].unique())
     grids = np.zeros((len(labels), n, n))
-    grids[[labels.index(v) for v in pdf["label"]], pdf["xb"], pdf["yb"]] = pdf["n"]
+    np.add.at(grids, ([labels.index(v) for v in pdf["label"]], pdf["xb"], pdf["yb"]), pdf["n"])
     return labels, grids
 
 
-def _class_bins(spark, sf):
+def _class_bins(spark, sf, n=48):
     r = ev(spark, sf)
     a, b = r.agg(F.min("x"), F.max("x")).first()
-    return r.groupBy("event_type", F.when(F.col("y") + F.col("x") * 8 > 65, "up").otherwise("down").alias("label"), bin_of(F.col("x"), a, b, 24).alias("xb"), bin_of(F.col("y"), 0.0, 100.0, 24).alias("yb")).agg(F.count("*").alias("n"))
+    label = F.when(F.col("y") + F.col("x") * 8 > 65, "up").when(F.col("y") + F.col("x") * 8 < 35, "down").otherwise("Unassigned")
+    return r.groupBy("event_type", label.alias("label"), bin_of(F.col("x"), a, b, n).alias("xb"), bin_of(F.col("y"), 0.0, 100.0, n).alias("yb")).agg(F.count("*").alias("n"))
 
 
-@query("G5")
-def rect_oracle(spark, sf):
+def _fitted(spark, sf, joint):
     import pandas as pd
 
     def fit(key, pdf):
         labels, grids = _class_grids(pdf)
-        return pd.DataFrame([(key[0], v, round(s, 6), *box) for v, (s, box) in zip(labels, (G.best_rectangle(g, grids.sum(0) - g) for g in grids))], columns=["event_type", "label", "f1", "x0", "x1", "y0", "y1"])
+        rest = labels.index("Unassigned") if "Unassigned" in labels else len(labels) - 1
+        score, boxes = G.fit_rectangles(grids, rest, 4, joint)
+        return pd.DataFrame([(key[0], labels[k], round(score, 6), *b) for k, b in boxes.items()], columns=["event_type", "label", "f1_macro", "x0", "x1", "y0", "y1"])
 
-    return _class_bins(spark, sf).groupBy("event_type").applyInPandas(fit, "event_type string, label string, f1 double, x0 int, x1 int, y0 int, y1 int")
+    return _class_bins(spark, sf).groupBy("event_type").applyInPandas(fit, "event_type string, label string, f1_macro double, x0 int, x1 int, y0 int, y1 int")
 
 
-@query("G6")
-def rect_oracle_joint(spark, sf):
-    import pandas as pd
+@query("G5")
+def rect_oracle(spark, sf):
+    return _fitted(spark, sf, False)
 
-    def fit(key, pdf):
-        labels, grids = _class_grids(pdf)
-        return pd.DataFrame([(key[0], v, round(s, 6), *box) for v, (s, box) in zip(labels, G.best_rectangles(grids))], columns=["event_type", "label", "f1", "x0", "x1", "y0", "y1"])
 
-    return _class_bins(spark, sf).groupBy("event_type").applyInPandas(fit, "event_type string, label string, f1 double, x0 int, x1 int, y0 int, y1 int")
+@query("G6")
+def rect_oracle_joint(spark, sf):
+    return _fitted(spark, sf, True)
 
 
 def _sizes(df):

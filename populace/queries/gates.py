@@ -146,12 +146,12 @@ def candidate_paths(spark, sf):
 
 
 @query("J15", """SELECT gid, label FROM (
-  SELECT gid, label, row_number() OVER (PARTITION BY gid ORDER BY sum(1 / greatest(d, 1e-12)) DESC, label) AS rk, sum(count(*)) OVER (PARTITION BY gid) AS n FROM (
+  SELECT gid, label, row_number() OVER (PARTITION BY gid ORDER BY sum(1 / greatest(d, 1e-12)) DESC, label) AS rk FROM (
     SELECT gid, event_type AS label, d, row_number() OVER (PARTITION BY gid ORDER BY d, event_id) AS nn FROM (
       SELECT g.i * 10 + g.j AS gid, event_type, event_id, sqrt((x - g.i * 0.5) * (x - g.i * 0.5) + (y / 20 - g.j * 0.5) * (y / 20 - g.j * 0.5)) AS d
-      FROM ev, (SELECT a.i, b.i AS j FROM range(8) a(i), range(8) b(i)) g) WHERE d <= 0.5
+      FROM ev, (SELECT a.i, b.i AS j FROM range(8) a(i), range(8) b(i)) g)
   ) WHERE nn <= 7 GROUP BY gid, label
-) WHERE rk = 1 AND n = 7""")
+) WHERE rk = 1""")
 def knn_raster(spark, sf):
     g = spark.range(64).select((F.floor(F.col("id") / 8) * 10 + F.col("id") % 8).alias("gid"), (F.floor(F.col("id") / 8) * 0.5).alias("x"), (F.col("id") % 8 * 0.5).alias("y"))
     points = ev(spark, sf).select(F.col("event_id").alias("pid"), "x", (F.col("y") / 20).alias("y"), F.col("event_type").alias("label"))

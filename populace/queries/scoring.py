@@ -171,22 +171,22 @@ def cascade_status(spark, sf):
     return step_status(cascade(ev(spark, sf), PLAN), PLAN)
 
 
-RATERS = "SELECT o_orderkey AS event, o_orderstatus AS step, unnest([{'rater': 'a', 'label': CASE WHEN o_totalprice > 200000 THEN 'p' WHEN o_totalprice > 90000 THEN 'q' ELSE 'Unassigned' END}, {'rater': 'b', 'label': CASE WHEN o_totalprice > 210000 THEN 'p' WHEN o_totalprice > 80000 THEN 'q' ELSE 'Unassigned' END}, {'rater': 'c', 'label': CASE WHEN o_totalprice > 150000 THEN 'p' ELSE 'Unassigned' END}], recursive := true) FROM orders WHERE o_custkey % 3 = 0"
+RATERS = "SELECT o_orderkey AS event, o_orderstatus AS step, unnest([{'rater': 'a', 'label': CASE WHEN o_totalprice > 200000 THEN 'p' WHEN o_totalprice > 90000 THEN 'q' ELSE 'Unassigned' END, 'inside': o_totalprice > 60000}, {'rater': 'b', 'label': CASE WHEN o_totalprice > 210000 THEN 'p' WHEN o_totalprice > 80000 THEN 'q' ELSE 'Unassigned' END, 'inside': o_totalprice > 95000}, {'rater': 'c', 'label': CASE WHEN o_totalprice > 150000 THEN 'p' ELSE 'Unassigned' END, 'inside': o_totalprice > 30000}], recursive := true) FROM orders"
 
 
 def _raters(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 3 = 0")
+    o = table(spark, sf, "orders")
     t = F.col("o_totalprice")
     label = {"a": F.when(t > 200000, "p").when(t > 90000, "q").otherwise("Unassigned"), "b": F.when(t > 210000, "p").when(t > 80000, "q").otherwise("Unassigned"), "c": F.when(t > 150000, "p").otherwise("Unassigned")}
-    return o.select(F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("step"), *(c.alias(k) for k, c in label.items()))
+    return o.select(F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("step"), *(c.alias(k) for k, c in label.items()), *((t > v).alias(f"in_{k}") for k, v in {"a": 60000, "b": 95000, "c": 30000}.items()))
 
 
 _AGREE = "SELECT x.rater AS first, y.rater AS second, x.step, l.label, count(*) FILTER (x.label = l.label AND y.label = l.label) AS tp, count(*) FILTER (x.label <> l.label AND y.label = l.label) AS fp, count(*) FILTER (x.label = l.label AND y.label <> l.label) AS fn FROM r x JOIN r y USING (event) CROSS JOIN (VALUES ('p'), ('q')) AS l(label) WHERE {cond} GROUP BY ALL"
 
 
-@query("J9 A14", f"WITH r AS ({RATERS}), k AS ({_AGREE.format(cond='x.rater <> y.rater')}) SELECT first, second, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) AS f1_pooled, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END), 4) AS f1_macro FROM k GROUP BY ALL")
+@query("J9 A14", f"WITH r AS ({RATERS}), k AS ({_AGREE.format(cond='x.rater <> y.rater AND x.inside AND y.inside')}) SELECT first, second, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) AS f1_pooled, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END), 4) AS f1_macro FROM k GROUP BY ALL")
 def pair_shared_f1(spark, sf):
-    return ML.rater_agreement(_raters(spark, sf), ["a", "b", "c"], ["step"], ["p", "q"], ordered=True)
+    return ML.rater_agreement(_raters(spark, sf), ["a", "b", "c"], ["step"], ["p", "q"], ordered=True, inside={r: f"in_{r}" for r in "abc"})
 
 
 @query("J10 A14", f"WITH r AS ({RATERS}), k AS ({_AGREE.format(cond='x.rater < y.rater')}) SELECT first, second, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) AS f1_pooled, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END), 4) AS f1_macro FROM k GROUP BY ALL")

@@ -65,9 +65,9 @@ def read_channels(spark: SparkSession, path: str) -> DataFrame:
 TASK = "task_id string, dataset string, sample string, step int, parent string, x_marker string, y_marker string, annotation_column string, categories array<string>, gt_summary struct<n_parent_cells: long, n_cells_per_category: map<string, long>, population_proportions: map<string, double>>"
 
 
-def read_tasks(spark: SparkSession, path: str, datasets: Sequence[str] = (), steps: Sequence[int] = (), min_cells: int = 0) -> DataFrame:
+def read_tasks(spark: SparkSession, path: str, datasets: Sequence[str] = (), steps: Sequence[int] = (), min_cells: int = 0, pattern: str = "task.json") -> DataFrame:
     """Task documents under a folder, by dataset, step and parent size."""
-    t = spark.read.schema(TASK).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "task.json").json(path)
+    t = spark.read.schema(TASK).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(path)
     t = t.where(F.col("dataset").isin(*datasets)) if datasets else t
     t = t.where(F.col("step").isin(*steps)) if steps else t
     return t.where(F.coalesce("gt_summary.n_parent_cells", F.lit(0)) >= min_cells)
@@ -80,7 +80,7 @@ def thresholds(spark: SparkSession, path: str) -> DataFrame:
 def notes(spark: SparkSession, rows: Sequence[tuple[str, int, str, str | None]], wanted: DataFrame) -> DataFrame:
     """Definitions for (dataset, step); one that is missing is an error when read."""
     n = spark.createDataFrame(list(rows), "dataset string, step int, definition string, oracle string")
-    j = wanted.join(F.broadcast(n), ["dataset", "step"], "left")  # a registry: a few hundred rows
+    j = wanted.join(n, ["dataset", "step"], "left")
     return j.withColumn("definition", F.coalesce("definition", F.raise_error(F.concat(F.lit("no note for "), "dataset"))))
 
 
