@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each written and read again."""
+"""A training corpus from raw documents: five stages, each written and read again.
+
+Each stage takes what the one before it kept, with the columns of ``documents`` and any
+others. Nulls: a null text is an empty one, which the quality stage drops; a null doc_id
+sorts first and is an id as any other. Rows that repeat doc_id and text are one document:
+near_copies keeps all or none of them. Empty tables stay empty; long texts go through whole.
+Tables that a stage writes on its way are deleted once its result is written.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from populace.llm import packing, quality, simhash, substring, toxicity
-from populace.llm.common import save, table
+from populace.llm.common import collecting, discard, save, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, f"stage-{name}")
-    return docs
+    before = []
+    for name, stage in STAGES[:-1]:
+        with collecting() as made:
+            docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*made[:-1], *before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -180,7 +180,7 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5
     """The rows of ``docs``, with their columns, that hold the first text of their component
     under its smallest doc_id (a null one is the smallest). Rows that repeat doc_id and
     text are one document and stay together; an empty table stays empty."""
-    whole = docs.select(F.struct(F.lit(0).alias("_"), *docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named, lows = named_texts(whole, hash_of)
     first = near_components(named.select("doc_id", "text", "uid"), lows, similarity, width).where("leads").select(F.col("uid").alias("of"), "component_id")
     kept = named.select("doc", "doc_id", "uid").join(first, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")

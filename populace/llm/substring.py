@@ -8,7 +8,7 @@ more than twice, later occurrences can repeat each other and not the first one:
 31-word windows around them that the first one lacks are grouped by the seed and a
 64-bit hash, and all but the earliest of a group go. No pairs of a group are made, however many
 texts share a passage. A later copy of a whole text of that size goes whole, and so
-does a paragraph that loses 0.8 of its words.
+does a paragraph that loses 0.8 of its words, be it to repeats of itself.
 
 Paragraphs (lines of ``MIN_PARAGRAPH`` words or more) of what is left get MinHash
 signatures over 5-word shingles. With 12 bands of 4 rows, a pair of Jaccard
@@ -18,7 +18,8 @@ occurrence of each component stays, the others go.
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat both
 doc_id and text are one document. Order is by doc_id, then a hash of the text.
-An empty table gives an empty result; extra columns are kept.
+An empty table gives an empty result; extra columns are kept. A long text is cut like any
+other, its seeds and paragraphs being rows of their own.
 """
 
 from __future__ import annotations
@@ -441,7 +442,7 @@ def _cut_paragraphs(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
 def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """doc (a struct of the other columns), text (what is left), n_removed (characters), n_spans."""
     key = F.col(id_col).cast("long")
-    others = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c != text))
+    others = F.struct(*(F.col(c) for c in docs.columns if c != text))
     named, lows = named_texts(docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text")), hash_of)
     ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
     known = named.join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))

@@ -378,5 +378,19 @@ def test_op9_near_paragraphs_by_exact_similarity(spark):
     assert [got.get(i, i) for i in range(len(texts))] == least_labels(adj, range(len(texts)))
 
 
+def test_long_texts_nulls_and_repeats(spark):
+    """A text of 150,000 words, null ids and repeated rows, in fingerprints and passages."""
+    rng = random.Random(11)
+    long = words(rng, 150_000)
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:70_000], "x", *long[70_001:]])), (None, " ".join(words(rng, 45))), (4, " ".join(words(rng, 90))), (5, " ".join([*words(rng, 40), *long[500:560]]))]
+    rows += [rows[3]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    check_links([(d if d is not None else -1, t) for d, t in rows], [r.asDict() | {"doc_id": -1 if r["doc_id"] is None else r["doc_id"], "component_id": -1 if r["component_id"] is None else r["component_id"]} for r in simhash.link(df, 4, 4).collect()])
+    got = [(r["doc_id"], r["n_removed"], r["text"]) for r in substring.cut_documents(df).collect()]
+    by = {d: (n, t) for d, n, t in got}
+    assert by[1][0] == 0 and by[None][0] == 0 and len(by[2][1].split()) < 70 and len(by[5][1].split()) == 40
+    assert len(got) == 6 and [n for d, n, _ in got if d == 4] == [0, 0]
+
+
 def test_op9_empty_table(spark):
     assert substring.cut_documents(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -441,6 +441,46 @@ def test_op3_repeated_rows_nulls_and_long_texts(spark):
     assert not by[2]["base_failed"] and by[3]["base_failed"]
 
 
+def test_op7_repeats_and_empty_table(spark, tiktoken_encoding):
+    rows = [(1, "same text"), (1, "same text"), (2, "x" * 50_000 + " y")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"ids": F.lit(0), "decoded_sha256": F.lit("z")})
+    how = vocabulary("byte_bpe_50k.tiktoken"), PATTERN
+    got = bpe.encode_documents(df, *how).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(tiktoken_encoding.encode_ordinary(t)) for _, t in rows)
+    assert bpe.encode_documents(df.limit(0), *how).count() == 0
+
+
+def test_op6_long_text_and_equal_hashes(spark):
+    rng = random.Random(9)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(120_000))
+    rows = [(1, long), (2, "head " + long[5000:400_000] + " tail"), (3, long[300_000:300_050]), (4, "other " * 40), (5, None), (6, "other " * 40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert as_rows(suffix.remove(df)) == brute_repeats(rows, 100)
+    assert as_rows(suffix.remove(df, hash_of=lambda c: F.lit(3).cast("long"))) == brute_repeats(rows, 100)
+
+
+def test_pipeline_odd_input(spark, sf):
+    """Nulls, repeated rows, clashing extra columns and a long text, through every stage; and an empty table."""
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    own = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    twice = say(80)
+    odd = [(None, say(70)), (None, None), (9001, twice), (9001, twice), (9002, say(60_000)), (9003, ""), (9004, twice)]
+    rows = [(i, t, None, None, len(t or "")) for i, t in odd]
+    docs = own.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(c).cast(own.schema[c].dataType).alias(c) for c in own.columns)))
+    docs = docs.withColumns({c: F.lit("own") for c in ("uid", "doc", "kept", "component_id", "_doc", "n_removed")})
+    empty = docs.limit(0)
+    for name, stage in C.STAGES:
+        last = name == "packing"
+        assert stage(spark, empty, sf).count() == 0
+        docs = stage(spark, docs, sf)
+        assert last or docs.columns == empty.columns and {r["uid"] for r in docs.collect()} == {"own"}
+    ids = [r["doc_id"] for r in docs.select("doc_id", "piece").collect()]
+    assert {None, 9001, 9002} <= set(ids) and not {9003, 9004} & set(ids) and ids.count(9001) == 2
+
+
 def test_pipeline_against_single_stages(spark, sf, docs):
     """Each stage against a plain version of its rule on its own input."""
     import corpus_pipeline as C
