@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", bands: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column(len(keep))], np.uint64).view(np.int64)
-            more = [text_bands(b.column(len(keep)).to_pylist())] if bands else []
+            more = [text_bands(b.column(len(keep)))] if bands else []
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp, pa.int64()), *more], [*keep, "fp", *["bands"] * bands])
 
     schema = ", ".join([*(f"{c} long" for c in [*keep, "fp"]), *["bands array<long>"] * bands])

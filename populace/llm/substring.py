@@ -4,10 +4,11 @@ Passages. 8-word seeds are chosen by winnowing (of any 24 neighbouring seeds the
 one with the least hash), so every two equal runs of 31 words share a seed. Each
 seed's later occurrences are compared word by word with its first one, up to 24
 words either way; equal runs of ``MIN_SPAN`` words or more go. Where a seed occurs
-more than twice, later occurrences can repeat each other and not the first one: the
-31-word windows around them that the first one lacks are grouped by the seed and a
-64-bit hash, and all but the earliest of a group go. No pairs of a group are made, however many
-texts share a passage. A later copy of a whole text of that size goes whole, and so
+more than twice, later occurrences can repeat each other and not the first one. Such a repeat
+holds the word with which both leave the first one, so occurrences that leave it alike
+are grouped; the 31-word windows around those of a group of two or more are grouped by the
+seed and a 64-bit hash, and all but the earliest of a group go. No pairs of a group are
+made, however many texts share a passage. A later copy of a whole text of that size goes whole, and so
 does a paragraph that loses 0.8 of its words, be it to repeats of itself.
 
 Paragraphs (lines of ``MIN_PARAGRAPH`` words or more) of what is left get MinHash
@@ -45,28 +46,49 @@ CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_remo
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered for a bounded number of words."""
+#: Bytes whose words are hashed at once, and the base of the words' polynomials (odd, so it has an inverse).
+CHUNK_BYTES, BASE = 1 << 18, 0x9E3779B97F4A7C15
+_GAP, _LOW = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_LOW[65:91] += 32
+_powers: list[np.ndarray] = []
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 42)
-        return h
-
-
-_hashes = WordHashes()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i up to n."""
+    if not _powers or _powers[0].size <= n:
+        size = max(n, 2 * CHUNK_BYTES) + 1
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, v, np.uint64)])) for v in (BASE, pow(BASE, -1, 2**64))]
+    return _powers[0], _powers[1]
 
 
 def forget() -> None:
-    _hashes.clear()
+    _powers.clear()
+
+
+def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts, ASCII letters as lower-case ones, and
+    where each begins. data: the texts' bytes on end; starts: where each text begins.
+
+    A word's hash is the polynomial of its bytes, from differences of running sums, mixed."""
+    if not data.size:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    gap, (up, down) = _GAP[data], powers(data.size)
+    edge = np.zeros(data.size + 1, bool)
+    edge[1:-1] = gap[1:] != gap[:-1]
+    edge[starts] = edge[0] = edge[-1] = True
+    at = np.flatnonzero(edge)
+    word = ~gap[at[:-1]]
+    a, b = at[:-1][word], at[1:][word]
+    total = np.zeros(data.size + 1, np.uint64)
+    np.cumsum((_LOW[data].astype(np.uint64) + np.uint64(1)) * up[: data.size], out=total[1:])
+    h = (total[b] - total[a]) * down[a]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), a
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return hashed_words(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))[0]
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -108,15 +130,22 @@ def seeds(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return g[k], owner[k], at[k]
 
 
-def in_chunks(texts: list[str], words: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, word hashes, words of each) for runs of texts."""
-    at, held, n = 0, [], 0
-    for k, t in enumerate(texts):
-        held.append(word_hashes(t))
-        n += held[-1].size
-        if n >= words or k == len(texts) - 1:
-            yield at, np.concatenate(held), np.array([x.size for x in held], np.int64)
-            at, held, n = k + 1, [], 0
+def in_chunks(texts: pa.Array | list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, words of each) for runs of texts of some
+    CHUNK_BYTES, or of one longer text; a null text has no words."""
+    col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    if not len(col):
+        return
+    col = col.fill_null("") if col.null_count else col
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    k = 0
+    while k < len(col):
+        end = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK_BYTES, "right")) - 1)
+        h, starts = hashed_words(data[at[k] : at[end]], at[k:end] - at[k])
+        yield k, h, np.diff(np.searchsorted(starts, at[k : end + 1] - at[k]))
+        k = end
 
 
 _PERM = np.random.default_rng(7).integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
@@ -146,10 +175,10 @@ def band_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def text_bands(texts: list[str | None]) -> pa.Array:
+def text_bands(texts: pa.Array | list[str | None]) -> pa.Array:
     """The band keys of each text, none for one of fewer than SHINGLE words."""
     keys, ok = [np.empty(0, np.int64)], [np.zeros(1, bool)]
-    for _, h, sizes in in_chunks([t or "" for t in texts]):
+    for _, h, sizes in in_chunks(texts):
         ok.append(sizes >= SHINGLE)
         if ok[-1].any():
             keys.append(band_keys(h[np.repeat(ok[-1], sizes)], sizes[ok[-1]]).ravel())
@@ -197,7 +226,7 @@ def with_bands(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), text_bands(b.column(1).to_pylist())], ["id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), text_bands(b.column(1))], ["id", "n", "bands"])
 
     return texts.select("id", "words", "n").mapInArrow(tidy(run, forget), "id long, n long, bands array<long>")
 
@@ -238,7 +267,7 @@ def jaccard(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            loads = [shingles(word_hashes(t.as_py() or "")).tobytes() for t in b.column(1)]
+            loads = [shingles(h[e - n : e]).tobytes() for _, h, sizes in in_chunks(b.column(1)) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(loads, pa.binary())], ["id", "load"])
 
     kept: list[DataFrame] = []
@@ -286,22 +315,33 @@ def repeated_paragraphs(units: DataFrame) -> DataFrame:
     return out
 
 
-def other_windows(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, hash) of the windows of MIN_SPAN words around the seeds of views
-    that reach beyond the equal words, ``left`` before and ``right`` after the seed."""
+def seed_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of the windows of MIN_SPAN words around the seeds of views."""
     g = np.zeros((len(words), words.shape[1] - MIN_SPAN + 1), np.uint64)
     for j in range(MIN_SPAN):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + words[:, j : j + g.shape[1]]
+        g = g * np.uint64(BASE) + words[:, j : j + g.shape[1]]
         g ^= g >> np.uint64(29)
     col = np.arange(g.shape[1])
-    inside = np.cumsum(np.pad(words == 0, ((0, 0), (1, 0))), axis=1)
-    new = inside[:, MIN_SPAN:] == inside[:, : g.shape[1]]  # no word beyond the text's ends
-    new &= (CONTEXT - col > left[:, None]) | (col + MIN_SPAN - CONTEXT - SEED_WORDS > right[:, None])
-    new &= (col <= CONTEXT) & (col + MIN_SPAN >= CONTEXT + SEED_WORDS)
-    row, col = np.nonzero(new)
+    beyond = np.cumsum(np.pad(words == 0, ((0, 0), (1, 0))), axis=1)
+    inside = beyond[:, MIN_SPAN:] == beyond[:, : g.shape[1]]  # no word beyond the text's ends
+    inside &= (col <= CONTEXT) & (col + MIN_SPAN >= CONTEXT + SEED_WORDS)
+    row, col = np.nonzero(inside)
     return row, col, (g[row, col] * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
+def departures(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, departure): where, and with which word, a view leaves the first one, on either
+    side of the seed. A window around the seed that the first one lacks holds such a word, so
+    two views that have one in common leave the first one alike."""
+    rows, out, reach, n = [], [], MIN_SPAN - SEED_WORDS, np.arange(len(words))
+    for side, (length, at) in enumerate(((left, CONTEXT - 1 - left), (right, CONTEXT + SEED_WORDS + right))):
+        near = length < reach
+        word = words[n[near], at[near]].astype(np.int64)
+        rows.append(n[near][word != 0])
+        out.append(((word << 8) | (length[near].astype(np.int64) << 1) | side)[word != 0])
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     """(uid, w0, w1): word ranges that repeat an earlier passage of another text or place.
 
@@ -312,7 +352,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid, doc = b.column(0).to_numpy(), b.column(1)
-            for first, h, sizes in in_chunks([t or "" for t in b.column(2).to_pylist()]):
+            for first, h, sizes in in_chunks(b.column(2)):
                 g, owner, at = seeds(h, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
 
@@ -332,24 +372,28 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for u, d, t, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
-                m = m.values
-                at = m.field("at").to_numpy()
-                # a word's 32-bit hash; 0 is beyond the text's ends, which equals nothing
-                h = (word_hashes(t.as_py() or "") >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                h = np.concatenate([np.zeros(CONTEXT, np.uint32), h, np.zeros(CONTEXT + SEED_WORDS, np.uint32)])
-                for k in range(0, at.size, 20_000):
-                    part = at[k : k + 20_000]
-                    rows = h[part[:, None] + np.arange(wide)]
-                    words = pa.Array.from_buffers(pa.binary(wide * 4), part.size, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-                    s = slice(k, k + part.size)
-                    yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, u, np.int64)), pa.repeat(d, part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], words], schema=view_schema)
+            uids, docs, found = b.column(0).to_numpy(), b.column(1), b.column(3)
+            for first, hashes, sizes in in_chunks(b.column(2)):
+                ends = np.cumsum(sizes)
+                for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist()), first):
+                    m = found[i].values
+                    at = m.field("at").to_numpy()
+                    # a word's 32-bit hash; 0 is beyond the text's ends, which equals nothing
+                    h = (hashes[end - size : end] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                    h = np.concatenate([np.zeros(CONTEXT, np.uint32), h, np.zeros(CONTEXT + SEED_WORDS, np.uint32)])
+                    for k in range(0, at.size, 20_000):
+                        part = at[k : k + 20_000]
+                        rows = h[part[:, None] + np.arange(wide)]
+                        words = pa.Array.from_buffers(pa.binary(wide * 4), part.size, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+                        s = slice(k, k + part.size)
+                        yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, uids[i], np.int64)), pa.repeat(docs[i], part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], words], schema=view_schema)
 
     seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
     seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("seed", pa.int64()), ("window", pa.int64())])
+        """Ranges that repeat the first occurrence; departures from it of the others."""
+        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("seed", pa.int64()), ("departure", pa.int64())])
         for b in batches:
             a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (4, 5))
             same = (a == f) & (a != 0)
@@ -357,25 +401,36 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
             right = np.cumprod(same[:, CONTEXT + SEED_WORDS :], axis=1).sum(axis=1)
             ok = same[:, CONTEXT : CONTEXT + SEED_WORDS].all(axis=1) & (left + right + SEED_WORDS >= MIN_SPAN)
             uid, doc, at, seed = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(), b.column(6)
-            n = int(ok.sum())
-            yield _batch([uid[ok], pa.nulls(n, pa.int64()), (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema)
+            none = pa.nulls(int(ok.sum()), pa.int64())
+            yield _batch([uid[ok], none, (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), none, none], schema)
             many = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
-            for k in range(0, many.size, 2_000):
-                row, col, window = other_windows(a[r := many[k : k + 2_000]], left[r], right[r])
-                w0 = (at[r[row]] + col - CONTEXT).astype(np.int32)
-                yield _batch([uid[r[row]], doc.take(pa.array(r[row])), w0, w0 + np.int32(MIN_SPAN), seed.take(pa.array(r[row])), window], schema)
+            row, departure = departures(a[many], left[many], right[many])
+            row = many[row]
+            yield _batch([uid[row], doc.take(pa.array(row)), at[row], pa.nulls(row.size, pa.int32()), seed.take(pa.array(row)), departure], schema)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("window", pa.int64())])
+        for b in batches:
+            a = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, wide)
+            for k in range(0, len(a), 2_000):
+                row, col, window = seed_windows(a[k : k + 2_000])
+                row = row + k
+                yield _batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), (b.column(3).to_numpy()[row] + col - CONTEXT).astype(np.int32), window], schema)
 
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
     later = seen.where("not is_first").select("seed", "uid", "doc_id", "at", "many", "words")
     pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words", "seed")
-    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, seed long, window long"), "passages-met")
-    discard(spots, firsts, seen)
-    windows = met.where("window is not null")
+    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, seed long, departure long"), "passages-met")
     place = F.struct("doc_id", "uid", "w0")
-    common = save(windows.groupBy("seed", "window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("seed", "window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
-    repeats = windows.join(common, ["seed", "window"]).where("uid <> fu or w0 <> fw").select("uid", "w0", "w1")
-    out = save(met.where("window is null").select("uid", "w0", "w1").union(repeats), "passage-removals")
-    discard(met, common)
+    leaving = met.where("departure is not null")
+    alike = save(leaving.groupBy("seed", "departure").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("seed", "departure"), "departures")
+    some = leaving.join(alike, ["seed", "departure"]).select("seed", "uid", F.col("w0").alias("at")).distinct()
+    again = later.join(some, ["seed", "uid", "at"], "left_semi").select("seed", "uid", "doc_id", "at", "words")
+    each = save(again.mapInArrow(tidy(windows), "seed long, uid long, doc_id long, w0 int, window long"), "windows")
+    common = save(each.groupBy("seed", "window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("seed", "window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
+    repeats = each.join(common, ["seed", "window"]).where("uid <> fu or w0 <> fw").select("uid", "w0", (F.col("w0") + MIN_SPAN).alias("w1"))
+    out = save(met.where("departure is null").select("uid", "w0", "w1").union(repeats), "passage-removals")
+    discard(spots, firsts, seen, met, alike, each, common)
     return out
 
 
