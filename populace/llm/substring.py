@@ -4,11 +4,11 @@ Passages. 8-word seeds are chosen by winnowing (of any 24 neighbouring seeds the
 one with the least hash), so every two equal runs of 31 words share a seed. Each
 seed's later occurrences are compared word by word with its first one, up to 24
 words either way; equal runs of ``MIN_SPAN`` words or more go. Where a seed occurs
-more than twice, later occurrences can repeat each other and not the first one. Such a repeat
-holds the word with which both leave the first one, so occurrences that leave it alike
-are grouped; the 31-word windows around those of a group of two or more are grouped by the
-seed and a 64-bit hash, and all but the earliest of a group go. No pairs of a group are
-made, however many texts share a passage. A later copy of a whole text of that size goes whole, and so
+more than twice, later occurrences can repeat each other and not the first one: of their
+31-word windows those that hold a word that is still left are grouped by a hash, and all
+but the earliest of a group go. A window belongs to the first of its least seeds alone, and
+equal windows to equal seeds. No pairs of a group are made, however many texts share a
+passage. A later copy of a whole text of that size goes whole, and so
 does a paragraph that loses 0.8 of its words, be it to repeats of itself.
 
 Paragraphs (lines of ``MIN_PARAGRAPH`` words or more) of what is left get MinHash
@@ -92,12 +92,11 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n neighbouring words."""
-    if h.size < n:
-        return np.empty(0, np.uint64)
-    g = np.zeros(h.size - n + 1, np.uint64)
+    """A hash of every n neighbouring words, along the last axis."""
+    m = max(0, h.shape[-1] - n + 1)
+    g = np.zeros((*h.shape[:-1], m), np.uint64)
     for j in range(n):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + g.size]
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[..., j : j + m]
         g ^= g >> np.uint64(29)
     return g * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -117,7 +116,7 @@ def seeds(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     h: the word hashes of all texts; sizes: the words of each. Windows that reach
     into the next text may add seeds; each text's own windows all have theirs."""
     ends = np.cumsum(sizes)
-    g = gram_hashes(h, SEED_WORDS)
+    g = gram_hashes(narrow(h), SEED_WORDS)
     owner = np.repeat(np.arange(sizes.size), sizes)[: g.size]
     at = np.arange(g.size) - (ends - sizes)[owner]
     whole = at + SEED_WORDS <= sizes[owner]
@@ -315,31 +314,43 @@ def repeated_paragraphs(units: DataFrame) -> DataFrame:
     return out
 
 
-def seed_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, hash) of the windows of MIN_SPAN words around the seeds of views."""
-    g = np.zeros((len(words), words.shape[1] - MIN_SPAN + 1), np.uint64)
-    for j in range(MIN_SPAN):
-        g = g * np.uint64(BASE) + words[:, j : j + g.shape[1]]
-        g ^= g >> np.uint64(29)
-    col = np.arange(g.shape[1])
-    beyond = np.cumsum(np.pad(words == 0, ((0, 0), (1, 0))), axis=1)
-    inside = beyond[:, MIN_SPAN:] == beyond[:, : g.shape[1]]  # no word beyond the text's ends
-    inside &= (col <= CONTEXT) & (col + MIN_SPAN >= CONTEXT + SEED_WORDS)
+def narrow(h: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash; 0 is left for what lies beyond a text's ends."""
+    return (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def uncovered(at: np.ndarray, size: int, ranges: np.ndarray) -> np.ndarray:
+    """For each seed a mask of the words of its view that lie in none of the (start, end) ranges."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, ranges[:, 0], 1)
+    np.add.at(edge, ranges[:, 1], -1)
+    free = np.zeros(size + 2 * CONTEXT + SEED_WORDS, np.uint64)
+    free[CONTEXT : CONTEXT + size] = np.cumsum(edge[:-1]) == 0
+    place = np.arange(2 * CONTEXT + SEED_WORDS)
+    return (free[at[:, None] + place] << place.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def seed_windows(words: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of the windows of MIN_SPAN words that hold a free word and of
+    whose seeds the view's own is the first of the least. free: masks of words."""
+    n = words.shape[1] - MIN_SPAN + 1
+    up, down = powers(words.shape[1])
+    total = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    np.cumsum(words * up[: words.shape[1]], axis=1, out=total[:, 1:])
+    g = (total[:, MIN_SPAN:] - total[:, :n]) * down[:n]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    beyond = np.cumsum(np.pad(words == 0, ((0, 0), (1, 0))), axis=1, dtype=np.int8)
+    inside = beyond[:, MIN_SPAN:] == beyond[:, :n]  # no word beyond the text's ends
+    grams = gram_hashes(words, SEED_WORDS)
+    own = grams[:, CONTEXT, None]
+    before = np.cumprod((grams[:, CONTEXT - 1 :: -1] > own), axis=1)[:, : WINDOW - 1].sum(axis=1)[:, None]
+    after = np.cumprod((grams[:, CONTEXT + 1 :] >= own), axis=1)[:, : WINDOW - 1].sum(axis=1)[:, None]
+    col = np.arange(n)
+    inside &= (col >= CONTEXT - before) & (col + WINDOW - 1 <= CONTEXT + after) & (col <= CONTEXT)
+    span = np.uint64((1 << MIN_SPAN) - 1) << col.astype(np.uint64)
+    inside &= (free[:, None] & span) != 0
     row, col = np.nonzero(inside)
-    return row, col, (g[row, col] * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-
-
-def departures(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, departure): where, and with which word, a view leaves the first one, on either
-    side of the seed. A window around the seed that the first one lacks holds such a word, so
-    two views that have one in common leave the first one alike."""
-    rows, out, reach, n = [], [], MIN_SPAN - SEED_WORDS, np.arange(len(words))
-    for side, (length, at) in enumerate(((left, CONTEXT - 1 - left), (right, CONTEXT + SEED_WORDS + right))):
-        near = length < reach
-        word = words[n[near], at[near]].astype(np.int64)
-        rows.append(n[near][word != 0])
-        out.append(((word << 8) | (length[near].astype(np.int64) << 1) | side)[word != 0])
-    return np.concatenate(rows), np.concatenate(out)
+    return row, col, (g ^ (g >> np.uint64(32)))[row, col].view(np.int64)
 
 
 def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
@@ -357,7 +368,8 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[first + owner]), doc.take(pa.array(first + owner)), pa.array(at.astype(np.int32))], schema=seed_schema)
 
     found = save(units.mapInArrow(tidy(find, forget), "seed long, uid long, doc_id long, at int"), "seeds")
-    spot = F.xxhash64("uid", "at")
+    spot_of = lambda c: F.xxhash64("uid", c)
+    spot = spot_of("at")
     # written, so that the joins read two plain shuffles and a hot seed can be split
     twice = save(found.groupBy("seed").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("seed"), "seeds-twice")
     again = save(found.join(twice, "seed"), "seeds-again")
@@ -367,7 +379,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     firsts = save(spots.groupBy("seed").agg(F.min(F.struct("doc_id", "uid", "at")).alias("f"), F.count("*").alias("n")), "seeds-first")
     met = spots.join(firsts, "seed").select("seed", "uid", "at", ((F.col("uid") == F.col("f.uid")) & (F.col("at") == F.col("f.at"))).alias("is_first"), (F.col("n") > 2).alias("many"))
     by_doc = met.groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "is_first", "many")).alias("met")).join(lows, "uid")
-    view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("many", pa.bool_()), ("words", pa.binary())])
+    view_schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("is_first", pa.bool_()), ("many", pa.bool_()), ("size", pa.int32()), ("words", pa.binary())])
     wide = SEED_WORDS + 2 * CONTEXT
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,59 +390,62 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                 for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist()), first):
                     m = found[i].values
                     at = m.field("at").to_numpy()
-                    # a word's 32-bit hash; 0 is beyond the text's ends, which equals nothing
-                    h = (hashes[end - size : end] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    h = np.concatenate([np.zeros(CONTEXT, np.uint32), h, np.zeros(CONTEXT + SEED_WORDS, np.uint32)])
+                    h = np.concatenate([np.zeros(CONTEXT, np.uint32), narrow(hashes[end - size : end]), np.zeros(CONTEXT + SEED_WORDS, np.uint32)])
                     for k in range(0, at.size, 20_000):
                         part = at[k : k + 20_000]
                         rows = h[part[:, None] + np.arange(wide)]
                         words = pa.Array.from_buffers(pa.binary(wide * 4), part.size, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
                         s = slice(k, k + part.size)
-                        yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, uids[i], np.int64)), pa.repeat(docs[i], part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], words], schema=view_schema)
+                        yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, uids[i], np.int64)), pa.repeat(docs[i], part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], pa.array(np.full(part.size, size, np.int32)), words], schema=view_schema)
 
     seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
-    seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, words binary"), "seeds-seen")
+    seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, size int, words binary"), "seeds-seen")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ranges that repeat the first occurrence; departures from it of the others."""
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("seed", pa.int64()), ("departure", pa.int64())])
         for b in batches:
-            a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (4, 5))
+            a, f = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, wide) for c in (2, 3))
             same = (a == f) & (a != 0)
             left = np.cumprod(same[:, CONTEXT - 1 :: -1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, CONTEXT + SEED_WORDS :], axis=1).sum(axis=1)
             ok = same[:, CONTEXT : CONTEXT + SEED_WORDS].all(axis=1) & (left + right + SEED_WORDS >= MIN_SPAN)
-            uid, doc, at, seed = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(), b.column(6)
-            none = pa.nulls(int(ok.sum()), pa.int64())
-            yield _batch([uid[ok], none, (at - left)[ok].astype(np.int32), (at + SEED_WORDS + right)[ok].astype(np.int32), none, none], schema)
-            many = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
-            row, departure = departures(a[many], left[many], right[many])
-            row = many[row]
-            yield _batch([uid[row], doc.take(pa.array(row)), at[row], pa.nulls(row.size, pa.int32()), seed.take(pa.array(row)), departure], schema)
+            uid, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(uid[ok]), pa.array((at - left)[ok], pa.int32()), pa.array((at + SEED_WORDS + right)[ok], pa.int32())], ["uid", "w0", "w1"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The seeds around which words are left, with their masks."""
+        for b in batches:
+            for uid, met, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                m, r = met.values, ranges.values
+                spans = np.stack([r.field(0).to_numpy(), r.field(1).to_numpy()], axis=1) if r is not None else np.empty((0, 2), np.int32)
+                free = uncovered(m.field("at").to_numpy(), m.field("size")[0].as_py(), spans)
+                some = np.flatnonzero(free)
+                yield pa.RecordBatch.from_arrays([m.field("seed").take(pa.array(some)), pa.array(np.full(some.size, uid, np.int64)), m.field("at").take(pa.array(some)), pa.array(free[some].view(np.int64))], ["seed", "uid", "at", "free"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("w0", pa.int32()), ("window", pa.int64())])
         for b in batches:
-            a = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, wide)
+            a, free, at = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, wide), b.column(4).to_numpy().view(np.uint64), b.column(2).to_numpy()
             for k in range(0, len(a), 2_000):
-                row, col, window = seed_windows(a[k : k + 2_000])
+                row, col, window = seed_windows(a[k : k + 2_000], free[k : k + 2_000])
                 row = row + k
-                yield _batch([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), (b.column(3).to_numpy()[row] + col - CONTEXT).astype(np.int32), window], schema)
+                yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(row)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((at[row] + col - CONTEXT).astype(np.int32)), pa.array(window)], ["seed", "uid", "doc_id", "w0", "window"])
 
     first = seen.where("is_first").select("seed", F.col("words").alias("first_words"))
-    later = seen.where("not is_first").select("seed", "uid", "doc_id", "at", "many", "words")
-    pairs = later.join(first, "seed").select("uid", "doc_id", "at", "many", "words", "first_words", "seed")
-    met = save(pairs.mapInArrow(tidy(compare, forget), "uid long, doc_id long, w0 int, w1 int, seed long, departure long"), "passages-met")
+    later = seen.where("not is_first")
+    pairs = later.select("seed", "uid", "at", "words").join(first, "seed").select("uid", "at", "words", "first_words")
+    alike = save(pairs.mapInArrow(tidy(compare, forget), "uid long, w0 int, w1 int"), "passages-alike")
+    # words that the first occurrences leave: the windows around them
+    others = later.where("many").groupBy("uid").agg(F.collect_list(F.struct("seed", "at", "size")).alias("met"))
+    by_uid = others.join(alike.groupBy("uid").agg(F.collect_list(F.struct("w0", "w1")).alias("ranges")), "uid", "left")
+    left = save(by_uid.mapInArrow(tidy(opened, forget), "seed long, uid long, at int, free long"), "seeds-left")
+    again = later.where("many").select("seed", "uid", "at", "doc_id", "words").join(left, ["seed", "uid", "at"]).select("uid", "doc_id", "at", "words", "free", "seed")
+    each = save(again.mapInArrow(tidy(windows, forget), "seed long, uid long, doc_id long, w0 int, window long"), "windows")
+    twice = save(each.groupBy("seed", "window").agg(F.min(spot_of("w0")).alias("p"), F.max(spot_of("w0")).alias("q")).where("p <> q").select("seed", "window"), "windows-twice")
+    common = each.join(twice, ["seed", "window"])
     place = F.struct("doc_id", "uid", "w0")
-    leaving = met.where("departure is not null")
-    alike = save(leaving.groupBy("seed", "departure").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("seed", "departure"), "departures")
-    some = leaving.join(alike, ["seed", "departure"]).select("seed", "uid", F.col("w0").alias("at")).distinct()
-    again = later.join(some, ["seed", "uid", "at"], "left_semi").select("seed", "uid", "doc_id", "at", "words")
-    each = save(again.mapInArrow(tidy(windows), "seed long, uid long, doc_id long, w0 int, window long"), "windows")
-    common = save(each.groupBy("seed", "window").agg(F.min(place).alias("f"), F.max(place).alias("last")).where("f <> last").select("seed", "window", F.col("f.uid").alias("fu"), F.col("f.w0").alias("fw")), "windows-common")
-    repeats = each.join(common, ["seed", "window"]).where("uid <> fu or w0 <> fw").select("uid", "w0", (F.col("w0") + MIN_SPAN).alias("w1"))
-    out = save(met.where("departure is null").select("uid", "w0", "w1").union(repeats), "passage-removals")
-    discard(spots, firsts, seen, met, alike, each, common)
+    firsts_of = save(common.groupBy("seed", "window").agg(F.min(place).alias("f")), "windows-common")
+    repeats = common.join(firsts_of, ["seed", "window"]).where("uid <> f.uid or w0 <> f.w0").select("uid", "w0", (F.col("w0") + MIN_SPAN).alias("w1"))
+    out = save(alike.union(repeats), "passage-removals")
+    discard(spots, firsts, seen, alike, left, each, twice, firsts_of)
     return out
 
 
