@@ -83,12 +83,24 @@ def collecting() -> Iterator[list]:
         _saved.pop()
 
 
+#: Whether a query's shuffle files go when it ends; else they wait for the driver's garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a
-    lost executor costs only the tasks it ran."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor
+    costs only the tasks it ran, and the shuffles that led to the table are deleted."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._populace_path = path
     if _saved:
