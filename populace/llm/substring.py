@@ -400,6 +400,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
 
     seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
     seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, size int, words binary"), "seeds-seen")
+    discard(spots, firsts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,13 +440,14 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
     left = save(by_uid.mapInArrow(tidy(opened, forget), "seed long, uid long, at int, free long"), "seeds-left")
     again = later.where("many").select("seed", "uid", "at", "doc_id", "words").join(left, ["seed", "uid", "at"]).select("uid", "doc_id", "at", "words", "free", "seed")
     each = save(again.mapInArrow(tidy(windows, forget), "seed long, uid long, doc_id long, w0 int, window long"), "windows")
+    discard(seen, left)
     twice = save(each.groupBy("seed", "window").agg(F.min(spot_of("w0")).alias("p"), F.max(spot_of("w0")).alias("q")).where("p <> q").select("seed", "window"), "windows-twice")
     common = each.join(twice, ["seed", "window"])
     place = F.struct("doc_id", "uid", "w0")
     firsts_of = save(common.groupBy("seed", "window").agg(F.min(place).alias("f")), "windows-common")
     repeats = common.join(firsts_of, ["seed", "window"]).where("uid <> f.uid or w0 <> f.w0").select("uid", "w0", (F.col("w0") + MIN_SPAN).alias("w1"))
     out = save(alike.union(repeats), "passage-removals")
-    discard(spots, firsts, seen, alike, left, each, twice, firsts_of)
+    discard(alike, each, twice, firsts_of)
     return out
 
 
