@@ -96,9 +96,61 @@ FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.host
 """
 
 
+#: Cosines of all pairs; components from all pairs that reach each other (few vectors are that alike).
+OP4_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), d AS (
+  SELECT len(v) AS dim FROM e WHERE v IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, dim LIMIT 1
+), good AS (
+  SELECT row_number() OVER () AS r, vec_id, v FROM e, d
+  WHERE len(v) = dim AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM good a JOIN good b ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT a, vb FROM links UNION SELECT reach.a, links.vb FROM reach JOIN links ON reach.vb = links.va
+), n AS (
+  SELECT va AS vec_id, count(*) AS n_links FROM links GROUP BY 1
+), c AS (
+  SELECT vec_id, min(vb) AS least FROM reach JOIN good ON good.r = reach.a GROUP BY 1
+)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id))::BIGINT AS component_id, coalesce(c.least, e.vec_id) >= e.vec_id AS kept
+FROM e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+#: Windows of 100 bytes as hex digits, taken from blocks of 500 starts, grouped by their MD5.
+OP6_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 1198) AS h FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 99)::BIGINT, 500)) AS p FROM t)
+), s AS (
+  SELECT doc_id, p, h, unnest(range(0, (length(h) // 2 - 99)::BIGINT)) AS j FROM b
+), w AS (
+  SELECT doc_id, p + j AS i, row_number() OVER (PARTITION BY md5(substr(h, 2 * j + 1, 200)) ORDER BY doc_id, p + j) AS place FROM s
+), g AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS opens FROM w WHERE place > 1
+), k AS (
+  SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), r AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY 1, 2
+), u AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1
+), edge AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM r
+  UNION ALL SELECT doc_id, max(b), NULL FROM r GROUP BY 1
+), left_of AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS h FROM edge JOIN t USING (doc_id) GROUP BY 1
+)
+SELECT t.doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(left_of.h, t.h))) AS kept_sha256
+FROM t LEFT JOIN u USING (doc_id) LEFT JOIN left_of USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_quality": OP3_SQL}
+    return {"op3_host_quality": OP3_SQL, "op4_pivot_permutation": OP4_SQL, "op6_difference_cover": OP6_SQL}

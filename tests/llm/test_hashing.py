@@ -247,6 +247,30 @@ def test_op4_matches_brute_force(spark, block):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 905))
 
 
+def test_op4_sql_counts_links(tmp_path):
+    """The tables have no vectors at cosine 0.9, so the SQL is tried on some that do."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 16))
+    rows = [(i, [float(x) for x in c + rng.normal(scale=0.15, size=16)]) for i, c in enumerate(np.repeat(centres, 8, axis=0))]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [1.0] * 3)]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    held = con.execute("select vec_id, embedding from embeddings order by 1").fetchall()
+    n, comp = brute_vectors([(i, v if v is None or len(v) == 16 else None) for i, v in held])
+    got = con.execute(queries.oracle_sql()["op4_pivot_permutation"] + " ORDER BY 1").fetchall()
+    assert n.sum() > 100
+    assert got == [(i, k, c, i == c) for (i, _), k, c in zip(held, n.tolist(), comp)]
+
+
+def test_op4_matches_sql(spark, sf, duck):
+    from ..oracle import same_rows
+
+    same_rows(queries.op4_pivot_permutation(spark, sf), duck, queries.oracle_sql()["op4_pivot_permutation"])
+
+
 def test_op4_recall_on_the_given_vectors(spark, sf):
     d = pd.DataFrame([tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()], columns=["vec_id", "v"])
     x = np.array(d["v"].tolist(), float)

@@ -291,6 +291,12 @@ def test_op6_repeated_rows_and_empty(spark):
     assert suffix.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_op6_matches_sql(spark, sf, duck):
+    from ..oracle import same_rows
+
+    same_rows(queries.op6_difference_cover(spark, sf), duck, queries.oracle_sql()["op6_difference_cover"])
+
+
 def test_op3_matches_sql(spark, sf, duck):
     from ..oracle import same_rows
 
