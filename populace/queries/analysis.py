@@ -191,9 +191,21 @@ def _bins(spark, sf):
     return D.histogram_2d(ev(spark, sf), ["event_type"], "x", "y", 48, 24)
 
 
-@query("D4")
+#: Log counts of a 48 x 24 grid, smoothed along one axis and then the other, mirrored at the edges.
+_SMOOTH = f"""b AS (SELECT event_type, {_BIN.format(n=48, m=47)} AS i, least(greatest(floor((y - c) / (d - c) * 24), 0), 23)::INT AS j, count(*) AS n
+  FROM ev JOIN (SELECT event_type, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM ev GROUP BY 1) USING (event_type) GROUP BY ALL),
+k AS (SELECT o::INT AS o, exp(-0.5 * power(o / 1.5, 2)) / sum(exp(-0.5 * power(o / 1.5, 2))) OVER () AS w FROM range(-6, 7) AS r(o)),
+s0 AS (SELECT event_type, i, j, ln(1 + n) AS s FROM b),
+s1 AS (SELECT event_type, g.i::INT AS i, j, sum(w * s) AS s FROM range(48) AS g(i), k JOIN s0 ON s0.i = CASE WHEN g.i + o < 0 THEN -1 - g.i - o WHEN g.i + o > 47 THEN 95 - g.i - o ELSE g.i + o END GROUP BY ALL),
+s2 AS (SELECT event_type, i, g.j::INT AS j, sum(w * s) AS s FROM range(24) AS g(j), k JOIN s1 ON s1.j = CASE WHEN g.j + o < 0 THEN -1 - g.j - o WHEN g.j + o > 23 THEN 47 - g.j - o ELSE g.j + o END GROUP BY ALL)"""
+
+
+@query("D4", f"""WITH {_SMOOTH}, top AS (SELECT event_type, max(s) AS m FROM s2 GROUP BY 1)
+SELECT event_type, i AS xb, j AS yb, round(s, 6) AS height FROM s2 p JOIN top USING (event_type)
+WHERE s >= m / 25 AND s >= (SELECT max(q.s) FROM s2 q WHERE q.event_type = p.event_type AND abs(q.i - p.i) <= 3 AND abs(q.j - p.j) <= 3)""")
 def joint_peaks(spark, sf):
-    return D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "xb int, yb int, height double", D.joint_peaks)
+    out = D.on_bins(_bins(spark, sf), ["event_type"], 48, 24, "xb int, yb int, height double", D.joint_peaks)
+    return out.withColumn("height", F.round("height", 6))
 
 
 @query("D5")

@@ -66,7 +66,11 @@ def shard_rr(spark, sf):
     return P.round_robin(ev(spark, sf), ["value", "event_id"], 4).groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("L3")
+@query("L3", """SELECT name, shard FROM (WITH RECURSIVE it AS (SELECT n_name AS name, length(n_name)::BIGINT AS size, row_number() OVER (ORDER BY length(n_name) DESC, n_name) AS k FROM nation),
+s AS (SELECT 0::BIGINT AS k, '' AS name, 0 AS shard, [0, 0, 0, 0]::BIGINT[] AS load
+      UNION ALL SELECT it.k, it.name, list_position(load, list_min(load))::INT - 1, list_transform(load, lambda v, i: CASE WHEN i = list_position(load, list_min(load)) THEN v + it.size ELSE v END)
+      FROM s JOIN it ON it.k = s.k + 1)
+SELECT name, shard FROM s WHERE k > 0)""")
 def pool_lpt(spark, sf):
     sizes = table(spark, sf, "nation").select("n_name", F.length("n_name").alias("n")).collect()  # a fixed list
     return spark.createDataFrame(sorted(P.longest_first([(r[0], r[1]) for r in sizes], 4).items()), "name string, shard int")
