@@ -143,9 +143,9 @@ pre AS (SELECT g, b::INT AS b, coalesce((SELECT sum(n) FROM h WHERE h.g = t.g AN
 tot AS (SELECT g, sum(n) AS tc, sum(n * (bin * 10.0 + 5)) AS tm FROM h GROUP BY g),
 o AS (SELECT g, p.b AS b1, q.b AS b2 FROM pre p JOIN pre q USING (g) JOIN tot USING (g) WHERE p.b < q.b AND p.c > 0 AND q.c > p.c AND tc > q.c
       QUALIFY row_number() OVER (PARTITION BY g ORDER BY p.m * p.m / p.c + (q.m - p.m) * (q.m - p.m) / (q.c - p.c) + (tm - q.m) * (tm - q.m) / (tc - q.c) DESC, p.b, q.b) = 1)
-SELECT g, CASE WHEN any_value(m) >= 2 THEN array_to_string(list(printf('%.4f', x) ORDER BY x) FILTER (place <= 2), ' ') ELSE printf('%.4f %.4f', any_value(b1) * 10.0, any_value(b2) * 10.0) END AS cuts,
-       CASE WHEN any_value(m) > 2 THEN 'selected' WHEN any_value(m) = 2 THEN 'all' ELSE 'otsu' END AS status
-FROM r JOIN o USING (g) GROUP BY g""")
+SELECT g, CASE WHEN any_value(m) >= 2 THEN array_to_string(list(printf('%.4f', x) ORDER BY x) FILTER (place <= 2), ' ') WHEN any_value(b1) IS NOT NULL THEN printf('%.4f %.4f', any_value(b1) * 10.0, any_value(b2) * 10.0) END AS cuts,
+       CASE WHEN any_value(m) > 2 THEN 'selected' WHEN any_value(m) = 2 THEN 'all' WHEN any_value(b1) IS NULL THEN 'failed' ELSE 'otsu' END AS status
+FROM r LEFT JOIN o USING (g) GROUP BY g""")
 def valleys_or_otsu(spark, sf):
     h = ev(spark, sf).groupBy((F.col("user_id") % 4).alias("g"), F.least(F.floor(F.col("y") / 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = h.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
