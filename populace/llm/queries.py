@@ -9,7 +9,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, packing, quality, repair, simhash, substring, suffix, toxicity, vectors
+from . import align, bpe, html_text, packing, pieces, quality, repair, simhash, substring, suffix, toxicity, vectors
 from .common import table
 
 
@@ -54,6 +54,14 @@ def op10_html_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 OP3_SQL = f"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t,

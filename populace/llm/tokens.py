@@ -94,8 +94,8 @@ class PieceEncoder:
             self.old, self.new = new, {}
         return out
 
-    def encode_many(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
-        """uint32 ids of each text; a null text is empty."""
+    def encode_many(self, texts: list[str | None] | pa.Array, spaced: bool = False) -> list[np.ndarray]:
+        """uint32 ids of each text; a null text is empty. spaced (mode "byte"): of a space and the text."""
         col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(col):
             return []
@@ -111,10 +111,10 @@ class PieceEncoder:
         code, ends = named.indices.to_numpy().astype(np.int64), ends - ends[0]
         words = named.dictionary.to_pylist()
         if self.mode == "byte":  # all but a text's first piece follow a space
-            firsts = ends[:-1][ends[1:] > ends[:-1]]
-            spaced = np.ones(code.size, bool)
-            spaced[firsts] = False
-            used = np.flatnonzero(np.bincount(code[spaced], minlength=len(words)))
+            firsts = np.empty(0, np.int64) if spaced else ends[:-1][ends[1:] > ends[:-1]]
+            later = np.ones(code.size, bool)
+            later[firsts] = False
+            used = np.flatnonzero(np.bincount(code[later], minlength=len(words)))
             bare, at = np.unique(code[firsts], return_inverse=True)
             place = np.zeros(len(words), np.int64)
             place[used] = np.arange(used.size)
@@ -130,7 +130,7 @@ class PieceEncoder:
         edge = stop[ends]
         out = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         if whole.size:
-            for i, e in zip(whole.tolist(), self.t.encode_batch_fast([col[i].as_py() for i in whole.tolist()], add_special_tokens=False)):
+            for i, e in zip(whole.tolist(), self.t.encode_batch_fast([" " * spaced + col[i].as_py() for i in whole.tolist()], add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32)
         return out
 
