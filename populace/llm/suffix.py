@@ -9,7 +9,7 @@ or before it in the same document, is a repeat; every byte of a repeat goes.
    Equal windows have equal anchors at equal places, so a window whose anchor
    occurs once is no repeat. This drops no repeat.
 3. The windows of an anchor's occurrence form one context (their union). Equal
-   contexts are folded to the first; a later one goes whole.
+   contexts (by 128 bits) are folded to the first; a later one goes whole.
 4. Contexts that remain are dealt to shards by anchor, so that all equal windows
    are in one shard. A shard sorts its suffixes by a difference cover modulo 3:
    triples at sampled places are sorted and named, names are sorted by recursion,
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, named_texts, save, tidy
@@ -202,7 +202,12 @@ def _ranges(uid: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray
     return uid[first], start[first], start[last] + length
 
 
-def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def two_hashes(window: Column) -> tuple[Column, Column]:
+    """64 bits each under two seeds (the second is the hash of a constant): 128 bits together."""
+    return F.xxhash64(window), F.xxhash64(F.lit(1), window)
+
+
+def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT, two_hashes=two_hashes) -> DataFrame:
     """(uid, b0, b1): byte ranges to remove. units: distinct texts (uid, doc_id, text)."""
     spark = units.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -252,10 +257,10 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
                     part = slice(k, k + 10_000)
                     n = at[part].size
                     ctx = [data[s : s + w + length - 1] for s, w in zip(at[part].tolist(), windows[part].tolist())]
-                    key = [int.from_bytes(hashlib.blake2b(c, digest_size=8, salt=int(a).to_bytes(8, "little", signed=True), person=int(z).to_bytes(4, "little")).digest(), "little", signed=True) for c, a, z in zip(ctx, m.field("anchor")[part].to_pylist(), m.field("lead")[part].to_pylist())]
-                    yield pa.RecordBatch.from_arrays([m.field("anchor")[part], pa.array(key, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(np.full(n, u, np.int64)), m.field("at")[part], m.field("windows")[part], pa.array(ctx, pa.binary())], ["anchor", "ctx", "doc_id", "uid", "at", "windows", "bytes"])
+                    key = [hashlib.blake2b(c, digest_size=16, salt=int(a).to_bytes(8, "little", signed=True), person=int(z).to_bytes(4, "little")).digest() for c, a, z in zip(ctx, m.field("anchor")[part].to_pylist(), m.field("lead")[part].to_pylist())]
+                    yield pa.RecordBatch.from_arrays([m.field("anchor")[part], pa.array(key, pa.binary()), pa.array([d] * n, pa.int64()), pa.array(np.full(n, u, np.int64)), m.field("at")[part], m.field("windows")[part], pa.array(ctx, pa.binary())], ["anchor", "ctx", "doc_id", "uid", "at", "windows", "bytes"])
 
-    contexts = save(units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(tidy(cut), "anchor long, ctx long, doc_id long, uid long, at int, windows int, bytes binary"), "contexts")
+    contexts = save(units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(tidy(cut), "anchor long, ctx binary, doc_id long, uid long, at int, windows int, bytes binary"), "contexts")
     discard(found, shared)
     place = F.struct("doc_id", "uid", "at")
     firsts = save(contexts.groupBy("anchor", "ctx").agg(F.min(place).alias("f"), F.count("*").alias("n")), "contexts-first")
@@ -278,7 +283,8 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
     sorted_out = dealt.groupBy("shard").applyInArrow(sort_shard, "uid long, b0 long, b1 long")
     single = kept.where(F.col("m") > hot).select("anchor", "doc_id", "uid", "at", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("w"))
     window = F.substring("bytes", F.col("w") + 1, F.lit(length))
-    single = single.select(F.xxhash64(window).alias("h1"), F.xxhash64(window, F.lit(1)).alias("h2"), "doc_id", "uid", (F.col("at") + F.col("w")).cast("long").alias("b0"))
+    h1, h2 = two_hashes(window)
+    single = single.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "uid", (F.col("at") + F.col("w")).cast("long").alias("b0"))
     low = single.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid", "b0")).alias("f"), F.count("*").alias("n")).where("n > 1")
     by_hash = single.join(low, ["h1", "h2"]).where("uid <> f.uid or b0 <> f.b0").select("uid", "b0", (F.col("b0") + length).alias("b1"))
     out = save(whole.union(sorted_out).union(by_hash), "repeats")

@@ -12,7 +12,8 @@ labels of both kinds the score is the share of label 1 (0 where there is none).
 Repeated rows score alike; an empty table gives an empty result; extra columns are
 ignored. A long text is scored whole, and may exceed the sample's bound of characters:
 it is then no part of the sample. A doc_id that labels repeat counts once, as toxic if
-any of its rows says so.
+any of its rows says so. Where documents repeat a doc_id with other texts, the least text
+that isn't null is learned from.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             left -= r["n"] or 0
             chosen.append((r["_id"], r["_y"]))
     wanted = docs.sparkSession.createDataFrame(chosen, sample.schema)
-    rows = texts.join(F.broadcast(wanted), "_id").dropDuplicates(["_id"]).collect()
+    # of the texts of a repeated id the least one
+    rows = texts.join(F.broadcast(wanted), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).collect()
     rows.sort(key=lambda r: r["_id"])
     return fit([r["_t"] for r in rows], np.array([r["_y"] for r in rows], np.int64), float(np.clip(ones / n, 1e-6, 1 - 1e-6)) if n else 0.0)
 
