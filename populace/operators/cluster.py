@@ -1,8 +1,8 @@
 """Clusterings fitted on a bounded seeded sample and applied to every row.
 
 Fitting takes at most ``limit`` rows (seeded, exact); the model is a codebook of a
-few rows that becomes one column expression (for flowsom a pandas function), so
-assignment is a projection.
+few rows that becomes one column expression (for flowsom a pandas function), or the
+fitted points themselves in a tree (ward), so assignment is a projection.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assign import nearest
+from .nearest import spread_labels
 from .perturb import sample_exact
 
 LIMIT = 10_000
@@ -89,6 +90,52 @@ def agglomerate(points: np.ndarray, k: int, linkage: str = "average", sizes: np.
     return out
 
 
+def ward(points: np.ndarray, k: int) -> np.ndarray:
+    """Labels 0..k-1 (by first member) of Ward's clusters of all points, in memory linear in them.
+
+    A chain goes from a cluster to its nearest one until two are each other's nearest, which are
+    joined; distances come from centres and sizes, so no matrix is kept. Ward's distances are
+    reducible: the joins of the chain, put in order of height, are those of the greedy method."""
+    x = np.asarray(points, float)
+    n = len(x)
+    if k >= n:
+        return np.arange(n)
+    centre, size, alive, name = x.copy(), np.ones(n), np.ones(n, bool), np.arange(n)
+    joins: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(joins) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        i = chain[-1]
+        d = ((centre - centre[i]) ** 2).sum(1) * (2 * size * size[i] / (size + size[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]  # each other's nearest
+            chain = chain[:-2]
+            joins.append((float(d[j]), int(name[i]), int(name[j])))
+            low, high = sorted((i, j))
+            total = size[i] + size[j]
+            centre[low] = (size[i] * centre[i] + size[j] * centre[j]) / total
+            size[low], alive[high] = total, False
+            name[low] = min(name[i], name[j])
+        else:
+            chain.append(j)
+    up = np.arange(n)
+
+    def root(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for _, a, b in sorted(joins, key=lambda j: j[0])[: n - k]:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    _, out = np.unique([root(i) for i in range(n)], return_inverse=True)
+    return out
+
+
 def gaussian_mixture(x: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, means, variances) of diagonal components by expectation maximisation."""
     mean = kmeans(x, k)
@@ -118,20 +165,17 @@ def assign_mixture(columns: Sequence[str], weight: np.ndarray, mean: np.ndarray,
 
 
 def cluster_plane(rows: DataFrame, columns: Sequence[str], key: str, method: str = "kmeans", k: int = 8, limit: int = LIMIT, seed: int = 42) -> DataFrame:
-    """rows with ``slot``. method: kmeans, ward, gmm or som."""
+    """rows with ``slot``. method: kmeans, ward, gmm or som. ward joins the fitted points
+    themselves; a row's cluster is that of the fitted point nearest to it."""
     x = fit_sample(rows, columns, key, limit, seed)
     if not len(x):
         return rows.withColumn("slot", F.lit(None).cast("int"))
     if method == "gmm":
         return rows.withColumn("slot", assign_mixture(columns, *gaussian_mixture(x, k)))
     if method == "ward":
-        fine = kmeans(x, min(len(x), 8 * k))  # a bounded number of points for the quadratic step
-        held = np.bincount(np.argmin(((x[:, None] - fine) ** 2).sum(2), 1), minlength=len(fine))
-        fine = fine[held > 0]
-        groups = agglomerate(fine, k, "ward", held[held > 0])
-    else:
-        fine = kmeans(x, k) if method == "kmeans" else som(x, max(2, round(k**0.5)))
-        groups = np.arange(len(fine))
+        return spread_labels(rows, columns, x, ward(x, k))
+    fine = kmeans(x, k) if method == "kmeans" else som(x, max(2, round(k**0.5)))
+    groups = np.arange(len(fine))
     book = [(int(g), tuple(map(float, w))) for g, w in zip(groups, fine)]
     return rows.withColumn("slot", nearest([F.col(c) for c in columns], book))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
@@ -9,6 +10,8 @@ from ..operators import density as D
 from ..operators import geometry as G
 from ..operators import windows as W
 from ..operators.assign import bin_of
+from ..operators.nearest import nearest_point
+from ..operators.perturb import sample_exact
 from .base import cells, ev, query, table
 
 _BIN = "least(greatest(floor((x - a) / (b - a) * {n}), 0), {m})::INT"
@@ -309,6 +312,25 @@ def plane_ward(spark, sf):
     return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "ward", 6))
 
 
+FIT = """fit AS (
+  SELECT event_id AS fid, x AS fx, y AS fy, event_type AS ftype, row_number() OVER (ORDER BY event_id) - 1 AS pos
+  FROM (SELECT * FROM ev ORDER BY md5('42:' || event_id), event_id LIMIT 2000)
+)"""
+
+
+@query("J4 D14", f"""WITH {FIT}, near AS (
+  SELECT event_id, min({{'d': (x - fx) * (x - fx) + (y - fy) * (y - fy), 'pos': pos}}) AS m FROM ev, fit GROUP BY 1
+)
+SELECT event_id, m.pos AS point, fid AS fit_event, ftype AS label FROM near JOIN fit ON fit.pos = m.pos""")
+def nearest_fit_point(spark, sf):
+    """Labels of a seeded sample, spread to every row from its nearest sampled one."""
+    rows = ev(spark, sf)
+    got = sorted(sample_exact(rows.select("event_id", "x", "y", "event_type"), 2000, 42, "event_id").collect())
+    at = nearest_point(spark, [F.col("x"), F.col("y")], np.array([[r["x"], r["y"]] for r in got], float))
+    fit = spark.createDataFrame([(i, r["event_id"], r["event_type"]) for i, r in enumerate(got)], "point long, fit_event long, label string")
+    return rows.select("event_id", at.alias("point")).join(F.broadcast(fit), "point")
+
+
 @query("D14")
 def plane_gmm(spark, sf):
     return _sizes(C.cluster_plane(ev(spark, sf), ["x", "y"], "event_id", "gmm", 4))
