@@ -30,7 +30,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors cost no earlier step."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`cut_lineage` that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def evaluate_gates(cells: DataFrame, task: list[str], parent: str, label: str, gates, categories: list[str], rule: str = "smallest") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators import density as D
+from ..operators import edges as E
 from ..operators import geometry as G
 from ..operators import windows as W
 from ..operators.assign import bin_of
@@ -293,6 +294,60 @@ def rect_oracle(spark, sf):
     return _fitted(spark, sf, False)
 
 
+def _class_points(spark, sf):
+    r = ev(spark, sf)
+    a, b = r.agg(F.min("x"), F.max("x")).first()
+    turned = F.col("y") + F.col("x") * 8
+    label = F.when(turned > 65, "up").when(turned < 35, "down").otherwise("Unassigned")
+    return r.select("event_type", "x", "y", label.alias("label"), bin_of(F.col("x"), a, b, 48).alias("xb"), bin_of(F.col("y"), 0.0, 100.0, 48).alias("yb"))
+
+
+@query("G5 W5")
+def rect_exact(spark, sf):
+    """The rectangles of bins, their edges then moved over the data's own values."""
+    points = _class_points(spark, sf)
+    boxes = E.binned_bounds(points, ["event_type"], _fitted(spark, sf, False))
+    return E.ascend(points, ["event_type"], boxes, "Unassigned").withColumn("f1_macro", F.round("f1_macro", 9))
+
+
+BOXES = [("down", 0.1, 2.0, 2.0, 20.0), ("up", 1.0, 4.0, 45.0, 90.0)]
+
+
+@query("W5 G5", """WITH pts AS (
+  SELECT event_type, x, y, CASE WHEN y + x * 8 > 65 THEN 'up' WHEN y + x * 8 < 35 THEN 'down' ELSE 'Unassigned' END AS label FROM ev
+), box AS (
+  SELECT event_type, b.* FROM (SELECT DISTINCT event_type FROM pts) CROSS JOIN (VALUES ('down', 0.1::DOUBLE, 2.0::DOUBLE, 2.0::DOUBLE, 20.0::DOUBLE), ('up', 1.0, 4.0, 45.0, 90.0)) AS b(k, x_min, x_max, y_min, y_max)
+), inside AS (
+  SELECT event_type, k, x_min, x_max, y_min, y_max, count(*) FILTER (label = k) AS tru,
+         count(*) FILTER (label = k AND x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max) AS hit, count(*) FILTER (x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max) AS said,
+         count(*) FILTER (label = 'Unassigned' AND x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max) AS lost
+  FROM box JOIN pts USING (event_type) GROUP BY ALL
+), g AS (
+  SELECT event_type, count(DISTINCT label) AS c, count(*) AS n_all, count(*) FILTER (label = 'Unassigned') AS n_rest FROM pts GROUP BY 1
+), slab AS (
+  SELECT event_type, k, label, 'x_min' AS edge, x AS value, -x AS o FROM pts JOIN box USING (event_type) WHERE y BETWEEN y_min AND y_max AND x <= x_max
+  UNION ALL SELECT event_type, k, label, 'x_max', x, x FROM pts JOIN box USING (event_type) WHERE y BETWEEN y_min AND y_max AND x >= x_min
+  UNION ALL SELECT event_type, k, label, 'y_min', y, -y FROM pts JOIN box USING (event_type) WHERE x BETWEEN x_min AND x_max AND y <= y_max AND NOT (k = 'up' AND y <= 20)
+  UNION ALL SELECT event_type, k, label, 'y_max', y, y FROM pts JOIN box USING (event_type) WHERE x BETWEEN x_min AND x_max AND y >= y_min AND NOT (k = 'down' AND y >= 45)
+), run AS (
+  SELECT event_type, k, edge, value, count(*) FILTER (label = k) OVER w AS h, count(*) OVER w AS s, count(*) FILTER (label = 'Unassigned') OVER w AS l FROM slab WINDOW w AS (PARTITION BY event_type, k, edge ORDER BY o)
+), scored AS (
+  SELECT DISTINCT r.event_type, r.k, edge, value, (CASE WHEN s + i.tru > 0 THEN 2.0 * h / (s + i.tru) ELSE 0 END + CASE WHEN other.said + other.tru > 0 THEN 2.0 * other.hit / (other.said + other.tru) ELSE 0 END
+         + CASE WHEN n_all - s - other.said + n_rest > 0 THEN 2.0 * (n_rest - l - other.lost) / (n_all - s - other.said + n_rest) ELSE 0 END) / c AS score
+  FROM run r JOIN inside i ON r.event_type = i.event_type AND r.k = i.k JOIN inside other ON r.event_type = other.event_type AND r.k <> other.k JOIN g ON g.event_type = r.event_type
+)
+SELECT event_type, k AS label, edge, count(*) AS n_positions, max(round(score, 8)) AS score, arg_min(value, (-round(score, 8), value)) AS value FROM scored GROUP BY 1, 2, 3""")
+def best_edges(spark, sf):
+    """The best position of each edge of two rectangles, every value of the data tried."""
+    points = _class_points(spark, sf)
+    boxes = points.select("event_type").distinct().crossJoin(F.broadcast(spark.createDataFrame(BOXES, "label string, x_min double, x_max double, y_min double, y_max double")))
+    counted = E.counted_points(points, ["event_type"])
+    sums = E._sums(counted, ["event_type"], "Unassigned")
+    tried = E.edge_scores(counted, ["event_type"], boxes, "Unassigned", E.box_counts(counted, ["event_type"], boxes, "Unassigned"), sums).where("edge <> 'gone'")
+    best = F.min_by("value", F.struct(-F.round("score", 8), F.col("value")))
+    return tried.groupBy("event_type", "label", "edge").agg(F.count("*").alias("n_positions"), F.max(F.round("score", 8)).alias("score"), best.alias("value"))
+
+
 @query("G6")
 def rect_oracle_joint(spark, sf):
     return _fitted(spark, sf, True)
