@@ -10,9 +10,12 @@ Dense lines select the content: from the page downwards, the element that holds
 to all dense characters of the element around it is entered, unless a heading would be
 left outside; an article is entered whole. Inside what is selected, lines are kept, short
 ones too, but for sparse lines that are mostly links (menus). Elements that HTML itself
-names as navigation, footers, asides, forms and the like give no lines. Elements whose
-class, id or role names adverts, notices, comments and the like give none either; a name
-other than one of comments isn't believed of an element that holds an article.
+names as navigation, footers, asides and the like give no lines. Forms, and elements whose
+class, id or role names adverts, notices and the like, give none as a rule; but ratios
+outvote names: an element that holds an article, or most of the page's dense characters and
+no article beside it, is content whatever it is called, and a name that says other things
+too (related-work, share-price) is believed only of an element whose characters are mostly
+sparse. Comments go in any case.
 
 Nulls: a null page is empty; a page without content has an empty text. Markup that never
 ends, stray end tags, unclosed elements and unknown declarations are handled as a
@@ -41,7 +44,7 @@ BLOCKS = frozenset(
 )
 #: Elements that content can be confined to.
 CONTAINERS = frozenset("article body div main section table td".split())
-SKIPPED = frozenset("head script style noscript template iframe svg math object canvas video audio select option button textarea label input nav footer aside form menu dialog".split())
+SKIPPED = frozenset("head script style noscript template iframe svg math object canvas video audio select option button textarea label input nav footer aside menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that name boilerplate; those of TALK name readers' comments.
@@ -55,41 +58,48 @@ TALK = frozenset("comment comments commentlist disqus replies respond".split())
 #: Words beside which those say what the element is not, or which part of the content it is.
 NOT = frozenset("has is no not with without hide show".split())
 PART = frozenset("article body content entry main page post story".split())
+#: Words beside which a name of boilerplate says nothing else.
+PLACES = frozenset("area bar block bottom box btn button buttons center container content group holder icons inner item items left link links list main message nav outer panel right row section site slot text top unit wrap wrapper".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 #: Share of the dense characters around it that an element holds to be entered, and share
 #: of a line's characters in links that makes it a menu's.
 ENTER, LINKED = 0.9, 0.5
+#: Share of the page's dense characters that outvotes a name, and of an element's own that makes it dense.
+MOST = 0.5
+#: Dense characters that an element needs to outvote its name.
+LEAST = 100
 
 
 def named(attrs: list[tuple[str, str | None]]) -> str:
-    """What an element's names say: "talk", "aside" or nothing."""
+    """What an element's names say: "talk", "aside", "perhaps" (among other things) or nothing."""
     found = ""
     for key, value in attrs:
         if key not in ("class", "id", "role") or not value:
             continue
         for token in value.lower().split():
-            words = set(SPLIT.split(token))
+            words = set(SPLIT.split(token)) - {""}
             if words & NOT:
                 continue
             if words & TALK:
                 return "talk"
             if words & NAMES and not words & PART:
-                found = "aside"
+                plain = all(w in NAMES or w in PLACES or w.isdigit() for w in words)
+                found = "aside" if plain or found == "aside" else "perhaps"
     return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, characters in links, container, whether a heading, name)."""
+    """Collects lines: (text, tags, characters in links, container, whether a heading, name, whether in an article)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.link = 0
-        #: of each container: the one around it, its tag; of each name: whether talk, whether it holds an article
+        #: of each container: the one around it, its tag; of each named element: what the name says, whether it holds an article, the one around it
         self.around, self.kind = [0], [""]
-        self.names: list[list[bool]] = []
+        self.names: list[list] = []
         #: open elements: tag, whether it hides its content, container, whether in an article, name
         self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, -1)]
         self.count: Counter[str] = Counter()
@@ -121,9 +131,9 @@ class Lines(HTMLParser):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                tag, _, container, _, name = self.open[-1]
+                tag, _, container, article, name = self.open[-1]
                 heading = any(t in HEADINGS for t, *_ in self.open[-3:])
-                self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), container, heading, name))
+                self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), container, heading, name, article))
                 self.tags = 0
             self.parts = []
         self.linked = 0
@@ -140,12 +150,15 @@ class Lines(HTMLParser):
             return
         if not hidden:
             hidden = tag in SKIPPED or tag == "header" and not article or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-            says = "" if tag in ("html", "body", "main") else named(attrs)
-            if says and name < 0:
-                self.names.append([says == "talk", False])
+            says = "" if tag in ("html", "body", "main") else named(attrs) or "aside" * (tag == "form")
+            if tag in ("article", "main") and not says:
+                k = name
+                while k >= 0:
+                    self.names[k][1] = True
+                    k = self.names[k][2]
+            if says:
+                self.names.append([says, False, name])
                 name = len(self.names) - 1
-            if tag in ("article", "main") and name >= 0 and not says:
-                self.names[name][1] = True
         if tag in CONTAINERS:
             self.around.append(container)
             self.kind.append(tag)
@@ -215,7 +228,7 @@ def selected(lines: list[tuple], around: list[int], kind: list[str], dense: np.n
     element has ENTER of the dense characters and no heading is left outside."""
     n = len(around)
     weight, titles, inner = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
-    for (text, _, _, c, heading, _), d in zip(lines, dense):
+    for (text, _, _, c, heading, *_), d in zip(lines, dense):
         weight[c] += len(text) * bool(d)
         titles[c] += heading
     for c in range(n - 1, 0, -1):  # inner ones have larger numbers
@@ -231,6 +244,30 @@ def selected(lines: list[tuple], around: list[int], kind: list[str], dense: np.n
     return at
 
 
+def dropped(names: list[list], lines: list[tuple], dense: np.ndarray) -> list[bool]:
+    """Of each named element whether its lines go: its name is believed, or that of one around it."""
+    n = len(names)
+    heavy, all_chars, articles = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    for (text, *_, name, article), d in zip(lines, dense):
+        while name >= 0:
+            heavy[name] += len(text) * bool(d)
+            all_chars[name] += len(text)
+            articles[name] += article
+            name = names[name][2]
+    talk = np.zeros(n, bool)
+    for k, (says, _, around) in enumerate(names):  # outer ones come first
+        talk[k] = says == "talk" or around >= 0 and talk[around]
+    page = sum(len(line[0]) for line, d in zip(lines, dense) if d and (line[5] < 0 or not talk[line[5]]))
+    in_articles = sum(line[6] for line in lines if line[5] < 0 or not talk[line[5]])
+    out: list[bool] = []
+    for k, (says, holds, around) in enumerate(names):
+        most = heavy[k] > max(MOST * page, LEAST) and articles[k] == in_articles
+        sparse = heavy[k] <= MOST * all_chars[k]
+        believed = says == "talk" or not holds and not most and (says == "aside" or sparse)
+        out.append(believed or around >= 0 and out[around])
+    return out
+
+
 def extract(html: str | None, sigma: float = 1.0, ratios: bool = True) -> str:
     """The page's content blocks in page order, joined by two newlines. Without ``ratios``
     every line counts as dense."""
@@ -240,18 +277,27 @@ def extract(html: str | None, sigma: float = 1.0, ratios: bool = True) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    believed = [talk or not holds for talk, holds in p.names]
-    lines = [line for line in p.lines if line[5] < 0 or not believed[line[5]]]
+    lines = p.lines
     if not lines:
         return ""
     dense = np.ones(len(lines), bool)
     if ratios:
         level = smooth(np.log1p([len(line[0]) / line[1] for line in lines]), sigma)
         dense = level >= threshold(level)
+    out = dropped(p.names, lines, dense)
+    kept = [k for k, line in enumerate(lines) if line[5] < 0 or not out[line[5]]]
+    if not kept:
+        return ""
+    lines = [lines[k] for k in kept]
+    if ratios:  # the content's own clusters, without what names took away
+        level = smooth(np.log1p([len(line[0]) / line[1] for line in lines]), sigma)
+        dense = level >= threshold(level)
+    else:
+        dense = np.ones(len(lines), bool)
     chosen, inside = selected(lines, p.around, p.kind, dense), [True] * len(p.around)
     for c in range(len(p.around)):
         inside[c] = c == chosen or c > chosen and inside[p.around[c]] and p.around[c] != c
-    return "\n\n".join(text for (text, _, linked, c, heading, _), d in zip(lines, dense) if inside[c] and (d or heading or linked < LINKED * len(text)))
+    return "\n\n".join(text for (text, _, linked, c, heading, *_), d in zip(lines, dense) if inside[c] and (d or heading or linked < LINKED * len(text)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
