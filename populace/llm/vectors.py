@@ -1,11 +1,12 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by its ``prefix`` nearest pivots, nearest first. Pivots
-are vectors of a sample (all vectors are indexed), each less than APART alike to those
-before it: a dense group holds few pivots, which all its members have in common, and
-the other pivots of their prefixes tell them apart as little as the links need. Where
-few vectors are that far apart, few pivots are left, lists grow, and at ``prefix``
-pivots or fewer all pairs are compared. A vector enters the inverted list of each pivot
+are vectors of a sample (all vectors are indexed), each, without the sample's mean, less
+than APART alike to those before it: a dense group holds few pivots, which all its members
+have in common, and the other pivots of their prefixes tell them apart as little as the
+links need. The more the vectors have in common, the longer their prefixes. Where few vectors
+are that far apart, few pivots are left, lists grow, and at ``prefix`` pivots or fewer all
+pairs are compared. A vector enters the inverted list of each pivot
 of its prefix; in a list, pairs that share at least ``shared`` pivots are candidates,
 and a candidate is a link if its cosine in double precision reaches ``limit``. A pair
 is counted only in the list of its lowest shared pivot.
@@ -56,14 +57,30 @@ def unit(rows: list, dim: int) -> np.ndarray:
 
 
 def apart(x: np.ndarray, most: int) -> np.ndarray:
-    """The first rows of x that are less than APART alike to each one taken before."""
-    kept = np.empty((most, x.shape[1]))
-    n = 0
-    for r in x:
-        if n < most and not (kept[:n] @ r >= APART).any():
-            kept[n] = r
-            n += 1
-    return kept[:n]
+    """Numbers of the first rows of x that are less than APART alike to each one taken before."""
+    kept, at = np.empty((most, x.shape[1])), []
+    for i, r in enumerate(x):
+        if len(at) < most and not (kept[: len(at)] @ r >= APART).any():
+            kept[len(at)] = r
+            at.append(i)
+    return np.array(at, np.int64)
+
+
+def choose_pivots(x: np.ndarray, most: int, limit: float, prefix: int) -> tuple[np.ndarray, int]:
+    """Pivots among unit vectors x, and the length of prefixes.
+
+    Embeddings often share a direction. It says nothing of which pivots are near, so pivots are
+    chosen apart in what is left without the mean; and of the cosine ``limit`` of a link it
+    makes up a part, so links are less alike in the rest, and their prefixes are longer by as much."""
+    if not len(x):
+        return x, prefix
+    mean = x.mean(axis=0)
+    rest = x - mean
+    norm = np.sqrt((rest * rest).sum(axis=1, keepdims=True))
+    pivots = x[apart(np.divide(rest, norm, out=x.copy(), where=norm > 1e-9), most)]
+    common = float(mean @ mean)
+    alike = (limit - common) / (1 - common) if common < 1 else 0.0
+    return pivots, min(len(pivots), round(prefix * limit / alike)) if alike > prefix * limit / len(pivots) else len(pivots)
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -118,9 +135,9 @@ def link(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_id", vector:
     wanted = pivot_count(total, dim)
     drawn = reps.orderBy("h1", "h2").limit(DRAWN * wanted).select("v").toArrow().column("v").combine_chunks()
     flat = drawn.flatten().to_numpy().reshape(-1, max(dim, 1))
-    pivots = apart(flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True)), wanted)
+    pivots, prefix = choose_pivots(flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True)), wanted, limit, prefix)
     held, p = spark.sparkContext.broadcast(pivots), len(pivots)
-    shared = min(shared, p)
+    shared = shared if p > prefix else min(shared, p)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
