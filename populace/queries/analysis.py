@@ -158,10 +158,14 @@ def valleys_or_otsu(spark, sf):
     return out.select("g", F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), " ").alias("cuts"), "status")
 
 
-@query("W10 G2", "SELECT g, CASE g WHEN 0 THEN 12.0 WHEN 1 THEN 6.0 END::DOUBLE AS area FROM (VALUES (0), (1)) AS t(g)")
+@query("W10 G2", "SELECT s_suppkey AS g, round(3.0 * (0.2 + (s_suppkey % 5) * 0.15) * (2.0 + (s_suppkey % 7)), 6) AS area FROM supplier")
 def polygon_area(spark, sf):
-    rows = [(0, i, *p) for i, p in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)])] + [(1, i, *p) for i, p in enumerate([(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)])]
-    return W.shoelace(spark.createDataFrame(rows, "g int, ord int, x double, y double"), ["g"])
+    """A hexagon around each supplier's place."""
+    k = F.col("s_suppkey")
+    cx, cy, rx, ry = k * 37 % 601 / 100.0, k * 53 % 1009 / 10.0, 0.2 + k % 5 * 0.15, 2.0 + k % 7
+    corners = [(1.0, 0.0), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.0), (-0.5, -1.0), (0.5, -1.0)]
+    rows = table(spark, sf, "supplier").select(k.alias("g"), F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), (cx + rx * a).alias("x"), (cy + ry * b).alias("y")) for i, (a, b) in enumerate(corners)))).alias("v")).select("g", "v.*")
+    return W.shoelace(rows, ["g"]).withColumn("area", F.round("area", 6))
 
 
 @query("W11", "SELECT density, count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY floor(x * 4), floor(y / 5)) AS density FROM ev) GROUP BY 1")

@@ -43,11 +43,16 @@ def gate_assign_table(spark, sf):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("J11", f"""WITH g AS ({GRID}) SELECT a.category AS first, b.category AS second, round((least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * (least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)), 6) AS overlap_area
-FROM g a JOIN g b ON a.ord < b.ord WHERE least(a.x_max, b.x_max) > greatest(a.x_min, b.x_min) AND least(a.y_max, b.y_max) > greatest(a.y_min, b.y_min)""")
+NATION_BOXES = "SELECT n_regionkey AS task, n_name AS category, n_nationkey AS ord, n_nationkey % 10 * 0.5 AS x_min, n_nationkey % 10 * 0.5 + 1.4 + n_nationkey % 3 * 0.2 AS x_max, (n_nationkey // 10) * 20.0 AS y_min, (n_nationkey // 10) * 20.0 + 25.0 AS y_max FROM nation"
+
+
+@query("J11", f"""WITH g AS ({NATION_BOXES}) SELECT a.category AS first, b.category AS second, round((least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * (least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)), 6) AS overlap_area
+FROM g a JOIN g b ON a.task = b.task AND a.ord < b.ord WHERE least(a.x_max, b.x_max) > greatest(a.x_min, b.x_min) AND least(a.y_max, b.y_max) > greatest(a.y_min, b.y_min)""")
 def overlap_pairs(spark, sf):
-    i = F.col("id")
-    g = spark.range(50).select(F.lit(1).alias("task"), F.concat(F.lit("g"), i).alias("category"), i.alias("ord"), (i % 10 * 0.5).alias("x_min"), (i % 10 * 0.5 + 0.4 + i % 3 * 0.2).alias("x_max"), (F.floor(i / 10) * 20.0).alias("y_min"), (F.floor(i / 10) * 20.0 + 25.0).alias("y_max"))
+    """A rectangle for each nation; those of a region may overlap."""
+    i = F.col("n_nationkey")
+    row = F.floor(i / 10) * 20.0
+    g = table(spark, sf, "nation").select(F.col("n_regionkey").alias("task"), F.col("n_name").alias("category"), i.alias("ord"), (i % 10 * 0.5).alias("x_min"), (i % 10 * 0.5 + 1.4 + i % 3 * 0.2).alias("x_max"), row.alias("y_min"), (row + 25.0).alias("y_max"))
     return G.overlaps(g, ["task"]).select("first", "second", F.round("overlap_area", 6).alias("overlap_area"))
 
 
@@ -130,19 +135,24 @@ def expected_missing(spark, sf):
     return missing(want, have, ["key", "seg"])
 
 
-@query("J14 N19", "SELECT * FROM (VALUES ('B'), ('C1'), ('C2')) AS t(leaf)")
+@query("J14 N19", "SELECT r_name AS leaf FROM region WHERE r_regionkey >= 3 UNION ALL SELECT n_name FROM nation WHERE n_regionkey < 3")
 def leaf_set(spark, sf):
+    """A plan that parts the first three regions into their nations."""
     from ..plans.cascade import leaf_categories
 
-    steps = [("ALL", ["A", "B"]), ("s1 == A", ["C1", "C2", "D"]), ("s2 in D & s1 != X", ["B"])]
+    regions = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    nations = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    steps = [("ALL", regions), *((f"region == {r}", [n["n_name"] for n in nations if n["n_regionkey"] == k]) for k, r in enumerate(regions[:3]))]
     return spark.createDataFrame([(x,) for x in leaf_categories(steps)], "leaf string")
 
 
-@query("J16", "SELECT task, min_by(path, prio) AS path FROM (VALUES (1, 'a', 2), (1, 'b', 1), (2, 'c', 1)) AS t(task, path, prio) WHERE path <> 'b' GROUP BY 1")
+@query("J16", "SELECT c_nationkey AS task, min_by(c_name, c_custkey * 7 % 101 * 1000000 + c_custkey) AS path FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def candidate_paths(spark, sf):
+    """Customers as the candidates of their nation: the first one in order that is valid."""
     from ..operators.pool import first_candidate
 
-    rows = spark.createDataFrame([(1, "a", 2, True), (1, "b", 1, False), (2, "c", 1, True)], "task int, path string, prio int, valid boolean")
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("task"), F.col("c_name").alias("path"), (k * 7 % 101 * 1000000 + k).alias("prio"), (F.col("c_acctbal") > 0).alias("valid"))
     return first_candidate(rows, ["task"], "prio", F.col("valid")).select("task", "path")
 
 

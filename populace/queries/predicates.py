@@ -34,20 +34,28 @@ def parent_unknown_part(spark, sf):
     return _where(spark, sf, "whatever & Step02_c|d == A")
 
 
-@query("P2", "SELECT * FROM (VALUES ('ALL', 'Root'), ('a == x & b != y', 'Root -> a(x) -> b(not y)'), ('c in p,q', 'Root -> c(p,q)')) AS t(parent, breadcrumb)")
+@query("P2", """SELECT 'ALL' AS parent, 'Root' AS breadcrumb
+UNION ALL SELECT 'region == ' || r_name || ' & nation != ' || n_name, 'Root -> region(' || r_name || ') -> nation(not ' || n_name || ')' FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'nation in ' || string_agg(n_name, ',' ORDER BY n_nationkey), 'Root -> nation(' || string_agg(n_name, ',' ORDER BY n_nationkey) || ')' FROM nation GROUP BY n_regionkey""")
 def parent_breadcrumb(spark, sf):
-    texts = ["ALL", "a == x & b != y", "c in p,q"]
+    """The parents of a plan over nations, one for each of them and of their regions."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.select("r_name", "n_name").orderBy("n_nationkey").collect()
+    texts = ["ALL", *(f"region == {r} & nation != {c}" for r, c in rows), *("nation in " + ",".join(c for x, c in rows if x == r) for r in dict.fromkeys(r for r, _ in rows))]
     return spark.createDataFrame([(t, P.breadcrumb(t)) for t in texts], "parent string, breadcrumb string")
 
 
 CHANNELS = [("l_quantity", "qty", "protein"), ("l_extendedprice", "price", "scatter"), ("l_discount", "rate", "protein"), ("l_tax", "rate", "livedead")]
 
 
-@query("P3 N22", "SELECT * FROM (VALUES ('qty', 'l_quantity'), ('rate', 'l_discount'), ('l_tax', 'l_tax'), ('none', NULL)) AS t(name, channel)")
+@query("P3 N22", """SELECT r_name AS name, CASE r_regionkey WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS channel FROM region
+UNION ALL SELECT 'l_tax', 'l_tax'""")
 def channel_resolution(spark, sf):
+    """Markers named as regions: of some a channel, of one two, of one a channel that isn't there, of one none."""
     columns = table(spark, sf, "lineitem").columns
-    pairs = [(c, m) for c, m, _ in CHANNELS]
-    return spark.createDataFrame([(n, P.resolve_channel(n, columns, pairs)) for n in ("qty", "rate", "l_tax", "none")], "name string, channel string")
+    names = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    pairs = list(zip(("l_quantity", "l_discount", "gone", "gone"), names)) + [("l_tax", names[1]), ("l_tax", names[2])]
+    return spark.createDataFrame([(n, P.resolve_channel(n, columns, pairs)) for n in [*names, "l_tax"]], "name string, channel string")
 
 
 @query("P4", "SELECT coalesce(CASE \"Step02_c|d\" WHEN 'A' THEN 'Alpha' ELSE \"Step02_c|d\" END, '(missing)') AS label, count(*) AS n FROM cells GROUP BY 1")
@@ -76,16 +84,25 @@ def polygon_predicate(spark, sf):
     return e.where(triangle.contains(F.col("x"), F.col("y"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("P9", "SELECT * FROM (VALUES (1, 'l_discount'), (2, 'l_quantity'), (3, 'l_tax'), (4, 'l_extendedprice'), (5, 'l_linenumber'), (6, 'l_suppkey'), (7, 'l_partkey')) AS t(ord, channel)")
+KINDS = ["scatter", "protein", "dna", "livedead", "tech"]
+
+
+@query("P9", """SELECT row_number() OVER (ORDER BY tier, n_name)::INT AS ord, n_name AS channel FROM (
+  SELECT n_name, CASE n_regionkey WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 0 THEN 3 WHEN 2 THEN 4 END AS tier FROM nation WHERE n_regionkey < 4)""")
 def channels_by_kind(spark, sf):
-    more = [("l_partkey", "", "gaussian"), ("l_suppkey", "", "bead"), ("l_linenumber", "", "dna"), ("l_orderkey", "", "tech"), ("l_comment", "", "background")]
-    names = P.channels_by_kind(CHANNELS + more)
+    """Nations as channels, whose kind goes by their region; those of the last kind aren't used."""
+    rows = table(spark, sf, "nation").select("n_name", "n_regionkey").collect()
+    names = P.channels_by_kind([(n, "", KINDS[r]) for n, r in rows])
     return spark.createDataFrame(list(enumerate(names, 1)), "ord int, channel string")
 
 
-@query("P10", "SELECT * FROM (VALUES ('l_quantity', 'qty'), ('l_extendedprice', 'price'), ('l_discount', 'l_discount'), ('l_tax', 'l_tax')) AS t(channel, shown)")
+@query("P10", """SELECT n_name AS channel, CASE WHEN marker <> '' AND count(*) OVER (PARTITION BY marker) = 1 THEN marker ELSE n_name END AS shown
+FROM (SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'M' || n_nationkey WHEN 1 THEN 'R' || n_regionkey ELSE '' END AS marker FROM nation)""")
 def display_names(spark, sf):
-    return spark.createDataFrame(list(P.display_names([(c, m) for c, m, _ in CHANNELS]).items()), "channel string, shown string")
+    """Nations as channels: some have a marker of their own, some share it, some have none."""
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    marker = lambda r: (f"M{r['n_nationkey']}", f"R{r['n_regionkey']}", "")[r["n_nationkey"] % 3]
+    return spark.createDataFrame(list(P.display_names([(r["n_name"], marker(r)) for r in rows]).items()), "channel string, shown string")
 
 
 @query("P11", """SELECT sample, step1, step2, count(*) AS n FROM (
@@ -124,19 +141,26 @@ def modality(spark, sf):
     return cells(spark, sf).groupBy("sample", P.modality(F.col("sample") * 30).alias("modality")).agg(F.count("*").alias("n"))
 
 
-@query("P15 U5", "SELECT * FROM (VALUES ('a,b,Unassigned', 'b,a'), ('Unassigned,c', 'c')) AS t(options, kept)")
+@query("P15 U5", """SELECT c_mktsegment || ',' || CASE WHEN c_nationkey % 2 = 0 THEN 'Unassigned' ELSE 'a,Unassigned' END AS options,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'Unassigned,' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS kept, count(*) AS n FROM customer GROUP BY ALL""")
 def option_completion(spark, sf):
-    d = spark.createDataFrame([(["a", "b"], ["b", "x", "a", "b"]), (["Unassigned", "c"], ["c", "c", "zz"])], "cats array<string>, given array<string>")
+    even, third = F.col("c_nationkey") % 2 == 0, F.col("c_custkey") % 3 == 0
+    seg, none = F.col("c_mktsegment"), F.lit("Unassigned")
+    d = table(spark, sf, "customer").select(F.array(seg, F.when(even, none).otherwise("a")).alias("cats"), F.array(F.when(even, none).otherwise("zz"), F.when(third, seg).otherwise("x"), F.when(even, none).otherwise("zz")).alias("given"))
     valid = F.array_distinct(F.filter("given", lambda v: F.array_contains("cats", v)))
-    return d.select(F.array_join(P.with_unassigned(F.col("cats")), ",").alias("options"), F.array_join(valid, ",").alias("kept"))
+    kept = F.when(F.col("given")[0] == none, F.concat(none, F.lit(","), F.array_join(F.array_remove(valid, "Unassigned"), ","))).otherwise(F.array_join(valid, ","))
+    return d.groupBy(F.array_join(P.with_unassigned(F.col("cats")), ",").alias("options"), kept.alias("kept")).agg(F.count("*").alias("n"))
 
 
-@query("P16", "SELECT * FROM (VALUES (1, true, ''), (2, false, 'ragged'), (3, false, 'unknown label'), (4, false, 'unsupported'), (5, false, 'valleys')) AS t(rule, ok, why)")
+@query("P16", """SELECT n_nationkey AS rule, n_nationkey % 5 = 0 AS ok, CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'ragged' WHEN 2 THEN 'unknown label' WHEN 3 THEN 'unsupported' ELSE 'valleys' END AS why FROM nation""")
 def rule_validation(spark, sf):
+    """A rule for each nation over its own name and its region's: right, ragged, with an unknown label, unsupported, of other valleys."""
     from ..operators.assign import check_rules
 
-    rows = [(1, [["p", "n"], ["n", "n"]], ["p", "n"], 1, 1, True), (2, [["p"], ["n", "n"]], ["p", "n"], 1, 1, True), (3, [["q", "n"], ["n", "n"]], ["p", "n"], 1, 1, True), (4, None, ["p"], 0, 0, False), (5, [["p", "n"], ["n", "n"]], ["p", "n"], 2, 1, True)]
-    return check_rules(spark.createDataFrame(rows, "rule int, regions array<array<string>>, categories array<string>, x_valleys int, y_valleys int, supported boolean"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    p, q, kind = F.col("n_name"), F.col("r_name"), F.col("n_nationkey") % 5
+    regions = F.when(kind == 1, F.array(F.array(p), F.array(q, q))).when(kind == 2, F.array(F.array(F.lit("?"), q), F.array(q, q))).when(kind != 3, F.array(F.array(p, q), F.array(q, q)))
+    return check_rules(n.select(F.col("n_nationkey").alias("rule"), regions.alias("regions"), F.array(p, q).alias("categories"), F.when(kind == 4, 2).otherwise(1).alias("x_valleys"), F.lit(1).alias("y_valleys"), (kind != 3).alias("supported")))
 
 
 @query("P17", "SELECT event_type, array_to_string(list_filter(['click>a', 'view>b'], lambda t: split_part(t, '>', 1) = event_type), ' ') AS kept, count(*) AS n FROM ev GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import render as R
 from ..operators import density as D
 from ..operators import windows as W
-from .base import cells, ev, query
+from .base import cells, ev, query, table
 
 _H8 = "h AS (SELECT e.event_type, bin, count(v.event_id) AS n FROM (SELECT DISTINCT event_type FROM ev) e CROSS JOIN (SELECT i::INT AS bin FROM range(8) AS r(i)) LEFT JOIN (SELECT event_type, event_id, least(greatest(floor((x - a) / (b - a) * 8), 0), 7)::INT AS bin FROM ev JOIN (SELECT event_type, min(x) AS a, max(x) AS b FROM ev GROUP BY 1) USING (event_type)) v USING (event_type, bin) GROUP BY ALL)"
 
@@ -46,9 +46,11 @@ def cells_prompt(spark, sf):
     return R.cells_prompt(rows, ["g"], "slot", "s").select("prompt")
 
 
-@query("D3 R5", "SELECT * FROM (VALUES (1, 'peaks: 0.50, 2.10'), (2, 'peaks: none')) AS t(id, text)")
+@query("D3 R5", """SELECT n_nationkey AS id, 'peaks: ' || CASE n_nationkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN printf('%.2f', n_nationkey / 4.0) ELSE printf('%.2f, %.2f', n_nationkey / 4.0, n_regionkey / 2.0) END AS text FROM nation""")
 def points_text(spark, sf):
-    d = spark.createDataFrame([(1, [0.5, 2.1]), (2, [])], "id int, at array<double>")
+    """No, one or two points for each nation."""
+    both = F.array(F.col("n_nationkey") / 4.0, F.col("n_regionkey") / 2.0)
+    d = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.slice(both, F.lit(1), F.col("n_nationkey") % 3).alias("at"))
     return d.select("id", R.points_line("peaks", F.col("at")).alias("text"))
 
 

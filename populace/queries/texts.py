@@ -12,30 +12,38 @@ from ..sources import files as S
 from .base import ev, query, table
 
 ANSWERS = [
-    (1, '<think>{"a": 1}</think>Sure:\n```json\n{"pos": {"x_min": 0, "x_max": 2, "y_min": 1, "y_max": 3}, "neg": {"absent": true}}\n```'),
-    (2, 'text {"pos": [{"x_min": 0, "x_max": 1, "y_min": 0, "y_max": 1}, {"vertices": [[0, 0], [1, 0], [1, 1]]}], "neg": {"x_min": 5, "x_max": 4, "y_min": 0, "y_max": 1}} end'),
-    (3, "no json here"),
+    '<think>{"a": 1}</think>Sure:\n```json\n{"pos": {"x_min": %d, "x_max": %d, "y_min": 1, "y_max": 3}, "neg": {"absent": true}}\n```',
+    'text {"pos": [{"x_min": %d, "x_max": %d, "y_min": 0, "y_max": 1}, {"vertices": [[0, 0], [1, 0], [1, 1]]}], "neg": {"x_min": 5, "x_max": 4, "y_min": 0, "y_max": 1}} end',
 ]
 
 
-@query("E1", "SELECT * FROM (VALUES (1, 'pos', 'rect', 0.0::DOUBLE, 2.0::DOUBLE), (1, 'neg', 'absent', NULL, NULL), (2, 'pos', 'rect', 0.0, 1.0), (2, 'pos', 'polygon', NULL, NULL), (2, 'neg', 'missing', NULL, NULL), (3, 'pos', 'missing', NULL, NULL), (3, 'neg', 'missing', NULL, NULL)) AS t(id, category, kind, x_min, x_max)")
+@query("E1", """SELECT s_suppkey AS id, category, kind, lo + s_suppkey AS x_min, hi + s_suppkey AS x_max FROM supplier
+JOIN (VALUES (0, 'pos', 'rect', 0.0::DOUBLE, 2.0::DOUBLE), (0, 'neg', 'absent', NULL, NULL), (1, 'pos', 'rect', 0.0, 1.0), (1, 'pos', 'polygon', NULL, NULL), (1, 'neg', 'missing', NULL, NULL), (2, 'pos', 'missing', NULL, NULL), (2, 'neg', 'missing', NULL, NULL)) AS t(k, category, kind, lo, hi) ON s_suppkey % 3 = k""")
 def parse_gates(spark, sf):
-    a = spark.createDataFrame(ANSWERS, "id int, text string")
-    return R.parse_gates(a, "text", ["pos", "neg"], ["id"]).select("id", "category", "kind", "x_min", "x_max")
+    """An answer for each supplier: fenced after thoughts, in a sentence with several gates, or none."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, F.format_string(ANSWERS[0], k, k + 2)).when(k % 3 == 1, F.format_string(ANSWERS[1], k, k + 1)).otherwise(F.concat(F.lit("no json here: "), "s_name"))
+    return R.parse_gates(table(spark, sf, "supplier").select(k.alias("id"), text.alias("text")), "text", ["pos", "neg"], ["id"]).select("id", "category", "kind", "x_min", "x_max")
 
 
-@query("E2", "SELECT * FROM (VALUES (1, 'cell_1', 'T'), (1, 'cell_2', NULL), (2, 'cell_1', 'B'), (2, 'cell_2', 'NK')) AS t(id, cell, annotation)")
+@query("E2", """SELECT c_custkey AS id, 'cell_' || i AS cell, CASE WHEN i = 1 THEN c_mktsegment WHEN c_custkey % 2 = 1 THEN 'NK' END AS annotation FROM customer, (VALUES (1), (2)) AS t(i)""")
 def parse_cells(spark, sf):
-    rows = [(1, 'noise {"z": 1} {"cell_1": {"annotation": "T", "rationale": "r"}}', ["cell_1", "cell_2"]), (2, 'cut { "cell_1": "B" ... {"cell_1": {"annotation": "B"}, "cell_2": "NK"}', ["cell_1", "cell_2"])]
-    a = spark.createDataFrame(rows, "id int, text string, ids array<string>")
-    return R.parse_cells(a.withColumnRenamed("id", "answer"), "text", "ids", ["answer"]).select(F.col("answer").alias("id"), F.col("id").alias("cell"), "annotation")
+    """An answer for each customer: after other JSON, or begun twice."""
+    seg = F.col("c_mktsegment")
+    one = F.concat(F.lit('noise {"z": 1} {"cell_1": {"annotation": "'), seg, F.lit('", "rationale": "r"}}'))
+    two = F.concat(F.lit('cut { "cell_1": "'), seg, F.lit('" ... {"cell_1": {"annotation": "'), seg, F.lit('"}, "cell_2": "NK"}'))
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("answer"), F.when(F.col("c_custkey") % 2 == 0, one).otherwise(two).alias("text"), F.array(F.lit("cell_1"), F.lit("cell_2")).alias("ids"))
+    return R.parse_cells(a, "text", "ids", ["answer"]).select(F.col("answer").alias("id"), F.col("id").alias("cell"), "annotation")
 
 
-@query("E3", "SELECT * FROM (VALUES ('c1', 'a,b', 1), ('c2', '', 0), ('c3', 'b', 0)) AS t(cluster, leaves, n_invalid)")
+@query("E3", """SELECT n_nationkey AS id, 'c' || i AS cluster, CASE i WHEN 1 THEN 'a,b' WHEN 2 THEN '' ELSE CASE WHEN n_regionkey < 2 THEN 'b' ELSE '' END END AS leaves,
+  CASE i WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE CASE WHEN n_regionkey < 2 THEN 0 ELSE 1 END END AS n_invalid FROM nation, (VALUES (1), (2), (3)) AS t(i)""")
 def leaf_parse(spark, sf):
-    text = json.dumps({"c1": {"leaves": ["a", "zz", "b", "a"]}, "c2": {"leaves": None}, "c3": {"leaves": ["b"], "rationale": "r"}})
-    a = spark.createDataFrame([(1, text)], "id int, text string")
-    return R.parse_leaves(a, "text", ["a", "b"], ["id"]).select("cluster", F.array_join("leaves", ",").alias("leaves"), "n_invalid")
+    """An answer for each nation, whose name is no leaf."""
+    name = F.col("n_name")
+    text = F.concat(F.lit('{"c1": {"leaves": ["a", "'), name, F.lit('", "b", "a"]}, "c2": {"leaves": null}, "c3": {"leaves": ["'), F.when(F.col("n_regionkey") < 2, "b").otherwise(name), F.lit('"], "rationale": "r"}}'))
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.alias("text"))
+    return R.parse_leaves(a, "text", ["a", "b"], ["id"]).select("id", "cluster", F.array_join("leaves", ",").alias("leaves"), "n_invalid")
 
 
 @query("E4", "SELECT user_id % 3 AS sample, event_type AS key, count(*)::VARCHAR AS value FROM ev GROUP BY ALL")
@@ -44,16 +52,18 @@ def assemble_flatten(spark, sf):
     return R.flatten(R.assemble(n, ["sample"], "event_type", "n"), ["sample"], "doc")
 
 
-@query("E5", "SELECT * FROM (VALUES (1, 'x'), (2, 'z'), (3, 'head')) AS t(id, text)")
+@query("E5", "SELECT c_custkey AS id, c_name AS text FROM customer")
 def think_strip(spark, sf):
-    a = spark.createDataFrame([(1, "<think>a</think>x"), (2, "lost </think> z"), (3, "head <think> open")], "id int, text string")
-    return a.select("id", R.without_thinking(F.col("text")).alias("text"))
+    """An answer for each customer: thoughts closed, closed but not opened, or not closed."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = F.when(k % 3 == 0, F.concat(F.lit("<think>a</think>"), name)).when(k % 3 == 1, F.concat(F.lit("lost </think> "), name)).otherwise(F.concat(name, F.lit(" <think> open")))
+    return table(spark, sf, "customer").select(k.alias("id"), R.without_thinking(text).alias("text"))
 
 
-@query("S14", "SELECT * FROM (VALUES (1, 7), (1, 12)) AS t(prompt, cell)")
+@query("S14", "SELECT c_custkey AS prompt, (CASE i WHEN 1 THEN c_custkey ELSE c_nationkey END)::INT AS cell FROM customer, (VALUES (1), (2)) AS t(i)")
 def prompt_cells(spark, sf):
-    a = spark.createDataFrame([(1, "intro\n## cell_7\nx\n## cell_12\n ## cell_9")], "prompt int, text string")
-    return a.select("prompt", F.explode(R.prompt_cells(F.col("text"))).alias("cell"))
+    text = F.format_string("intro\n## cell_%d\nx\n## cell_%d\n ## cell_9", F.col("c_custkey"), F.col("c_nationkey"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("prompt"), F.explode(R.prompt_cells(text)).alias("cell"))
 
 
 @query("E3 S11", "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
@@ -104,15 +114,18 @@ def sample_scan(spark, sf):
     return c.agg(F.count("*").alias("n"), F.countDistinct("sample", "row_id").alias("ids"), F.count_if(F.col("l_linestatus").isNull()).alias("missing"))
 
 
-@query("S5 S8 M3 M4", "SELECT * FROM (VALUES ('c1', 'CD3', 'protein', 0), ('c2', 'FSC', 'scatter', 1)) AS t(channel, marker, kind, ord)")
+@query("S5 S8 M3 M4", """SELECT 'c' || n_nationkey AS channel, n_name AS marker, CASE WHEN n_regionkey < 2 THEN 'protein' ELSE 'scatter' END AS kind, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS ord FROM nation""")
 def channel_metadata(spark, sf):
-    return S.channels(spark, {"channels": {"c1": ["CD3", "protein"], "c2": ["FSC", "scatter"]}})
+    """Nations as the channels of a panel."""
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    return S.channels(spark, {"channels": {f"c{r['n_nationkey']}": [r["n_name"], "protein" if r["n_regionkey"] < 2 else "scatter"] for r in rows}})
 
 
-@query("S12 S13", "SELECT * FROM (VALUES ('s1', 'ds', 3, '0.5', 'p1', 2)) AS t(scenario, dataset, step, magnitude, sample, task_step)")
+@query("S12 S13", """SELECT 's' || (s_suppkey % 4) AS scenario, 'ds' || s_nationkey AS dataset, (s_suppkey % 9 + 1)::INT AS step, '0.5' AS magnitude, 'p' || s_suppkey AS sample, (s_suppkey % 7 + 1)::INT AS task_step FROM supplier""")
 def result_paths(spark, sf):
-    d = spark.createDataFrame([("/out/s1/ds_step03/frac_0.5/ds/p1/step_02/prediction.json",)], "path string")
-    return S.path_parts(d, "path")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    path = F.format_string("/out/s%d/ds%d_step%02d/frac_0.5/ds%d/p%d/step_%02d/prediction.json", k % 4, n, k % 9 + 1, n, k, k % 7 + 1)
+    return S.path_parts(table(spark, sf, "supplier").select(path.alias("path")), "path")
 
 
 @query("S11 K1 M7", "SELECT event_type AS label, count(*) AS n FROM ev GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import perturb as T
-from .base import cells, ev, query
+from .base import cells, ev, query, table
 
 
 def _counts(df):
@@ -52,10 +52,16 @@ def compose(spark, sf):
     return p(ev(spark, sf)).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"))
 
 
-@query("T6 T7", """SELECT * FROM (VALUES (1, 'deplete-Step01_CD3_SSC-A-pos'), (2, 'deplete-c-v-frac50-seed7'), (3, 'ratio_shift-c-a10.0-b1.0'), (4, 'channel_shift-m+0.5-n-0.3'), (5, 'channel_scale-mx1.5'), (6, 'deplete-c-v+channel_scale-mx2')) AS t(ord, slug)""")
+@query("T6 T7", """SELECT n_nationkey AS ord, CASE n_nationkey % 5
+  WHEN 0 THEN 'deplete-' || regexp_replace(n_name, '[^A-Za-z0-9._+-]', '_', 'g') || '_SSC-A-pos' WHEN 1 THEN 'deplete-c-' || regexp_replace(n_name, '[^A-Za-z0-9._+-]', '_', 'g') || '-frac50-seed' || n_nationkey
+  WHEN 2 THEN 'ratio_shift-c-a' || (n_nationkey + 1) || '.0-b1.0' WHEN 3 THEN 'channel_shift-m+0.5-n-' || n_nationkey ELSE 'deplete-c-v+channel_scale-mx' || n_nationkey END AS slug FROM nation""")
 def perturbation_slugs(spark, sf):
-    specs = [["deplete 'Step01_CD3|SSC-A' pos"], ["deplete c v frac=0.5 seed=7"], ["ratio_shift c a=10 b=1"], ["channel_shift m=0.5 n=-0.3"], ["channel_scale m=1.5"], ["deplete c v", "channel_scale m=2"]]
-    return spark.createDataFrame([(i, T.parse_specs(s)[0]) for i, s in enumerate(specs, 1)], "ord int, slug string")
+    """A specification for each nation, of each kind in turn."""
+    def specs(name, k):
+        return [[f"deplete '{name}|SSC-A' pos"], [f"deplete c '{name}' frac=0.5 seed={k}"], [f"ratio_shift c a={k + 1} b=1"], [f"channel_shift m=0.5 n=-{k}"], ["deplete c v", f"channel_scale m={k}"]][k % 5]
+
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()
+    return spark.createDataFrame([(k, T.parse_specs(specs(n, k))[0]) for k, n in rows], "ord int, slug string")
 
 
 TASKS = [
@@ -65,17 +71,24 @@ TASKS = [
 ]
 
 
-@query("T8 T9 T10 S9", """SELECT * FROM (VALUES
-  ('d1', 1.0::DOUBLE, 'd1', 'deplete-event_type-click'), ('d1', 0.5, 'd1_frac50', 'deplete-event_type-click-frac50'),
-  ('s1', 0.5, 's1_scale50', 'channel_scale-xx1.3-yx0.9'), ('s2', 1.0, 's2', 'channel_scale-p1x2-p2x2')) AS t(hard_id, magnitude, name, slug)""")
+@query("T8 T9 T10 S9", """SELECT n_nationkey AS task, CASE n_nationkey % 4 WHEN 0 THEN 1.0::DOUBLE ELSE 0.5 END AS magnitude,
+  'h' || n_nationkey || CASE n_nationkey % 4 WHEN 1 THEN '_frac50' WHEN 2 THEN '_scale50' WHEN 3 THEN '_scale50' ELSE '' END AS name,
+  CASE n_nationkey % 4 WHEN 0 THEN 'deplete-nation-' || replace(n_name, ' ', '_') WHEN 1 THEN 'deplete-nation-' || replace(n_name, ' ', '_') || '-frac50'
+    WHEN 2 THEN 'channel_scale-xx1.3-yx0.9' ELSE 'channel_scale-' || (SELECT string_agg(r_name || 'x1.5', '-' ORDER BY r_regionkey) FROM region WHERE r_regionkey < 2) END AS slug FROM nation""")
 def hard_tasks(spark, sf):
-    reg = T.registry(TASKS, ("rare", "drift"))
-    channels = [("c1", "p1", "protein"), ("c2", "p2", "protein"), ("c3", "q", "scatter")]
+    """A registered task for each nation: it is depleted in whole or in part, or channels are scaled; regions name the markers."""
+    nations = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    regions = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    kinds = lambda r: {"deplete": (r["n_name"],)} if r["n_nationkey"] % 4 < 2 else {"scales": (("x", 1.6), ("y", 0.8)) if r["n_nationkey"] % 4 == 2 else ((T.ALL_PROTEINS, 2.0),)}
+    reg = T.registry([T.HardTask(f"h{r['n_nationkey']}", "rare", "ds", 1, "nation", **kinds(r)) for r in nations], ("rare",))
+    channels = [(f"c{i}", name, "protein" if i < 2 else "scatter") for i, name in enumerate(regions)]
     rows = []
-    for hard_id, m in (("d1", 1.0), ("d1", 0.5), ("s1", 0.5), ("s2", 1.0)):
-        name, p = T.task_perturbation(hard_id, [], reg, magnitude=m, channels=channels if hard_id == "s2" else ())
-        rows.append((hard_id, m, name, p.slug))
-    return spark.createDataFrame(rows, "hard_id string, magnitude double, name string, slug string")
+    for r in nations:
+        k = r["n_nationkey"]
+        m = 0.5 if k % 4 else 1.0
+        name, p = T.task_perturbation(f"h{k}", [], reg, magnitude=m, channels=channels if k % 4 == 3 else ())
+        rows.append((k, m, name, p.slug))
+    return spark.createDataFrame(rows, "task int, magnitude double, name string, slug string")
 
 
 @query("T9", "SELECT event_type, round(sum(asinh(sinh(x) * 1.3)), 4) AS sx, round(sum(asinh(sinh(y / 50) * 0.9)), 4) AS sy FROM ev GROUP BY 1")
