@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import analysis, base, gates, jobs, predicates, rendering, scoring, steps, texts, transforms, trees
+from .queries import analysis, base, gates, jobs, models, predicates, rendering, scoring, steps, texts, transforms, trees
 
-MODULES = (predicates, transforms, gates, scoring, analysis, texts, rendering, trees, steps, jobs)
+MODULES = (predicates, transforms, gates, scoring, analysis, texts, rendering, trees, steps, models, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
