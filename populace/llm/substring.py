@@ -205,7 +205,7 @@ def paragraphs(units: DataFrame) -> DataFrame:
                         joined = b" ".join(words)
                         for c, v in zip(cols, (uid, doc_id, k, hashlib.md5(joined).digest(), joined.decode())):
                             c.append(v)
-                if len(cols[0]) > 5_000:
+                if len(cols[0]) > 1_000:
                     yield _batch(cols, schema)
                     cols = [[] for _ in schema]
             yield _batch(cols, schema)
@@ -492,6 +492,19 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
 
+def packed(a: str, b: str):
+    """Two word numbers as one long: arrays of them stay numbers on the way to Python."""
+    return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
+
+
+def overlapping(ranges: np.ndarray) -> list[tuple[int, int]]:
+    """Packed word ranges, those that share words made one."""
+    a, b = np.sort(ranges) >> 32, np.sort(ranges) & 0xFFFFFFFF
+    reach = np.maximum.accumulate(b)
+    first = np.append(True, a[1:] >= reach[:-1])
+    return list(zip(a[first].tolist(), reach[np.append(first[1:], True)].tolist()))
+
+
 @F.pandas_udf(CUT)
 def _cut_passages(texts: pd.Series, ranges: pd.Series, copies: pd.Series) -> pd.DataFrame:
     out = []
@@ -499,7 +512,7 @@ def _cut_passages(texts: pd.Series, ranges: pd.Series, copies: pd.Series) -> pd.
         if t and is_copy and len(t.encode().split()) >= MIN_SPAN:
             out.append(("", len(t), 1))
         elif t and not is_copy and g is not None:
-            out.append(without(t, word_spans(t, [(r["w0"], r["w1"]) for r in g])))
+            out.append(without(t, word_spans(t, overlapping(np.asarray(g, np.int64)))))
         else:
             out.append((t, 0, 0))
     return pd.DataFrame(out, columns=["text", "n_removed", "n_spans"])
@@ -516,7 +529,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_of=F.x
     key = F.col(id_col).cast("long")
     others = F.struct(*(F.col(c) for c in docs.columns if c != text))
     named, lows = named_texts(docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text")), hash_of)
-    ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(F.struct("w0", "w1")).alias("goes"))
+    ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(packed("w0", "w1")).alias("goes"))
     known = named.join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))
     left = known.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
     left = save(left, "passages-cut")

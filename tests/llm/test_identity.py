@@ -39,3 +39,15 @@ def test_op8_repeated_ids_with_other_texts(spark):
     one = toxicity.train(spark.createDataFrame(sorted(least.items()), SCHEMA), labels)
     for m in models:
         assert m.bias == one.bias and np.array_equal(m.weights, one.weights)
+
+
+def test_op9_ranges_that_share_words_are_one():
+    from populace.llm.substring import overlapping, without, word_spans
+
+    rng = random.Random(6)
+    text = "\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 30))) for _ in range(12))
+    n = len(text.split())
+    for _ in range(200):
+        ranges = sorted((a, a + rng.randint(1, 12)) for a in (rng.randrange(n) for _ in range(rng.randint(1, 9))))
+        got = overlapping(np.array([a << 32 | b for a, b in reversed(ranges)], np.int64))
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:])) and without(text, word_spans(text, got)) == without(text, word_spans(text, ranges))
