@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import model as N
 from ..plans.flagship import shared_folder
-from .base import query, table
+from ..operators import valleys as V
+from .base import ev, query, table
 
 WIDTH, DIM = 12, 64
 STEPS = {"one": ["a", "b", "c"], "two": ["x", "y"]}
@@ -42,3 +43,60 @@ def model_scores(spark, sf):
     N.save_model(spark, fixed_model(), path)
     out = N.score(table(spark, sf, "embeddings"), "vec_id", "embedding", N.load_model(spark, path), STEPS)
     return out.select(F.col("key").alias("vec_id"), "step", "label", F.round("probability", 5).alias("probability"))
+
+
+def _density_sql(name, source, key):
+    """SQL of densities and valleys of bins (key..., bin, n): ``<name>_d`` and ``<name>_v``."""
+    on = " AND ".join(f"a.{k} = m.{k}" for k in key.split(", "))
+    both = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+    a_key = ", ".join(f"a.{k}" for k in key.split(", "))
+    return f"""{name}_m AS (
+  SELECT {key}, sum(n)::DOUBLE AS cnt, (sum(n * bin * bin) - sum(n * bin)::DOUBLE * sum(n * bin) / sum(n)) / (sum(n) - 1) AS v FROM {source} GROUP BY ALL HAVING sum(n) >= 2
+), {name}_d AS (
+  SELECT {a_key}, a.bin, round(sum(b.n * exp(-0.5 * power((a.bin - b.bin) / greatest(sqrt(v) * power(4 / (3 * cnt), 0.2), 0.5), 2)) ORDER BY b.bin) / (cnt * greatest(sqrt(v) * power(4 / (3 * cnt), 0.2), 0.5) * sqrt(2 * pi())), 10) AS d
+  FROM {source} a JOIN {source} b ON {both} JOIN {name}_m m ON {on} WHERE v > 1e-9 GROUP BY {a_key}, a.bin, cnt, v
+), {name}_r AS (
+  SELECT *, sign(d - lag(d) OVER (PARTITION BY {key} ORDER BY bin)) AS rise FROM {name}_d
+), {name}_p AS (
+  SELECT *, coalesce(rise > 0 AND first_value(nullif(rise, 0) IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < 0, false) AND d >= 0.1 * max(d) OVER (PARTITION BY {key}) AS pk FROM {name}_r
+), {name}_g AS (
+  SELECT *, sum(pk::INT) OVER (PARTITION BY {key} ORDER BY bin) AS gap FROM {name}_p
+), {name}_v AS (
+  SELECT {key}, arg_min(bin, (d, bin)) AS bin FROM (SELECT *, max(gap) OVER (PARTITION BY {key}) AS last FROM {name}_g) WHERE gap > 0 AND gap < last AND NOT pk GROUP BY {key}, gap
+)"""
+
+
+def _depth_sql(name, cuts):
+    return f"""{name} AS (
+  SELECT c.g, c.bin, round(least(coalesce(max(d) FILTER (t.bin < c.bin AND (lo IS NULL OR t.bin > lo)), 0), coalesce(max(d) FILTER (t.bin > c.bin AND (hi IS NULL OR t.bin < hi)), 0)) - max(d) FILTER (t.bin = c.bin), 10) AS depth
+  FROM {cuts} c JOIN one_d t ON c.g = t.g GROUP BY c.g, c.bin, lo, hi
+)"""
+
+
+@query("W8 D12 S17", f"""WITH counted AS (
+  SELECT user_id % 12 AS g, least(floor(x * 8), 47)::INT AS bin, count(*) AS n FROM ev GROUP BY ALL
+), hist AS (
+  SELECT g, bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT g FROM counted) CROSS JOIN (SELECT unnest(range(48))::INT AS bin) LEFT JOIN counted USING (g, bin)
+), {_density_sql("one", "hist", "g")}, listed AS (
+  SELECT g, bin, lag(bin) OVER w AS lo, lead(bin) OVER w AS hi FROM one_v WINDOW w AS (PARTITION BY g ORDER BY bin)
+), {_depth_sql("deep", "listed")}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY depth DESC, bin) AS place, count(*) OVER (PARTITION BY g) AS m FROM deep
+), lone AS (SELECT g, bin AS cut FROM ranked WHERE m = 1), halves AS (
+  SELECT g, CASE WHEN bin < cut THEN 0 ELSE 1 END AS side, bin, n FROM hist JOIN lone USING (g) WHERE bin <> cut
+), {_density_sql("two", "halves", "g, side")}, tried AS (
+  SELECT g, bin, CASE side WHEN 1 THEN cut END AS lo, CASE side WHEN 0 THEN cut END AS hi FROM two_v JOIN lone USING (g)
+), {_depth_sql("more", "tried")}, best AS (
+  SELECT g, arg_min(bin, (-depth, bin)) AS more FROM more WHERE depth > 0 GROUP BY g
+), median AS (
+  SELECT g, min(bin) AS median FROM (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY bin) AS c, sum(n) OVER (PARTITION BY g) AS t FROM hist) WHERE 2 * c >= t GROUP BY g
+), top AS (SELECT g, any_value(m) AS m, list(bin ORDER BY bin) FILTER (place <= 2) AS cuts FROM ranked GROUP BY g)
+SELECT g, array_to_string(CASE WHEN m IS NULL THEN [median] WHEN m = 1 AND more IS NOT NULL THEN list_sort(list_append(cuts, more)) ELSE cuts END, ' ') AS cuts,
+  CASE WHEN m IS NULL THEN 'median' WHEN m > 2 THEN 'top_depth' WHEN m = 2 THEN 'all' WHEN more IS NOT NULL THEN 'split_rescue' ELSE 'middle_dropped' END AS status
+FROM median LEFT JOIN top USING (g) LEFT JOIN best USING (g)""")
+def rescued_valleys(spark, sf):
+    """Two cuts for each of twelve groups, from densities of 48 bins."""
+    n = ev(spark, sf).groupBy((F.col("user_id") % 12).alias("g"), F.least(F.floor(F.col("x") * 8), F.lit(47)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = n.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("bin"))
+    hist = every.join(n, ["g", "bin"], "left").fillna(0, ["n"])
+    out = V.rescued_cuts(hist, ["g"], 2)
+    return out.select("g", F.array_join(F.transform("cuts", lambda c: c.cast("string")), " ").alias("cuts"), "status")
