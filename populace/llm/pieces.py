@@ -7,7 +7,8 @@ the best score on, and a piece's ends are looked up in that record. Texts withou
 of the map take the same steps over whole arrays.
 
 Merges can't pass a pair of characters that no piece holds side by side, so a text is cut
-there; equal parts are merged once for each worker (a two-generation cache of bounded size).
+there, before spaces and between letters and other characters; equal parts are merged once
+for each worker (a two-generation cache of bounded size).
 
 Nulls: a null text is an empty one, of no pieces but the end id; a null doc_id stays. Texts
 are encoded whole, repeated rows each; an empty table gives no rows; other columns are ignored.
@@ -32,10 +33,14 @@ from .common import bounded_batches, tidy
 
 #: Parts in each generation of a worker's cache, and their largest size in characters.
 CACHE, CACHED_CHARS = 400_000, 48
+#: Texts whose new words are merged together.
+PRIMED = 512
 #: Characters up to which a part's pairs are looked through for each merge.
 SHORT = 24
 _NONE = float("inf")
 SPACE = "▁"
+#: Runs in which a word is looked up: letters and digits after spaces, or neither.
+RUNS = re.compile(rf"{SPACE}*[^\W_]+|(?:[^\w{SPACE}]|_)+|{SPACE}+").findall
 _MARK = SPACE.encode()
 #: Types of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -125,7 +130,7 @@ class SentencePieces:
         self.bytes_of = [bytes([self.byte_of[i]]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.names, self.kinds))]
         #: Bytes of normalised text under a piece.
         self.width = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.names, self.kinds)], np.int64)
-        self.limit, self.new, self.old, self.parts = cache, {}, {}, {}
+        self.limit, self.new, self.old, self.pair_table = cache, {}, {}, ()
 
     # -- normalisation ---------------------------------------------------------------
 
@@ -211,11 +216,13 @@ class SentencePieces:
             return self._merge_queued(part)
         get, sym = self.score.get, list(part)
         scores = [get(a + b, _NONE) for a, b in zip(sym, part[1:])]
-        while scores and (best := min(scores)) != _NONE:
+        last = len(scores) - 1
+        while last >= 0 and (best := min(scores)) != _NONE:
             i = scores.index(best)
             sym[i] = both = sym[i] + sym.pop(i + 1)
             del scores[i]
-            if i < len(scores):
+            last -= 1
+            if i <= last:
                 scores[i] = get(both + sym[i + 1], _NONE)
             if i:
                 scores[i - 1] = get(sym[i - 1] + both, _NONE)
@@ -262,40 +269,126 @@ class SentencePieces:
             left = [t for s in left for t in made.get(s, (s,))]
         return left
 
-    def _word_ids(self, word: str) -> bytes:
-        """ids of a word; of an unknown piece its bytes, negative, where the model has no
-        pieces for single bytes."""
-        pairs, parts, ids, a, cuts = self.pairs, self.parts, array("i"), 0, []
-        if not self.users:
-            cuts = [i for i, (x, y) in enumerate(zip(word, word[1:]), 1) if x + y not in pairs]
-        for b in [*cuts, len(word)]:
-            p = word[a:b] if cuts else word
-            if (got := parts.get(p)) is None:
-                left = self._merge(p)
-                got = array("i", map(self.id_of.get, left, repeat(-1)))
-                if -1 in got:
-                    got = array("i")
-                    for s in left:
-                        raw = s.encode()
-                        if (i := self.id_of.get(s)) is not None:
-                            got.append(i)
-                        elif self.byte_fallback:
-                            got.extend(map(self.byte_ids.__getitem__, raw))
-                        else:
-                            got.append(-len(raw))
-                if len(p) <= CACHED_CHARS:
-                    parts[p] = got
+    def _table(self) -> tuple[np.ndarray, ...]:
+        """Pairs of pieces that make a piece, ordered by number: (left * pieces + right, rank of the
+        score, piece); and the piece of each single character."""
+        n, ids = len(self.names), self.id_of
+        made = [(ids[p[:k]] * n + ids[p[k:]], self.score[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        key, score, piece = (np.array(c) for c in zip(*sorted(made)))
+        char = np.full(0x110000, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                char[ord(p)] = i
+        return key, np.unique(score, return_inverse=True)[1].astype(np.int32), piece.astype(np.int32), char
+
+    def _merge_alike(self, parts: list[str]) -> None:
+        """Merges parts of one length together, a pair of each at a time, into the cache."""
+        if not self.pair_table:
+            self.pair_table = self._table()
+        keys, ranks, pieces, char = self.pair_table
+        width, none, n = len(parts[0]), np.iinfo(np.int32).max, len(self.names)
+
+        def look(left, right):
+            k = left.astype(np.int64) * n + right
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            hit = (keys[at] == k) & (left >= 0) & (right >= 0)
+            return np.where(hit, ranks[at], none), pieces[at]
+
+        sym = char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, width)]
+        rank, into = look(sym[:, :-1], sym[:, 1:])
+        own = np.arange(len(parts))
+        while own.size:
+            j = rank.argmin(1) if rank.shape[1] else np.zeros(own.size, np.int64)
+            row = np.arange(own.size)
+            more = rank[row, j] < none if rank.shape[1] else np.zeros(own.size, bool)
+            for i, ids in zip(own[~more].tolist(), sym[~more]):
+                p = parts[i]
+                self.new[self._key(p)] = ids.tobytes() if (ids >= 0).all() else self._part_ids(p)
+            own, sym, rank, into, j = own[more], sym[more], rank[more], into[more], j[more]
+            if not own.size:
+                break
+            row, c = np.arange(own.size), np.arange(sym.shape[1] - 1)
+            sym[row, j] = into[row, j]
+            sym = np.take_along_axis(sym, c + (c > j[:, None]), 1)
+            c = c[:-1]
+            rank, into = (np.take_along_axis(m, c + (c >= j[:, None]), 1) for m in (rank, into))
+            for k, some in ((j, j < sym.shape[1] - 1), (j - 1, j > 0)):
+                r, k = row[some], k[some]
+                rank[r, k], into[r, k] = look(sym[r, k], sym[r, k + 1])
+
+    def prime(self, texts: list[str | None]) -> None:
+        """Merges the new words of many texts together, before they are encoded one by one."""
+        if self.map or self.strip or self.users or self.unused or self.suffix or not (self.words and self.prefix and self.escape):
+            return
+        new, old, by_size = self.new, self.old, {}
+        found = set()
+        for t in texts:
+            found.update(self.words_of(SPACE + t.replace(" ", SPACE)) if t else ())
+        parts = set()
+        for key in found.difference(new):
+            if key not in old:
+                word = key[1:] if SPACE in key else SPACE + key
+                parts.update((word,) if key.isalpha() else RUNS(word))
+        for p in parts:
+            if len(p) <= SHORT and (k := self._key(p)) not in new and k not in old:
+                by_size.setdefault(len(p), []).append(p)
+        for alike in by_size.values():
+            self._merge_alike(alike)
+
+    def _word_ids(self, key: str) -> bytes:
+        """ids of the word that a key of the cache names (see words_of); of an unknown piece its
+        bytes, negative, where the model has no pieces for single bytes."""
+        word = key[1:] if SPACE in key else SPACE + key
+        if self.users or key.isalpha():
+            return self._part_ids(word)
+        pairs, new, old, parts = self.pairs, self.new, self.old, []
+        for run in RUNS(word):  # letters and others, but together where a piece holds both
+            if parts and parts[-1][-1] + run[0] in pairs:
+                parts[-1] += run
+            else:
+                parts.append(run)
+        if len(parts) == 1:
+            return self._part_ids(word)
+        ids = b""
+        for part in parts:
+            p = self._key(part)
+            if (got := new.get(p) or old.get(p)) is None:
+                got = self._part_ids(part)
+                if len(part) <= CACHED_CHARS:
+                    new[p] = got
             ids += got
-            a = b
-        if len(parts) > 2 * self.limit:
-            parts.clear()
-        return ids.tobytes()
+        return ids
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids of a text, and the first byte and the byte past the last of each piece."""
-        norm, src = self.normalise(text or "")
-        shown = norm.decode()
-        words = self.words.findall(shown) if self.words else [shown] if shown else []
+    @staticmethod
+    def _key(word: str) -> str:
+        """A word after one space by its letters alone; all others by a space and themselves."""
+        return word[1:] if word[:1] == SPACE and word[1:2] not in ("", SPACE) else SPACE + word
+
+    def words_of(self, shown: str) -> list[str]:
+        """The keys of a normalised text's words."""
+        if not self.words:
+            return [SPACE + shown] if shown else []
+        if shown[:1] == SPACE and shown[-1] != SPACE and SPACE + SPACE not in shown:
+            return shown[1:].split(SPACE)
+        return list(map(self._key, self.words.findall(shown)))
+
+    def _part_ids(self, part: str) -> bytes:
+        left = self._merge(part)
+        got = array("i", map(self.id_of.get, left, repeat(-1)))
+        if -1 in got:
+            got = array("i")
+            for s in left:
+                raw = s.encode()
+                if (i := self.id_of.get(s)) is not None:
+                    got.append(i)
+                elif self.byte_fallback:
+                    got.extend(map(self.byte_ids.__getitem__, raw))
+                else:
+                    got.append(-len(raw))
+        return got.tobytes()
+
+    def _ids(self, shown: str) -> np.ndarray:
+        words = self.words_of(shown)
         new, long = self.new, {}
         for w in set(words).difference(new):
             got = self.old.get(w) or self._word_ids(w)
@@ -303,7 +396,19 @@ class SentencePieces:
         held = [new.get(w) or long[w] for w in words] if long else list(map(new.__getitem__, words))
         if len(new) > self.limit:
             self.old, self.new = new, {}
-        ids = np.frombuffer(b"".join(held), np.int32)
+        return np.frombuffer(b"".join(held), np.int32)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """ids alone, of a model without a map that writes spaces as they come."""
+        text = text or ""
+        if self.map or self.strip or self.users or self.suffix or not (self.prefix and self.escape and self.byte_fallback):
+            return self.encode(text)[0]
+        return self._ids(SPACE + text.replace(" ", SPACE)) if text else np.empty(0, np.int32)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of a text, and the first byte and the byte past the last of each piece."""
+        norm, src = self.normalise(text or "")
+        ids = self._ids(norm.decode())
         widths = self.width[ids]
         if not self.byte_fallback and ids.size:  # neighbours that are unknown are one piece
             widths = np.where(ids < 0, -ids, widths)
@@ -378,8 +483,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
         digits = list(map(str, range(len(enc.names))))
         for b in batches:
             rows, kept = [], []
-            for t in b.column(1):
-                t = t.as_py() or ""
+            texts = b.column(1).to_pylist()
+            for k, t in enumerate(texts):
+                if k % PRIMED == 0:
+                    enc.prime(texts[k : k + PRIMED])
+                t = t or ""
                 ids, begin, stop = enc.encode(t)
                 n = len(t.encode())
                 ids, spans = [*ids.tolist(), enc.end], np.append(np.column_stack([begin, stop]).ravel(), [n, n]).astype("<u4")

@@ -155,8 +155,8 @@ def plain_alignment(rows):
     return [(d, na, nb, ng, len(ls), sum(n_docs[x] == best[x[0]] for x in ls), sum(n_docs[x] for x in ls), hashlib.sha256(g.encode()).hexdigest() if g else "") for d, na, nb, ng, ls, g in made]
 
 
-def aligned(df):
-    got = align.align_documents(df, vocabulary("byte_bpe_50k.json"), MODEL)
+def aligned(df, **how):
+    got = align.align_documents(df, vocabulary("byte_bpe_50k.json"), MODEL, **how)
     assert got.columns == [c.split()[0] for c in align._ROWS.split(", ")]
     return sorted(map(tuple, got.collect()), key=str)
 
@@ -166,6 +166,7 @@ def test_op12_equals_all_against_all(spark, sf, docs):
     rows = [*some, (None, "the  end"), (10**6, None), (10**6 + 1, ""), *((10**7 + i, t) for i, t in enumerate(texts(80)) if len(t) < 400), (5, "see <|endoftext|> here"), (5, "see <|endoftext|> here")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("links", F.lit(1)).withColumn("pair", F.lit("x")).repartition(5)
     assert aligned(df) == sorted(plain_alignment(rows), key=str)
+    assert aligned(df, sent=10) == aligned(df) and aligned(df.limit(0), sent=-1) == []  # counts that go back by a join
     assert any(r[1] == 0 for r in aligned(df)) and aligned(df.limit(0)) == []
 
 
