@@ -7,8 +7,12 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import jointmap as J
+from ..operators import density as D
 from ..operators import model as N
+from ..operators import perturb as T
 from ..plans.flagship import shared_folder
+from ..sources import tasks as K
 from ..operators import valleys as V
 from .base import ev, query, table
 
@@ -100,3 +104,66 @@ def rescued_valleys(spark, sf):
     hist = every.join(n, ["g", "bin"], "left").fillna(0, ["n"])
     out = V.rescued_cuts(hist, ["g"], 2)
     return out.select("g", F.array_join(F.transform("cuts", lambda c: c.cast("string")), " ").alias("cuts"), "status")
+
+
+NX, NY = 24, 12
+
+
+@query("D4 D6 R5", f"""WITH b AS (
+  SELECT event_type AS g, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ev GROUP BY 1
+), h AS (
+  SELECT g, least(floor((x - x0) / (x1 - x0) * {NX}), {NX - 1})::INT AS xb, least(floor((y - y0) / (y1 - y0) * {NY}), {NY - 1})::INT AS yb, count(*) AS n FROM ev JOIN b ON g = event_type GROUP BY ALL
+), q AS (
+  SELECT g, quantile_cont(ln(1 + n), [1/9.0, 2/9.0, 3/9.0, 4/9.0, 5/9.0, 6/9.0, 7/9.0, 8/9.0]) AS q FROM h GROUP BY 1
+), s AS (
+  SELECT h.*, least(1 + len(list_filter(q, lambda c: c <= ln(1 + n))), 9)::VARCHAR AS shade FROM h JOIN q USING (g)
+), pk AS (
+  SELECT g, arg_min(xb, (-n, xb, yb)) AS px, arg_min(yb, (-n, xb, yb)) AS py FROM h GROUP BY 1
+), near AS (
+  SELECT pk.g, px, py, sum(n) FILTER (abs(xb - px) <= 2 AND abs(yb - py) <= 2) / sum(n) AS share FROM pk JOIN h USING (g) GROUP BY ALL
+), base AS (
+  SELECT b.*, px, py, share, printf('%.2f', x0) AS sx0, printf('%.2f', x1) AS sx1, printf('%.2f', y0) AS sy0, printf('%.2f', y1) AS sy1,
+         greatest(4, length(printf('%.2f', y0)), length(printf('%.2f', y1))) AS w FROM b JOIN near USING (g)
+), cell AS (
+  SELECT g, yb, string_agg(coalesce(shade, ' '), '' ORDER BY xb) AS line FROM (SELECT g FROM b) CROSS JOIN (SELECT unnest(range({NX}))::INT AS xb) CROSS JOIN (SELECT unnest(range({NY}))::INT AS yb) LEFT JOIN s USING (g, xb, yb) GROUP BY ALL
+), lab AS (
+  SELECT g, yb, line, w, concat_ws('/', CASE yb WHEN {NY - 1} THEN sy1 WHEN 0 THEN sy0 END, CASE WHEN yb = py THEN 'P1' END) AS l FROM cell JOIN base USING (g)
+), lines AS (
+  SELECT g, 0 AS k, '[Joint distribution: x (x) × y (y)]   n=' || format('{{:,}}', n) AS t FROM base
+  UNION ALL SELECT g, 1, 'data:  x ∈ [' || sx0 || ', ' || sx1 || ']   y ∈ [' || sy0 || ', ' || sy1 || ']' FROM base
+  UNION ALL SELECT g, 2, 'scale: x ∈ [' || sx0 || ', ' || sx1 || ']   y ∈ [' || sy0 || ', ' || sy1 || ']' FROM base
+  UNION ALL SELECT g, 3, 'density ('' ''=empty, 1..9 = log-quantile)' FROM base UNION ALL SELECT g, 4, '' FROM base
+  UNION ALL SELECT g, 5, repeat(' ', (w + 1)::INT) || 'y' FROM base
+  UNION ALL SELECT g, 6 + {NY - 1} - yb, ' ' || repeat(' ', greatest(0, w - length(l))::INT) || l || ' │' || line FROM lab
+  UNION ALL SELECT g, {6 + NY}, repeat(' ', (w + 1)::INT) || '└' || repeat('─', {NX}) FROM base
+  UNION ALL SELECT g, {7 + NY}, repeat(' ', (w + 2)::INT) || substr(rpad(sx0, {NX}, ' '), 1, {NX} - length(sx1)) || sx1 FROM base
+  UNION ALL SELECT g, {8 + NY}, repeat(' ', (w + 2)::INT) || substr(repeat(' ', px) || 'P1' || repeat(' ', {NX}), 1, {NX}) FROM base
+  UNION ALL SELECT g, {9 + NY}, repeat(' ', (w + 2 + {NX} + 2)::INT) || 'x' FROM base
+  UNION ALL SELECT g, {10 + NY}, 'P1: x=' || printf('%.2f', x0 + (px + 0.5) * (x1 - x0) / {NX}) || ', y=' || printf('%.2f', y0 + (py + 0.5) * (y1 - y0) / {NY}) || ', frac=' || printf('%.2f', share) FROM base
+  UNION ALL SELECT g, {11 + NY}, 'valleys: none' FROM base
+)
+SELECT g AS event_type, string_agg(t, chr(10) ORDER BY k) AS text FROM lines GROUP BY 1""")
+def joint_maps(spark, sf):
+    """The map of each event type, its fullest bin marked, with the share of the 5 x 5 bins around it."""
+    g, e = ["event_type"], ev(spark, sf)
+    bins = D.histogram_2d(e, g, "x", "y", NX, NY)
+    full = bins.groupBy(*g).agg(F.min_by(F.struct("xb", "yb"), F.struct(-F.col("n"), "xb", "yb")).alias("b")).select(*g, "b.*")
+    box = e.groupBy(*g).agg(*(f(c).alias(f"{c}_{k}") for c in "xy" for k, f in (("min", F.min), ("max", F.max))))
+    at = lambda c, b, k: F.col(f"{c}_min") + (F.col(b) + 0.5) * (F.col(f"{c}_max") - F.col(f"{c}_min")) / k
+    peaks = J.near_shares(bins, g, full).join(box, g).select(*g, "x_min", "x_max", "y_min", "y_max", F.array(F.struct("xb", "yb", at("x", "xb", NX).alias("x"), at("y", "yb", NY).alias("y"), "share")).alias("peaks"))
+    none = F.array().cast("array<struct<xb:int,yb:int,x:double,y:double,left:int,right:int>>")
+    rows = J.count_arrays(bins, g, NX, NY).join(peaks, g).withColumns({"valleys": none, "x_data_max": F.col("x_max"), "y_data_max": F.col("y_max")})
+    return rows.select("event_type", J.joint_map(rows, NX, NY, "x", "y").alias("text"))
+
+
+@query("K4 S15 T11", """WITH c AS (SELECT event_type AS sample, asinh(value / 5) AS v, (user_id % 100)::DOUBLE AS u FROM ev),
+q AS (SELECT quantile_cont(u, 0.01) AS a, quantile_cont(u, 0.99) AS b FROM c)
+SELECT sample, count(*) AS n, round(avg(v), 3) AS mean_v, round(avg((least(greatest(u, a), b) - a) / (b - a) * 10), 3) AS mean_u FROM c, q GROUP BY 1""")
+def cohort_zstd(spark, sf):
+    """Events as a cohort: channels transformed by kind, stored as floats under zstd, read back."""
+    path = f"{shared_folder(spark)}/cohort-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(F.col("event_type").alias("sample"), F.col("value").alias("v"), F.pmod("user_id", F.lit(100)).cast("double").alias("u"))
+    meta = {"cohort": "events", "cofactor": 5, "channels": {"v": ["value", "protein"], "u": ["user", "scatter"]}}
+    K.write_parquet_cohort(T.ingest(e, {c: k for c, (_, k) in meta["channels"].items()}, meta["cofactor"]), "sample", path, meta)
+    out = K.read_parquet_cohort(spark, path)
+    return out.groupBy("sample").agg(F.count("*").alias("n"), F.round(F.avg("v"), 3).alias("mean_v"), F.round(F.avg("u"), 3).alias("mean_u"))

@@ -211,6 +211,24 @@ def read_cohort(spark: SparkSession, path: str, sample: str, head: int | None =
     return data.join(manifest.select(sample), sample, "left_semi")
 
 
+def write_parquet_cohort(rows: DataFrame, sample: str, path: str, meta: Mapping) -> None:
+    """A cohort as zstd Parquet by sample, its channels as floats (half precision has no type
+    here), label columns as they are, and the metadata document with what was stored how."""
+    channels = set(meta["channels"])
+    stored = rows.select(*(quoted(c).cast("float").alias(c) if c in channels else quoted(c) for c in rows.columns))
+    stored.write.mode("overwrite").partitionBy(sample).option("compression", "zstd").parquet(f"{path}/cells")
+    write_document(rows.sparkSession, f"{path}/meta", {**meta, "transform": {"dtype": "float32", "compression": "zstd", "sample": sample}})
+
+
+def read_parquet_cohort(spark: SparkSession, path: str, channels: Sequence[str] | None = None) -> DataFrame:
+    """The cells of such a cohort: sample (as text), then channels as doubles (those asked for), then labels."""
+    meta = json.loads(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
+    sample, known = meta["transform"]["sample"], set(meta["channels"])
+    cells = spark.read.parquet(f"{path}/cells")
+    wanted = [c for c in cells.columns if c != sample and (c not in known or channels is None or c in channels)]
+    return cells.select(quoted(sample).cast("string").alias(sample), *(quoted(c).cast("double").alias(c) if c in known else quoted(c) for c in wanted))
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Attempts added to a log; a reader sees whole appends only."""
     rows.write.mode("append").parquet(path)
