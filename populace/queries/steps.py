@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import polygons as P
 from ..operators import remote as R
+from ..plans import agent as A
 from ..plans import executor as X
 from ..plans.cascade import Step
 from ..plans.flagship import shared_folder
@@ -132,3 +133,18 @@ def polygon_table(spark, sf):
     gates = s.select(F.concat(F.lit("s"), k.cast("string")).alias("category"), k.alias("ord"), ring.alias("vertices"))
     out = P.assign_polygons(ev(spark, sf).select("event_id", "x", "y"), gates, "event_id", 0.25, 2.5)
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("C4 J11", """WITH box AS (
+  SELECT event_type, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d, count(*) AS n FROM ev GROUP BY 1
+), tried AS (
+  SELECT event_type, k, round(count(*) FILTER (x BETWEEN a AND a + (b - a) / pow(2, k - 1)) / any_value(n), 4) AS share FROM ev JOIN box USING (event_type), (SELECT unnest(range(1, 6)) AS k) GROUP BY ALL
+), first AS (SELECT event_type, min(k) FILTER (share <= 0.25) AS k FROM tried GROUP BY 1)
+SELECT event_type AS task, 'ok' AS status, CASE WHEN k IS NULL THEN 'gave up after 5' ELSE 'ok after ' || k END AS answer, (coalesce(k, 5) + 1)::INT AS n_turns, coalesce(k, 5)::INT AS n_tools FROM first""")
+def agent_runs(spark, sf):
+    """A task for each event type; its gate is halved until it holds a quarter of the rows."""
+    e = ev(spark, sf)
+    tasks = e.groupBy(F.col("event_type").alias("task")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    tasks = tasks.select("task", F.concat_ws(" ", *(F.col(c).cast("string") for c in "abcd")).alias("prompt"))
+    out = A.run_agent(e.select(F.col("event_type").alias("task"), "x", "y"), tasks, A.narrowing_rule, turns=6, attempts=1, wait=0, in_flight=4)
+    return out.select("task", "status", "answer", "n_turns", "n_tools")
