@@ -5,7 +5,8 @@ the places where a pair of that rank starts; a two-level bitmap of non-empty
 buckets gives the lowest rank by find-first-set; places whose pair has changed
 are skipped. A pre-token of n bytes takes O(n log n) steps however long it is.
 
-Nulls: a null text is empty. Texts are encoded whole; repeated rows each.
+Nulls: a null text is empty; a null doc_id stays. Texts are encoded whole; repeated rows each.
+An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

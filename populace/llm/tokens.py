@@ -6,7 +6,9 @@ numbered by Arrow, each distinct piece is looked up once, and the texts' ids are
 gathered by number. Pieces of plain Latin letters, digits and ASCII symbols, whose
 pre-tokens are known, go to the library's merge model directly; all other pieces
 pass through its whole chain. Pieces are kept in a two-generation cache of bounded
-size. Results equal those of encoding the text in one call.
+size. Results equal those of encoding the text in one call, with the strings of special
+tokens inside a text as plain text (``encode_special_tokens``), as the vocabularies' notes
+say: a call that leaves that switch off gives other ids for a text that holds them.
 """
 
 from __future__ import annotations
