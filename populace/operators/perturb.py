@@ -56,6 +56,7 @@ class Perturbation:
 
     @property
     def slug(self) -> str:
+        # fixed value: the characters that names of variants keep
         return re.sub(r"[^A-Za-z0-9._+-]", "_", "-".join(self.parts()))
 
 

@@ -84,3 +84,17 @@ def test_ward_query_takes_labels_from_fitted_points(spark):
     df = spark.createDataFrame(rows, "event_id long, x double, y double")
     got = {r["event_id"]: r["slot"] for r in C.cluster_plane(df, ["x", "y"], "event_id", "ward", 3, limit=200).collect()}
     assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in range(900))
+
+
+def test_plane_ward_whole_query(spark, sf):
+    """The registered query against the greedy method on all fitted points and every pair."""
+    from populace.queries import analysis
+    from populace.queries.base import ev
+
+    rows = np.array([[r["x"], r["y"]] for r in ev(spark, sf).orderBy("event_id").collect()])
+    fitted = C.fit_sample(ev(spark, sf), ["x", "y"], "event_id")
+    labels = C.agglomerate(fitted, 6, "ward")
+    near, _ = every_pair(rows, fitted)
+    want = np.bincount(labels[near], minlength=6).tolist()
+    got = {r["slot"]: r["n"] for r in analysis.plane_ward(spark, sf).collect()}
+    assert [got[i] for i in range(6)] == want
