@@ -34,8 +34,8 @@ from .common import bounded_batches, discard, save, tidy
 from .pieces import SentencePieces
 from .tokens import PieceEncoder, byte_letters
 
-#: Words in each generation of a worker's two caches; tokens written at once; bytes of texts in a row.
-CACHE, BLOCK, ROW_BYTES = 200_000, 1 << 17, 4 << 20
+#: Words in each generation of a worker's caches of A and of B; tokens written at once; bytes of texts in a row.
+CACHE, BLOCK, ROW_BYTES = (150_000, 300_000), 1 << 17, 2 << 20
 #: Distinct linked pairs whose counts are sent to every task at most (16 bytes each).
 SENT_PAIRS = 1 << 20
 _EMPTY = np.empty(0, np.int64)
@@ -84,7 +84,7 @@ class Aligner:
     """Encodes by both vocabularies and aligns the tokens of one text at a time."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = PieceEncoder(a_path, "byte", CACHE), SentencePieces(b_path, CACHE)
+        self.a, self.b = PieceEncoder(a_path, "byte", CACHE[0]), SentencePieces(b_path, CACHE[1])
         letters = {c: b for b, c in byte_letters().items()}
         vocabulary = self.a.t.get_vocab()
         a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -98,9 +98,8 @@ class Aligner:
 
     def tokens(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(A ids of a space and the text, B ids of the text); none where either differs in bytes."""
-        held = texts.to_pylist()
-        self.b.prime(held)
-        for text, a in zip(held, self.a.encode_many(texts, spaced=True)):
+        for text, a in zip(texts, self.a.encode_many(texts, spaced=True)):
+            text = text.as_py()
             if text:
                 b, want = self.b.ids(text), b" " + text.encode()
                 if self.a_strings.give(a, want) and self.b_strings.give(b, want):

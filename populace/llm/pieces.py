@@ -33,8 +33,6 @@ from .common import bounded_batches, tidy
 
 #: Parts in each generation of a worker's cache, and their largest size in characters.
 CACHE, CACHED_CHARS = 400_000, 48
-#: Texts whose new words are merged together.
-PRIMED = 512
 #: Characters up to which a part's pairs are looked through for each merge.
 SHORT = 24
 _NONE = float("inf")
@@ -130,7 +128,7 @@ class SentencePieces:
         self.bytes_of = [bytes([self.byte_of[i]]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.names, self.kinds))]
         #: Bytes of normalised text under a piece.
         self.width = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.names, self.kinds)], np.int64)
-        self.limit, self.new, self.old, self.pair_table = cache, {}, {}, ()
+        self.limit, self.new, self.old = cache, {}, {}
 
     # -- normalisation ---------------------------------------------------------------
 
@@ -269,72 +267,6 @@ class SentencePieces:
             left = [t for s in left for t in made.get(s, (s,))]
         return left
 
-    def _table(self) -> tuple[np.ndarray, ...]:
-        """Pairs of pieces that make a piece, ordered by number: (left * pieces + right, rank of the
-        score, piece); and the piece of each single character."""
-        n, ids = len(self.names), self.id_of
-        made = [(ids[p[:k]] * n + ids[p[k:]], self.score[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
-        key, score, piece = (np.array(c) for c in zip(*sorted(made)))
-        char = np.full(0x110000, -1, np.int32)
-        for p, i in ids.items():
-            if len(p) == 1:
-                char[ord(p)] = i
-        return key, np.unique(score, return_inverse=True)[1].astype(np.int32), piece.astype(np.int32), char
-
-    def _merge_alike(self, parts: list[str]) -> None:
-        """Merges parts of one length together, a pair of each at a time, into the cache."""
-        if not self.pair_table:
-            self.pair_table = self._table()
-        keys, ranks, pieces, char = self.pair_table
-        width, none, n = len(parts[0]), np.iinfo(np.int32).max, len(self.names)
-
-        def look(left, right):
-            k = left.astype(np.int64) * n + right
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = (keys[at] == k) & (left >= 0) & (right >= 0)
-            return np.where(hit, ranks[at], none), pieces[at]
-
-        sym = char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, width)]
-        rank, into = look(sym[:, :-1], sym[:, 1:])
-        own = np.arange(len(parts))
-        while own.size:
-            j = rank.argmin(1) if rank.shape[1] else np.zeros(own.size, np.int64)
-            row = np.arange(own.size)
-            more = rank[row, j] < none if rank.shape[1] else np.zeros(own.size, bool)
-            for i, ids in zip(own[~more].tolist(), sym[~more]):
-                p = parts[i]
-                self.new[self._key(p)] = ids.tobytes() if (ids >= 0).all() else self._part_ids(p)
-            own, sym, rank, into, j = own[more], sym[more], rank[more], into[more], j[more]
-            if not own.size:
-                break
-            row, c = np.arange(own.size), np.arange(sym.shape[1] - 1)
-            sym[row, j] = into[row, j]
-            sym = np.take_along_axis(sym, c + (c > j[:, None]), 1)
-            c = c[:-1]
-            rank, into = (np.take_along_axis(m, c + (c >= j[:, None]), 1) for m in (rank, into))
-            for k, some in ((j, j < sym.shape[1] - 1), (j - 1, j > 0)):
-                r, k = row[some], k[some]
-                rank[r, k], into[r, k] = look(sym[r, k], sym[r, k + 1])
-
-    def prime(self, texts: list[str | None]) -> None:
-        """Merges the new words of many texts together, before they are encoded one by one."""
-        if self.map or self.strip or self.users or self.unused or self.suffix or not (self.words and self.prefix and self.escape):
-            return
-        new, old, by_size = self.new, self.old, {}
-        found = set()
-        for t in texts:
-            found.update(self.words_of(SPACE + t.replace(" ", SPACE)) if t else ())
-        parts = set()
-        for key in found.difference(new):
-            if key not in old:
-                word = key[1:] if SPACE in key else SPACE + key
-                parts.update((word,) if key.isalpha() else RUNS(word))
-        for p in parts:
-            if len(p) <= SHORT and (k := self._key(p)) not in new and k not in old:
-                by_size.setdefault(len(p), []).append(p)
-        for alike in by_size.values():
-            self._merge_alike(alike)
-
     def _word_ids(self, key: str) -> bytes:
         """ids of the word that a key of the cache names (see words_of); of an unknown piece its
         bytes, negative, where the model has no pieces for single bytes."""
@@ -483,11 +415,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
         digits = list(map(str, range(len(enc.names))))
         for b in batches:
             rows, kept = [], []
-            texts = b.column(1).to_pylist()
-            for k, t in enumerate(texts):
-                if k % PRIMED == 0:
-                    enc.prime(texts[k : k + PRIMED])
-                t = t or ""
+            for t in b.column(1):
+                t = t.as_py() or ""
                 ids, begin, stop = enc.encode(t)
                 n = len(t.encode())
                 ids, spans = [*ids.tolist(), enc.end], np.append(np.column_stack([begin, stop]).ravel(), [n, n]).astype("<u4")
