@@ -58,7 +58,9 @@ def joint_map(rows: DataFrame, nx: int, ny: int, x_name: str, y_name: str) -> Co
     scale; x_data_max, y_data_max: of the data; peaks: array of (xb, yb, x, y, share), valleys:
     array of (xb, yb, x, y, left, right) with the numbers of the peaks (from 0) on either side.
     A group without rows has a header and OMITTED."""
-    two = lambda c: F.format_string("%.2f", c)
+    # numbers halfway between two places (multiples of an eighth) go to the even one
+    even = lambda c: F.when(c * 8 == F.floor(c * 8), F.bround(c, 2)).otherwise(c)
+    two = lambda c: F.format_string("%.2f", even(c))
     col = F.col
     named = lambda arr, p: F.transform(col(arr), lambda s, i: F.struct(s["xb"].alias("xb"), s["yb"].alias("yb"), F.concat(F.lit(p), (i + 1).cast("string")).alias("name")))
     place = lambda v, lo, hi, n: F.greatest(F.lit(0), F.least(F.floor((v - lo) / (hi - lo) * n), F.lit(n - 1))).cast("int")
@@ -81,8 +83,8 @@ def joint_map(rows: DataFrame, nx: int, ny: int, x_name: str, y_name: str) -> Co
     tick = F.concat(F.substring(F.rpad(x_low, nx, " "), F.lit(1), start), F.substring(x_high, 1, nx))
     header = F.concat(F.lit(f"[Joint distribution: {x_name} (x) × {y_name} (y)]   n="), F.format_number(F.coalesce(col("n"), F.lit(0)), 0))
     extra = F.when(short_x | short_y, "   Mx=data x_max, My=data y_max").otherwise("")
-    legend_p = F.transform(col("peaks"), lambda p, i: F.format_string("P%d: x=%.2f, y=%.2f, frac=%.2f", i + 1, p["x"], p["y"], p["share"]))
-    legend_v = F.transform(col("valleys"), lambda v, i: F.format_string("V%d: x=%.2f, y=%.2f (between P%d↔P%d)", i + 1, v["x"], v["y"], v["left"] + 1, v["right"] + 1))
+    legend_p = F.transform(col("peaks"), lambda p, i: F.format_string("P%d: x=%.2f, y=%.2f, frac=%.2f", i + 1, even(p["x"]), even(p["y"]), even(p["share"])))
+    legend_v = F.transform(col("valleys"), lambda v, i: F.format_string("V%d: x=%.2f, y=%.2f (between P%d↔P%d)", i + 1, even(v["x"]), even(v["y"]), v["left"] + 1, v["right"] + 1))
     or_none = lambda a, what: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(f"{what}: none")))
     lines = F.concat(
         F.array(

@@ -15,6 +15,8 @@ from ..functions.predicates import UNASSIGNED
 
 #: Distance from an edge that still counts as inside (as for gates that are compiled).
 NEAR = 1e-9
+#: Places to which areas are compared, so that equal shapes in other places are equal.
+AREA_PLACES = 9
 #: Polygons of a cell that a point meets in one row.
 CELL_BLOCK = 64
 
@@ -61,7 +63,7 @@ def cover(polygons: DataFrame, size_x: float, size_y: float) -> DataFrame:
     vertices) that are inside it or that an edge meets. Cells are widened by NEAR and a hair for
     rounding, so a point near an edge is in a border cell. Fewer than three vertices hold nothing."""
     p = polygons.where(F.size("vertices") >= 3).select("category", "ord", edges(F.col("vertices")).alias("ring"))
-    p = p.withColumn("area", area(F.col("ring")))
+    p = p.withColumn("area", F.round(area(F.col("ring")), AREA_PLACES))
     span = lambda lo, hi, size: F.sequence(F.floor((lo - NEAR) / size) - 1, F.floor((hi + NEAR) / size) + 1)
     of = lambda c: F.transform("ring", lambda e: e[c])
     ends = {f"{name}_{c}": f(of(c)) for name, f in (("min", F.array_min), ("max", F.array_max)) for c in ("x1", "y1")}

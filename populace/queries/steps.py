@@ -117,6 +117,8 @@ HEXAGONS = """, hex AS (
   SELECT event_id, category, ord, round(area, 9) AS area FROM ev, edge
   GROUP BY event_id, x, y, category, ord, area
   HAVING count(*) FILTER ((y < y1) <> (y < y2) AND x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1))) % 2 = 1
+      OR min(pow(x - x1 - greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (x2 - x1), 2)
+           + pow(y - y1 - greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (y2 - y1), 2)) <= 1e-18
 ), won AS (
   SELECT event_id, arg_min(category, (area, -ord)) AS label FROM held GROUP BY 1
 )
