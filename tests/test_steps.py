@@ -206,3 +206,21 @@ def test_only_border_cells_test_edges(spark):
     assert n[False] > 9000 and n[True] < 900
     plan = P.assign_polygons(spark.range(5).select(F.col("id"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")), table, "id", 1.0, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_point_meets_few_of_many_polygons(spark):
+    """600 overlapping squares of 12 sizes: a cell keeps those that can win in it, not all that hold
+    it, crowded cells are quartered, and the labels stay those of all polygons."""
+    rng = np.random.default_rng(3)
+    gates = []
+    for i in range(600):
+        (a, b), r = rng.integers(0, 256, 2) / 64, 0.5 + i % 12 / 4  # areas are exact, so equal ones tie
+        gates.append((f"c{i}", i, [[float(x), float(y)] for x, y in ((a - r, b - r), (a + r, b - r), (a + r, b + r), (a - r, b + r))]))
+    table = spark.createDataFrame(gates, "category string, ord long, vertices array<array<double>>")
+    most = {name: t.groupBy(*(c for c in ("level", "gx", "gy") if c in t.columns)).count().agg(F.max("count")).first()[0] for name, t in (("all", P.cover(table, 1.0, 1.0)), ("left", P.nested_cover(table, 1.0, 1.0)))}
+    assert most["all"] > 100 and most["left"] <= 30
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-4, 8, (150, 2)))] + [(150, 1.0, 1.0), (151, 0.5, 0.25), (152, None, 0.0)]
+    points = spark.createDataFrame(pts, "id long, x double, y double")
+    want = {i: by_hand(x, y, gates) for i, x, y in pts}
+    for levels, crowded in ((4, 4), (0, 4), (2, 0)):
+        assert {r["id"]: r["label"] for r in P.assign_polygons(points, table, "id", 1.0, 1.0, levels=levels, crowded=crowded).collect()} == want
