@@ -32,6 +32,15 @@ def test_quantiles_by_narrowing(values):
         assert np.allclose(plain[g], np.quantile(v, qs)) and np.allclose(narrowed[g], np.quantile(v, qs))
 
 
+def test_rows_of_a_trim_stay_in_their_tasks(values):
+    """A few boxes are sent to the rows; dealt by group, a group's rows would meet in one task."""
+    got = H.trimmed(values, ["g"], "v", "v", 0.1, 0.9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    by = values.toPandas().dropna().groupby("g")["v"]
+    assert {g: n for g, n in got.groupBy("g").count().collect()} == {g: int(v.between(*np.quantile(v, (0.1, 0.9))).sum()) for g, v in by}
+
+
 def test_running_counts_over_ranges(spark, values):
     got = W.running_counts(values.withColumn("label", F.lit("x")).dropna(), ["g"], "v", "label").toPandas()
     for _, d in got.groupby("g"):
