@@ -107,3 +107,21 @@ def test_settings_are_left_as_they_were(spark, sf, tmp_path):
     before = dict(spark.conf.getAll)
     robustness.run(spark, f"{sf}/lineitem.parquet", f"{HERE}/robustness.json", str(tmp_path / "o"))
     assert dict(spark.conf.getAll) == before
+
+
+def test_a_report_counts_the_cells_once(spark, sf, tmp_path):
+    """Every part of the report reads the kept counts: cells are scanned when they are counted, and
+    no more (before, each part of the report scanned them again). Plans of more steps than are
+    counted together give the same rows."""
+    settings = robustness.read_config(spark, f"{HERE}/robustness.json")
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").select(*robustness.columns_of(settings["columns"]))
+    counts = robustness.counted(cells, settings).persist()
+    leaves = robustness.report(counts, settings)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert {leaves.apply(i).nodeName().split(" ")[0] for i in range(leaves.size())} == {"InMemoryRelation"}
+    whole = sorted(map(str, counts.collect()))
+    counts.unpersist()
+    held, robustness.TOGETHER = robustness.TOGETHER, 1
+    try:
+        assert sorted(map(str, robustness.counted(cells, settings).collect())) == whole
+    finally:
+        robustness.TOGETHER = held
