@@ -39,8 +39,10 @@ def summaries(inside: DataFrame, sample: str, step: Step, number: int) -> DataFr
     low = lambda c: F.col(f"{c}_min")
     width = lambda c: F.col(f"{c}_max") - low(c)
     place = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - low(c), width(c)) * BINS), F.lit(BINS - 1)), F.lit(0))
-    both = rows.join(box, "key").select("key", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.when(F.col(c).isNotNull(), place(c)).alias("b")) for c in "xy"))).alias("e"))
-    count = both.where("e.b is not null").groupBy("key", "e.c", "e.b").agg(F.count("*").alias("k"))
+    # rows are counted by both bins at once, BINS^2 rows a sample at most, and then by each
+    both = rows.join(box, "key").groupBy("key", *(F.when(F.col(c).isNotNull(), place(c)).alias(f"b{c}") for c in "xy")).agg(F.count("*").alias("k"))
+    each = both.select("key", "k", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"b{c}").alias("b")) for c in "xy"))).alias("e"))
+    count = each.where("e.b is not null").groupBy("key", "e.c", "e.b").agg(F.sum("k").alias("k"))
     full = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.element_at(F.col(f"m{c}"), i.cast("long")), F.lit(0)))
     maps = count.groupBy("key").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("c") == c, F.struct("b", "k")))).alias(f"m{c}") for c in "xy"))
     shown = box.join(maps, "key", "left").select("key", F.struct(F.lit(number).alias("step"), F.lit(step.x).alias("x"), F.lit(step.y).alias("y"), F.array(*map(F.lit, step.options)).alias("options"), "n", "x_min", "x_max", "y_min", "y_max", full("x").alias("x_counts"), full("y").alias("y_counts")).alias("s"))
@@ -73,7 +75,8 @@ def run_cascade(cells: DataFrame, key: str, sample: str, steps: Sequence[Step],
     (category, x_min, x_max, y_min, y_max) or polygons (category, vertices). how: attempts, wait
     and in_flight of the calls. Labels are also written step by step to ``folder``/labels/step=N
     (key, sample, label) for the rows of the parent. A sample without rows in a parent isn't
-    asked; a row without a sample, outside the parent or outside all gates is Unassigned."""
+    asked; a row without a sample, outside the parent or outside all gates is Unassigned. The cells
+    are saved with the labels of each new step but the last, and every ``cut_every`` finished ones."""
     spark, held = cells.sparkSession, []
     for number, s in enumerate(steps, 1):
         plan = {"number": number, "column": s.column, "parent": s.parent, "x": s.x, "y": s.y, "options": list(s.options)}
@@ -83,21 +86,27 @@ def run_cascade(cells: DataFrame, key: str, sample: str, steps: Sequence[Step],
             asked = None  # finished: its summary isn't needed again
         else:
             asked = cut_lineage(summaries(cells.where(inside & quoted(sample).isNotNull()), sample, s, number))
-        answers = call_in_batches(asked, ask, at, plan, spark=spark, **how)
+        try:
+            answers = call_in_batches(asked, ask, at, plan, spark=spark, **how)
+        except Exception:
+            discard(*held)
+            raise
         gates = gates_of(answers, s.options)
         # a row for each sample with gates: sent where Spark finds it small
         cells = cells.join(gates, quoted(sample).cast("string") == F.col("_key"), "left")
         label = F.when(compile_predicate(s.parent, cells.columns), F.coalesce(winner(quoted(s.x).cast("double"), quoted(s.y).cast("double"), F.col("_gates")), F.lit(UNASSIGNED)))
         cells = cells.withColumn(s.column, F.coalesce(label, F.lit(UNASSIGNED))).drop("_key", "_gates")
         done = f"{folder}/labels/step={number}"
-        if not exists(spark, f"{done}/_SUCCESS"):
-            cells.where(compile_predicate(s.parent, cells.columns)).select(quoted(key).alias("key"), quoted(sample).cast("string").alias("sample"), quoted(s.column).alias("label")).write.mode("overwrite").parquet(done)
-        if asked is not None:
-            discard(asked)
-        if cut_every and number % cut_every == 0 and number < len(steps):
+        fresh = not exists(spark, f"{done}/_SUCCESS")
+        if number < len(steps) and (fresh or (cut_every and number % cut_every == 0)):
+            # a new step's labels are found once: all that follows reads them with the cells
             cells = cut_lineage(cells)
             discard(*held)
             held = [cells]
+        if fresh:
+            cells.where(compile_predicate(s.parent, cells.columns)).select(quoted(key).alias("key"), quoted(sample).cast("string").alias("sample"), quoted(s.column).alias("label")).write.mode("overwrite").parquet(done)
+        if asked is not None:
+            discard(asked)
     return cells
 
 

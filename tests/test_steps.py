@@ -59,6 +59,14 @@ def test_cascade_equals_steps_by_hand(spark, tmp_path):
     assert report[1, "a"][0] == 101 and report[1, "lonely"] == (1, 0) and not any(s == 3 for s, _ in report)
 
 
+def test_labels_of_a_step_are_found_once(spark, tmp_path):
+    """The last step reads the cells with the labels before it; the given cells aren't gated again."""
+    got = X.run_cascade(cells(spark), "id", "sample", STEPS, X.rule_of_thirds, str(tmp_path / "f"), **HOW)
+    leaves = got._jdf.queryExecution().analyzed().collectLeaves()
+    assert not any("RDD" in leaves.apply(i).nodeName() for i in range(leaves.size()))
+    assert labels(got) == thirds(spark, cells(spark))
+
+
 class Counting:
     """Writes down what it is asked, and stops at a step for a sample."""
 
