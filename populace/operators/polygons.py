@@ -118,10 +118,10 @@ def nested_cover(polygons: DataFrame, size_x: float, size_y: float, crowded: int
     done, held = [], []
     for level in range(levels + 1):
         met = cut_lineage(rows.withColumn("level", F.lit(level)))
-        left = cut_lineage(_contenders(met))
-        n = left.groupBy("level", "gx", "gy").agg(F.count("*").alias("n"), F.count_if("border").alias("edged"))
-        left = cut_lineage(left.join(n, ["level", "gx", "gy"]))
-        discard(met)
+        kept = cut_lineage(_contenders(met))
+        n = kept.groupBy("level", "gx", "gy").agg(F.count("*").alias("n"), F.count_if("border").alias("edged"))
+        left = cut_lineage(kept.join(n, ["level", "gx", "gy"]))
+        discard(met, kept)
         more = level < levels and not left.where(F.col("edged") > crowded).isEmpty()
         done.append(left.where(F.col("edged") <= crowded) if more else left)
         if not more:
