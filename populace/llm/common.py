@@ -118,6 +118,28 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a filter of ids, which is sent to all tasks (some 10 MB where it is full).
+FILTER_BITS = 1 << 24
+
+
+def perhaps(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with a column ``listed``: true where ``key`` is one of the ``ids`` (one long
+    column), and where it shares a bit of the filter with one; else false.
+
+    Wide rows that a join would drop, or leave as they are, needn't be shuffled to meet a list
+    that is too long to be sent: the filter is of a fixed size, and an exact join of the rows
+    that are listed follows. The more ids, the more rows are listed for nothing: 2% for
+    300,000 ids, a sixth for 3 million."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64)).cast("int"))
+    word = lambda p: F.shiftright(p, 6)
+    held = place(F.col(ids.columns[0]))
+    words = ids.groupBy(word(held).alias("_word")).agg(F.bit_or(bit(held)).alias("_bits"))
+    at = rows.select("*", place(F.col(key)).alias("_at"))
+    met = at.join(F.broadcast(words), word(F.col("_at")) == F.col("_word"), "left")
+    return met.select(*rows.columns, F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_at"))) != 0, F.lit(False)).alias("listed"))
+
+
 #: Texts that share a 64-bit hash with another one: a handful at any size (about n^2 / 2^65).
 COLLIDED_MAX = 100_000
 

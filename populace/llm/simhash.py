@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Source, linked
-from .common import discard, named_texts, save, tidy
+from .common import discard, named_texts, perhaps, save, tidy
 
 #: Near-copies by similarity: fingerprints up to so many bits apart are candidates. Two
 #: texts at Jaccard similarity 0.8 are some 10 bits apart, and keys that hold all pairs up
@@ -138,13 +138,13 @@ def link(docs: DataFrame, distance: int = 4, width: int = 5, id_col: str = "doc_
 
 
 def near_components(named: DataFrame, lows: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(uid, component_id, leads) of every text. named, lows: as of ``named_texts``.
+    """(uid, component_id, leads, n) of every text. named, lows: as of ``named_texts``.
 
     Texts are linked where the exact Jaccard similarity of their ``width``-word shingles
     reaches ``similarity``; each text is compared once, whatever its copies. Candidates
     are fingerprints up to CANDIDATE_BITS apart, from the deletion-variant index, and
     texts that share a MinHash band (0.998 of the pairs at similarity 0.8). component_id
-    is the smallest doc_id of the component, leads marks its first text. Texts of under
+    is the smallest doc_id of the component, leads marks its first text, n is its rows. Texts of under
     ``width`` words are copies only of equal words; empty and null texts are one text.
     """
     from .substring import banded, jaccard
@@ -154,19 +154,21 @@ def near_components(named: DataFrame, lows: DataFrame, similarity: float = 0.8,
     discard(every)
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        """The texts of some uids, each from its first document: the one place where texts move."""
+        """The texts of some uids, each from its first document: the one place where texts move,
+        and only those that are wanted."""
         # joined on plain columns, by which repeated rows then lie together
         at = lambda c: F.coalesce(c, F.lit(-(2**63)))
         first = wanted.join(lows.select(F.col("uid").alias("id"), at("low").alias("at")), "id")
-        found = named.select("uid", at("doc_id").alias("place"), "text").join(first, (F.col("uid") == F.col("id")) & (F.col("place") == F.col("at")))
+        rows = perhaps(named.select("uid", at("doc_id").alias("place"), "text"), "uid", wanted).where("listed")
+        found = rows.join(first, (F.col("uid") == F.col("id")) & (F.col("place") == F.col("at")))
         return found.select("id", "at", F.col("text").alias("words")).dropDuplicates(["id", "at"])
 
     sources = [fingerprint_source(each.where("fp <> 0").select("id", "fp"), CANDIDATE_BITS, "id"), Source(banded(each))]
     roots = linked(sources, jaccard(fetch, similarity), name="near")
-    by_uid = save(lows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", F.coalesce("root", "uid").alias("root")), "near-named")
+    by_uid = save(lows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "low", "n", F.coalesce("root", "uid").alias("root")), "near-named")
     least = save(by_uid.groupBy("root").agg(F.min(F.struct("low", "uid")).alias("first")), "near-first")
     discard(each, roots)
-    return by_uid.join(least, "root").select("uid", F.col("first.low").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("leads"))
+    return by_uid.join(least, "root").select("uid", F.col("first.low").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("leads"), "n")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
@@ -179,9 +181,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """The rows of ``docs``, with their columns, that hold the first text of their component
     under its smallest doc_id (a null one is the smallest). Rows that repeat doc_id and
-    text are one document and stay together; an empty table stays empty."""
+    text are one document and stay together; an empty table stays empty. The only row of a
+    first text stays where it is: rows of other texts alone are joined."""
     whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named, lows = named_texts(whole, hash_of)
-    first = near_components(named.select("doc_id", "text", "uid"), lows, similarity, width).where("leads").select(F.col("uid").alias("of"), "component_id")
-    kept = named.select("doc", "doc_id", "uid").join(first, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
-    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+    found = save(near_components(named.select("doc_id", "text", "uid"), lows, similarity, width), "near-components")
+    first = found.where("leads").select(F.col("uid").alias("of"), "component_id")
+    rows = perhaps(named.select("doc", "doc_id", "uid"), "uid", found.where("not leads or n > 1").select("uid"))
+    kept = rows.where("listed").join(first, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
+    return rows.where("not listed").union(kept).select(*(F.col("doc")[c].alias(c) for c in docs.columns))

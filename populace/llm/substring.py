@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import Source, Verify, linked
-from .common import discard, named_texts, save, tidy
+from .common import discard, named_texts, perhaps, save, tidy
 
 BANDS, ROWS, SHINGLE = 12, 4, 5
 SEED_WORDS, WINDOW, CONTEXT = 8, 24, 24
@@ -234,7 +234,7 @@ def paragraph_roots(texts: DataFrame) -> DataFrame:
     """(node, root) over the pids of near-equal paragraphs; texts: distinct (pid, words, n)."""
     named = texts.select(F.col("pid").alias("id"), "words", F.col("n").cast("long").alias("n"))
     index = banded(with_bands(named))
-    return linked([Source(index)], jaccard(lambda wanted: named.join(wanted, "id", "left_semi").select("id", "words")), name="paragraph")
+    return linked([Source(index)], jaccard(lambda wanted: perhaps(named, "id", wanted).where("listed").join(wanted, "id", "left_semi").select("id", "words")), name="paragraph")
 
 
 def similar_block(left: list[np.ndarray], right: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -275,8 +275,10 @@ def jaccard(fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR
         """The loads of some ids; those that were fetched before aren't fetched again."""
         for held in kept:
             wanted = wanted.join(held.select("id"), "id", "left_anti")
+        wanted = save(wanted, "wanted")
         if not kept or not wanted.isEmpty():
             kept.append(save(fetch(wanted).select("id", "words").mapInArrow(tidy(hashed, forget), "id long, load binary"), "shingles"))
+        discard(wanted)
         out = kept[0]
         for more in kept[1:]:
             out = out.union(more)
@@ -398,7 +400,7 @@ def repeated_passages(units: DataFrame, lows: DataFrame) -> DataFrame:
                         s = slice(k, k + part.size)
                         yield pa.RecordBatch.from_arrays([m.field("seed")[s], pa.array(np.full(part.size, uids[i], np.int64)), pa.repeat(docs[i], part.size), m.field("at")[s], m.field("is_first")[s], m.field("many")[s], pa.array(np.full(part.size, size, np.int32)), words], schema=view_schema)
 
-    seen = units.join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
+    seen = perhaps(units, "uid", spots.select("uid")).where("listed").join(by_doc, "uid").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("uid", "doc_id", "text", "met")
     seen = save(seen.mapInArrow(tidy(views, forget), "seed long, uid long, doc_id long, at int, is_first boolean, many boolean, size int, words binary"), "seeds-seen")
     discard(spots, firsts)
 
@@ -529,10 +531,15 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hash_of=F.x
     key = F.col(id_col).cast("long")
     others = F.struct(*(F.col(c) for c in docs.columns if c != text))
     named, lows = named_texts(docs.select(others.alias("doc"), key.alias("doc_id"), F.col(text).alias("text")), hash_of)
-    ranges = repeated_passages(named.select("uid", "doc_id", "text"), lows).groupBy("uid").agg(F.collect_set(packed("w0", "w1")).alias("goes"))
-    known = named.join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))
-    left = known.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
-    left = save(left, "passages-cut")
+    found = repeated_passages(named.select("uid", "doc_id", "text"), lows)
+    ranges = found.groupBy("uid").agg(F.collect_set(packed("w0", "w1")).alias("goes"))
+    # a text's only row that holds no repeat stays as it is, where it is
+    rows = perhaps(named, "uid", found.select("uid").union(lows.where("n > 1").select("uid")))
+    known = rows.where("listed").join(lows.join(ranges, "uid", "left"), "uid").withColumn("cut", _cut_passages("text", "goes", ~F.col("doc_id").eqNullSafe(F.col("low"))))
+    changed = known.select("doc", "doc_id", "uid", F.col("cut.text").alias("text"), F.col("cut.n_removed").alias("n0"), F.col("cut.n_spans").alias("s0"))
+    whole = rows.where("not listed").select("doc", "doc_id", "uid", "text", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("s0"))
+    left = save(whole.union(changed), "passages-cut")
+    discard(found)
     lines = repeated_paragraphs(left.select("uid", "doc_id", "text")).groupBy(F.col("uid").alias("of"), F.col("doc_id").alias("at")).agg(F.collect_set("line").alias("goes"))
     by_line = left.join(lines, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")), "left").withColumn("cut", _cut_paragraphs("text", "goes"))
     return by_line.select("doc", "cut.text", (F.col("n0") + F.col("cut.n_removed")).alias("n_removed"), (F.col("s0") + F.col("cut.n_spans")).alias("n_spans"))

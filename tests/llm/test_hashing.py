@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from populace.llm import common, queries, simhash, substring, vectors
+from populace.llm import common, queries, simhash, substring, suffix, vectors
 
 SCHEMA = "doc_id long, text string"
 
@@ -418,3 +418,48 @@ def test_long_texts_nulls_and_repeats(spark):
 
 def test_op9_empty_table(spark):
     assert substring.cut_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_perhaps_lists_all_wanted_and_few_others(spark, monkeypatch):
+    rows = spark.range(-5000, 5000).selectExpr("if(id = 0, null, id) as id", "string(id) as words")
+    wanted = spark.range(0, 5000, 100).selectExpr("id as other")
+    found = {r.id for r in common.perhaps(rows, "id", wanted).where("listed").collect()}
+    assert found >= set(range(100, 5000, 100)) and len(found) < 60
+    assert common.perhaps(rows, "id", wanted).where("not listed").count() + len(found) >= 9999
+    assert not common.perhaps(rows, "id", wanted.limit(0)).where("listed").count()
+    monkeypatch.setattr(common, "FILTER_BITS", 64)  # a full filter costs rows, never results
+    assert common.perhaps(rows, "id", wanted).where("listed").count() > 1000
+
+
+def moved_texts(df):
+    """The most rows with a text that one exchange of the plan that ran has."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange" and "text" in node.output().mkString(","):
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+    return most
+
+
+@pytest.mark.parametrize("stage", ["near"])
+def test_rows_that_stay_are_not_shuffled(spark, stage):
+    """Before, the final joins dealt every text anew once the list was too long to be sent."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> sha(concat(if(id % 100 = 1, id - 1, id), '-', i)))) as text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        if stage == "near":
+            out = simhash.without_near_copies(docs)
+            assert moved_texts(out) <= 40
+            assert {r.doc_id for r in out.collect()} == set(range(400)) - {1, 101, 201, 301}
+        else:
+            out = suffix.remove(docs)
+            assert moved_texts(out) <= 40
+            assert {r.doc_id for r in out.collect() if r.n_removed} == {1, 101, 201, 301}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
