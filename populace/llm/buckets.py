@@ -64,12 +64,53 @@ def spanning(links: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> tuple[n
     return ids[own], ids[low[own]]
 
 
-def _tries(k: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray, lags: int, edges: list[int], distance: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merge(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place of each place's component, once a and b are linked too."""
+    while a.size:
+        p, q = low[a], low[b]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    return low
+
+
+def _joined(run: np.ndarray, x: np.ndarray, distance: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of whole keys, ordered by ``run``: the first place of each one's component inside
+    its key, and whether its key may hold links that aren't known.
+
+    A row is tried against the ``block`` rows before it, which are all of a smaller key. In a
+    larger one the rows outside the largest component are tried against the key, if they are
+    no more than ``block``. Both are linear in the rows."""
+    low, unknown = np.arange(run.size), np.zeros(run.size, bool)
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    size = np.diff(np.append(start, run.size))
+    for j in range(1, min(block, int(size.max()) - 1) + 1):
+        i = np.flatnonzero((run[j:] == run[:-j]) & (low[j:] != low[:-j]))
+        i = i[np.bitwise_count((x[i] ^ x[i + j]).view(np.uint64)) <= distance]
+        low = _merge(low, i, i + j)
+    for at, n in zip(start[size > block + 1].tolist(), size[size > block + 1].tolist()):
+        own, v = low[at : at + n] - at, x[at : at + n]
+        roots, counts = np.unique(own, return_counts=True)
+        rest = np.flatnonzero(own != roots[counts.argmax()])
+        if rest.size > block:
+            unknown[at : at + n] = True
+            continue
+        for p in rest.tolist():
+            i = np.flatnonzero((np.bitwise_count((v ^ v[p]).view(np.uint64)) <= distance) & (own != own[p]))
+            own = _merge(own, i, np.full(i.size, p))
+        low[at : at + n] = own + at
+    return low, unknown
+
+
+def _tries(k: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray, lags: int, edges: list[int], distance: int | None, block: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b) places of candidate pairs in rows ordered by (k, x, id), and the places held back.
 
     All pairs of a key of up to lags + 1 rows; in a larger one each row with the one before
     it and with the key's weightiest. Held: rows of larger keys and of ``edges``, keys of
-    which other tasks may have rows."""
+    which other tasks may have rows. With ``block`` the distance alone makes a link: a larger
+    key gives links that span its components instead, and is held if some may be missing."""
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.append(start, k.size))
     run = np.repeat(np.arange(start.size), size)
@@ -77,21 +118,26 @@ def _tries(k: np.ndarray, ids: np.ndarray, x: np.ndarray, w: np.ndarray, lags: i
     left, right = [], []
     for j in range(1, min(lags, k.size - 1) + 1):
         same = run[j:] == run[:-j]
-        if j > 1:
+        if j > 1 or block:
             same &= ~large[j:]
         i = np.flatnonzero(same)
         left.append(i)
         right.append(i + j)
-    pivot = np.lexsort((ids, -w, run))[start][run]
     i = np.flatnonzero(large)
-    a, b = np.concatenate([*left, i]), np.concatenate([*right, pivot[i]])
+    pivot = i[:0] if block else np.lexsort((ids, -w, run))[start][run][i]
+    a, b = np.concatenate([*left, i[: pivot.size]]), np.concatenate([*right, pivot])
     ok = ids[a] != ids[b]
     if distance is not None:
         ok &= np.bitwise_count((x[a] ^ x[b]).view(np.uint64)) <= distance
-    return a[ok], b[ok], np.flatnonzero(large | np.isin(k, edges))
+    a, b = a[ok], b[ok]
+    if block and i.size:
+        low, large[i] = _joined(run[i], x[i], distance, block)
+        new = low != np.arange(i.size)
+        a, b = np.concatenate([a, i[new]]), np.concatenate([b, i[low[new]]])
+    return a, b, np.flatnonzero(large | np.isin(k, edges))
 
 
-def _sweep(source: Source, lags: int, chunk: int) -> DataFrame:
+def _sweep(source: Source, lags: int, chunk: int, block: int = 0) -> DataFrame:
     """(a, b, null, null, null) of candidate pairs, (null, null, k, id, x) of rows held back.
 
     Rows are dealt by ranges of (k, x, id), so that a large key is spread over tasks."""
@@ -106,7 +152,7 @@ def _sweep(source: Source, lags: int, chunk: int) -> DataFrame:
             k, ids, x, w = rows
             if not k.size:
                 return
-            a, b, kept = _tries(k, ids, x, w, lags, keys, distance)
+            a, b, kept = _tries(k, ids, x, w, lags, keys, distance, block)
             low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
             n, m = pa.nulls(low.size, pa.int64()), pa.nulls(kept.size, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), n, n, n], schema=schema)
@@ -172,26 +218,28 @@ def _across(mixed: DataFrame, distance: int | None, verify: Verify | None, block
 def linked(sources: list[Source], verify: Verify | None = None, lags: int = LAGS, refine: int = REFINE, block: int = BLOCK, chunk: int = CHUNK, name: str = "bucket") -> DataFrame:
     """Components of all links between ids that share a key: (node, root).
 
-    Without ``verify`` a source's distance alone makes a link. Small keys are tried in full,
+    Without ``verify`` a source's distance alone makes a link, and the task that has all rows of
+    a key settles it unless over ``block`` of them lie outside its largest component. Small keys are tried in full,
     larger ones by neighbours and their weightiest id (linear in the rows). Those links are
     contracted to components; only larger keys that still hold several components are compared
     in full, large ones after refining, in blocks that return spanning links: the rows made
     for a key are its rows times its blocks, never its pairs.
     """
     check = (lambda pairs: verify.pairs(save(pairs.distinct(), f"{name}-pairs"))) if verify else (lambda pairs: save(pairs.distinct(), f"{name}-pairs"))
-    met = [save(_sweep(s, lags, chunk), f"{name}-met") for s in sources]
+    within = [0 if verify or s.distance is None else block for s in sources]
+    met = [save(_sweep(s, lags, chunk, n), f"{name}-met") for s, n in zip(sources, within)]
     pairs = met[0].where("a is not null").select("a", "b")
     for m in met[1:]:
         pairs = pairs.union(m.where("a is not null").select("a", "b"))
     links = check(pairs)
     first = components(links)
     across, trash = [], [*met]
-    for s, m in zip(sources, met):
+    for s, m, own in zip(sources, met, within):
         mixed = save(_mixed(m.where("k is not null").select("k", "id", "x"), first), f"{name}-mixed")
         trash.append(mixed)
         if s.refine is not None and not mixed.where(F.col("n") > refine).isEmpty():
             finer = mixed.where(F.col("n") > refine).select(F.explode(s.refine(F.col("k"), F.col("x"))).alias("k"), "id", "x", F.lit(0).cast("long").alias("w")).distinct()
-            again = save(_sweep(Source(finer, s.distance), lags, chunk), f"{name}-finer")
+            again = save(_sweep(Source(finer, s.distance), lags, chunk, own), f"{name}-finer")
             more = check(again.where("a is not null").select("a", "b"))
             # a finer link joins the components of its ends
             ends = more.join(first.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("root").alias("cb")), "b", "left")

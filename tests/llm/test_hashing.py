@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from populace.llm import common, queries, simhash, substring, suffix, vectors
+from populace.llm import buckets, common, queries, simhash, substring, suffix, vectors
 
 SCHEMA = "doc_id long, text string"
 
@@ -463,3 +463,32 @@ def test_rows_that_stay_are_not_shuffled(spark, stage):
             assert {r.doc_id for r in out.collect() if r.n_removed} == {1, 101, 201, 301}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_near_copies_of_a_group_are_settled_in_their_keys(spark, n):
+    """Before, each of the group's index rows was held back and joined with its component."""
+    rng = random.Random(n)
+    marginal = rng.sample(range(64), 14)
+    fps = {0, *(sum(1 << b for b in rng.sample(marginal, rng.randint(1, 4))) for _ in range(8 * n))}
+    fps = sorted(fps)[:n]
+    frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    source = simhash.fingerprint_source(frame, 4)
+    one_key = source.index.groupBy("k").count().agg(F.max("count")).first()[0]
+    held = buckets._sweep(source, buckets.LAGS, buckets.CHUNK, buckets.BLOCK).where("k is not null").count()
+    assert source.index.count() == 64 * len(fps) and held <= 8 * one_key  # the edges of 4 tasks
+    roots = simhash.fingerprint_components(frame, 4).collect()
+    assert len(roots) == len(fps) and {r.root for r in roots} == {min(r.node for r in roots)}
+
+
+@pytest.mark.parametrize("block", [2, 8, 64])
+def test_components_inside_keys_equal_all_pairs(block):
+    rng = np.random.default_rng(block)
+    run = np.sort(rng.integers(0, 6, 150))
+    base = rng.integers(0, 2**40, 3)
+    x = base[rng.integers(0, 3, 150)] ^ (np.int64(1) << rng.integers(0, 40, 150)) ^ (np.int64(1) << rng.integers(0, 40, 150))
+    low, unknown = buckets._joined(run, x, 3, block)
+    near = (np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= 3) & (run[:, None] == run[None, :])
+    want = np.array(least_labels(near, range(150)))
+    assert (low[~unknown] == want[~unknown]).all() and (want[low] == want).all()
+    assert block < 64 or not unknown.any()
