@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, named_texts, save, tidy
+from .common import discard, named_texts, perhaps, save, tidy
 
 GRAM = 32
 SHARD_BYTES = 3 << 20
@@ -295,10 +295,13 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
 def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", keep_bytes: bool = False, hash_of=F.xxhash64, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; the bytes kept too if asked for."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the first of equal texts stands for all
     named, lows = named_texts(base, hash_of)
-    firsts = named.join(lows, "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
-    found = repeats(firsts.select("uid", "doc_id", "text"), length, **how)
+    # the first of equal texts stands for all; the only row of a text needn't be joined to know it
+    twice = lows.where("n > 1").select("uid")
+    rows = perhaps(named.select("uid", "doc_id", "text"), "uid", twice)
+    of_many = rows.where("listed").join(lows, "uid").where(F.col("doc_id").eqNullSafe(F.col("low")))
+    firsts = rows.where("not listed").drop("listed").union(of_many.select("uid", "doc_id", "text"))
+    found = repeats(firsts, length, **how)
     spans = save(found.groupBy("uid").agg(F.collect_list(F.struct("b0", "b1")).alias("spans")), "repeat-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +328,9 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)][: 5 + keep_bytes], names[: 5 + keep_bytes])
 
-    ranked = named.join(lows, "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
-    out = ranked.join(spans, "uid", "left").select("doc_id", "text", "first", "spans")
+    rows = perhaps(named, "uid", twice.union(spans.select("uid")))
+    ranked = rows.where("listed").join(lows, "uid").withColumn("first", F.col("doc_id").eqNullSafe(F.col("low")))
+    changed = ranked.join(spans, "uid", "left").select("doc_id", "text", "first", "spans")
+    whole = rows.where("not listed").select("doc_id", "text", F.lit(True).alias("first"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = whole.union(changed)
     return out.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)

@@ -446,7 +446,7 @@ def moved_texts(df):
     return most
 
 
-@pytest.mark.parametrize("stage", ["near"])
+@pytest.mark.parametrize("stage", ["near", "spans"])
 def test_rows_that_stay_are_not_shuffled(spark, stage):
     """Before, the final joins dealt every text anew once the list was too long to be sent."""
     docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> sha(concat(if(id % 100 = 1, id - 1, id), '-', i)))) as text")
