@@ -441,7 +441,7 @@ def moved_texts(df):
         todo += [node.children().apply(i) for i in range(node.children().size())]
         if "QueryStage" in node.nodeName():
             todo.append(node.plan())
-        if node.nodeName() == "Exchange" and "text" in node.output().mkString(","):
+        if node.nodeName() == "Exchange" and any(c in node.output().mkString(",") for c in ("text#", "doc#")):
             most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
     return most
 
