@@ -11,7 +11,9 @@ or before it in the same document, is a repeat; every byte of a repeat goes.
 3. The windows of an anchor's occurrence form one context (their union). Equal
    contexts (by 128 bits) are folded to the first; a later one goes whole.
 4. Contexts that remain are dealt to shards by anchor, so that all equal windows
-   are in one shard. A shard sorts its suffixes by a difference cover modulo 3:
+   are in one shard. Of each context a shard keeps the windows that can have an equal one:
+   those with the anchor in the same quarter share at least 83 bytes (of 100), whose hash
+   another context's quarter must have too. It sorts what is left by a difference cover modulo 3:
    triples at sampled places are sorted and named, names are sorted by recursion,
    the other suffixes follow from the sampled ranks, and both are merged.
    Neighbours in suffix order whose common prefix reaches ``length`` hold the
@@ -38,8 +40,12 @@ from pyspark.sql import functions as F
 from .common import discard, named_texts, perhaps, save, tidy
 
 GRAM = 32
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 19
 HOT = 20_000
+#: Bytes of the shards that one task sorts.
+TASK_BYTES = 8 << 20
+#: Bytes that are hashed at once; a longer text is cut into pieces, its windows dealt among them.
+PIECE = 1 << 18
 
 
 def _named(*keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -55,23 +61,31 @@ def _named(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     return key.astype(np.uint32), int(key.max()) if key.size else 0
 
 
+def _sorted_places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under 2**bits in order, and their places (equal keys by place)."""
+    low = int(key.size).bit_length()
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key << np.uint64(low)) | np.arange(key.size, dtype=np.uint64))
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of positive integers by the difference cover {1, 2} modulo 3."""
     n = s.size
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.uint32)
+    t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.uint64)
     extra = n % 3 == 1  # an empty suffix keeps the two halves apart
-    one = np.arange(1, n + extra, 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    if t.max() < 1 << 10:
-        packed = (t[sample] << np.uint32(20)) | (t[sample + 1] << np.uint32(10)) | t[sample + 2]
-        order = np.argsort(packed)
-        ordered = packed[order]
+    sample = np.concatenate([np.arange(1, n + extra, 3), np.arange(2, n, 3)])
+    bits, rank_bits = int(t.max()).bit_length(), int(sample.size).bit_length()
+    bit, rank_bit = np.uint64(bits), np.uint64(rank_bits)
+    if 3 * bits <= 64:
+        ordered, order = _sorted_places((((t[sample] << bit) | t[sample + 1]) << bit) | t[sample + 2], 3 * bits)
         names = np.empty(sample.size, np.uint32)
         names[order] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1], dtype=np.uint32)])
-        top = int(names.max())
+        top = int(names[order[-1]])
     else:
         names, top = _named(t[sample], t[sample + 1], t[sample + 2])
     if top == sample.size:
@@ -80,22 +94,25 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     else:
         ordered = suffix_array(names)
     sampled = sample[ordered]
-    rank = np.zeros(n + 3, np.uint32)
-    rank[sampled] = np.arange(1, sampled.size + 1)
+    rank = np.zeros(n + 3, np.uint64)
+    rank[sampled] = np.arange(1, sampled.size + 1, dtype=np.uint64)
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest_key = (t[rest].astype(np.uint64) << np.uint64(32)) | rank[rest + 1]
-    by = np.argsort(rest_key)
-    rest, rest_key = rest[by], rest_key[by]
+    rest_key, by = _sorted_places((t[rest] << rank_bit) | rank[rest + 1], bits + rank_bits)
+    rest = rest[by]
     # how many of the rest come before each sampled suffix
     before = np.empty(sampled.size, np.int64)
     is_one = sampled % 3 == 1
     p = sampled[is_one]
-    before[is_one] = np.searchsorted(rest_key, (t[p].astype(np.uint64) << np.uint64(32)) | rank[p + 1])
+    before[is_one] = np.searchsorted(rest_key, (t[p] << rank_bit) | rank[p + 1])
     q = sampled[~is_one]
-    pair, _ = _named(np.concatenate([t[rest], t[q]]), np.concatenate([t[rest + 1], t[q + 1]]))
-    key = (pair.astype(np.uint64) << np.uint64(32)) | np.concatenate([rank[rest + 2], rank[q + 2]])
-    before[~is_one] = np.searchsorted(key[: rest.size], key[rest.size :])
+    if 2 * bits + rank_bits <= 64:
+        key = lambda i: (((t[i] << bit) | t[i + 1]) << rank_bit) | rank[i + 2]
+        before[~is_one] = np.searchsorted(key(rest), key(q))
+    else:
+        pair, _ = _named(np.concatenate([t[rest], t[q]]), np.concatenate([t[rest + 1], t[q + 1]]))
+        key = (pair.astype(np.uint64) << np.uint64(32)) | np.concatenate([rank[rest + 2], rank[q + 2]])
+        before[~is_one] = np.searchsorted(key[: rest.size], key[rest.size :])
     out = np.empty(n, np.int64)
     at = np.arange(sampled.size) + before
     taken = np.zeros(n, bool)
@@ -124,13 +141,21 @@ def common_prefix(s: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+_RANDOM = np.random.default_rng(32)
+#: A random number for each byte, and odd factors for the halves of 2, 4, 8 ... bytes.
+_BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 62, 5, np.uint64) * np.uint64(4) + np.uint64(3)
+
+
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    h, n = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
-    while n < GRAM:
-        h = h[:-n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[n:]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        n *= 2
+    h, n = _BYTE[x], 1
+    for f in _FACTORS:
+        wide = h[:-n] * f
+        wide += h[n:]
+        h, n = wide, n * 2
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -142,52 +167,117 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: x.size - (w - have)], x[w - have :]) if w > have else x
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, windows) of each anchor occurrence in page order."""
-    if len(data) < length:
+def anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, hash, place, first window, windows) of each anchor occurrence, in order.
+    The parts have under 2**20 bytes together."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    if data.size < length:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    g, w = gram_hashes(np.frombuffer(data, np.uint8)), length - GRAM + 1
-    low = _sliding_min(g, w)
-    # places that are the least of some window
-    pad = np.zeros(w - 1, np.uint64)
-    wide = np.concatenate([pad, low, pad])
-    places = np.flatnonzero(~_sliding_min(~wide, w) == g)
-    k = np.searchsorted(places, np.arange(low.size))
-    chosen, todo = np.empty(low.size, np.int64), np.arange(low.size)
-    while todo.size:  # the leftmost place that holds the window's least hash
-        at = places[k[todo]]
-        hit = g[at] == low[todo]
-        chosen[todo[hit]] = at[hit]
-        todo = todo[~hit]
-        k[todo] += 1
-    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        return none, none.astype(np.uint64), none, none, none
+    ends = np.cumsum([len(p) for p in parts])
+    g = gram_hashes(data)
+    low_bits = np.uint64((1 << 20) - 1)
+    # the leftmost place that holds the window's least hash (of its upper 44 bits)
+    chosen = (_sliding_min((g & ~low_bits) | np.arange(g.size, dtype=np.uint64), length - GRAM + 1) & low_bits).astype(np.int64)
+    outside = np.zeros(chosen.size, bool)
+    for p, end in zip(parts, ends.tolist()):
+        outside[max(end - len(p), end - length + 1) : end] = True
+    new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | outside[:-1]])
+    first = np.flatnonzero(new & ~outside)
+    stops = np.append(np.flatnonzero(new | outside), chosen.size)
+    windows = stops[np.searchsorted(stops, first, "right")] - first
+    part = np.searchsorted(ends, first, "right")
+    begin = ends[part] - np.array([len(p) for p in parts])[part]
     at = chosen[first]
-    return g[at], at, first, np.diff(np.concatenate([first, [low.size]]))
+    return part, g[at], at - begin, first - begin, windows
+
+
+def pieces(texts: list[tuple[int, bytes]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(uid, first byte, bytes) of texts in lists of some PIECE bytes; a longer text is cut so that
+    each of its windows is in one piece."""
+    held, size = [], 0
+    for uid, data in texts:
+        for k in range(0, len(data) - length + 1, PIECE):
+            held.append((uid, k, data[k : k + PIECE + length - 1]))
+            size += len(held[-1][2])
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+#: Parts of an anchor's offsets in a window that are tried apart.
+QUARTERS = 4
+
+
+def perhaps_repeated(contexts: list[bytes], anchor: np.ndarray, lead: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, windows) of the runs of windows that another context may hold.
+
+    lead: the anchor's place in each context. Windows whose anchor is in the same quarter of its
+    possible offsets have the bytes around it in common; equal windows have equal ones. No window
+    equals another one of its context: their anchor's offsets differ."""
+    offsets = length - GRAM + 1
+    step = -(-offsets // QUARTERS)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    x = _BYTE[np.frombuffer(b"".join(contexts), np.uint8)]
+    power = np.full(x.size + 1, _FACTORS[0])
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1], dtype=np.uint64)])
+    kept, starts, stops = [], [], []
+    for k in range(0, offsets, step):
+        last = min(k + step, offsets) - 1
+        start, stop = np.maximum(lead - last, 0), np.minimum(lead - k + 1, windows)
+        some = np.flatnonzero(start < stop)
+        a = begin[some] + lead[some] - k
+        z = begin[some] + lead[some] - last + length
+        # the hash of the bytes a to z, moved to one power for all
+        h = (sums[z] - sums[a]) * power[x.size - a]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + anchor[some].view(np.uint64)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        again = np.zeros(lead.size, bool)
+        again[some[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]] = True
+        kept.append(again)
+        starts.append(start)
+        stops.append(stop)
+    # higher quarters come first in a context: their windows start further left
+    kept = np.stack(kept[::-1], 1)
+    starts, stops = np.stack(starts[::-1], 1), np.stack(stops[::-1], 1)
+    wide = np.pad(kept, ((0, 0), (1, 1)))
+    opens, closes = np.nonzero(wide[:, 1:-1] & ~wide[:, :-2]), np.nonzero(wide[:, 1:-1] & ~wide[:, 2:])
+    first = starts[opens]
+    return opens[0], first, stops[closes] - first
 
 
 def shard_repeats(contexts: list[bytes], order: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, window) of every window that an earlier start repeats. order: (n, 3)
     of doc order, text order and the first window's place; contexts of one shard."""
+    if not contexts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    by = np.lexsort((order[:, 2], order[:, 1], order[:, 0]))  # so places are in order too
+    contexts, windows = [contexts[i] for i in by.tolist()], windows[by]
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    s = np.frombuffer(b"\x00".join(contexts) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(2)
+    small = np.frombuffer(b"\x00".join(contexts) + b"\x00", np.uint8)
+    s = small.astype(np.uint16) + np.uint16(2)
     s[begin + sizes - 1] = 1  # separators
     sa = suffix_array(s)
-    flat = s.copy()
     # a window never reaches a separator: only window starts count, and they end before it
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    inside = np.arange(s.size) - begin[owner]
-    is_window = inside < windows[owner]
+    is_window = np.arange(s.size) - begin[owner] < windows[owner]
     sa = sa[is_window[sa]]
-    small = np.where(flat == 1, 0, flat - 2).astype(np.uint8)
     same = common_prefix(small, sa, length)
-    group = np.cumsum(~same)
-    c, at = owner[sa], inside[sa]
-    by = np.lexsort((order[c, 2] + at, order[c, 1], order[c, 0], group))
-    g = group[by]
-    later = np.concatenate([[False], g[1:] == g[:-1]]) if g.size else np.empty(0, bool)
-    return c[by][later], at[by][later]
+    many = same | np.append(same[1:], False)
+    sa, same = sa[many], same[many]
+    if not sa.size:
+        return sa, sa
+    group = np.flatnonzero(~same)
+    least = np.repeat(np.minimum.reduceat(sa, group), np.diff(np.append(group, sa.size)))
+    later = sa[sa != least]
+    return by[owner[later]], later - begin[owner[later]]
 
 
 def _ranges(uid: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,10 +304,11 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(u, *anchors((t.as_py() or "").encode(), length)) for u, t in zip(b.column(0).to_pylist(), b.column(1))]
-            if found:
-                n = [f[1].size for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[1] for f in found]).view(np.int64)), pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n)), pa.array(np.concatenate([f[3] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[4] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[2] - f[3] for f in found]).astype(np.int32))], ["anchor", "uid", "at", "windows", "lead"])
+            texts = zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())
+            for some in pieces([(u, t or b"") for u, t in texts], length):
+                part, g, at, first, windows = anchors([p[2] for p in some], length)
+                uid, begin = np.array([p[0] for p in some], np.int64), np.array([p[1] for p in some], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[part]), pa.array((first + begin[part]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((at - first).astype(np.int32))], ["anchor", "uid", "at", "windows", "lead"])
 
     found = save(units.select("uid", "text").mapInArrow(tidy(find), "anchor long, uid long, at int, windows int, lead int"), "anchors")
 
@@ -250,36 +341,42 @@ def repeats(units: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for u, d, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                data, m = t.as_py().encode(), m.values
-                at, windows = m.field("at").to_numpy(), m.field("windows").to_numpy()
-                for k in range(0, at.size, 10_000):
-                    part = slice(k, k + 10_000)
-                    n = at[part].size
-                    ctx = [data[s : s + w + length - 1] for s, w in zip(at[part].tolist(), windows[part].tolist())]
-                    key = [hashlib.blake2b(c, digest_size=16, salt=int(a).to_bytes(8, "little", signed=True), person=int(z).to_bytes(4, "little")).digest() for c, a, z in zip(ctx, m.field("anchor")[part].to_pylist(), m.field("lead")[part].to_pylist())]
-                    yield pa.RecordBatch.from_arrays([m.field("anchor")[part], pa.array(key, pa.binary()), pa.array([d] * n, pa.int64()), pa.array(np.full(n, u, np.int64)), m.field("at")[part], m.field("windows")[part], pa.array(ctx, pa.binary())], ["anchor", "ctx", "doc_id", "uid", "at", "windows", "bytes"])
-
-    contexts = save(units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(tidy(cut), "anchor long, ctx binary, doc_id long, uid long, at int, windows int, bytes binary"), "contexts")
+            texts, m = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).flatten()
+            owner = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            at, size = m.field("at").to_numpy(), m.field("windows").to_numpy() + (length - 1)
+            for k in range(0, at.size, 10_000):
+                part = slice(k, k + 10_000)
+                ctx = [texts[i][s : s + n] for i, s, n in zip(owner[part].tolist(), at[part].tolist(), size[part].tolist())]
+                of = pa.array(owner[part])
+                yield pa.RecordBatch.from_arrays([m.field("anchor")[part], b.column(1).take(of), b.column(0).take(of), m.field("at")[part], m.field("windows")[part], m.field("lead")[part], pa.array(ctx, pa.binary())], ["anchor", "doc_id", "uid", "at", "windows", "lead", "bytes"])
+
+    contexts = units.join(by_unit, "uid").select("uid", "doc_id", "text", "met").mapInArrow(tidy(cut), "anchor long, doc_id long, uid long, at int, windows int, lead int, bytes binary")
+    # equal contexts have equal anchors at equal places
+    contexts = save(contexts.withColumn("ctx", F.unhex(F.md5("bytes"))), "contexts")
     discard(found, shared)
-    place = F.struct("doc_id", "uid", "at")
+    place = F.struct("doc_id", "uid", "at", "windows", "lead", "bytes")
     firsts = save(contexts.groupBy("anchor", "ctx").agg(F.min(place).alias("f"), F.count("*").alias("n")), "contexts-first")
-    whole = contexts.join(firsts.where("n > 1").select("ctx", F.col("anchor").alias("fa"), "f"), "ctx").where(F.col("anchor") == F.col("fa")).where((F.col("uid") != F.col("f.uid")) | (F.col("at") != F.col("f.at")))
+    again = firsts.where("n > 1").select("ctx", F.col("f.uid").alias("f_uid"), F.col("f.at").alias("f_at"))
+    whole = contexts.select("ctx", "uid", "at", "windows").join(again, "ctx").where("uid <> f_uid or at <> f_at")
     whole = whole.select("uid", F.col("at").cast("long").alias("b0"), (F.col("at").cast("long") + F.col("windows") + (length - 1)).alias("b1"))
     mixed = save(firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchors-mixed")
-    kept = firsts.join(mixed, "anchor").select("anchor", "ctx", "m", "f.doc_id", "f.uid", "f.at")
-    kept = save(kept.join(contexts.select("ctx", "uid", "at", "windows", "bytes"), ["ctx", "uid", "at"]).dropDuplicates(["anchor", "uid", "at"]), "contexts-kept")
+    kept = save(firsts.join(mixed, "anchor").select("anchor", "m", "f.*"), "contexts-kept")
     total = kept.where(F.col("m") <= hot).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
 
     def sort_shard(shard: pa.Table) -> pa.Table:
         doc = shard.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-        uid, at = shard.column("uid").to_numpy(), shard.column("at").to_numpy().astype(np.int64)
-        c, w = shard_repeats(shard.column("bytes").to_pylist(), np.stack([doc, uid, at], 1), shard.column("windows").to_numpy().astype(np.int64), length)
+        ctx, (uid, at, anchor, lead, windows) = shard.column("bytes").to_pylist(), (shard.column(c).to_numpy().astype(np.int64) for c in ("uid", "at", "anchor", "lead", "windows"))
+        own, first, windows = perhaps_repeated(ctx, anchor, lead, windows, length)
+        ctx = [ctx[i][a : a + w] for i, a, w in zip(own.tolist(), first.tolist(), (windows + (length - 1)).tolist())]
+        doc, uid, at = doc[own], uid[own], at[own] + first
+        c, w = shard_repeats(ctx, np.stack([doc, uid, at], 1), windows, length)
         u, a, z = _ranges(uid[c], at[c] + w, length)
         return pa.table({"uid": u, "b0": a, "b1": z})
 
     dealt = kept.where(F.col("m") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    # the number of tasks grows with the bytes
+    dealt = dealt.repartition(max(min(shards, n_parts), -(-total // TASK_BYTES)), "shard")
     sorted_out = dealt.groupBy("shard").applyInArrow(sort_shard, "uid long, b0 long, b1 long")
     single = kept.where(F.col("m") > hot).select("anchor", "doc_id", "uid", "at", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("w"))
     window = F.substring("bytes", F.col("w") + 1, F.lit(length))

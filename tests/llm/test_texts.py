@@ -250,6 +250,59 @@ def test_suffix_array(s, scale):
     assert (suffix.suffix_array(x).tolist() if x.size else []) == sorted(range(x.size), key=lambda i: x[i:].tolist())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=60), st.sampled_from([1, 1 << 20, 1 << 22, 1 << 30]))
+def test_suffix_array_of_wide_symbols(s, scale):
+    """Symbols whose triples or pairs don't fit one key."""
+    x = np.array(s, np.uint32) * np.uint32(scale)
+    assert (suffix.suffix_array(x).tolist() if x.size else []) == sorted(range(x.size), key=lambda i: x[i:].tolist())
+    key, place = suffix._sorted_places(x.astype(np.uint64) << np.uint64(32), 64)
+    assert place.tolist() == np.argsort(x, kind="stable").tolist() and (np.diff(key.astype(float)) >= 0).all()
+
+
+@pytest.mark.parametrize("piece", [150, 1000, 1 << 18])
+def test_op6_anchors_of_pieces(monkeypatch, piece):
+    """Each window of each text has one anchor, equal windows have equal ones at equal places."""
+    monkeypatch.setattr(suffix, "PIECE", piece)
+    rng = random.Random(piece)
+    block = bytes(rng.choices(b"abc ", k=700))
+    texts = [block, b"", b"x" + block, block[:99], block[200:300], b"z" * 500, b"ab" * 300]
+    of, seen = {}, {}
+    for some in suffix.pieces(list(enumerate(texts)), 100):
+        for part, g, at, first, n in zip(*suffix.anchors([p[2] for p in some], 100)):
+            u, begin, _ = some[part]
+            for k in range(begin + first, begin + first + n):
+                assert (u, k) not in of and k <= begin + at <= k + 68
+                of[u, k] = (g, begin + at - k)
+    assert set(of) == {(u, k) for u, t in enumerate(texts) for k in range(len(t) - 99)}
+    for (u, k), found in of.items():
+        assert seen.setdefault(texts[u][k : k + 100], found) == found
+
+
+def test_op6_shards_sort_only_what_can_repeat():
+    """Before, every window around an anchor that occurs twice was sorted, whatever surrounds it."""
+    rng = random.Random(8)
+    gram, say = bytes(rng.choices(b"abcdefgh", k=32)), lambda n: bytes(rng.choices(b"ijklmnop", k=n))
+    contexts = [say(a) + gram + say(136 - a) for a in rng.choices(range(69), k=400)]  # nothing but the gram in common
+    lead = [c.index(gram) for c in contexts]
+    for i in range(0, 40, 2):  # one window or more in common
+        a = rng.randrange(min(lead[i], 68) + 1)
+        window = contexts[i][lead[i] - a : lead[i] - a + 100 + rng.randrange(8)]
+        contexts.append(say(68 - a) + window + say(9))
+        lead.append(68)
+    windows = np.minimum(np.array(lead) + 1, [len(c) - 99 for c in contexts])
+    own, first, n = suffix.perhaps_repeated(contexts, np.full(len(contexts), 5), np.array(lead), windows, 100)
+    kept = {(c, k) for c, a, m in zip(own.tolist(), first.tolist(), n.tolist()) for k in range(a, a + m)}
+    assert len(kept) == n.sum() and all(0 <= k < windows[c] for c, k in kept)
+    held = {}
+    for c, m in enumerate(windows.tolist()):
+        for k in range(m):
+            held.setdefault(contexts[c][k : k + 100], []).append((c, k))
+    again = {w for all_ in held.values() if len(all_) > 1 for w in all_}
+    assert again and again <= kept
+    assert len(kept) < windows.sum() / 8
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: r[0]):
