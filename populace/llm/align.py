@@ -7,11 +7,14 @@ that no token of either side spans is a gap, and gaps cut a text's tokens into g
 
 How many documents hold a pair of ids linked is counted over the whole corpus. Texts come
 in Arrow batches; each becomes one row that holds its distinct linked pairs once, with the
-number of its documents that hold them, and every link as a place in that list. So what is
-shuffled by pair is a batch's vocabulary of pairs, not its links, and no pair has more than
-one row for each batch, however frequent it is. The counts go back to the batches, where each
-document's links look theirs up: as a table sent to every task where they are few (ids that
-overlap are bounded by the vocabularies, not by the corpus), else by a join on the batch.
+number of its documents that hold them, and each document's distinct pairs as places in that
+list, with the number of its links of each. So what is shuffled by pair is a batch's vocabulary
+of pairs, not its links, no pair has more than one row for each batch, however frequent it is,
+and a document's part of a row is bounded by its pairs, however long it is. The counts go back
+to the batches, where each document's pairs look theirs up: as a table sent to every task where
+they are few (ids that overlap are bounded by the vocabularies, not by the corpus), else by a
+join on the batch. These rows are wide: a task reads FEW_ROWS of them at a time, however many
+its files hold.
 
 Nulls: a null text is an empty one; texts that are empty, or that either side's tokens don't
 give back, have no tokens. A null doc_id stays. Repeated rows are documents each; texts are
@@ -20,6 +23,7 @@ taken whole (the longest one is a batch); an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -27,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, save, tidy
@@ -38,6 +42,9 @@ from .tokens import PieceEncoder, byte_letters
 CACHE, BLOCK, ROW_BYTES = (150_000, 300_000), 1 << 17, 2 << 20
 #: Distinct linked pairs whose counts are sent to every task at most (16 bytes each).
 SENT_PAIRS = 1 << 20
+#: Batches' rows (some 1.5 MB each) that a task decodes at once: Spark's reader takes 4,096, that is all rows of
+#: a file, and its hash aggregate gathers the lists of 128 batches beside each other; sorted, there is one.
+FEW_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "4", "spark.sql.execution.useObjectHashAggregateExec": "false"}
 _EMPTY = np.empty(0, np.int64)
 
 
@@ -147,7 +154,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _made[a_path, b_path]
 
 
-_BATCH = "batch long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, stops array<long>, links array<int>, pairs array<long>, held array<int>"
+_BATCH = "batch long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, stops array<long>, places array<int>, times array<int>, pairs array<long>, held array<int>"
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -164,14 +171,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_batches(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each batch of documents: their token, group and link counts, the batch's
     distinct linked pairs (A id * 2^32 + B id) with the number of its documents that hold
-    them, and the links of all its documents as places in that list."""
+    them, and the distinct pairs of all its documents as places in that list, with the number
+    of the document's links of each; stops: where each document's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(_parts(batches)):
-            n_a, n_b, n_groups, shas, links, held, size = [], [], [], [], [], np.empty(0, np.int32), []
-            number_of: dict[int, int] = {}
+            n_a, n_b, n_groups, n_links, shas, owns, times, size = [], [], [], [], [], [_EMPTY], [_EMPTY], []
             for a, b in both.tokens(batch.column(1)):
                 left, right, ends = both.align(a, b)
                 last = np.append(left[1:] != left[:-1], True)[: left.size]
@@ -179,19 +186,16 @@ def link_batches(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
                 n_a.append(a.size)
                 n_b.append(b.size)
                 n_groups.append(int(ends.sum()))
+                n_links.append(left.size)
                 shas.append(both.digest(a, b, ends, stops))
-                # a document's distinct pairs, by their places in the row's list
-                own, at = np.unique(a[left] << 32 | b[right], return_inverse=True)
-                place = np.array([number_of.setdefault(p, len(number_of)) for p in own.tolist()], np.int32)
-                if len(number_of) > held.size:
-                    held = np.append(held, np.zeros(len(number_of) - held.size + 4096, np.int32))
-                held[place] += 1
-                links.append(place[at])
-                size.append(left.size)
-            pairs = np.fromiter(number_of, np.int64, len(number_of))
-            flat = np.concatenate([np.empty(0, np.int32), *links])
-            lists = dict(doc_ids=batch.column(0).cast(pa.int64()), n_a=n_a, n_b=n_b, n_groups=n_groups, groups_sha256=shas, stops=np.cumsum(np.array(size, np.int64)), links=flat, pairs=pairs, held=held[: pairs.size])
-            kinds = {"groups_sha256": pa.string(), "links": pa.int32(), "held": pa.int32()}
+                own, many = np.unique(a[left] << 32 | b[right], return_counts=True)
+                owns.append(own)
+                times.append(many)
+                size.append(own.size)
+            # a document has a pair once, so a pair is there as often as documents hold it
+            pairs, places, held = np.unique(np.concatenate(owns), return_inverse=True, return_counts=True)
+            lists = dict(doc_ids=batch.column(0).cast(pa.int64()), n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links, groups_sha256=shas, stops=np.cumsum(np.array(size, np.int64)), places=places.astype(np.int32), times=np.concatenate(times).astype(np.int32), pairs=pairs, held=held.astype(np.int32))
+            kinds = {"groups_sha256": pa.string(), "places": pa.int32(), "times": pa.int32(), "held": pa.int32()}
             row = {"batch": pa.array([part << 32 | number], pa.int64())}
             for name, values in lists.items():
                 col = values if isinstance(values, pa.Array) else pa.array(values, kinds.get(name, pa.int64()))
@@ -206,11 +210,11 @@ def _documents(batch: pa.RecordBatch, r: int, coded: np.ndarray) -> pa.RecordBat
     """Documents' rows of one batch; coded: for each of its pairs twice its count, and one more
     where that is its A id's highest."""
     cell = lambda name: batch.column(batch.schema.get_field_index(name))[r].values
-    stops, links = cell("stops").to_numpy(), cell("links").to_numpy()
-    sums, best = (np.append(0, np.cumsum(x[links])) for x in (coded >> 1, coded & 1))
+    stops, places, times = (cell(x).to_numpy() for x in ("stops", "places", "times"))
+    sums, best = (np.append(0, np.cumsum(x[places] * times)) for x in (coded >> 1, coded & 1))
     starts = np.append(0, stops[:-1])
-    made = (stops - starts, best[stops] - best[starts], sums[stops] - sums[starts])
-    out = [cell("doc_ids"), cell("n_a"), cell("n_b"), cell("n_groups"), *(pa.array(x, pa.int64()) for x in made), cell("groups_sha256")]
+    made = (best[stops] - best[starts], sums[stops] - sums[starts])
+    out = [cell("doc_ids"), cell("n_a"), cell("n_b"), cell("n_groups"), cell("n_links"), *(pa.array(x, pa.int64()) for x in made), cell("groups_sha256")]
     return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _ROWS.split(", ")])
 
 
@@ -234,23 +238,42 @@ def _sent(held):
     return run
 
 
+@contextlib.contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """FEW_ROWS holds for the plans that run inside."""
+    before = {k: spark.conf.get(k, None) for k in FEW_ROWS}
+    try:
+        for k, v in FEW_ROWS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text", sent: int = SENT_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is in as many documents as
     any of their A id), count_sum (of the links' document counts) and groups_sha256."""
+    spark = docs.sparkSession
     rows = save(link_batches(docs, a_path, b_path, id_col, text), "aligned")
     each = rows.select("batch", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "p")).select("batch", "at", F.col("p.pairs").alias("pair"), F.col("p.held").alias("held"))
     counts = each.groupBy("pair").agg(F.sum("held").alias("n"))
-    counts = save(counts, "aligned-counts")
+    with _few_rows(spark):
+        counts = save(counts, "aligned-counts")
     # one row for each id of A's vocabulary
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
     counted = counts.join(F.broadcast(most), F.shiftright("pair", 32) == F.col("a")).select("pair", (2 * F.col("n") + (F.col("n") == F.col("most")).cast("long")).alias("coded"))
     if counts.count() <= sent:
         table = counted.toArrow().sort_by("pair")
-        held = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "coded")))
+        held = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "coded")))
         scored = rows.drop("held").mapInArrow(tidy(_sent(held)), _ROWS)
     else:
         back = each.select("batch", "at", "pair").join(counted, "pair").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "coded"))).alias("c")).select("batch", F.col("c.coded").alias("coded"))
         scored = rows.drop("pairs", "held").join(back, "batch", "left").mapInArrow(tidy(_joined), _ROWS)
-    out = save(scored, "aligned-documents")
+    with _few_rows(spark):
+        out = save(scored, "aligned-documents")
     discard(rows, counts)
     return out

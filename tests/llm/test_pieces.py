@@ -189,3 +189,33 @@ def test_op12_long_text_and_whole_table(spark, sf, docs):
         assert r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] and r["n_best"] <= r["n_links"] <= r["count_sum"]
     long = aligned(spark.createDataFrame([(1, "ab cd\n" * 30_000)], SCHEMA))[0]
     assert long[4] == long[1] + long[2] - long[3] and long[6] == long[4]
+
+
+def test_op12_rows_grow_with_pairs_not_links(spark):
+    """A text that repeats itself has few pairs, each with the number of its links."""
+    df = spark.createDataFrame([(1, "ab cd\n" * 30_000), (2, "ab"), (3, None)], SCHEMA).coalesce(1)
+    rows = align.link_batches(df, vocabulary("byte_bpe_50k.json"), MODEL)
+    lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
+    (row,) = rows.collect()
+    assert row["doc_ids"] == [1, 2, 3] and row["n_a"][0] > 30_000
+    assert all(len(row[c]) < 50 for c in lists)
+    assert sum(row["times"]) == sum(row["n_links"]) == sum(row["n_a"]) + sum(row["n_b"]) - sum(row["n_groups"])
+    assert aligned(df, sent=-1) == aligned(df)
+
+
+def test_op12_reads_few_wide_rows_at_once(spark, docs, monkeypatch):
+    """Neither the reader nor an aggregate gathers all rows of a file or many batches' lists."""
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", {}
+    before, save = spark.conf.get(key), align.save
+
+    def watched(df, name):
+        seen[name] = int(spark.conf.get(key)), df._jdf.queryExecution().executedPlan().toString()
+        return save(df, name)
+
+    monkeypatch.setattr(align, "save", watched)
+    df = spark.createDataFrame(docs[:20], SCHEMA).repartition(3)
+    for how in ({}, {"sent": -1}):
+        aligned(df, **how)
+        assert all(seen[name][0] <= 16 for name in ("aligned-counts", "aligned-documents"))
+        assert "ObjectHashAggregate" not in seen["aligned-documents"][1] and spark.conf.get(key) == before
+    assert "collect_list" in seen["aligned-documents"][1]
